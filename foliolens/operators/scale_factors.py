@@ -128,3 +128,21 @@ def scale_factors_from_result(
         .withColumn("scale_factor", kept_share(F.coalesce("_mass", F.lit(0.0)), F.col("_total")))
         .select(*SCALE_COLUMNS)
     )
+
+
+def unpivot_scale_factors(wide: DataFrame, prefix: str = "sf__") -> DataFrame:
+    """Long rows from columns ``sf__<config>__<perspective>__<label>``.
+
+    The perspective is the last number between double underscores, so config
+    names and labels are free.
+    """
+    columns = [c for c in wide.columns if c.startswith(prefix)]
+    keys = [c for c in wide.columns if c not in columns]
+    pattern = "^" + prefix + "(.*)__(-?[0-9]+)__(.*)$"
+    return wide.unpivot(keys, columns, "_name", "scale_factor").select(
+        *keys,
+        F.regexp_extract("_name", pattern, 1).alias("config"),
+        F.regexp_extract("_name", pattern, 2).cast("long").alias("perspective_id"),
+        F.regexp_extract("_name", pattern, 3).alias("weight_label"),
+        "scale_factor",
+    )

@@ -1 +1,169 @@
-QUERIES = {}
+"""Catalogue questions, step attribution and the request stream."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, functions as F
+
+from foliolens import datasets
+from foliolens.model import Modifier
+from foliolens.operators.audit import attributed_rows, removed_samples, step_attribution, waterfall
+from foliolens.operators.catalog import nested_criteria_report, required_columns, rule_columns
+from foliolens.plans.modifiers import DEFAULT_MODIFIERS, MODIFIERS
+from foliolens.registry.inputs import lookthroughs, positions, rule, test, view_set, with_tables
+from foliolens.registry.source_queries import stored_perspectives
+from foliolens.registry.view_queries import KEEP_TRADE
+
+NAMES = ["exclude_blocked_positions", "exclude_future_trades", "scale_lookthroughs_to_100_percent",
+         "exclude_other_net_assets_excl_investment_grade_accrual"]
+
+
+def requested_views(spark, folder) -> DataFrame:
+    """Views that requests ask for: one request per customer."""
+    names = F.array(*[F.lit(n) for n in NAMES])
+    return datasets.table(spark, folder, "customer").select(
+        F.concat(F.lit("c"), F.col("c_custkey")).alias("request_id"),
+        F.lit("main").alias("config"),
+        (F.col("c_custkey") % 60).alias("perspective_id"),
+        F.when(F.col("c_custkey") % 5 != 0, F.element_at(names, (F.col("c_custkey") % 4 + 1).cast("int"))).alias("modifier"),
+    )
+
+
+def _required(spark, folder):
+    rules = rule_columns(stored_perspectives(spark, folder))
+    return required_columns(requested_views(spark, folder), rules, MODIFIERS, DEFAULT_MODIFIERS)
+
+
+NEEDS = [
+    (0, "position_data", "position_blocking_type_id"),
+    (1, "position_data", "trade_type_id"),
+    (1, "position_data", "upcoming_trade_date"),
+    (2, "instrument", "instrument_subtype_id"),
+    (3, "position_data", "liquidity_type_id"),
+    (3, "position_data", "parent_instrument_id"),
+    (3, "parent_instrument", "instrument_subtype_id"),
+]
+REQUIRED_SQL = f"""WITH q AS (SELECT c_custkey AS k, 'c' || c_custkey AS request_id, c_custkey % 60 AS pid FROM customer),
+usable AS (SELECT p_size FROM part GROUP BY p_size HAVING bool_and(p_partkey % 97 <> 0)),
+needed AS (
+  SELECT p_size AS pid, 'instrument' AS t, UNNEST(['brand', 'p_' || lower(p_type)]) AS c FROM part
+  UNION SELECT p_size, 'parent_instrument', 'name' || (p_size % 3) FROM part
+  UNION SELECT p_size, 'position_data', UNNEST(['parent_instrument_id', 'weight']) FROM part),
+mods AS (SELECT * FROM (VALUES {', '.join(str(n) for n in NEEDS)}) AS v(m, t, c))
+SELECT request_id, t AS "table", c AS "column" FROM q JOIN needed USING (pid) WHERE pid IN (SELECT p_size FROM usable)
+UNION SELECT request_id, t, c FROM q JOIN mods ON k % 4 = m WHERE k % 5 <> 0
+UNION SELECT request_id, 'position_data', UNNEST(['position_source_type_id', 'liquidity_type_id', 'perspective_id', 'sub_portfolio_id']) FROM q"""
+
+QUERIES = {
+    "C-01_required_columns": (_required, REQUIRED_SQL),
+    "C-02_nested_criteria_report": (
+        lambda spark, folder: nested_criteria_report(stored_perspectives(spark, folder)).select(
+            "perspective_id", "ordinal", "path", "outer_column", "operator_type",
+            F.get_json_object("inner_criteria", "$.table_name").alias("inner_table"),
+        ),
+        """SELECT CAST(p_size AS BIGINT) AS perspective_id, p_partkey AS ordinal, 'or.0.not.0' AS path,
+  'instrument_id' AS outer_column, 'NotIn' AS operator_type, 'T' || (p_size % 5) AS inner_table FROM part
+WHERE p_size IN (SELECT p_size FROM part GROUP BY p_size HAVING bool_and(p_partkey % 97 <> 0))""",
+    ),
+}
+
+AUDIT_MODIFIERS = {
+    "pre_liquidity": Modifier("pre_liquidity", "PreProcessing", test("liquidity_type_id", "==", 2)),
+    "pre_source": Modifier("pre_source", "PreProcessing", test("position_source_type_id", "==", 8), "holding"),
+    "save": Modifier("save", "PostProcessing", test("liquidity_type_id", "==", 7), "both", "or"),
+    "restrict": Modifier("restrict", "PostProcessing", test("position_source_type_id", "!=", 12), "both", "and"),
+}
+AUDIT_RULES = {
+    "-1": {"rules": [KEEP_TRADE, rule(test("liquidity_type_id", "!=", 5))]},
+    "-2": {"rules": [rule(test("trade_type_id", "==", 1), link="or"), rule(test("liquidity_type_id", ">", 3))]},
+}
+
+
+def audit_views():
+    names = ["pre_liquidity", "pre_source", "save", "restrict"]
+    return view_set({"main": {"-1": names, "-2": ["pre_liquidity"]}}, AUDIT_RULES, modifiers=AUDIT_MODIFIERS)
+
+
+AUDITED = f"""
+steps AS (
+  SELECT record_type, container, identifier, instrument_id, parent_instrument_id, sub_portfolio_id, initial_weight,
+    -1 AS pid, CASE WHEN liquidity_type_id = 2 THEN 'pre_liquidity'
+      WHEN container = 'holding' AND position_source_type_id = 8 THEN 'pre_source'
+      WHEN position_source_type_id = 12 AND ((trade_type_id IN (1, 2) AND liquidity_type_id <> 5) OR liquidity_type_id = 7)
+        THEN 'restrict'
+      WHEN (trade_type_id IN (1, 2) AND liquidity_type_id <> 5) OR liquidity_type_id = 7 THEN 'output'
+      WHEN trade_type_id NOT IN (1, 2) THEN 'rule_0' ELSE 'rule_1' END AS own
+  FROM (SELECT * EXCLUDE (initial_shares, resulting_shares, priority) FROM pos UNION ALL BY NAME SELECT * FROM lt)
+  UNION ALL
+  SELECT record_type, container, identifier, instrument_id, parent_instrument_id, sub_portfolio_id, initial_weight,
+    -2, CASE WHEN liquidity_type_id = 2 THEN 'pre_liquidity'
+      WHEN trade_type_id = 1 OR liquidity_type_id > 3 THEN 'output' ELSE 'rule_0' END
+  FROM (SELECT * EXCLUDE (initial_shares, resulting_shares, priority) FROM pos UNION ALL BY NAME SELECT * FROM lt)),
+alive AS (SELECT DISTINCT pid, container, instrument_id, sub_portfolio_id FROM steps
+          WHERE record_type = 'positions' AND own = 'output'),
+audited AS (
+  SELECT s.*, CASE WHEN own = 'output' AND record_type <> 'positions' AND a.pid IS NULL THEN 'parent_removed' ELSE own END AS step
+  FROM steps s LEFT JOIN alive a ON a.pid = s.pid AND a.container = s.container
+    AND a.instrument_id = s.parent_instrument_id AND a.sub_portfolio_id = s.sub_portfolio_id)"""
+
+
+def _attribution(spark, folder):
+    rows = step_attribution(positions(spark, folder), lookthroughs(spark, folder), audit_views())
+    return rows.select("perspective_id", "container", "record_type", "identifier", "instrument_id", "step")
+
+
+def _attributed(spark, folder):
+    return attributed_rows(positions(spark, folder), lookthroughs(spark, folder), audit_views(), ["initial_weight"])
+
+
+QUERIES["AU-01_step_attribution"] = (
+    _attribution,
+    with_tables(
+        "SELECT pid AS perspective_id, container, record_type, identifier, instrument_id, step FROM audited WHERE step <> 'output'",
+        AUDITED,
+    ),
+)
+QUERIES["AU-02_waterfall"] = (
+    lambda spark, folder: waterfall(_attributed(spark, folder), ["initial_weight"]).drop("request_id", "config"),
+    with_tables(
+        """SELECT pid AS perspective_id, step, container, record_type, COUNT(*) AS rows, SUM(initial_weight) AS initial_weight
+FROM audited GROUP BY ALL""",
+        AUDITED,
+    ),
+)
+QUERIES["AU-03_removed_samples"] = (
+    lambda spark, folder: removed_samples(_attributed(spark, folder), 3, "initial_weight").drop("request_id", "config"),
+    with_tables(
+        """SELECT pid AS perspective_id, step, container, record_type, rank, identifier, initial_weight, GREATEST(n - 3, 0) AS more
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY pid, step, container, record_type
+        ORDER BY initial_weight DESC, identifier, instrument_id) AS rank,
+        COUNT(*) OVER (PARTITION BY pid, step, container, record_type) AS n
+      FROM audited WHERE step <> 'output') WHERE rank <= 3""",
+        AUDITED,
+    ),
+)
+
+
+def _stream(spark, folder):
+    """Requests as files, processed by the stream; the responses are read back."""
+    from foliolens.registry.source_queries import TYPES, json_requests
+    from foliolens.sources.requests import read_request_stream
+    from foliolens.streaming.requests import process_stream
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    work = f"{base.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{abs(hash(folder))}"
+    requests = json_requests(spark, folder)
+    with_id = F.concat(F.lit('{"request_id":"'), F.col("request_id"), F.lit('",'), F.expr("substring(request, 2)"))
+    requests.select(with_id.alias("value")).write.mode("overwrite").text(f"{work}/in")
+    stream = read_request_stream(spark, f"{work}/in")
+    process_stream(stream, f"{work}/out", f"{work}/state", available_now=True, types=TYPES, defaults=[]).awaitTermination()
+    done = spark.read.parquet(f"{work}/out")
+    path = "$.perspective_configurations.main.-1"
+    return done.select("request_id", F.get_json_object("document", path).isNotNull().alias("answered"))
+
+
+QUERIES["S-10_read_request_stream"] = (
+    _stream,
+    "SELECT DISTINCT 'r' || (o_orderkey // 50) AS request_id, TRUE AS answered FROM orders",
+)

@@ -1 +1,317 @@
-QUERIES = {}
+"""Result shapes, compared after they are unfolded again."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from foliolens import datasets
+from foliolens.operators.output import documents, flat_result, nested_result, wide_lookthroughs, wide_positions
+from foliolens.plans.pipeline import run_views
+from foliolens.plans.requests import process_requests
+from foliolens.registry.inputs import ALL_LABELS, RAW, lookthroughs, positions, with_tables
+from foliolens.registry.source_queries import CHILDREN, ORDERS_PER_REQUEST, TYPES, json_requests
+from foliolens.registry.view_queries import (
+    CRITERIA_RULES,
+    HOLD,
+    KEPT,
+    MASSES,
+    VIEWS_SQL,
+    both,
+    kept_sql,
+    kept_summary,
+    main,
+    views,
+)
+from foliolens.sources.requests import read_columnar_requests
+
+UNIQUE_LT = "identifier IN (SELECT identifier FROM lt GROUP BY identifier HAVING COUNT(*) = 1)"
+
+
+def _wide_positions(spark, folder):
+    wide = wide_positions(main(spark, folder, HOLD), ["container", "identifier"])
+    return wide.select(
+        "container",
+        "identifier",
+        *[F.col(f"`f_main_{p}`").alias(f"factor{-int(p)}") for p in CRITERIA_RULES],
+        *[F.round(F.col(f"`initial_weight_main_{p}`"), 9).alias(f"weight{-int(p)}") for p in CRITERIA_RULES],
+    )
+
+
+def _wide_lookthroughs(spark, folder):
+    wide = wide_lookthroughs(main(spark, folder), ["container", "record_type", "sub_portfolio_id"])
+    return wide.groupBy("container", "record_type", "sub_portfolio_id").agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.count(F.col(f"`f_main_{p}`")).alias(f"kept{-int(p)}") for p in CRITERIA_RULES],
+        *[F.sum(F.col(f"`weight_main_{p}`")).alias(f"weight{-int(p)}") for p in CRITERIA_RULES],
+    )
+
+
+def _wide_sql() -> str:
+    columns = []
+    for pid, keep, factor in VIEWS_SQL:
+        columns.append(f"CASE WHEN {keep} THEN CAST({factor} AS DOUBLE) END AS factor{-pid}")
+    weights = [
+        f"ROUND(initial_weight * (factor{-pid} / (SELECT iw FROM mass m WHERE m.pid = {pid} AND m.container = x.container)), 9) "
+        f"AS weight{-pid}"
+        for pid, _, _ in VIEWS_SQL
+    ]
+    factors = ", ".join(f"factor{-pid}" for pid, _, _ in VIEWS_SQL)
+    return with_tables(
+        f"SELECT container, identifier, {factors}, {', '.join(weights)} FROM (SELECT pos.*, {', '.join(columns)} FROM pos) x",
+        KEPT,
+        MASSES,
+    )
+
+
+def _wide_lt_sql() -> str:
+    kept = ", ".join(
+        f"COALESCE(ANY_VALUE(kept) FILTER (pid = {pid}), 0) AS kept{-pid}, ANY_VALUE(weight) FILTER (pid = {pid}) AS weight{-pid}"
+        for pid, _, _ in VIEWS_SQL
+    )
+    return with_tables(
+        f"""SELECT a.container, a.record_type, a.sub_portfolio_id, ANY_VALUE(a.n) AS rows, {kept}
+FROM (SELECT container, record_type, sub_portfolio_id, COUNT(*) AS n FROM lt GROUP BY ALL) a
+LEFT JOIN (SELECT pid, container, record_type, sub_portfolio_id, COUNT(*) AS kept, SUM(weight * factor) AS weight
+           FROM kl GROUP BY ALL) k USING (container, record_type, sub_portfolio_id)
+GROUP BY a.container, a.record_type, a.sub_portfolio_id""",
+        KEPT,
+    )
+
+
+QUERIES = {
+    "R-02_wide_positions": (_wide_positions, _wide_sql()),
+    "R-02_wide_lookthroughs": (_wide_lookthroughs, _wide_lt_sql()),
+}
+
+
+def _nested(spark, folder):
+    """Nested maps, unfolded to rows; children are reduced to unique identifiers."""
+    lt = lookthroughs(spark, folder)
+    unique = lt.groupBy("identifier").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("identifier")
+    result = run_views(positions(spark, folder), lt.join(unique, "identifier"), views(), max_requests=1)
+    rows = nested_result(result, part_rows=2000)
+    return (
+        rows.select("perspective_id", "container", "section", F.explode("rows").alias("identifier", "weights"))
+        .select("perspective_id", "container", "section", "identifier", F.explode("weights").alias("label", "weight"))
+        .where("weight IS NOT NULL")
+    )
+
+
+def _nested_sql() -> str:
+    parts = []
+    for section, frame, extra in (("'positions'", "kp", ""), ("record_type", "kl", f" AND {UNIQUE_LT}")):
+        labels = {"holding": datasets.POSITION_LABELS, "x": ["weight"]} if frame == "kp" else {"holding": ["weight"], "x": ["weight"]}
+        for container, names in labels.items():
+            where = "container = 'holding'" if container == "holding" else "container <> 'holding'"
+            parts += [
+                f"SELECT pid AS perspective_id, container, {section} AS section, identifier, '{w}' AS label, "
+                f"{w} * factor AS weight FROM {frame} WHERE {where} AND {w} IS NOT NULL{extra}"
+                for w in names
+            ]
+    return with_tables(" UNION ALL ".join(parts), KEPT)
+
+
+QUERIES["R-03_nested_result"] = (_nested, _nested_sql())
+
+
+def _flat(spark, folder):
+    """Columnar arrays, unfolded to rows."""
+    result = run_views(positions(spark, folder), None, views(), max_requests=1)
+    rows = flat_result(result, part_rows=2000)
+    return rows.select(
+        "perspective_id",
+        "container",
+        F.inline(F.arrays_zip("identifiers", "initial_weight", "weight")),
+    ).withColumnRenamed("identifiers", "identifier")
+
+
+QUERIES["R-05_flatten_response"] = (
+    _flat,
+    with_tables(
+        """SELECT pid AS perspective_id, container, identifier,
+  CASE WHEN container = 'holding' THEN initial_weight * factor END AS initial_weight,
+  CASE WHEN container <> 'holding' THEN weight * factor END AS weight FROM kp""",
+        KEPT,
+    ),
+)
+
+
+def _documents(columnar: bool):
+    """JSON responses of the JSON requests, read back."""
+
+    def run(spark, folder):
+        done = process_requests(json_requests(spark, folder), types=TYPES, defaults=[]).documents(columnar)
+        body = "map<string,map<string,map<string,map<string,string>>>>"
+        configs = F.from_json(F.get_json_object("document", "$.perspective_configurations"), body)
+        containers = (
+            done.select("request_id", F.explode(configs).alias("config", "views"))
+            .select("request_id", F.explode("views").alias("perspective_id", "containers"))
+            .select("request_id", "perspective_id", F.explode("containers").alias("container", "sections"))
+        )
+        text = F.col("sections")["positions"]
+        if columnar:
+            rows = F.inline(
+                F.arrays_zip(
+                    F.from_json(F.get_json_object(text, "$.identifier"), "array<string>").alias("identifier"),
+                    F.from_json(F.get_json_object(text, "$.initial_weight"), "array<double>").alias("weight"),
+                )
+            )
+            unfolded = containers.select("request_id", "perspective_id", "container", rows).toDF(
+                "request_id", "perspective_id", "container", "identifier", "weight"
+            )
+        else:
+            unfolded = containers.select(
+                "request_id",
+                "perspective_id",
+                "container",
+                F.explode(F.from_json(text, "map<string,map<string,double>>")).alias("identifier", "weights"),
+            ).select("*", F.col("weights")["initial_weight"].alias("weight"))
+        return unfolded.select(
+            "request_id", "perspective_id", "container", "identifier", F.round("weight", 9).alias("weight")
+        )
+
+    return run
+
+
+def _documents_sql() -> str:
+    from foliolens.registry.source_queries import QUERIES as SOURCES
+
+    rows = SOURCES["S-01_process_requests"][1]
+    return (
+        "SELECT request_id, CAST(perspective_id AS VARCHAR) AS perspective_id, container, identifier, "
+        f"initial_weight AS weight FROM ({rows})"
+    )
+
+
+QUERIES["R-03_json_documents"] = (_documents(False), _documents_sql())
+QUERIES["R-05_columnar_documents"] = (_documents(True), _documents_sql())
+
+
+def _document_factors(spark, folder):
+    """Scale factors in the JSON responses."""
+    done = process_requests(json_requests(spark, folder), types=TYPES, defaults=[]).documents()
+    path = "$.perspective_configurations.main.-1.holding.scale_factors.initial_weight"
+    values = done.select(
+        "request_id", F.round(F.get_json_object("document", path).cast("double"), 9).alias("scale_factor")
+    )
+    return values.where("scale_factor IS NOT NULL")
+
+
+QUERIES["A-11_factors_in_documents"] = (
+    _document_factors,
+    f"""WITH {RAW}, {CHILDREN},
+p AS (SELECT 'r' || (instrument_id // 50) AS request_id, * FROM raw_pos WHERE container = 'holding'),
+c AS (SELECT p.request_id, p.trade_type_id AS parent_type, child.* FROM child JOIN p ON p.instrument_id = child.parent_instrument_id
+      WHERE child.record_type = 'essential_lookthroughs' AND child.sub_portfolio_id = p.sub_portfolio_id),
+x AS (SELECT request_id, initial_weight AS total, CASE WHEN trade_type_id <= 3 THEN initial_weight ELSE 0 END AS kept FROM p
+      UNION ALL SELECT request_id, initial_weight,
+        CASE WHEN trade_type_id <= 3 AND parent_type <= 3 THEN initial_weight ELSE 0 END FROM c)
+SELECT request_id, ROUND(CASE WHEN SUM(kept) = 0 THEN 1.0 ELSE SUM(kept) / SUM(total) END, 9) AS scale_factor
+FROM x GROUP BY request_id""",
+)
+
+
+def _round_trip(spark, folder):
+    """Columnar responses read as columnar requests again."""
+    result = run_views(positions(spark, folder), None, views(), max_requests=1)
+    flat = flat_result(result, part_rows=2000).where("container = 'holding'")
+    arrays = "'\"identifier\":', to_json(identifiers), ',\"initial_weight\":', to_json(initial_weight)"
+    text = f"concat('{{\"holding\":{{\"positions\":{{', {arrays}, '}}}}}}')"
+    requests = flat.selectExpr(
+        "concat_ws('/', perspective_id, part) AS request_id", f"{text} AS request"
+    )
+    pos, _ = read_columnar_requests(requests, {"initial_weight": "double"})
+    return pos.selectExpr(
+        "bigint(split(request_id, '/')[0]) AS perspective_id", "container", "identifier", "initial_weight"
+    )
+
+
+QUERIES["R-05_columnar_round_trip"] = (
+    _round_trip,
+    with_tables(
+        "SELECT pid AS perspective_id, container, identifier, initial_weight * factor AS initial_weight FROM kp "
+        "WHERE container = 'holding'",
+        KEPT,
+    ),
+)
+
+
+def _sections(spark, folder):
+    return kept_summary(both(main(spark, folder)))
+
+
+QUERIES["R-04_partition_output"] = (
+    _sections,
+    with_tables(
+        kept_sql(
+            "SELECT pid, container, record_type, sub_portfolio_id, instrument_id, initial_weight, factor FROM kp UNION ALL "
+            "SELECT pid, container, record_type, sub_portfolio_id, instrument_id, initial_weight, factor FROM kl"
+        ),
+        KEPT,
+    ),
+)
+
+
+def _unpivot(spark, folder):
+    """Wide scale columns to long rows."""
+    pos = positions(spark, folder)
+    wide = pos.groupBy("container").agg(
+        *[F.coalesce(F.sum(w), F.lit(0.0)).alias(f"sf__main__-1__{w}") for w in ALL_LABELS]
+    )
+    from foliolens.operators.scale_factors import unpivot_scale_factors
+
+    return unpivot_scale_factors(wide)
+
+
+QUERIES["R-01_unpivot_scale_factors"] = (
+    _unpivot,
+    with_tables(
+        " UNION ALL ".join(
+            f"SELECT container, 'main' AS config, CAST(-1 AS BIGINT) AS perspective_id, '{w}' AS weight_label, "
+            f"COALESCE(SUM({w}), 0) AS scale_factor FROM pos GROUP BY container"
+            for w in ALL_LABELS
+        )
+    ),
+)
+
+
+def _sink(spark, folder):
+    """Result files, read back: positions of one view."""
+    import tempfile
+
+    from foliolens.operators.output import write_result
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    path = f"{base.rstrip('/')}/views-{spark.sparkContext.applicationId}"
+    write_result(main(spark, folder), path)
+    stored = spark.read.parquet(f"{path}/positions").where("config = 'main' AND perspective_id = -2")
+    return stored.select("container", "identifier", F.col("out_initial_weight").alias("initial_weight"))
+
+
+QUERIES["R-06_sinks"] = (
+    _sink,
+    with_tables("SELECT container, identifier, initial_weight * factor AS initial_weight FROM kp WHERE pid = -2", KEPT),
+)
+
+
+def _empty(spark, folder):
+    """Requests whose positions are empty get an empty document each."""
+    requests = json_requests(spark, folder).select(
+        "request_id",
+        F.regexp_replace("request", r'"(holding|selected_reference|contractual_reference)":', '"other_$1":').alias("request"),
+    )
+    hollow = requests.withColumn("request", F.regexp_replace("request", r'"positions":\{.*', '"none":{}}}'))
+    return process_requests(hollow, types=TYPES, defaults=[]).documents().select("request_id", "document")
+
+
+QUERIES["R-07_empty_input"] = (
+    _empty,
+    f"""SELECT DISTINCT 'r' || (o_orderkey // {ORDERS_PER_REQUEST}) AS request_id,
+  '{{"perspective_configurations":{{}}}}' AS document FROM orders""",
+)
+QUERIES["O-01_sorted_result"] = (
+    lambda spark, folder: main(spark, folder)
+    .positions.select("perspective_id", "container", "identifier", "factor")
+    .orderBy("perspective_id", "container", "identifier"),
+    with_tables("SELECT pid AS perspective_id, container, identifier, factor FROM kp ORDER BY ALL", KEPT),
+)
