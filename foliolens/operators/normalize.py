@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from foliolens.schema import CONTAINERS, INT_NULL, RECORD_TYPES, REQUEST
+from foliolens.schema import CONTAINERS, INT_NULL, LOOKTHROUGHS, RECORD_TYPES, REQUEST
 
 
 def lowercase_columns(df: DataFrame) -> DataFrame:
@@ -64,9 +64,15 @@ def with_request(df: DataFrame) -> DataFrame:
 
 
 def normalize(df: DataFrame, weight_labels: list[str], record_type: str | None = None) -> DataFrame:
-    """All normalisation steps; idempotent."""
+    """All normalisation steps; idempotent.
+
+    ``record_type`` fills a missing column of that name. Child rows without a
+    parent column have no parent.
+    """
     df = lowercase_columns(df)
     if record_type is not None and "record_type" not in df.columns:
         df = df.withColumn("record_type", F.lit(record_type))
+    if record_type == LOOKTHROUGHS and "parent_instrument_id" not in df.columns:
+        df = df.withColumn("parent_instrument_id", F.lit(None).cast("long"))
     df = with_request(validate_domains(standardize_ids(df)))
     return fill_sentinels(df, weight_labels)

@@ -7,8 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from foliolens.functions.criteria import literal
 from foliolens.model import View, ViewSet
 from foliolens.operators.factors import Layout, bit
-from foliolens.operators.lookthrough import sync_lookthroughs
-from foliolens.operators.rescale import Totals, sync_and_rescale_lookthroughs, with_container_totals
+from foliolens.operators.rescale import Totals, with_container_totals
 from foliolens.operators.skew import join_bounded
 from foliolens.plans.pipeline import ViewResult
 from foliolens.schema import POSITIONS, REQUEST, SPEC, VIEW_KEYS, out, present
@@ -53,18 +52,8 @@ def wide_positions(result: ViewResult, carry: list[str] | None = None) -> DataFr
 
 def wide_lookthroughs(result: ViewResult, carry: list[str] | None = None) -> DataFrame:
     """The same for all child rows."""
-    children, totals = result.evaluated_lookthroughs, None
-    if any(v.rescales_lookthroughs for v in result.views.views) and result.lookthrough_labels:
-        rows, totals = sync_and_rescale_lookthroughs(
-            children,
-            result.evaluated_positions,
-            result.raw_positions,
-            result.views,
-            result.lookthrough_labels,
-            keep_removed=True,
-        )
-    else:
-        rows = sync_lookthroughs(children, result.evaluated_positions, result.views, keep_removed=True)
+    rows, totals = result.synced_lookthroughs(keep_removed=True)
+    children = result.evaluated_lookthroughs
     keys = [c for c in children.columns if not c.startswith("_")] if carry is None else carry
     return _wide(rows, result.views, result.lookthrough_labels, totals, keys)
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from foliolens.functions.criteria import CriteriaCompiler
+from foliolens.functions.criteria import CriteriaCompiler, literal
 from foliolens.model import View, ViewSet
 from foliolens.operators.factors import BITS, Layout, explode_views, pack
 from foliolens.operators.lookthrough import intersect_masks, parent_masks
@@ -28,7 +28,7 @@ TOTAL = -1
 """View number under which raw totals are kept."""
 
 
-def _sums(frame: DataFrame, labels: list[str], layout: Layout, wanted: list[View], *, kept, total, positions) -> DataFrame:
+def _sums(frame: DataFrame, labels: list[str], layout: Layout, wanted: list[View], positions: bool) -> DataFrame:
     """Weights of a frame in the common shape of the mass aggregation.
 
     Only the mask bits and scale columns of the wanted views are left, to keep
@@ -38,49 +38,33 @@ def _sums(frame: DataFrame, labels: list[str], layout: Layout, wanted: list[View
     for v in wanted:
         used[v.index // BITS] |= 1 << (v.index % BITS)
     scales = {layout.scale_name[v.index] for v in wanted if v.index in layout.scale_name}
-    zero = F.lit(0).cast("long")
-    return frame.select(
+    return frame.selectExpr(
         *GROUP_KEYS,
-        F.lit(kept).alias("_kept"),
-        F.lit(total).alias("_total"),
-        F.lit(positions).alias("_positions"),
-        *[
-            (F.col(m).bitwiseAND(F.lit(used[w]).cast("long")) if kept and w in used else zero).alias(m)
-            for w, m in enumerate(layout.masks)
-        ],
-        *[(F.col(s) if kept and s in scales else F.lit(1.0)).alias(s) for s in layout.scales],
-        *[(F.col(w) if w in frame.columns else F.lit(None)).cast("double").alias(w) for w in labels],
+        f"{literal(positions)} AS _positions",
+        *[f"{f'{m} & {used[w]}L' if w in used else '0L'} AS {m}" for w, m in enumerate(layout.masks)],
+        *[f"{s if s in scales else '1.0D'} AS {s}" for s in layout.scales],
+        *[f"double({f'`{w}`' if w in frame.columns else 'NULL'}) AS `{w}`" for w in labels],
     )
 
 
-def group_masses(
-    positions: DataFrame,
-    lookthroughs: DataFrame | None,
-    synced: DataFrame | None,
-    views: ViewSet,
-    labels: list[str],
-) -> DataFrame:
+def group_masses(positions: DataFrame, essential: DataFrame | None, views: ViewSet, labels: list[str]) -> DataFrame:
     """Kept mass per (request, container, view) and raw totals as view -1.
 
-    ``positions`` and ``synced`` are evaluated, ``lookthroughs`` holds all child
-    rows. Only essential children count. Rows are first summed per distinct mask,
-    so the cost of the scan does not grow with the number of views; the sums per
-    mask are then spread over views.
+    Both frames are evaluated; ``essential`` has all essential child rows, also
+    the removed ones, with their masks in step with their parents. Rows are
+    first summed per distinct mask, so the cost of the scan does not grow with
+    the number of views; the sums per mask are then spread over views.
     """
     layout = Layout(views)
     wanted = [v for v in views.views if v.rescales_holdings]
-    parts = [_sums(positions, labels, layout, wanted, kept=True, total=True, positions=True)]
-    if lookthroughs is not None and present(lookthroughs, labels):
-        essential = F.col("record_type") == ESSENTIAL
-        totals, kept = lookthroughs.where(essential), synced.where(essential)
-        parts.append(_sums(totals, labels, layout, wanted, kept=False, total=True, positions=False))
-        parts.append(_sums(kept, labels, layout, wanted, kept=True, total=False, positions=False))
-    rows = functools.reduce(DataFrame.unionByName, parts)
-    by_mask = rows.groupBy(*GROUP_KEYS, "_kept", "_total", "_positions", *layout.masks, *layout.scales).agg(
+    rows = _sums(positions, labels, layout, wanted, True)
+    if essential is not None and present(essential, labels):
+        rows = rows.unionByName(_sums(essential, labels, layout, wanted, False))
+    by_mask = rows.groupBy(*GROUP_KEYS, "_positions", *layout.masks, *layout.scales).agg(
         *[F.sum(w).alias(w) for w in labels]
     )
     numbers = ", ".join(str(n) for n in [TOTAL, *[v.index for v in wanted]])
-    used = f"CASE WHEN view = {TOTAL} THEN _total ELSE _kept AND {layout.has_bit('view')} END"
+    used = f"view = {TOTAL} OR {layout.has_bit('view')}"
     factor = f"CASE WHEN view = {TOTAL} THEN 1.0D ELSE {layout.scale_of('greatest(view, 0)')} END"
     return (
         by_mask.withColumn("view", F.expr(f"explode(array({numbers}))"))
@@ -253,6 +237,7 @@ def sync_and_rescale_lookthroughs(
     raw_positions: DataFrame,
     views: ViewSet,
     labels: list[str],
+    split: bool | None = None,
     keep_removed: bool = False,
 ) -> tuple[DataFrame, Totals]:
     """Synced child rows with the totals of their parents, in one join of the rows.
@@ -270,8 +255,9 @@ def sync_and_rescale_lookthroughs(
     wanted = [v.index for v in views.views if v.rescales_lookthroughs]
     offsets = {index: i * len(labels) for i, index in enumerate(wanted)}
     if keep_removed:
-        rows = intersect_masks(join_groups(lookthroughs, groups, LOOKTHROUGH_KEYS), views)
+        rows = intersect_masks(join_groups(lookthroughs, groups, LOOKTHROUGH_KEYS, split=split), views)
     else:
         alive = lookthroughs.where(layout.any_kept())
-        rows = intersect_masks(join_groups(alive, groups, LOOKTHROUGH_KEYS, "inner"), views).where(layout.any_kept())
+        joined = join_groups(alive, groups, LOOKTHROUGH_KEYS, "inner", split)
+        rows = intersect_masks(joined, views).where(layout.any_kept())
     return rows, Totals("_children", offsets, None if matches is None else "_q")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -12,6 +12,7 @@ from foliolens.operators.lookthrough import sync_lookthroughs
 from foliolens.operators.normalize import normalize
 from foliolens.operators.reference import ReferenceTables, attach_reference
 from foliolens.operators.rescale import (
+    Totals,
     group_masses,
     pack_masses,
     sync_and_rescale_lookthroughs,
@@ -23,29 +24,123 @@ from foliolens.plans.reuse import materialize
 from foliolens.schema import ESSENTIAL, GROUP_KEYS, LOOKTHROUGHS, POSITIONS, REQUEST, ROW_KEYS, SPEC, present
 
 
-@dataclass
 class ViewResult:
-    """Lazy result frames, one row per kept (row, view).
+    """Lazy result frames of all views; each is planned when it is asked for.
 
-    Raw weights keep their names, output weights are ``out_<label>``. Removed
-    rows are absent. ``scale_factors`` is None when no view rescales holdings;
+    ``positions`` and ``lookthroughs`` have one row per kept (row, view): raw
+    weights keep their names, output weights are ``out_<label>``, removed rows
+    are absent. ``scale_factors`` is None when no view rescales holdings;
     ``all_scale_factors`` completes it for every view.
     """
 
-    views: ViewSet
-    raw_positions: DataFrame
-    raw_lookthroughs: DataFrame | None
-    positions: DataFrame
-    lookthroughs: DataFrame | None
-    scale_factors: DataFrame | None
-    all_scale_factors: DataFrame
-    position_labels: list[str]
-    lookthrough_labels: list[str]
-    evaluated_positions: DataFrame
-    evaluated_lookthroughs: DataFrame | None
-    masses: DataFrame | None
-    """Packed container masses, when a view rescales holdings."""
-    max_requests: int | None
+    def __init__(
+        self,
+        positions: DataFrame,
+        lookthroughs: DataFrame | None,
+        views: ViewSet,
+        carry: list[str],
+        max_requests: int | None,
+        reuse: str,
+        split: bool | None,
+    ):
+        self.raw_positions = positions
+        self.raw_lookthroughs = lookthroughs
+        self.views = views
+        self.max_requests = max_requests
+        self.position_labels = present(positions, views.position_labels)
+        self.lookthrough_labels = [] if lookthroughs is None else present(lookthroughs, views.lookthrough_labels)
+        self._keep = [*views.all_labels, *carry]
+        self._split = split
+        self._stored = reuse == "checkpoint"
+
+    def _store(self, df: DataFrame) -> DataFrame:
+        return materialize(df) if self._stored else df
+
+    @property
+    def rescales_holdings(self) -> bool:
+        return any(v.rescales_holdings for v in self.views.views) and bool(self.position_labels)
+
+    @property
+    def rescales_lookthroughs(self) -> bool:
+        return any(v.rescales_lookthroughs for v in self.views.views) and bool(self.lookthrough_labels)
+
+    @cached_property
+    def evaluated_positions(self) -> DataFrame:
+        return self._store(evaluate(self.raw_positions, self.views, self._keep))
+
+    @cached_property
+    def evaluated_lookthroughs(self) -> DataFrame | None:
+        if self.raw_lookthroughs is None:
+            return None
+        return self._store(evaluate(self.raw_lookthroughs, self.views, self._keep))
+
+    @cached_property
+    def masses(self) -> DataFrame | None:
+        """Packed container masses, when a view rescales holdings."""
+        if not self.rescales_holdings:
+            return None
+        essential = None
+        if self.raw_lookthroughs is not None and present(self.raw_lookthroughs, self.position_labels):
+            children = self.evaluated_lookthroughs.where(F.col("record_type") == ESSENTIAL)
+            essential = sync_lookthroughs(
+                children, self.evaluated_positions, self.views, self._split, keep_removed=True
+            )
+        masses = group_masses(self.evaluated_positions, essential, self.views, self.position_labels)
+        return self._store(pack_masses(masses, self.views, self.position_labels))
+
+    def _columns(self, frame: DataFrame, labels: list[str]) -> list[str]:
+        return present(frame, list(dict.fromkeys([*ROW_KEYS, *labels, *self._keep])))
+
+    @cached_property
+    def positions(self) -> DataFrame:
+        return weigh_positions(
+            self.evaluated_positions,
+            self.views,
+            self.position_labels,
+            self.masses,
+            self._columns(self.raw_positions, self.position_labels),
+            self.max_requests,
+        )
+
+    @cached_property
+    def lookthroughs(self) -> DataFrame | None:
+        if self.raw_lookthroughs is None:
+            return None
+        rows, totals = self.synced_lookthroughs()
+        return weigh(
+            rows,
+            self.views,
+            self.lookthrough_labels,
+            totals,
+            self._columns(self.raw_lookthroughs, self.lookthrough_labels),
+        )
+
+    def synced_lookthroughs(self, keep_removed: bool = False) -> tuple[DataFrame, Totals | None]:
+        """Evaluated child rows in step with their parents, with their divisors."""
+        children, parents = self.evaluated_lookthroughs, self.evaluated_positions
+        if self.rescales_lookthroughs:
+            return sync_and_rescale_lookthroughs(
+                children, parents, self.raw_positions, self.views, self.lookthrough_labels, self._split, keep_removed
+            )
+        return sync_lookthroughs(children, parents, self.views, self._split, keep_removed), None
+
+    @cached_property
+    def _specs(self) -> DataFrame | None:
+        if SPEC not in self.raw_positions.columns:
+            return None
+        return self.raw_positions.select(REQUEST, SPEC).distinct()
+
+    @cached_property
+    def scale_factors(self) -> DataFrame | None:
+        if self.masses is None:
+            return None
+        return scale_factors(self.masses, self.views, self.position_labels, self._specs)
+
+    @cached_property
+    def all_scale_factors(self) -> DataFrame:
+        source = self.raw_positions if self.masses is None else self.masses
+        containers = source.select(*GROUP_KEYS).distinct()
+        return complete_scale_factors(containers, self.scale_factors, self.views, self.position_labels, self._specs)
 
 
 def run_views(
@@ -63,67 +158,9 @@ def run_views(
     bound on the number of requests; without one, joins with per-container
     totals are shuffled and salted instead of broadcast. ``reuse="checkpoint"``
     stores the evaluated frames once instead of recomputing them per output.
+    ``split`` forces or forbids salting of measured hot parents.
     """
-    carry = carry or []
-    position_labels = present(positions, views.position_labels)
-    lookthrough_labels = present(lookthroughs, views.lookthrough_labels) if lookthroughs is not None else []
-    store = materialize if reuse == "checkpoint" else (lambda df: df)
-    specs = positions.select(REQUEST, SPEC).distinct() if SPEC in positions.columns else None
-
-    keep = [*views.all_labels, *carry]
-    pos_eval = store(evaluate(positions, views, keep))
-    lt_eval = evaluate(lookthroughs, views, keep) if lookthroughs is not None else None
-    rescales_lookthroughs = any(v.rescales_lookthroughs for v in views.views)
-    rescales_holdings = any(v.rescales_holdings for v in views.views) and bool(position_labels)
-
-    synced, totals = None, None
-    if lt_eval is not None:
-        if rescales_lookthroughs and lookthrough_labels:
-            synced, totals = sync_and_rescale_lookthroughs(lt_eval, pos_eval, positions, views, lookthrough_labels)
-        else:
-            synced = sync_lookthroughs(lt_eval, pos_eval, views, split)
-        synced = store(synced)
-
-    packed, computed = None, None
-    if rescales_holdings:
-        essential = synced
-        if lt_eval is not None and reuse != "checkpoint":
-            essential = sync_lookthroughs(lt_eval.where(F.col("record_type") == ESSENTIAL), pos_eval, views, split)
-        packed = store(
-            pack_masses(
-                group_masses(pos_eval, lookthroughs, essential, views, position_labels), views, position_labels
-            )
-        )
-        computed = scale_factors(packed, views, position_labels, specs)
-
-    containers = positions.select(*GROUP_KEYS).distinct() if packed is None else packed.select(*GROUP_KEYS)
-    weighed = weigh_positions(
-        pos_eval, views, position_labels, packed, present(positions, _columns(position_labels, keep)), max_requests
-    )
-    children = None
-    if synced is not None:
-        children = weigh(
-            synced, views, lookthrough_labels, totals, present(lookthroughs, _columns(lookthrough_labels, keep))
-        )
-    return ViewResult(
-        views,
-        positions,
-        lookthroughs,
-        weighed,
-        children,
-        computed,
-        complete_scale_factors(containers, computed, views, position_labels, specs),
-        position_labels,
-        lookthrough_labels,
-        pos_eval,
-        lt_eval,
-        packed,
-        max_requests,
-    )
-
-
-def _columns(labels: list[str], keep: list[str]) -> list[str]:
-    return list(dict.fromkeys([*ROW_KEYS, *labels, *keep]))
+    return ViewResult(positions, lookthroughs, views, carry or [], max_requests, reuse, split)
 
 
 def process_tables(

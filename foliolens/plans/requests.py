@@ -12,6 +12,7 @@ from foliolens.operators.normalize import normalize
 from foliolens.operators.output import documents
 from foliolens.operators.reference import ReferenceTables, attach_reference
 from foliolens.plans.pipeline import ViewResult, run_views
+from foliolens.plans.reuse import materialize_if_possible
 from foliolens.schema import CONTAINERS, LOOKTHROUGHS, POSITIONS, REQUEST, SPEC
 from foliolens.sources.requests import inflate_requests, with_request_ids
 
@@ -97,7 +98,7 @@ def process_requests(
     ``requests`` has a text column ``request`` and optionally ``request_id``.
     ``types`` gives the attribute types; without it they are inferred.
     """
-    known = with_specs(with_request_ids(requests))
+    known = materialize_if_possible(with_specs(with_request_ids(requests)))
     specs = collect_specs(known)
     sets = []
     for spec, request in specs.items():

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Stores the frame once in the checkpoint folder of the session.
+def checkpoint_folder(spark: SparkSession) -> str | None:
+    """The shared folder the cluster names for intermediate frames."""
+    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+
 
-    The folder is the shared one the cluster names; its files outlive executors.
-    """
+def materialize(df: DataFrame) -> DataFrame:
+    """Stores the frame once in the checkpoint folder; its files outlive executors."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            raise ValueError("set spark.checkpoint.dir to a shared folder to store intermediate frames")
-        context.setCheckpointDir(folder)
+    folder = checkpoint_folder(spark)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a shared folder to store intermediate frames")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def materialize_if_possible(df: DataFrame) -> DataFrame:
+    """The same where the session has such a folder, else the frame itself."""
+    return materialize(df) if checkpoint_folder(df.sparkSession) else df

@@ -508,9 +508,9 @@ QUERIES["A-02_raw_totals"] = (
 
 def _masses(spark, folder):
     vs = views(HOLD)
-    pos, lt = positions(spark, folder), lookthroughs(spark, folder)
-    pos_eval, lt_eval = evaluate(pos, vs), evaluate(lt, vs)
-    rows = group_masses(pos_eval, lt, sync_lookthroughs(lt_eval, pos_eval, vs), vs, ALL_LABELS)
+    pos_eval = evaluate(positions(spark, folder), vs)
+    lt_eval = evaluate(lookthroughs(spark, folder).where(F.col("record_type") == ESSENTIAL), vs)
+    rows = group_masses(pos_eval, sync_lookthroughs(lt_eval, pos_eval, vs, keep_removed=True), vs, ALL_LABELS)
     return rows.where("view >= 0").selectExpr("-1 - view AS perspective_id", "container", *ALL_LABELS)
 
 

@@ -12,6 +12,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from foliolens.functions.criteria import literal
+from foliolens.plans.reuse import materialize_if_possible
 from foliolens.schema import POSITIONS, REQUEST
 
 INJECTED = ("container", "record_type", "identifier", REQUEST)
@@ -38,8 +40,11 @@ def _unfold(df: DataFrame, column: str, keep: list[str], key: str, value: str) -
 
 
 def _path(name: str) -> str:
-    quoted = name.replace("\\", "\\\\").replace("'", "\\'")
-    return f"$[\\'{quoted}\\']"
+    """Path of an attribute as an SQL text."""
+    quote = '"' if "'" in name else "'"
+    if quote in name:
+        raise ValueError(f"attribute name {name!r} has both kinds of quotes")
+    return literal(f"$[{quote}{name}{quote}]")
 
 
 def request_sections(requests: DataFrame, extra: list[str] | None = None) -> DataFrame:
@@ -97,13 +102,24 @@ def parse_object_schema(text: str | None) -> dict[str, str]:
 def _typed(rows: DataFrame, types: dict[str, str], extra: list[str]) -> DataFrame:
     """Attributes as columns; the injected names win over attributes of the same name."""
     columns = [
-        F.expr(f"try_variant_get(_attributes, '{_path(name)}', '{kind}')").alias(name)
+        F.expr(f"try_variant_get(_attributes, {_path(name)}, '{kind}')").alias(name)
         for name, kind in types.items()
         if name not in INJECTED
     ]
     return rows.select(REQUEST, *extra, "container", "record_type", "identifier", *columns)
 
 
+def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return rows.where(f"record_type = '{POSITIONS}'"), rows.where(f"record_type <> '{POSITIONS}'")
+
+
+def rowwise_rows(sections: DataFrame, types: dict[str, str] | None = None, extra: list[str] | None = None) -> DataFrame:
+    """Rows of the row-wise sections with typed attributes."""
+    extra = extra or []
+    rows = section_rows(sections, extra)
+    return _typed(rows, attribute_types(rows) if types is None else types, extra)
+
+
 def read_requests(
     requests: DataFrame, types: dict[str, str] | None = None, extra: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -112,11 +128,7 @@ def read_requests(
     ``types`` maps attribute names to SQL types; without it they are inferred
     from all attributes that occur.
     """
-    extra = extra or []
-    rows = section_rows(request_sections(requests, extra), extra)
-    types = attribute_types(rows) if types is None else types
-    typed = _typed(rows, types, extra)
-    return typed.where(f"record_type = '{POSITIONS}'"), typed.where(f"record_type <> '{POSITIONS}'")
+    return _split(rowwise_rows(request_sections(requests, extra), types, extra))
 
 
 def columnar_types(sections: DataFrame) -> dict[str, str]:
@@ -126,31 +138,38 @@ def columnar_types(sections: DataFrame) -> dict[str, str]:
     return parse_object_schema(re.sub(r"ARRAY<([^<>]*)>", r"\1", text)) if text else {}
 
 
+def columnar_rows(sections: DataFrame, types: dict[str, str] | None = None, extra: list[str] | None = None) -> DataFrame:
+    """Rows of the columnar sections: aligned arrays, one of them ``identifier``."""
+    columnar = sections.where("variant_get(_section, '$.identifier', 'variant') IS NOT NULL")
+    types = columnar_types(columnar) if types is None else types
+    names = [n for n in types if n not in INJECTED]
+    arrays = [F.expr("try_variant_get(_section, '$.identifier', 'array<string>')").alias("identifier")]
+    arrays += [F.expr(f"try_variant_get(_section, {_path(n)}, 'array<{types[n]}>')").alias(n) for n in names]
+    keep = [REQUEST, *(extra or []), "container", "record_type"]
+    zipped = F.inline(F.arrays_zip("identifier", *[f"`{n}`" for n in names]))
+    return columnar.select(*keep, *arrays).select(*keep, zipped)
+
+
 def read_columnar_requests(
     requests: DataFrame, types: dict[str, str] | None = None, extra: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """The same for columnar sections: aligned arrays, one of them ``identifier``."""
-    extra = extra or []
-    sections = request_sections(requests, extra).where("variant_get(_section, '$.identifier', 'variant') IS NOT NULL")
-    types = columnar_types(sections) if types is None else types
-    names = [n for n in types if n not in INJECTED]
-    arrays = [F.expr("try_variant_get(_section, '$.identifier', 'array<string>')").alias("identifier")]
-    arrays += [F.expr(f"try_variant_get(_section, '{_path(n)}', 'array<{types[n]}>')").alias(n) for n in names]
-    keep = [REQUEST, *extra, "container", "record_type"]
-    rows = sections.select(*keep, *arrays).select(*keep, F.inline(F.arrays_zip("identifier", *[f"`{n}`" for n in names])))
-    return rows.where(f"record_type = '{POSITIONS}'"), rows.where(f"record_type <> '{POSITIONS}'")
+    """Position rows and lookthrough rows of requests with columnar sections."""
+    return _split(columnar_rows(request_sections(requests, extra), types, extra))
 
 
 def inflate_requests(
     requests: DataFrame, types: dict[str, str] | None = None, extra: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Rows of requests that mix row-wise and columnar sections."""
-    row_positions, row_children = read_requests(requests, types, extra)
-    col_positions, col_children = read_columnar_requests(requests, types, extra)
-    return (
-        row_positions.unionByName(col_positions, allowMissingColumns=True),
-        row_children.unionByName(col_children, allowMissingColumns=True),
+    """Rows of requests that mix row-wise and columnar sections.
+
+    The parsed rows are stored once where the session has a checkpoint folder,
+    so that the text is not parsed again for every output.
+    """
+    sections = request_sections(requests, extra)
+    rows = rowwise_rows(sections, types, extra).unionByName(
+        columnar_rows(sections, types, extra), allowMissingColumns=True
     )
+    return _split(materialize_if_possible(rows))
 
 
 def read_request_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
