@@ -19,8 +19,22 @@ LABELS = {
 }
 
 
+# Columns in use, so that no job has to look the types up.
+COLUMNS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string",
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_returnflag string"
+    ),
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int",
+    "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return read_table(spark, f"{folder}/{name}.parquet")
+    return read_table(spark, f"{folder}/{name}.parquet", schema=COLUMNS[name])
 
 
 CONTAINER = f"""CASE o_orderstatus WHEN 'F' THEN '{HOLDING}' WHEN 'O' THEN '{SELECTED}' ELSE '{CONTRACTUAL}' END"""

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from foliolens.functions.expressions import zero_if_missing, zero_if_tiny
 from foliolens.operators.lookthrough import expand_lookthroughs
 from foliolens.operators.skew import join_bounded
+from foliolens.plans.reuse import materialize_if_possible
 from foliolens.schema import (
     COMPLETE,
     CONTRACTUAL,
@@ -23,6 +24,7 @@ from foliolens.schema import (
 )
 
 METRICS = ["PI", "PR", "BS", "BC"]
+WEIGHTS = ["initial_weight", "resulting_weight", "initial_exposure_weight", "resulting_exposure_weight"]
 SHARES = ["initial_shares", "resulting_shares", "blocked_shares"]
 LEVELS = {"no": None, "essential": ESSENTIAL, "complete": COMPLETE}
 ASSETS = {
@@ -128,6 +130,22 @@ def group_exposures(rows: DataFrame, attributes: list[str] | None = None) -> Dat
     )
 
 
+def _position_metrics(positions: DataFrame, level: str) -> dict[str, Column]:
+    return {**_exposures(positions, level), **_benchmarks(positions), **_shares(positions)}
+
+
+def _parents(positions: DataFrame, level: str, keys: list[str], attributes: list[str]) -> DataFrame:
+    """Positions summed per parent key, for one level."""
+    metrics = _position_metrics(positions, level)
+    return (
+        positions.select(
+            "*", F.col("instrument_id").alias("_instrument"), *[c.alias(f"_{n}") for n, c in metrics.items()]
+        )
+        .groupBy(*keys, *attributes)
+        .agg(*[F.sum(f"_{n}").alias(n) for n in metrics])
+    )
+
+
 def grouped_exposures(
     positions: DataFrame,
     lookthroughs: DataFrame | None,
@@ -141,45 +159,65 @@ def grouped_exposures(
     the sum of products, so duplicate positions or children of one parent are
     never paired with each other.
     """
+    return grouped_levels(positions, lookthroughs, [level], attributes, child_weight).drop("level")
+
+
+def grouped_levels(
+    positions: DataFrame,
+    lookthroughs: DataFrame | None,
+    levels: list[str],
+    attributes: list[str] | None = None,
+    child_weight: str = "raw",
+) -> DataFrame:
+    """The same for several levels in one pass, tagged with the level."""
     attributes = attributes or []
-    record_type = LEVELS[level]
-    if record_type is None or lookthroughs is None:
-        return group_exposures(exposure_metrics(positions, None, level, attributes), attributes)
     keys = [REQUEST, *VIEW_KEYS, "container", "_instrument", "sub_portfolio_id"]
-    metrics = {**_exposures(positions, level), **_benchmarks(positions), **_shares(positions)}
-    parents = (
-        positions.select(
-            "*", F.col("instrument_id").alias("_instrument"), *[c.alias(f"_{n}") for n, c in metrics.items()]
+    names = [*METRICS, *present(positions, SHARES)]
+    drilled = [level for level in levels if LEVELS[level] is not None and lookthroughs is not None]
+    alone = {"_child": "bigint(NULL)", "_child_weight": "1.0D", "_children": "1L"}
+    parts = [
+        _parents(positions, level, keys, attributes).selectExpr(
+            f"'{level}' AS level", "*", *[f"{v} AS {n}" for n, v in alone.items()]
+        )
+        for level in levels
+        if level not in drilled
+    ]
+    if drilled:
+        column = "weight" if child_weight == "raw" else out("weight")
+        children = (
+            lookthroughs.where(F.col("record_type").isin([LEVELS[level] for level in drilled]))
+            .withColumn("_instrument", F.col("parent_instrument_id"))
+            .groupBy("record_type", *keys, F.col("instrument_id").alias("_child"))
+            .agg(F.sum(column).alias("_child_weight"), F.count(F.lit(1)).alias("_children"))
+        )
+        # exposures are the same at every drilled level
+        parents = _parents(positions, drilled[0], keys, attributes)
+        level_of = F.expr("CASE record_type " + " ".join(f"WHEN '{LEVELS[v]}' THEN '{v}'" for v in drilled) + " END")
+        matched = children.join(parents, keys, "inner").withColumn("level", level_of).drop("record_type")
+        tagged = parents.withColumn("level", F.explode(F.array(*[F.lit(v) for v in drilled])))
+        found = children.withColumn("level", level_of).select("level", *keys).distinct()
+        leaves = tagged.join(found, ["level", *keys], "left_anti").selectExpr(
+            "*", *[f"{v} AS {n}" for n, v in alone.items()]
+        )
+        parts += [matched, leaves]
+    rows = functools.reduce(DataFrame.unionByName, parts)
+    factor = {n: "_child_weight" if n in ("PI", "PR") else "_children" for n in names}
+    return (
+        rows.selectExpr(
+            "level",
+            REQUEST,
+            *VIEW_KEYS,
+            *attributes,
+            "coalesce(_child, _instrument) AS instrument_id",
+            "_instrument AS parent_instrument_id",
+            "sub_portfolio_id",
+            *[f"{n} * {factor[n]} AS {n}" for n in names],
+        )
+        .groupBy("level", REQUEST, *VIEW_KEYS, *attributes, *GROUP)
+        .agg(
+            *[_total(F.col(m)).alias(m) for m in METRICS],
+            *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names if n in SHARES],
         )
-        .groupBy(*keys, *attributes)
-        .agg(*[F.sum(f"_{n}").alias(n) for n in metrics])
-    )
-    column = "weight" if child_weight == "raw" else out("weight")
-    children = (
-        lookthroughs.where(F.col("record_type") == record_type)
-        .withColumn("_instrument", F.col("parent_instrument_id"))
-        .groupBy(*keys, F.col("instrument_id").alias("_child"))
-        .agg(F.sum(column).alias("_child_weight"), F.count(F.lit(1)).alias("_children"))
-    )
-    matched = children.join(parents, keys, "inner")
-    leaves = parents.join(children.select(*keys).distinct(), keys, "left_anti").withColumns(
-        {
-            "_child": F.lit(None).cast("long"),
-            "_child_weight": F.lit(1.0),
-            "_children": F.lit(1).cast("long"),
-        }
-    )
-    rows = matched.unionByName(leaves).withColumns(
-        {
-            "instrument_id": F.coalesce("_child", "_instrument"),
-            "parent_instrument_id": F.col("_instrument"),
-            **{m: F.col(m) * F.col("_child_weight") for m in ("PI", "PR")},
-            **{n: F.col(n) * F.col("_children") for n in metrics if n not in ("PI", "PR")},
-        }
-    )
-    return rows.groupBy(REQUEST, *VIEW_KEYS, *attributes, *GROUP).agg(
-        *[_total(F.col(m)).alias(m) for m in METRICS],
-        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in metrics if n in SHARES],
     )
 
 
@@ -220,11 +258,12 @@ def value_columns(
 
 def normalize_columns(rows: DataFrame, max_views: int | None = None) -> DataFrame:
     """Divides each metric by its total in the view, its amount by the same number."""
-    totals = rows.groupBy(REQUEST, *VIEW_KEYS).agg(*[_total(F.col(m)).alias(f"_total_{m}") for m in METRICS])
-    joined = join_bounded(rows, totals, [REQUEST, *VIEW_KEYS], max_views)
+    keys = [*present(rows, ["level"]), REQUEST, *VIEW_KEYS]
+    totals = rows.groupBy(*keys).agg(*[_total(F.col(m)).alias(f"_total_{m}") for m in METRICS])
+    joined = join_bounded(rows, totals, keys, max_views)
     columns = {}
     for m in METRICS:
-        share = F.when(F.col(f"_total_{m}") != 0.0, F.try_divide(F.lit(1.0), F.col(f"_total_{m}"))).otherwise(1.0)
+        share = F.expr(f"CASE WHEN _total_{m} <> 0.0D THEN 1.0D / _total_{m} ELSE 1.0D END")
         columns[m] = F.col(m) * share
         if f"{m}V" in rows.columns:
             columns[f"{m}V"] = F.col(f"{m}V") * share
@@ -252,6 +291,14 @@ def active_weights(rows: DataFrame) -> DataFrame:
     return rows.withColumns({f"{n}V": F.col(ASSETS["PI" if n[1] == "I" else "PR"]) * F.col(n) for n in weights})
 
 
+def _finish(rows, assets, factors, scale_holdings: bool, max_views: int | None) -> DataFrame:
+    rows = value_columns(rows, assets, factors if scale_holdings else None, max_views)
+    if scale_holdings:
+        bound = None if max_views is None else max_views * len(LEVELS)
+        rows = normalize_columns(rows, bound)
+    return active_weights(fill_null_nan(small_to_zero(rows)))
+
+
 def portfolio_metrics(
     positions: DataFrame,
     lookthroughs: DataFrame | None,
@@ -263,22 +310,45 @@ def portfolio_metrics(
     child_weight: str = "raw",
     max_views: int | None = None,
 ) -> DataFrame:
-    """All metrics of one level, by instrument, parent and sub-portfolio."""
+    """All metrics of one level, by instrument, parent and sub-portfolio.
+
+    ``max_views`` is a known bound on the number of (request, view) pairs.
+    """
     rows = grouped_exposures(positions, lookthroughs, level, attributes, child_weight)
-    rows = value_columns(rows, assets, factors if scale_holdings else None, max_views)
-    if scale_holdings:
-        rows = normalize_columns(rows, max_views)
-    return active_weights(fill_null_nan(small_to_zero(rows)))
+    return _finish(rows, assets, factors, scale_holdings, max_views)
+
 
+def all_levels(
+    positions: DataFrame,
+    lookthroughs: DataFrame | None,
+    assets: DataFrame | None = None,
+    factors: DataFrame | None = None,
+    scale_holdings: bool = False,
+    attributes: list[str] | None = None,
+    child_weight: str = "raw",
+    max_views: int | None = None,
+) -> DataFrame:
+    """The metrics of every level, tagged with it.
 
-def all_levels(positions: DataFrame, lookthroughs: DataFrame | None, **options) -> DataFrame:
-    """The metrics of every level, tagged with it."""
+    The kept rows feed several sums, and the sums their own totals, so both are
+    stored once where the session has a folder for that.
+    """
     levels = ["no"] if lookthroughs is None else list(LEVELS)
-    frames = [
-        portfolio_metrics(positions, lookthroughs, level, **options).withColumn("level", F.lit(level))
-        for level in levels
-    ]
-    return functools.reduce(DataFrame.unionByName, frames)
+    labels = [out(w) for w in (*WEIGHTS, "weight")]
+    own = present(positions, [REQUEST, *VIEW_KEYS, "container", "instrument_id", "sub_portfolio_id", *(attributes or [])])
+    positions = materialize_if_possible(positions.select(*own, *present(positions, [*labels, *SHARES])))
+    if lookthroughs is not None:
+        column = "weight" if child_weight == "raw" else out("weight")
+        lookthroughs = materialize_if_possible(
+            lookthroughs.select(
+                REQUEST, *VIEW_KEYS, "container", "record_type", "instrument_id", "parent_instrument_id",
+                "sub_portfolio_id", column,
+            )
+        )
+    rows = grouped_levels(positions, lookthroughs, levels, attributes, child_weight)
+    if scale_holdings:
+        rows = materialize_if_possible(rows)
+    return _finish(rows, assets, factors, scale_holdings, max_views)
 
 
 def drop_zero_weight_rows(rows: DataFrame, weights: list[str]) -> DataFrame:

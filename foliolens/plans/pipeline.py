@@ -20,10 +20,13 @@ from foliolens.operators.rescale import (
     weigh_positions,
 )
 from foliolens.operators.scale_factors import complete_scale_factors, scale_factors
-from foliolens.plans.reuse import materialize
+from foliolens.plans.reuse import materialize, materialize_if_possible
 from foliolens.schema import ESSENTIAL, GROUP_KEYS, LOOKTHROUGHS, POSITIONS, REQUEST, ROW_KEYS, SPEC, present
 
 
+REUSE = ("plan", "masses", "all")
+
+
 class ViewResult:
     """Lazy result frames of all views; each is planned when it is asked for.
 
@@ -51,10 +54,12 @@ class ViewResult:
         self.lookthrough_labels = [] if lookthroughs is None else present(lookthroughs, views.lookthrough_labels)
         self._keep = [*views.all_labels, *carry]
         self._split = split
-        self._stored = reuse == "checkpoint"
+        if reuse not in REUSE:
+            raise ValueError(f"reuse must be one of {REUSE}, not {reuse!r}")
+        self._reuse = reuse
 
     def _store(self, df: DataFrame) -> DataFrame:
-        return materialize(df) if self._stored else df
+        return materialize(df) if self._reuse == "all" else df
 
     @property
     def rescales_holdings(self) -> bool:
@@ -86,7 +91,8 @@ class ViewResult:
                 children, self.evaluated_positions, self.views, self._split, keep_removed=True
             )
         masses = group_masses(self.evaluated_positions, essential, self.views, self.position_labels)
-        return self._store(pack_masses(masses, self.views, self.position_labels))
+        packed = pack_masses(masses, self.views, self.position_labels)
+        return packed if self._reuse == "plan" else materialize_if_possible(packed)
 
     def _columns(self, frame: DataFrame, labels: list[str]) -> list[str]:
         return present(frame, list(dict.fromkeys([*ROW_KEYS, *labels, *self._keep])))
@@ -149,15 +155,18 @@ def run_views(
     views: ViewSet,
     carry: list[str] | None = None,
     max_requests: int | None = None,
-    reuse: str = "plan",
+    reuse: str = "masses",
     split: bool | None = None,
 ) -> ViewResult:
     """Evaluates all views over normalised frames.
 
     ``carry`` keeps more columns in the results. ``max_requests`` is a known
     bound on the number of requests; without one, joins with per-container
-    totals are shuffled and salted instead of broadcast. ``reuse="checkpoint"``
-    stores the evaluated frames once instead of recomputing them per output.
+    totals are shuffled and salted instead of broadcast. ``reuse`` says what is
+    stored in the shared folder of the session instead of being computed for
+    each output: nothing (``plan``), the container masses, which are few rows
+    from a pass over all of them (``masses``, if there is such a folder), or the
+    evaluated frames as well (``all``).
     ``split`` forces or forbids salting of measured hot parents.
     """
     return ViewResult(positions, lookthroughs, views, carry or [], max_requests, reuse, split)
@@ -170,7 +179,7 @@ def process_tables(
     reference: ReferenceTables | None = None,
     carry: list[str] | None = None,
     max_requests: int | None = None,
-    reuse: str = "plan",
+    reuse: str = "masses",
     split: bool | None = None,
 ) -> ViewResult:
     """Normalises the tables, attaches reference columns and evaluates the views."""

@@ -91,7 +91,7 @@ def process_requests(
     defaults: list[str] | None = None,
     carry: list[str] | None = None,
     max_requests: int | None = None,
-    reuse: str = "plan",
+    reuse: str = "masses",
 ) -> RequestRun:
     """Evaluates every request alone, all requests in one plan.
 

@@ -1,26 +1,43 @@
-"""Cutting the lineage of frames that several outputs read."""
+"""Storing frames that several outputs read, instead of computing them again."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint_folder(spark: SparkSession) -> str | None:
+def shared_folder(spark: SparkSession) -> str | None:
     """The shared folder the cluster names for intermediate frames."""
-    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Stores the frame once in the checkpoint folder; its files outlive executors."""
-    spark = df.sparkSession
-    folder = checkpoint_folder(spark)
+def _run_folder(spark: SparkSession) -> str:
+    folder = shared_folder(spark)
     if not folder:
         raise ValueError("set spark.checkpoint.dir to a shared folder to store intermediate frames")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    return f"{folder.rstrip('/')}/foliolens-{spark.sparkContext.applicationId}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Writes the frame as a table in the shared folder and reads it back.
+
+    The files outlive executors, and later stages read only the columns they
+    need. They stay until ``clear_stored``.
+    """
+    path = f"{_run_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def materialize_if_possible(df: DataFrame) -> DataFrame:
-    """The same where the session has such a folder, else the frame itself."""
-    return materialize(df) if checkpoint_folder(df.sparkSession) else df
+    """The same where the session names such a folder, else the frame itself."""
+    return materialize(df) if shared_folder(df.sparkSession) else df
+
+
+def clear_stored(spark: SparkSession) -> None:
+    """Deletes the frames that this application has stored."""
+    if not shared_folder(spark):
+        return
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,13 +8,14 @@ from foliolens.model import Labels
 from foliolens.schema import LOOKTHROUGHS, POSITIONS
 
 
-def read_table(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
+def read_table(spark: SparkSession, path: str, kind: str = "parquet", schema: str | None = None) -> DataFrame:
     """A stored table, spread over the cores when it has too few pieces to use them.
 
     A table of one small file would be evaluated by one task; large tables have
     more pieces than cores and are read as they are.
     """
-    df = spark.read.format(kind).load(path)
+    reader = spark.read.format(kind)
+    df = (reader.schema(schema) if schema else reader).load(path)
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
