@@ -10,6 +10,7 @@ from foliolens.operators.factors import Layout, bit
 from foliolens.operators.rescale import Totals, with_container_totals
 from foliolens.operators.skew import join_bounded
 from foliolens.plans.pipeline import ViewResult
+from foliolens.plans.reuse import materialize_if_possible
 from foliolens.schema import POSITIONS, REQUEST, SPEC, VIEW_KEYS, out, present
 
 PART_ROWS = 100_000
@@ -105,7 +106,9 @@ def output_parts(result: ViewResult, part_rows: int = PART_ROWS) -> DataFrame:
     rows with one identifier one is taken.
     """
     keys = [REQUEST, *VIEW_KEYS, "container", "section", "identifier"]
-    rows = output_rows(result).groupBy(*keys).agg(F.max_by("weights", "_order").alias("weights"))
+    rows = materialize_if_possible(
+        output_rows(result).groupBy(*keys).agg(F.max_by("weights", "_order").alias("weights"))
+    )
     sizes = rows.groupBy(REQUEST).agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts"))
     placed = join_bounded(rows, sizes, [REQUEST], result.max_requests)
     return placed.withColumn("part", F.expr("int(pmod(xxhash64(identifier), parts))"))

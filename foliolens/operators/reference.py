@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
+from foliolens.operators.skew import join_groups
 from foliolens.schema import INT_NULL, has
 
 PARENT_PREFIX = "parent_"
@@ -72,20 +73,20 @@ def read_as_of(
 
 def join_instrument(rows: DataFrame, table: DataFrame) -> DataFrame:
     """Columns by instrument; whether the table is broadcast is left to its size."""
-    return rows.join(table, "instrument_id", "left")
+    return join_groups(rows, table, ["instrument_id"])
 
 
 def join_parent_instrument(rows: DataFrame, parents: DataFrame) -> DataFrame:
     if "parent_instrument_id" not in rows.columns:
         return rows
-    return rows.join(parents, "parent_instrument_id", "left")
+    return join_groups(rows, parents, ["parent_instrument_id"])
 
 
 def join_asset_allocation(rows: DataFrame, view: DataFrame) -> DataFrame:
     if "asset_allocation_id" not in rows.columns:
         return rows
     renamed = view.withColumnRenamed("analytics_category_id", "asset_allocation_id")
-    return rows.join(renamed, "asset_allocation_id", "left")
+    return join_groups(rows, renamed, ["asset_allocation_id"])
 
 
 @dataclass
