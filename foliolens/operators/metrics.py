@@ -238,7 +238,7 @@ def value_columns(
 ) -> DataFrame:
     """Metrics as amounts: times total net assets and, if given, scale factors.
 
-    ``assets`` has one row of totals, or one per request. Missing scale factors
+    ``assets`` has one row of totals, which every row gets, or one per request. Missing scale factors
     count as 1.
     """
     if assets is None:
@@ -246,7 +246,8 @@ def value_columns(
     elif REQUEST in assets.columns:
         rows = join_bounded(rows, assets, [REQUEST], None)
     else:
-        rows = rows.crossJoin(F.broadcast(assets.limit(1)))
+        totals = assets.select(F.struct(*ASSETS.values())).scalar()
+        rows = rows.withColumns({c: totals[c].cast("double") for c in ASSETS.values()})
     scales = {m: F.lit(1.0) for m in METRICS}
     if factors is not None:
         rows = join_bounded(rows, scale_row(factors), [REQUEST, *VIEW_KEYS], max_views)

@@ -24,6 +24,8 @@ from foliolens.schema import (
     present,
 )
 
+DIRECT_SUMS = 60
+"""Sums of one aggregation that still run as compiled code."""
 TOTAL = -1
 """View number under which raw totals are kept."""
 
@@ -130,6 +132,29 @@ def pack_masses(masses: DataFrame, views: ViewSet, labels: list[str]) -> DataFra
     )
 
 
+def container_masses(positions: DataFrame, essential: DataFrame | None, views: ViewSet, labels: list[str]) -> DataFrame:
+    """Packed masses of evaluated frames.
+
+    A few sums are taken directly, one per (view, label); many are taken by
+    distinct mask first.
+    """
+    layout = Layout(views)
+    wanted = [v for v in views.views if v.rescales_holdings]
+    if (len(wanted) + 1) * len(labels) > DIRECT_SUMS:
+        return pack_masses(group_masses(positions, essential, views, labels), views, labels)
+    rows = _sums(positions, labels, layout, wanted, True)
+    if essential is not None and present(essential, labels):
+        rows = rows.unionByName(_sums(essential, labels, layout, wanted, False))
+    sums = [f"coalesce(sum(`{w}`), 0.0D)" for w in labels]
+    sums += [f"coalesce(sum(`{w}` * {layout.factor(v)}), 0.0D)" for v in wanted for w in labels]
+    return (
+        rows.groupBy(*GROUP_KEYS)
+        .agg(F.max("_positions").alias("_positions"), F.expr(f"array({', '.join(sums)})").alias("_masses"))
+        .where("_positions")
+        .drop("_positions")
+    )
+
+
 @dataclass(frozen=True)
 class Totals:
     """Where the divisors of a (view, label) stand in an array column."""
@@ -182,9 +207,11 @@ def with_container_totals(
     positions: DataFrame, views: ViewSet, labels: list[str], packed: DataFrame, max_requests: int | None
 ) -> tuple[DataFrame, Totals]:
     """Evaluated positions with the masses of their container, and where they stand."""
-    offsets = {view: i for (view, w), i in mass_index(views, labels).items() if view != TOTAL and w == labels[0]}
+    index = mass_index(views, labels)
+    offsets = {view: i for (view, w), i in index.items() if view != TOTAL and w == labels[0]}
     bound = None if max_requests is None else max_requests * len(CONTAINERS)
-    return join_bounded(positions, packed, GROUP_KEYS, bound), Totals("_masses", offsets)
+    joined = join_bounded(positions, packed, GROUP_KEYS, bound, row_bytes=256 + 8 * len(index))
+    return joined, Totals("_masses", offsets)
 
 
 def matching_parents(positions: DataFrame, views: ViewSet) -> DataFrame | None:

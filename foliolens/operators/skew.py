@@ -19,7 +19,8 @@ from foliolens.schema import ROW_KEYS, present
 SALTS = 64
 HOT_SHARE = 256
 """A key is hot when it holds more than 1/HOT_SHARE of the rows."""
-BROADCAST_GROUPS = 20_000
+BROADCAST_BYTES = 64 << 20
+"""Size up to which a group table of known size is broadcast."""
 
 
 def adaptive_splits(df: DataFrame) -> bool:
@@ -40,13 +41,20 @@ def _all_salts(hot: Column) -> Column:
     return F.explode(F.when(hot, salts).otherwise(F.array(F.lit(0))))
 
 
-def join_bounded(rows: DataFrame, groups: DataFrame, keys: list[str], max_groups: int | None, how: str = "left") -> DataFrame:
+def join_bounded(
+    rows: DataFrame,
+    groups: DataFrame,
+    keys: list[str],
+    max_groups: int | None,
+    how: str = "left",
+    row_bytes: int = 256,
+) -> DataFrame:
     """Joins a group table with at most ``max_groups`` rows (None: unknown).
 
     Beyond the broadcast bound every group may be hot, as when a container of
     one request is most of the data, so every row is salted.
     """
-    if max_groups is not None and max_groups <= BROADCAST_GROUPS:
+    if max_groups is not None and max_groups * row_bytes <= BROADCAST_BYTES:
         return rows.join(F.broadcast(groups), keys, how)
     return join_salted(rows, groups, keys, F.lit(True), how)
 
@@ -64,12 +72,8 @@ def join_salted(rows: DataFrame, groups: DataFrame, keys: list[str], hot: Column
 def hot_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Keys holding more than 1/HOT_SHARE of the rows: fewer than HOT_SHARE of them."""
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    return (
-        counts.crossJoin(F.broadcast(total))
-        .where(F.col("_n") * HOT_SHARE > F.col("_total"))
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
+    total = counts.agg(F.sum("_n")).scalar()
+    return counts.where(F.col("_n") * HOT_SHARE > total).select(*keys, F.lit(True).alias("_hot"))
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "left", split: bool | None = None) -> DataFrame:

@@ -13,8 +13,7 @@ from foliolens.operators.normalize import normalize
 from foliolens.operators.reference import ReferenceTables, attach_reference
 from foliolens.operators.rescale import (
     Totals,
-    group_masses,
-    pack_masses,
+    container_masses,
     sync_and_rescale_lookthroughs,
     weigh,
     weigh_positions,
@@ -90,8 +89,7 @@ class ViewResult:
             essential = sync_lookthroughs(
                 children, self.evaluated_positions, self.views, self._split, keep_removed=True
             )
-        masses = group_masses(self.evaluated_positions, essential, self.views, self.position_labels)
-        packed = pack_masses(masses, self.views, self.position_labels)
+        packed = container_masses(self.evaluated_positions, essential, self.views, self.position_labels)
         return packed if self._reuse == "plan" else materialize_if_possible(packed)
 
     def _columns(self, frame: DataFrame, labels: list[str]) -> list[str]:

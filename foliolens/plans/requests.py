@@ -12,7 +12,7 @@ from foliolens.operators.normalize import normalize
 from foliolens.operators.output import documents
 from foliolens.operators.reference import ReferenceTables, attach_reference
 from foliolens.plans.pipeline import ViewResult, run_views
-from foliolens.plans.reuse import materialize_if_possible
+from foliolens.plans.reuse import materialize_if_possible, shared_folder
 from foliolens.schema import CONTAINERS, LOOKTHROUGHS, POSITIONS, REQUEST, SPEC
 from foliolens.sources.requests import inflate_requests, with_request_ids
 
@@ -116,6 +116,8 @@ def process_requests(
     views = ViewSet.merge(sets)
     if not views.views:
         return RequestRun(known, None)
+    if max_requests is None and shared_folder(known.sparkSession):
+        max_requests = known.count()
     positions, lookthroughs = inflate_requests(known, types, [SPEC])
     labels = views.all_labels
     positions = normalize(positions, labels, POSITIONS)

@@ -19,13 +19,18 @@ def _run_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/foliolens-{spark.sparkContext.applicationId}"
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{_run_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes the frame as a table in the shared folder and reads it back.
 
     The files outlive executors, and later stages read only the columns they
     need. They stay until ``clear_stored``.
     """
-    path = f"{_run_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

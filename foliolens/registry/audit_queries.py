@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, functions as F
 
 from foliolens import datasets
@@ -11,6 +9,7 @@ from foliolens.model import Modifier
 from foliolens.operators.audit import attributed_rows, removed_samples, step_attribution, waterfall
 from foliolens.operators.catalog import nested_criteria_report, required_columns, rule_columns
 from foliolens.plans.modifiers import DEFAULT_MODIFIERS, MODIFIERS
+from foliolens.plans.reuse import new_folder
 from foliolens.registry.inputs import lookthroughs, positions, rule, test, view_set, with_tables
 from foliolens.registry.source_queries import stored_perspectives
 from foliolens.registry.view_queries import KEEP_TRADE
@@ -151,8 +150,7 @@ def _stream(spark, folder):
     from foliolens.sources.requests import read_request_stream
     from foliolens.streaming.requests import process_stream
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    work = f"{base.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{abs(hash(folder))}"
+    work = new_folder(spark)
     requests = json_requests(spark, folder)
     with_id = F.concat(F.lit('{"request_id":"'), F.col("request_id"), F.lit('",'), F.expr("substring(request, 2)"))
     requests.select(with_id.alias("value")).write.mode("overwrite").text(f"{work}/in")

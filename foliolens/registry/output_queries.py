@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliolens import datasets
-from foliolens.operators.output import documents, flat_result, nested_result, wide_lookthroughs, wide_positions
+from foliolens.operators.output import flat_result, nested_result, wide_lookthroughs, wide_positions, write_result
 from foliolens.plans.pipeline import run_views
 from foliolens.plans.requests import process_requests
+from foliolens.plans.reuse import new_folder
 from foliolens.registry.inputs import ALL_LABELS, RAW, lookthroughs, positions, with_tables
 from foliolens.registry.source_queries import CHILDREN, ORDERS_PER_REQUEST, TYPES, json_requests
 from foliolens.registry.view_queries import (
@@ -277,12 +278,7 @@ QUERIES["R-01_unpivot_scale_factors"] = (
 
 def _sink(spark, folder):
     """Result files, read back: positions of one view."""
-    import tempfile
-
-    from foliolens.operators.output import write_result
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    path = f"{base.rstrip('/')}/views-{spark.sparkContext.applicationId}"
+    path = new_folder(spark)
     write_result(main(spark, folder), path)
     stored = spark.read.parquet(f"{path}/positions").where("config = 'main' AND perspective_id = -2")
     return stored.select("container", "identifier", F.col("out_initial_weight").alias("initial_weight"))

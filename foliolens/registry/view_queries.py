@@ -266,6 +266,21 @@ FROM pos JOIN generate_series(1, 50) AS s(n) ON trade_type_id <= n % 5 + 1 GROUP
     ),
 )
 
+def _rule_result(spark, folder):
+    """Positions kept because another one of their simulated trade passes."""
+    vs = view_set({"main": {"-1": ["m"]}}, {"-1": {"rules": [KEEP_TRADE]}}, modifiers=GROUP_MODIFIERS)
+    rows = factors(positions(spark, folder), vs, ["trade_type_id"])
+    return rows.where("NOT trade_type_id IN (1, 2)").select("container", "identifier")
+
+
+QUERIES["P-19_rule_result"] = (
+    _rule_result,
+    with_tables(
+        f"SELECT container, identifier FROM pos WHERE NOT {TRADE_SQL} AND simulated_trade_id IN "
+        f"(SELECT simulated_trade_id FROM pos WHERE {TRADE_SQL})"
+    ),
+)
+
 # --- built-in modifiers ------------------------------------------------------
 
 SUBTYPES = """
