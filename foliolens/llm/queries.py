@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliolens.llm import line_dedup, mixing, sharding, simhash
-from foliolens.llm.common import table
+from foliolens.llm import line_dedup, mixing, sharding, simhash, toxicity
+from foliolens.llm.common import remainder, small_batches, table
 
 
 def op1_line_dedup(spark, folder):
@@ -39,6 +39,20 @@ FROM documents LEFT JOIN docs USING (doc_id)
 """
 
 
+def toxicity_model(docs, labels):
+    """Fitted on the rows whose labels may teach."""
+    return toxicity.fit_toxicity(docs.filter(remainder("doc_id", 3) != 1), labels)
+
+
+def op2_toxicity(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = toxicity_model(docs, table(spark, folder, "labels"))
+    scored = small_batches(docs).select(
+        "doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), toxicity.toxicity_score(model).alias("score")
+    )
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
 def op6_mixing(spark, folder):
     mixed = mixing.mix_sizes(table(spark, folder, "documents"))
     return mixed.select(F.col("k").alias("doc_id"), "size", "source_size", "target", "taken", "source", "shard", "place")
@@ -63,6 +77,7 @@ def op10_sharding(spark, folder):
 
 QUERIES = {
     "op1_line_dedup": (op1_line_dedup, OP1_SQL),
+    "op2_toxicity": (op2_toxicity, None),
     "op6_mixing": (op6_mixing, None),
     "op9_simhash": (op9_simhash, None),
     "op10_sharding": (op10_sharding, None),
