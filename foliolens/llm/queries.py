@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliolens.llm import line_dedup, mixing, sharding, simhash, toxicity
+from foliolens.llm import language, line_dedup, mixing, sharding, simhash, toxicity
 from foliolens.llm.common import remainder, small_batches, table
 
 
@@ -53,6 +53,12 @@ def op2_toxicity(spark, folder):
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def op3_language(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = language.fit_languages(docs.filter(remainder("doc_id", 4) != 2))
+    return language.languages(docs, model).select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op6_mixing(spark, folder):
     mixed = mixing.mix_sizes(table(spark, folder, "documents"))
     return mixed.select(F.col("k").alias("doc_id"), "size", "source_size", "target", "taken", "source", "shard", "place")
@@ -78,6 +84,7 @@ def op10_sharding(spark, folder):
 QUERIES = {
     "op1_line_dedup": (op1_line_dedup, OP1_SQL),
     "op2_toxicity": (op2_toxicity, None),
+    "op3_language": (op3_language, None),
     "op6_mixing": (op6_mixing, None),
     "op9_simhash": (op9_simhash, None),
     "op10_sharding": (op10_sharding, None),
