@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliolens.llm import language, line_dedup, mixing, sharding, simhash, toxicity
+from foliolens.llm import decontamination, language, line_dedup, mixing, sharding, simhash, toxicity
 from foliolens.llm.common import remainder, small_batches, table
 
 
@@ -64,6 +64,11 @@ def op6_mixing(spark, folder):
     return mixed.select(F.col("k").alias("doc_id"), "size", "source_size", "target", "taken", "source", "shard", "place")
 
 
+def op8_decontamination(spark, folder):
+    pairs = decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return pairs.select(F.col("k").alias("doc_id"), F.col("item").alias("item_id"), "edits", "words")
+
+
 def op9_simhash(spark, folder):
     groups = simhash.simhash_groups(table(spark, folder, "documents"))
     return groups.select(
@@ -86,6 +91,7 @@ QUERIES = {
     "op2_toxicity": (op2_toxicity, None),
     "op3_language": (op3_language, None),
     "op6_mixing": (op6_mixing, None),
+    "op8_decontamination": (op8_decontamination, None),
     "op9_simhash": (op9_simhash, None),
     "op10_sharding": (op10_sharding, None),
 }
