@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliolens.llm import decontamination, language, line_dedup, mixing, sharding, simhash, toxicity
+from foliolens.llm import decontamination, language, line_dedup, mixing, sharding, simhash, suffix_dedup, toxicity
 from foliolens.llm.common import remainder, small_batches, table
 
 
@@ -59,6 +59,11 @@ def op3_language(spark, folder):
     return language.languages(docs, model).select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op4_suffix_dedup(spark, folder):
+    kept = suffix_dedup.dedup_substrings(table(spark, folder, "documents"))
+    return kept.select(F.col("k").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_mixing(spark, folder):
     mixed = mixing.mix_sizes(table(spark, folder, "documents"))
     return mixed.select(F.col("k").alias("doc_id"), "size", "source_size", "target", "taken", "source", "shard", "place")
@@ -90,6 +95,7 @@ QUERIES = {
     "op1_line_dedup": (op1_line_dedup, OP1_SQL),
     "op2_toxicity": (op2_toxicity, None),
     "op3_language": (op3_language, None),
+    "op4_suffix_dedup": (op4_suffix_dedup, None),
     "op6_mixing": (op6_mixing, None),
     "op8_decontamination": (op8_decontamination, None),
     "op9_simhash": (op9_simhash, None),
