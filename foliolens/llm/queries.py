@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliolens.llm import decontamination, language, line_dedup, mixing, sharding, simhash, suffix_dedup, toxicity
+from foliolens.llm import decontamination, language, line_dedup, mixing, nearest, sharding, simhash, suffix_dedup, toxicity
 from foliolens.llm.common import remainder, small_batches, table
 
 
@@ -69,6 +69,10 @@ def op6_mixing(spark, folder):
     return mixed.select(F.col("k").alias("doc_id"), "size", "source_size", "target", "taken", "source", "shard", "place")
 
 
+def op7_nearest(spark, folder):
+    return nearest.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_decontamination(spark, folder):
     pairs = decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return pairs.select(F.col("k").alias("doc_id"), F.col("item").alias("item_id"), "edits", "words")
@@ -97,6 +101,7 @@ QUERIES = {
     "op3_language": (op3_language, None),
     "op4_suffix_dedup": (op4_suffix_dedup, None),
     "op6_mixing": (op6_mixing, None),
+    "op7_nearest": (op7_nearest, None),
     "op8_decontamination": (op8_decontamination, None),
     "op9_simhash": (op9_simhash, None),
     "op10_sharding": (op10_sharding, None),
