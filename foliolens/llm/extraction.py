@@ -25,6 +25,7 @@ none. If there is nothing to train on, article and main elements decide alone.
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 import zlib
 from dataclasses import dataclass
@@ -34,11 +35,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliolens.llm.common import column, small_batches
+from foliolens.llm.common import column, fresh, small_batches
 
 SAMPLE, SAMPLE_CHARS, SEED = 300, 200_000, 9
-PATHS, WORDS, HIDDEN = 128, 32, 16
-EPOCHS, BATCH, RATE = 5, 24, 0.02
+PATHS, WORDS, HIDDEN = 256, 32, 16
+MADE, EPOCHS, BATCH, RATE = 2500, 6, 24, 0.02
 PADDED = 1 << 16  # blocks that go through the network at once
 
 TAG = re.compile(
@@ -178,33 +179,40 @@ def _close(stack: list, names: set[str]) -> None:
             return
 
 
-def _bucket(name: str, size: int, known: dict[str, int]) -> int:
-    found = known.get(name)
-    if found is None:
-        if len(known) > 200_000:
-            known.clear()
-        found = known[name] = zlib.crc32(name.encode("utf-8", "surrogatepass")) % size
-    return found
+class Buckets(dict):
+    """Bucket of each name by its hash, kept for names seen lately."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size = size
+
+    def __missing__(self, name: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        self[name] = found = zlib.crc32(name.encode("utf-8", "surrogatepass")) % self.size
+        return found
 
+    def __reduce__(self):
+        return Buckets, (self.size,)
 
-_PATH_BUCKETS: dict[str, int] = {}
-_WORD_BUCKETS: dict[str, int] = {}
+
+_PATH_BUCKETS, _WORD_BUCKETS = Buckets(PATHS), Buckets(WORDS)
 
 
 def features(blocks: list[Block]) -> np.ndarray:
     """A row for each block of a page."""
     n = len(blocks)
     x = np.zeros((n, PATHS + WORDS + 6), np.float32)
-    at, words = [], []
+    sizes, words = [], []
     for i, b in enumerate(blocks):
-        for j, name in enumerate(b.path):
-            x[i, _bucket(name, PATHS, _PATH_BUCKETS)] = 1.0
-        own = [_bucket(w, WORDS, _WORD_BUCKETS) for w in WORD.findall(b.text.lower())]
-        words += own
-        at += [i] * len(own)
-        x[i, -6:] = (min(4.0, np.log1p(len(b.text)) / 2), b.linked, b.text[-1] in ".!?", len(b.path) / 8, i / n, 1 - i / n)
+        x[i, [_PATH_BUCKETS[name] for name in b.path]] = 1.0
+        own = WORD.findall(b.text.lower())
+        words += map(_WORD_BUCKETS.__getitem__, own)
+        sizes.append(len(own))
+        x[i, -6:] = (min(4.0, math.log1p(len(b.text)) / 2), b.linked, b.text[-1] in ".!?", len(b.path) / 8, i / n, 1 - i / n)
     if words:
-        counts = np.bincount(np.array(at) * WORDS + np.array(words), minlength=n * WORDS).reshape(n, WORDS)
+        at = np.repeat(np.arange(0, n * WORDS, WORDS), sizes)
+        counts = np.bincount(at + np.array(words), minlength=n * WORDS).reshape(n, WORDS)
         x[:, PATHS : PATHS + WORDS] = counts / np.maximum(1, counts.sum(1, keepdims=True))
     return x
 
@@ -309,6 +317,7 @@ def weak_label(path: list[str]) -> bool:
 
 
 def _path(written: str) -> list[str]:
+    """Names of the elements of a written path such as ``div.menu ul li``."""
     found = []
     for element in written.split():
         name, *marks = re.split(r"(?=[.#])", element)
@@ -325,7 +334,12 @@ def laid_out(texts: list[str], rng: np.random.Generator) -> tuple[list[Block], l
     blocks, labels = [], []
 
     def aside(names: list[str], under: list[str]) -> None:
-        path = under + junk() + _path(pick(names))
+        elements = pick(names).split()
+        holder = under + junk() + _path(" ".join(elements[:-1]))
+        path = holder + _path(elements[-1])
+        if rng.random() < 0.4:
+            blocks.append(Block((holder if elements[1:] else path) + [f"t:h{rng.integers(2, 5)}"], some(), 0.0))
+            labels.append(0)
         link = float(rng.random()) if "li" in path[-1] or rng.random() < 0.3 else 0.0
         for _ in range(int(rng.integers(1, 7)) if path[-1] in ("t:li", "t:p", "t:label") else 1):
             blocks.append(Block(path, some() if rng.random() < 0.6 else pick(texts), link))
@@ -357,7 +371,7 @@ def fit_labeller(pages: list[str], seed: int = SEED) -> BlockLabeller | None:
     if not texts:
         return None
     made = [(page, [int(weak_label(b.path)) for b in page]) for page in parsed]
-    made += [laid_out(texts, rng) for _ in range(max(1500, 2 * len(parsed)))]
+    made += [laid_out(texts, rng) for _ in range(MADE)]
     data = [(features(blocks[:400]), np.array(y[:400], np.float32)) for blocks, y in made]
     net = BlockLabeller.fresh(PATHS + WORDS + 6)
     sums = {k: np.zeros_like(v) for k, v in net.weights.items()}
@@ -411,7 +425,5 @@ def extracted(net: BlockLabeller | None, html: str = "html") -> Column:
 
 def extract(pages: DataFrame, key="page_id", html="html") -> DataFrame:
     """The pages' columns and ``main_text`` (underscored where the name is taken)."""
-    from foliolens.llm.common import fresh
-
     (name,) = fresh(pages, "main_text")
     return small_batches(pages).withColumn(name, extracted(fit(pages, key, html), html))

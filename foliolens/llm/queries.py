@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliolens.llm import decontamination, language, line_dedup, mixing, nearest, sharding, simhash, suffix_dedup, toxicity
+from foliolens.llm import decontamination, extraction, language, line_dedup, mixing, nearest, sharding, simhash, suffix_dedup, toxicity
 from foliolens.llm.common import remainder, small_batches, table
 
 
@@ -64,6 +64,12 @@ def op4_suffix_dedup(spark, folder):
     return kept.select(F.col("k").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_extraction(spark, folder):
+    pages = table(spark, folder, "pages")
+    found = small_batches(pages).select("page_id", "url", extraction.extracted(extraction.fit(pages)).alias("text"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_mixing(spark, folder):
     mixed = mixing.mix_sizes(table(spark, folder, "documents"))
     return mixed.select(F.col("k").alias("doc_id"), "size", "source_size", "target", "taken", "source", "shard", "place")
@@ -100,6 +106,7 @@ QUERIES = {
     "op2_toxicity": (op2_toxicity, None),
     "op3_language": (op3_language, None),
     "op4_suffix_dedup": (op4_suffix_dedup, None),
+    "op5_extraction": (op5_extraction, None),
     "op6_mixing": (op6_mixing, None),
     "op7_nearest": (op7_nearest, None),
     "op8_decontamination": (op8_decontamination, None),
