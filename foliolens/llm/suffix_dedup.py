@@ -17,7 +17,8 @@ through shuffles that spill to disk, so a shard may be far larger than memory:
    first is the entire run.
 4. *Induction.* First tuples of a name with several classes agree in part only:
    for these the windows themselves, that is the suffixes next to the sampled one
-   and what they share with it, are named and compared.
+   and what they share with it, are named and compared: per name in one task, or by
+   a shuffle of windows for names with more than ``HOT`` classes. Both are exact.
 
 Equality is decided by two independent 64-bit polynomial hashes (the sampled gram
 and the covered bytes). Nothing is enumerated in pairs: first occurrences are
@@ -46,6 +47,8 @@ from foliolens.llm.common import column, small_batches, stored, utf8
 LENGTH, SEED_BYTES = 100, 32
 BLOCK = 1 << 20
 _AT = (1 << 21) - 1
+#: Names with more classes compare their windows by a shuffle, others in one task, so many tuples at once.
+HOT, TOGETHER = 4096, 1024
 FIRST, SECOND = 11, 12  # seeds of the two hashes
 
 
@@ -57,18 +60,22 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Rolling:
     """Hashes of any substring of a block, from sums of value times power modulo 2^64."""
 
-    def __init__(self, seed: int, most: int = BLOCK + LENGTH):
+    def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
         self.values = rng.integers(1, 1 << 63, 256, np.uint64)
-        base = int(rng.integers(1 << 40, 1 << 62)) * 8 + 5
-        inverse = pow(base, -1, 1 << 64)
-        steps = np.full(most + 1, base & (1 << 64) - 1, np.uint64)
+        self.base = int(rng.integers(1 << 40, 1 << 62)) * 8 + 5 & (1 << 64) - 1
+        self._reach(BLOCK)
+
+    def _reach(self, most: int) -> None:
+        steps = np.full(most + 1, self.base, np.uint64)
         steps[0] = 1
         self.up = np.cumprod(steps)
-        steps[1:] = inverse
+        steps[1:] = pow(self.base, -1, 1 << 64)
         self.down = np.cumprod(steps)
 
     def sums(self, data: np.ndarray) -> np.ndarray:
+        if len(data) >= len(self.up):
+            self._reach(2 * len(data))
         return np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.values[data] * self.up[: len(data)], dtype=np.uint64)))
 
     def of(self, sums: np.ndarray, begin: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
@@ -154,30 +161,88 @@ def _sampled(docs: DataFrame, length: int, gram: int, all_columns: bool) -> Data
     return docs.mapInArrow(run, schema)
 
 
-def _windows(met: DataFrame, length: int) -> DataFrame:
-    """Of texts with ``runs`` (begin, windows, first name): each window's names, key and begin."""
+def _snippets(met: DataFrame, length: int) -> DataFrame:
+    """Of texts with ``runs`` (begin, windows, first name, hot): what each run covers, as ``x``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(3)
+            for i, runs in enumerate(batch.column(2).to_pylist()):
+                data = texts[i].as_buffer().to_pybytes()
+                keys = [batch.column(c).take(pa.array(np.full(len(runs), i))) for c in (0, 1)]
+                own = [pa.array([r[f] for r in runs], kind) for f, kind in (("s", pa.int64()), ("n", pa.int32()), ("a", pa.int64()), ("hot", pa.bool_()))]
+                cover = pa.array([data[r["s"] : r["s"] + r["n"] + length - 1] for r in runs], pa.binary())
+                yield pa.record_batch([*keys, *own, cover], names=["k", "t", "s", "n", "a", "hot", "x"])
+
+    return met.mapInArrow(run, f"k {met.schema['k'].dataType.simpleString()}, t long, s long, n int, a long, hot boolean, x binary")
+
+
+def _named_windows(second: Rolling, batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window of the rows' snippets: its row, its begin in the text and its name."""
+    n = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
+    data = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.uint8)
+    begins = np.cumsum(n + length - 1) - (n + length - 1)
+    row = np.repeat(np.arange(len(n)), n)
+    inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    at = begins[row] + inside
+    names = second.of(second.sums(data), at, at + length).view(np.int64)
+    return row, batch.column("s").to_numpy(zero_copy_only=False)[row] + inside, names
+
+
+def _later_runs(second: Rolling, batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
+    """Spans of windows that an earlier row or place of the same first name has as well."""
+    row, s, w = _named_windows(second, batch, length)
+    a = batch.column("a").to_numpy(zero_copy_only=False)[row]
+    keys = batch.column("k").to_pandas()
+    rank = keys.rank(method="dense", na_option="top").to_numpy()[row]
+    order = np.lexsort((s, rank, w, a))
+    new = np.concatenate(([True], (a[order][1:] != a[order][:-1]) | (w[order][1:] != w[order][:-1])))
+    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    later = np.zeros(len(row), bool)
+    later[order] = (rank[order] != rank[first]) | (s[order] != s[first])
+    at = np.flatnonzero(later)
+    start = np.concatenate(([True], (np.diff(at) > 1) | (row[at][1:] != row[at][:-1]))) if len(at) else np.zeros(0, bool)
+    begin, end = at[start], at[np.append(np.flatnonzero(start)[1:] - 1, len(at) - 1)] if len(at) else at
+    own = [batch.column(c).take(pa.array(row[begin])) for c in ("k", "t")]
+    return pa.record_batch([*own, pa.array(s[begin]), pa.array(s[end] + length)], names=["k", "t", "s", "e"])
+
+
+def _compared(snippets: DataFrame, length: int) -> DataFrame:
+    """Later spans ``k, t, s, e`` of names with few classes, each name's compared in one place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        second, held, last = Rolling(SECOND), [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column("a").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.diff(names)) + 1
+            begin = 0
+            for cut_at in cuts if last is None or names[0] == last else [0, *cuts]:
+                if cut_at - begin + sum(b.num_rows for b in held) >= TOGETHER:
+                    held.append(batch.slice(begin, cut_at - begin))
+                    yield _later_runs(second, pa.Table.from_batches(held).combine_chunks().to_batches()[0], length)
+                    held, begin = [], cut_at
+            held.append(batch.slice(begin))
+            last = names[-1]
+        if held:
+            yield _later_runs(second, pa.Table.from_batches(held).combine_chunks().to_batches()[0], length)
+
+    schema = f"k {snippets.schema['k'].dataType.simpleString()}, t long, s long, e long"
+    return snippets.repartition("a").sortWithinPartitions("a").mapInArrow(run, schema)
+
+
+def _windows(snippets: DataFrame, length: int) -> DataFrame:
+    """Each window's names, key and begin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         second = Rolling(SECOND)
         for batch in batches:
-            runs = batch.column(2).to_pylist()
-            for data, part, (row, shift) in _blocks(batch, length):
-                sums = second.sums(data)
-                for p in range(len(row)):
-                    own, low = runs[row[p]], -int(shift[p])
-                    inside = np.flatnonzero(part == p)
-                    begin, end = int(inside[0]) - low, int(inside[-1]) + 1 - low
-                    # Positions in the text that this block's part covers: from begin to end.
-                    starts = [np.arange(max(r["s"], begin), min(r["s"] + r["n"], end - length + 1)) for r in own]
-                    names = np.repeat(np.array([r["a"] for r in own], np.int64), [len(x) for x in starts])
-                    at = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-                    if not len(at):
-                        continue
-                    w = second.of(sums, at + low, at + low + length).view(np.int64)
-                    keys = [batch.column(i).take(pa.array(np.full(len(at), row[p]))) for i in (0, 1)]
-                    yield pa.record_batch([*keys, pa.array(at), pa.array(names), pa.array(w)], names=["k", "t", "s", "a", "w"])
-
-    return met.mapInArrow(run, f"k {met.schema['k'].dataType.simpleString()}, t long, s long, a long, w long")
+            row, s, w = _named_windows(second, batch, length)
+            own = [batch.column(c).take(pa.array(row)) for c in ("k", "t", "a")]
+            yield pa.record_batch([own[0], own[1], pa.array(s), own[2], pa.array(w)], names=["k", "t", "s", "a", "w"])
+
+    return snippets.mapInArrow(run, f"k {snippets.schema['k'].dataType.simpleString()}, t long, s long, a long, w long")
 
 
 def _released(spark) -> None:
@@ -200,16 +265,19 @@ def repeated_spans(docs: DataFrame, key="doc_id", text="text", length: int = LEN
     classes = stored(classes.select("a", "c", "f", "y", (F.col("y") < F.col("z")).alias("more")))
     later = met.join(classes.filter("more").select("a", "c", "y"), ["a", "c"]).filter(where > F.col("y"))
     whole = later.select("k", "t", "s", (F.col("s") + F.col("n") + length - 1).alias("e"))
-    mixed = classes.groupBy("a").agg(F.count("*").alias("m")).filter("m > 1").select("a")
-    firsts = classes.join(mixed, "a", "left_semi").select("f.k", "f.t", F.struct("f.s", "f.n", "a").alias("r"))
+    mixed = classes.groupBy("a").agg(F.count("*").alias("m")).filter("m > 1").select("a", (F.col("m") > HOT).alias("hot"))
+    firsts = classes.join(mixed, "a").select("f.k", "f.t", F.struct("f.s", "f.n", "a", "hot").alias("r"))
     firsts = firsts.groupBy("k", "t").agg(F.collect_list("r").alias("runs"))
     firsts = firsts.select(F.col("k").alias("rk"), F.col("t").alias("rt"), "runs")
     texts = rows.join(firsts, F.col("k").eqNullSafe(F.col("rk")) & (F.col("t") == F.col("rt"))).select("k", "t", "runs", "x")
     # Repeated rows have the same windows at the same places, which changes nothing.
-    windows = stored(_windows(texts, length))
+    snippets = stored(_snippets(texts, length))
     _released(spark)
+    parts = _compared(snippets.filter("NOT hot"), length)
+    windows = stored(_windows(snippets.filter("hot"), length))
     begun = windows.groupBy("a", "w").agg(F.min(where).alias("y"), F.max(where).alias("z")).filter("y < z").select("a", "w", "y")
-    parts = windows.join(begun, ["a", "w"]).filter(where > F.col("y")).select("k", "t", "s", (F.col("s") + length).alias("e"))
+    many = windows.join(begun, ["a", "w"]).filter(where > F.col("y")).select("k", "t", "s", (F.col("s") + length).alias("e"))
+    parts = parts.union(many)
     spans = whole.union(parts).groupBy("k", "t").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     spans = stored(spans)
     _released(spark)
