@@ -56,7 +56,7 @@ def views(number: int, rescale: bool):
 
 def evaluate(spark: SparkSession, folder: str, number: int, rescale: bool) -> ViewResult:
     pos, lt = positions(spark, folder), lookthroughs(spark, folder)
-    return run_views(pos, lt, views(number, rescale), max_requests=1)
+    return run_views(pos, lt, views(number, rescale))
 
 
 def view_frames(number: int, rescale: bool):
@@ -73,7 +73,7 @@ def view_frames(number: int, rescale: bool):
 def metrics(spark: SparkSession, folder: str) -> list[DataFrame]:
     result = evaluate(spark, folder, 3, True)
     factors = result.all_scale_factors
-    return [all_levels(result.positions, result.lookthroughs, scale_holdings=True, factors=factors, max_views=3)]
+    return [all_levels(result.positions, result.lookthroughs, scale_holdings=True, factors=factors)]
 
 
 def audit(spark: SparkSession, folder: str) -> list[DataFrame]:

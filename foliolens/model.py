@@ -61,14 +61,29 @@ def resolve_modifiers(requested: list[str] | None, catalogue: dict[str, Modifier
     return [n for n in names if n not in overridden]
 
 
-def _link(value: Any) -> str | None:
-    return str(value).lower() if value else None
-
-
-def _without_requirements(criteria: Any) -> Any:
-    if not isinstance(criteria, dict):
-        return criteria
-    return {k: v for k, v in criteria.items() if k != "required_columns"}
+def _decoded(value: Any) -> dict:
+    """An object that may be kept as JSON text; missing ones are empty."""
+    return json.loads(value) if isinstance(value, str) else dict(value or {})
+
+
+def read_rule(sent: dict, required: frozenset[str] = frozenset(), origin: str = "rule") -> tuple[Rule, dict]:
+    """A rule from its JSON form, and the columns it needs. Percentages count for scaling rules."""
+    scales = bool(sent.get("is_scaling_rule"))
+    for name in sorted(required | {"scale_factor"} if scales and required else required):
+        if name not in sent:
+            raise ValueError(f"{origin} has no {name!r}")
+    criteria = _decoded(sent.get("criteria"))
+    needs = _decoded(criteria.pop("required_columns", None))
+    percent = sent.get("scale_factor") if scales else None
+    connector = sent.get("condition_for_next_rule")
+    rule = Rule(
+        sent.get("apply_to") or "both",
+        criteria,
+        connector.lower() if connector else None,
+        scales,
+        1.0 if percent is None else percent / 100,
+    )
+    return rule, needs
 
 
 @dataclass
@@ -78,81 +93,52 @@ class RuleBook:
     rules: dict[int, list[Rule]] = field(default_factory=dict)
     requires: dict[int, Requirements] = field(default_factory=dict)
 
+    @staticmethod
+    def of(read: dict[int, list[tuple[Rule, dict]]]) -> RuleBook:
+        book = RuleBook()
+        for pid, pairs in read.items():
+            book.rules[pid] = [rule for rule, _ in pairs]
+            needs: Requirements = {}
+            for _, more in pairs:
+                add_requirements(needs, more)
+            if needs:
+                book.requires[pid] = needs
+        return book
+
     def over(self, other: RuleBook) -> RuleBook:
         """This book, completed by another for the ids it lacks."""
         return RuleBook({**other.rules, **self.rules}, {**other.requires, **self.requires})
 
 
-def stored_rule(definition: dict) -> tuple[Rule, dict]:
-    """A rule as kept in the rule catalogue, and the columns it needs."""
-    criteria = definition.get("criteria") or {}
-    if isinstance(criteria, str):
-        criteria = json.loads(criteria)
-    requires = criteria.get("required_columns") or {}
-    if isinstance(requires, str):
-        requires = json.loads(requires)
-    percent = definition.get("scale_factor")
-    rule = Rule(
-        apply_to=definition.get("apply_to") or "both",
-        criteria=_without_requirements(criteria),
-        link=_link(definition.get("condition_for_next_rule")),
-        is_scaling=bool(definition.get("is_scaling_rule")),
-        scale_factor=(100.0 if percent is None else percent) / 100.0,
-    )
-    return rule, requires
-
-
 def stored_rules(definitions: dict[int, dict]) -> RuleBook:
     """Catalogue perspectives ``{id: {is_active, is_supported, rules}}``.
 
     Inactive and unsupported ones are left out: their ids then have no rules.
     """
-    book = RuleBook()
-    for pid, definition in definitions.items():
-        if not definition.get("is_active", True) or not definition.get("is_supported", True):
-            continue
-        parsed = [stored_rule(d) for d in definition.get("rules", [])]
-        book.rules[int(pid)] = [rule for rule, _ in parsed]
-        for _, requires in parsed:
-            if requires:
-                add_requirements(book.requires.setdefault(int(pid), {}), requires)
-    return book
+    usable = {int(pid): d for pid, d in definitions.items() if d.get("is_active", True) and d.get("is_supported", True)}
+    return RuleBook.of({pid: [read_rule(r) for r in d.get("rules", [])] for pid, d in usable.items()})
+
+
+SENT_FIELDS = frozenset({"criteria", "apply_to"})
 
 
 def custom_rules(definitions: dict | None) -> RuleBook:
-    """Perspectives sent along with a request, keyed by ids that are not positive."""
-    book = RuleBook()
-    definitions = definitions or {}
-    if any(int(pid) > 0 for pid in definitions):
+    """Perspectives sent along with a request, keyed by ids that are not positive.
+
+    One with an empty list of rules is as good as none: it keeps everything.
+    """
+    sent = {int(pid): body for pid, body in (definitions or {}).items()}
+    if sent and max(sent) > 0:
         raise ValueError("ids of custom perspectives must be negative")
-    for pid, definition in definitions.items():
-        if "rules" not in definition:
-            raise ValueError(f"custom perspective {pid} has no 'rules'")
-        if not definition["rules"]:
-            continue
-        rules = []
-        requires: Requirements = {}
-        for position, rule in enumerate(definition["rules"]):
-            for name in ("criteria", "apply_to"):
-                if name not in rule:
-                    raise ValueError(f"rule {position} of custom perspective {pid} has no {name!r}")
-            scaling = bool(rule.get("is_scaling_rule", False))
-            if scaling and "scale_factor" not in rule:
-                raise ValueError(f"scaling rule {position} of custom perspective {pid} has no 'scale_factor'")
-            add_requirements(requires, rule["criteria"].get("required_columns"))
-            rules.append(
-                Rule(
-                    apply_to=rule["apply_to"],
-                    criteria=_without_requirements(rule["criteria"]),
-                    link=_link(rule.get("condition_for_next_rule")),
-                    is_scaling=scaling,
-                    scale_factor=rule["scale_factor"] / 100 if scaling else 1.0,
-                )
-            )
-        book.rules[int(pid)] = rules
-        if requires:
-            book.requires[int(pid)] = requires
-    return book
+    bare = [pid for pid, body in sent.items() if "rules" not in body]
+    if bare:
+        raise ValueError(f"custom perspectives {bare} have no 'rules'")
+    read = {
+        pid: [read_rule(r, SENT_FIELDS, f"rule {n} of custom perspective {pid}") for n, r in enumerate(body["rules"])]
+        for pid, body in sent.items()
+        if body["rules"]
+    }
+    return RuleBook.of(read)
 
 
 @dataclass(frozen=True)
@@ -191,21 +177,17 @@ class View:
 Labels = dict[str, tuple[list[str], list[str]]]
 
 
+LABEL_LISTS = ("position_weight_labels", "lookthrough_weight_labels")
+
+
 def container_labels(request: dict) -> Labels:
     """Weight labels per container: its own lists, or the request's when missing or empty."""
 
-    def lower(labels):
-        return [label.lower() for label in labels or []]
+    def first(*lists: list[str] | None) -> list[str]:
+        return next(([x.lower() for x in found] for found in lists if found), [])
 
-    positions, lookthroughs = lower(request.get("position_weight_labels")), lower(request.get("lookthrough_weight_labels"))
-    return {
-        name: (
-            lower(section.get("position_weight_labels")) or positions,
-            lower(section.get("lookthrough_weight_labels")) or lookthroughs,
-        )
-        for name, section in request.items()
-        if isinstance(section, dict) and "positions" in section
-    }
+    holders = {name: part for name, part in request.items() if isinstance(part, dict) and "positions" in part}
+    return {name: tuple(first(part.get(m), request.get(m)) for m in LABEL_LISTS) for name, part in holders.items()}
 
 
 def union_labels(labels: Labels, mode: int) -> list[str]:

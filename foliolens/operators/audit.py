@@ -17,7 +17,7 @@ from foliolens.operators.factors import (
 )
 from foliolens.operators.lookthrough import parent_masks
 from foliolens.operators.skew import join_groups
-from foliolens.schema import PARENT_KEYS, REQUEST, ROW_KEYS, VIEW_KEYS, present
+from foliolens.schema import PARENT_KEYS, REQUEST, ROW_KEYS, SPEC, VIEW_KEYS, present
 
 PARENT_STEP = "parent_removed"
 OUTPUT_STEP = "output"
@@ -66,7 +66,12 @@ def _attributed(rows: DataFrame, views: ViewSet, carry: list[str], with_parents:
     names = ", ".join(f"array({', '.join(map(literal, [*n, OUTPUT_STEP]))})" for n, _ in steps)
     sizes = layout.lookup([len(n) for n, _ in steps])
     columns = present(rows, list(dict.fromkeys([*ROW_KEYS, *carry])))
-    return flagged.selectExpr(*columns, f"posexplode(array({codes})) AS (_view, _code)").selectExpr(
+    specs = [v.spec for v in views.views]
+    guard = [SPEC] if any(specs) and SPEC not in columns else []
+    coded = flagged.selectExpr(*columns, *guard, f"posexplode(array({codes})) AS (_view, _code)")
+    if any(specs):  # a row takes part in the views of its own specification only
+        coded = coded.where(f"coalesce({layout.lookup(specs)} = {SPEC}, {layout.lookup(specs)} IS NULL)")
+    return coded.selectExpr(
         *columns,
         f"{layout.lookup([v.config for v in views.views])} AS config",
         f"{layout.lookup([v.perspective_id for v in views.views])} AS perspective_id",

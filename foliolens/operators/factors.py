@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from foliolens.functions.criteria import CriteriaCompiler, literal, rule_result_columns, scope
 from foliolens.model import Modifier, View, ViewSet
-from foliolens.operators.skew import join_groups, join_salted
-from foliolens.schema import INT_NULL, REQUEST, ROW_KEYS, SPEC, present
+from foliolens.operators.skew import join_groups
+from foliolens.schema import REQUEST, ROW_KEYS, SPEC, present
 
 BITS = 62
 
@@ -185,8 +185,8 @@ def with_group_flags(rows: DataFrame, views: ViewSet) -> DataFrame:
     """Adds, for views with group modifiers, which groups have a passing row.
 
     Passing rows are reduced to one mask per group before they move; rows whose
-    key is the missing-value sentinel form one real and often huge group, so the
-    join back salts that group.
+    key is the missing-value sentinel form one real and often huge group, which
+    adaptive execution splits in the join back.
     """
     stages = max((len(group_modifiers(v)) for v in views.views), default=0)
     types = {f.name: f.dataType for f in rows.schema.fields}
@@ -208,10 +208,7 @@ def with_group_flags(rows: DataFrame, views: ViewSet) -> DataFrame:
                 .groupBy(REQUEST, column)
                 .agg(*[F.bit_or(n).alias(n) for n in names])
             )
-            if isinstance(types[column], T.NumericType):
-                rows = join_salted(rows, groups, [REQUEST, column], F.col(column) == INT_NULL)
-            else:
-                rows = join_groups(rows, groups, [REQUEST, column])
+            rows = join_groups(rows, groups, [REQUEST, column])
     return rows
 
 

@@ -38,7 +38,6 @@ def sync_lookthroughs(
     lookthroughs: DataFrame,
     positions: DataFrame,
     views: ViewSet,
-    split: bool | None = None,
     keep_removed: bool = False,
 ) -> DataFrame:
     """Removes child rows from the views that removed their parent.
@@ -51,9 +50,9 @@ def sync_lookthroughs(
     layout = Layout(views)
     parents = parent_masks(positions, views)
     if keep_removed:
-        return intersect_masks(join_groups(lookthroughs, parents, PARENT_KEYS, "left", split), views)
+        return intersect_masks(join_groups(lookthroughs, parents, PARENT_KEYS, "left"), views)
     alive = lookthroughs.where(layout.any_kept())
-    joined = join_groups(alive, parents, PARENT_KEYS, "inner", split)
+    joined = join_groups(alive, parents, PARENT_KEYS, "inner")
     return intersect_masks(joined, views).where(layout.any_kept())
 
 

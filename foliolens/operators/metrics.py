@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from foliolens.functions.expressions import zero_if_missing, zero_if_tiny
 from foliolens.operators.lookthrough import expand_lookthroughs
-from foliolens.operators.skew import join_bounded
+from foliolens.operators.skew import join_groups
 from foliolens.plans.reuse import materialize_if_possible
 from foliolens.schema import (
     COMPLETE,
@@ -234,7 +234,7 @@ def scale_row(factors: DataFrame) -> DataFrame:
 
 
 def value_columns(
-    rows: DataFrame, assets: DataFrame | None = None, factors: DataFrame | None = None, max_views: int | None = None
+    rows: DataFrame, assets: DataFrame | None = None, factors: DataFrame | None = None
 ) -> DataFrame:
     """Metrics as amounts: times total net assets and, if given, scale factors.
 
@@ -244,24 +244,24 @@ def value_columns(
     if assets is None:
         rows = rows.withColumns({c: F.lit(DEFAULT_ASSETS) for c in ASSETS.values()})
     elif REQUEST in assets.columns:
-        rows = join_bounded(rows, assets, [REQUEST], None)
+        rows = join_groups(rows, assets, [REQUEST])
     else:
         totals = assets.select(F.struct(*ASSETS.values())).scalar()
         rows = rows.withColumns({c: totals[c].cast("double") for c in ASSETS.values()})
     scales = {m: F.lit(1.0) for m in METRICS}
     if factors is not None:
-        rows = join_bounded(rows, scale_row(factors), [REQUEST, *VIEW_KEYS], max_views)
+        rows = join_groups(rows, scale_row(factors), [REQUEST, *VIEW_KEYS])
         scales = {m: F.coalesce(f"_scale_{m}", F.lit(1.0)) for m in METRICS}
     return rows.withColumns({f"{m}V": F.col(m) * F.col(ASSETS[m]) * scales[m] for m in METRICS}).drop(
         *[f"_scale_{m}" for m in METRICS]
     )
 
 
-def normalize_columns(rows: DataFrame, max_views: int | None = None) -> DataFrame:
+def normalize_columns(rows: DataFrame) -> DataFrame:
     """Divides each metric by its total in the view, its amount by the same number."""
     keys = [*present(rows, ["level"]), REQUEST, *VIEW_KEYS]
     totals = rows.groupBy(*keys).agg(*[_total(F.col(m)).alias(f"_total_{m}") for m in METRICS])
-    joined = join_bounded(rows, totals, keys, max_views)
+    joined = join_groups(rows, totals, keys)
     columns = {}
     for m in METRICS:
         share = F.expr(f"CASE WHEN _total_{m} <> 0.0D THEN 1.0D / _total_{m} ELSE 1.0D END")
@@ -292,11 +292,10 @@ def active_weights(rows: DataFrame) -> DataFrame:
     return rows.withColumns({f"{n}V": F.col(ASSETS["PI" if n[1] == "I" else "PR"]) * F.col(n) for n in weights})
 
 
-def _finish(rows, assets, factors, scale_holdings: bool, max_views: int | None) -> DataFrame:
-    rows = value_columns(rows, assets, factors if scale_holdings else None, max_views)
+def _finish(rows, assets, factors, scale_holdings: bool) -> DataFrame:
+    rows = value_columns(rows, assets, factors if scale_holdings else None)
     if scale_holdings:
-        bound = None if max_views is None else max_views * len(LEVELS)
-        rows = normalize_columns(rows, bound)
+        rows = normalize_columns(rows)
     return active_weights(fill_null_nan(small_to_zero(rows)))
 
 
@@ -309,14 +308,12 @@ def portfolio_metrics(
     scale_holdings: bool = False,
     attributes: list[str] | None = None,
     child_weight: str = "raw",
-    max_views: int | None = None,
 ) -> DataFrame:
     """All metrics of one level, by instrument, parent and sub-portfolio.
 
-    ``max_views`` is a known bound on the number of (request, view) pairs.
     """
     rows = grouped_exposures(positions, lookthroughs, level, attributes, child_weight)
-    return _finish(rows, assets, factors, scale_holdings, max_views)
+    return _finish(rows, assets, factors, scale_holdings)
 
 
 def all_levels(
@@ -327,7 +324,6 @@ def all_levels(
     scale_holdings: bool = False,
     attributes: list[str] | None = None,
     child_weight: str = "raw",
-    max_views: int | None = None,
 ) -> DataFrame:
     """The metrics of every level, tagged with it.
 
@@ -349,7 +345,7 @@ def all_levels(
     rows = grouped_levels(positions, lookthroughs, levels, attributes, child_weight)
     if scale_holdings:
         rows = materialize_if_possible(rows)
-    return _finish(rows, assets, factors, scale_holdings, max_views)
+    return _finish(rows, assets, factors, scale_holdings)
 
 
 def drop_zero_weight_rows(rows: DataFrame, weights: list[str]) -> DataFrame:

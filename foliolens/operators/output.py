@@ -8,13 +8,9 @@ from foliolens.functions.criteria import literal
 from foliolens.model import View, ViewSet
 from foliolens.operators.factors import Layout, bit
 from foliolens.operators.rescale import Totals, with_container_totals
-from foliolens.operators.skew import join_bounded
 from foliolens.plans.pipeline import ViewResult
-from foliolens.plans.reuse import materialize_if_possible
 from foliolens.schema import POSITIONS, REQUEST, SPEC, VIEW_KEYS, out, present
 
-PART_ROWS = 100_000
-"""Rows a document part holds on average at most."""
 SECTION_KEYS = [REQUEST, "part", *VIEW_KEYS, "container", "section"]
 
 
@@ -45,7 +41,7 @@ def wide_positions(result: ViewResult, carry: list[str] | None = None) -> DataFr
     rows, totals = result.evaluated_positions, None
     if result.masses is not None:
         rows, totals = with_container_totals(
-            rows, result.views, result.position_labels, result.masses, result.max_requests
+            rows, result.views, result.position_labels, result.masses
         )
     keys = [c for c in result.evaluated_positions.columns if not c.startswith("_")] if carry is None else carry
     return _wide(rows, result.views, result.position_labels, totals, keys)
@@ -98,35 +94,31 @@ def output_rows(result: ViewResult) -> DataFrame:
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def output_parts(result: ViewResult, part_rows: int = PART_ROWS) -> DataFrame:
+def output_parts(result: ViewResult, parts: int = 1) -> DataFrame:
     """Output rows, each with the document part it belongs to.
 
-    A request with many rows is split over parts by identifier, so that no
-    document is gathered whole in one task; small requests have one part. Of
-    rows with one identifier one is taken.
+    Documents are split over ``parts`` by identifier, as many for every request:
+    their shape doesn't depend on how many rows there are. Of rows with one
+    identifier one is taken.
     """
     keys = [REQUEST, *VIEW_KEYS, "container", "section", "identifier"]
-    rows = materialize_if_possible(
-        output_rows(result).groupBy(*keys).agg(F.max_by("weights", "_order").alias("weights"))
-    )
-    sizes = rows.groupBy(REQUEST).agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts"))
-    placed = join_bounded(rows, sizes, [REQUEST], result.max_requests)
-    return placed.withColumn("part", F.expr("int(pmod(xxhash64(identifier), parts))"))
+    rows = output_rows(result).groupBy(*keys).agg(F.max_by("weights", "_order").alias("weights"))
+    return rows.withColumn("part", F.expr(f"int(pmod(xxhash64(identifier), {parts}))"))
 
 
-def nested_result(result: ViewResult, part_rows: int = PART_ROWS) -> DataFrame:
+def nested_result(result: ViewResult, parts: int = 1) -> DataFrame:
     """One row per (request, part, view, container, section) with ``{identifier: {label: weight}}``."""
     return (
-        output_parts(result, part_rows)
+        output_parts(result, parts)
         .groupBy(*SECTION_KEYS)
         .agg(F.map_from_entries(F.collect_list(F.struct("identifier", "weights"))).alias("rows"))
     )
 
 
-def flat_result(result: ViewResult, part_rows: int = PART_ROWS) -> DataFrame:
+def flat_result(result: ViewResult, parts: int = 1) -> DataFrame:
     """The same as aligned arrays: ``identifiers`` and one array per label, sorted by identifier."""
     labels = list(dict.fromkeys(result.position_labels + result.lookthrough_labels))
-    rows = output_parts(result, part_rows)
+    rows = output_parts(result, parts)
     gathered = rows.groupBy(*SECTION_KEYS).agg(
         F.sort_array(
             F.collect_list(
@@ -158,16 +150,16 @@ def documents(
     result: ViewResult,
     requests: DataFrame | None = None,
     columnar: bool = False,
-    part_rows: int = PART_ROWS,
+    parts: int = 1,
 ) -> DataFrame:
     """Response documents, ``{"perspective_configurations": {config: {id: {container: {...}}}}}``.
 
-    A large request has several parts, each a document with some of the
-    identifiers; part 0 also has the scale factors. ``requests`` adds requests
+    Each of the ``parts`` is a document with some of the identifiers; part 0 also
+    has the scale factors. ``requests`` adds requests
     without any position, whose document is empty.
     """
     if columnar:
-        flat = flat_result(result, part_rows)
+        flat = flat_result(result, parts)
         labels = [c for c in flat.columns if c not in [*SECTION_KEYS, "identifiers"]]
         arrays = ["concat('\"identifier\":', to_json(identifiers))"] + [
             f"CASE WHEN exists(`{w}`, x -> x IS NOT NULL) THEN concat({_json_name(literal(w))}, ':', "
@@ -176,7 +168,7 @@ def documents(
         ]
         sections = flat.withColumn("_body", F.expr(f"concat('{{', concat_ws(',', {', '.join(arrays)}), '}}')"))
     else:
-        sections = nested_result(result, part_rows).withColumn("_body", F.expr("to_json(rows)"))
+        sections = nested_result(result, parts).withColumn("_body", F.expr("to_json(rows)"))
     factors = (
         result.all_scale_factors.groupBy(REQUEST, *VIEW_KEYS, "container")
         .agg(F.map_from_entries(F.collect_list(F.struct("weight_label", "scale_factor"))).alias("_factors"))

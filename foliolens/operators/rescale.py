@@ -11,9 +11,8 @@ from foliolens.functions.criteria import CriteriaCompiler, literal
 from foliolens.model import View, ViewSet
 from foliolens.operators.factors import BITS, Layout, explode_views, pack
 from foliolens.operators.lookthrough import intersect_masks, parent_masks
-from foliolens.operators.skew import join_bounded, join_groups
+from foliolens.operators.skew import join_groups
 from foliolens.schema import (
-    CONTAINERS,
     ESSENTIAL,
     GROUP_KEYS,
     LOOKTHROUGH_KEYS,
@@ -24,8 +23,6 @@ from foliolens.schema import (
     present,
 )
 
-DIRECT_SUMS = 60
-"""Sums of one aggregation that still run as compiled code."""
 TOTAL = -1
 """View number under which raw totals are kept."""
 
@@ -133,26 +130,8 @@ def pack_masses(masses: DataFrame, views: ViewSet, labels: list[str]) -> DataFra
 
 
 def container_masses(positions: DataFrame, essential: DataFrame | None, views: ViewSet, labels: list[str]) -> DataFrame:
-    """Packed masses of evaluated frames.
-
-    A few sums are taken directly, one per (view, label); many are taken by
-    distinct mask first.
-    """
-    layout = Layout(views)
-    wanted = [v for v in views.views if v.rescales_holdings]
-    if (len(wanted) + 1) * len(labels) > DIRECT_SUMS:
-        return pack_masses(group_masses(positions, essential, views, labels), views, labels)
-    rows = _sums(positions, labels, layout, wanted, True)
-    if essential is not None and present(essential, labels):
-        rows = rows.unionByName(_sums(essential, labels, layout, wanted, False))
-    sums = [f"coalesce(sum(`{w}`), 0.0D)" for w in labels]
-    sums += [f"coalesce(sum(`{w}` * {layout.factor(v)}), 0.0D)" for v in wanted for w in labels]
-    return (
-        rows.groupBy(*GROUP_KEYS)
-        .agg(F.max("_positions").alias("_positions"), F.expr(f"array({', '.join(sums)})").alias("_masses"))
-        .where("_positions")
-        .drop("_positions")
-    )
+    """Packed masses of evaluated frames, summed by distinct mask however many views there are."""
+    return pack_masses(group_masses(positions, essential, views, labels), views, labels)
 
 
 @dataclass(frozen=True)
@@ -194,23 +173,21 @@ def weigh_positions(
     labels: list[str],
     packed: DataFrame | None,
     carry: list[str],
-    max_requests: int | None,
 ) -> DataFrame:
     """Positions per view; containers of rescaling views sum to 100 percent."""
     if packed is None:
         return weigh(positions, views, labels, None, carry)
-    joined, totals = with_container_totals(positions, views, labels, packed, max_requests)
+    joined, totals = with_container_totals(positions, views, labels, packed)
     return weigh(joined, views, labels, totals, carry)
 
 
 def with_container_totals(
-    positions: DataFrame, views: ViewSet, labels: list[str], packed: DataFrame, max_requests: int | None
+    positions: DataFrame, views: ViewSet, labels: list[str], packed: DataFrame
 ) -> tuple[DataFrame, Totals]:
     """Evaluated positions with the masses of their container, and where they stand."""
     index = mass_index(views, labels)
     offsets = {view: i for (view, w), i in index.items() if view != TOTAL and w == labels[0]}
-    bound = None if max_requests is None else max_requests * len(CONTAINERS)
-    joined = join_bounded(positions, packed, GROUP_KEYS, bound, row_bytes=256 + 8 * len(index))
+    joined = join_groups(positions, packed, GROUP_KEYS)
     return joined, Totals("_masses", offsets)
 
 
@@ -264,7 +241,6 @@ def sync_and_rescale_lookthroughs(
     raw_positions: DataFrame,
     views: ViewSet,
     labels: list[str],
-    split: bool | None = None,
     keep_removed: bool = False,
 ) -> tuple[DataFrame, Totals]:
     """Synced child rows with the totals of their parents, in one join of the rows.
@@ -282,9 +258,9 @@ def sync_and_rescale_lookthroughs(
     wanted = [v.index for v in views.views if v.rescales_lookthroughs]
     offsets = {index: i * len(labels) for i, index in enumerate(wanted)}
     if keep_removed:
-        rows = intersect_masks(join_groups(lookthroughs, groups, LOOKTHROUGH_KEYS, split=split), views)
+        rows = intersect_masks(join_groups(lookthroughs, groups, LOOKTHROUGH_KEYS), views)
     else:
         alive = lookthroughs.where(layout.any_kept())
-        joined = join_groups(alive, groups, LOOKTHROUGH_KEYS, "inner", split)
+        joined = join_groups(alive, groups, LOOKTHROUGH_KEYS, "inner")
         rows = intersect_masks(joined, views).where(layout.any_kept())
     return rows, Totals("_children", offsets, None if matches is None else "_q")

@@ -1,88 +1,14 @@
-"""Joins of many rows with one row per group, safe against hot groups.
+"""Joins of many rows with one row per group.
 
-The group side always has one row per key, so a hot group only makes the row
-side uneven. Three ways, by what is known about the group table:
-
-* its size is bounded by the settings of the run: broadcast it;
-* some keys are known to be hot (the group of rows without a key): spread the
-  rows of those keys over salts and repeat their group row once per salt;
-* otherwise a shuffled join whose row side adaptive execution splits; where
-  adaptive skew handling is off, the hot keys are measured and salted.
+The group side has one row per key, so a hot group only makes the row side
+uneven. Adaptive execution sees the sizes at run time: it broadcasts a group
+table that turns out small and splits the rows of hot keys otherwise.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from foliolens.schema import ROW_KEYS, present
-
-SALTS = 64
-HOT_SHARE = 256
-"""A key is hot when it holds more than 1/HOT_SHARE of the rows."""
-BROADCAST_BYTES = 64 << 20
-"""Size up to which a group table of known size is broadcast."""
-
-
-def adaptive_splits(df: DataFrame) -> bool:
-    conf = df.sparkSession.conf
-    return (
-        str(conf.get("spark.sql.adaptive.enabled", "true")).lower() == "true"
-        and str(conf.get("spark.sql.adaptive.skewJoin.enabled", "true")).lower() == "true"
-    )
-
-
-def _row_salt(rows: DataFrame) -> Column:
-    """Salt of a row, the same on every attempt of its task."""
-    return F.pmod(F.xxhash64(*present(rows, ROW_KEYS)), F.lit(SALTS)).cast("int")
-
-
-def _all_salts(hot: Column) -> Column:
-    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    return F.explode(F.when(hot, salts).otherwise(F.array(F.lit(0))))
-
-
-def join_bounded(
-    rows: DataFrame,
-    groups: DataFrame,
-    keys: list[str],
-    max_groups: int | None,
-    how: str = "left",
-    row_bytes: int = 256,
-) -> DataFrame:
-    """Joins a group table with at most ``max_groups`` rows (None: unknown).
-
-    Beyond the broadcast bound every group may be hot, as when a container of
-    one request is most of the data, so every row is salted.
-    """
-    if max_groups is not None and max_groups * row_bytes <= BROADCAST_BYTES:
-        return rows.join(F.broadcast(groups), keys, how)
-    return join_salted(rows, groups, keys, F.lit(True), how)
-
-
-def join_salted(rows: DataFrame, groups: DataFrame, keys: list[str], hot: Column, how: str = "left") -> DataFrame:
-    """Joins on the keys plus a salt that spreads the rows of hot keys.
-
-    ``hot`` must depend on the keys only: both sides evaluate it.
-    """
-    salted_rows = rows.withColumn("_salt", F.when(hot, _row_salt(rows)).otherwise(F.lit(0)))
-    salted_groups = groups.withColumn("_salt", _all_salts(hot))
-    return salted_rows.join(salted_groups, [*keys, "_salt"], how).drop("_salt")
-
-
-def hot_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys holding more than 1/HOT_SHARE of the rows: fewer than HOT_SHARE of them."""
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    return counts.where(F.col("_n") * HOT_SHARE > total).select(*keys, F.lit(True).alias("_hot"))
+from pyspark.sql import DataFrame
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "left", split: bool | None = None) -> DataFrame:
-    """Shuffled join with one row per key; ``split`` forces measured salting."""
-    if split is None:
-        split = not adaptive_splits(rows)
-    if not split:
-        return rows.join(groups, keys, how)
-    hot = F.broadcast(hot_keys(rows, keys))
-    flagged_rows = rows.join(hot, keys, "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
-    flagged_groups = groups.join(hot, keys, "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
-    return join_salted(flagged_rows, flagged_groups, [*keys, "_hot"], F.col("_hot"), how).drop("_hot")
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    return rows.join(groups, keys, how)

@@ -42,39 +42,38 @@ def _position(*columns: str) -> dict:
 
 
 def _exclude(name: str, criteria: dict, *columns: str, overrides: tuple[str, ...] = (), **tables: list[str]) -> Modifier:
-    return Modifier(f"exclude_{name}", PRE, criteria, overrides=overrides, requires={**_position(*columns), **tables})
+    return Modifier(name, PRE, criteria, overrides=overrides, requires={**_position(*columns), **tables})
 
 
 def _save(name: str, criteria: dict, *columns: str, operator: str = "or", overrides: tuple[str, ...] = ()) -> Modifier:
     return Modifier(name, POST, criteria, operator=operator, overrides=overrides, requires=_position(*columns))
 
 
-_LEVEL_CASH = "exclude_perspective_level_simulated_cash"
-
+# The catalogue of modifiers, with the columns that each needs.
 MODIFIERS: dict[str, Modifier] = {
     m.name: m
     for m in [
-        _exclude("other_net_assets", is_(LIQUIDITY, 2), LIQUIDITY),
-        _exclude("class_positions", is_("is_class_position", True), "is_class_position"),
-        _exclude("non_class_positions", is_("is_class_position", False), "is_class_position"),
-        _exclude("future_in_kind_delivery", is_(TRADE, 1), TRADE),
+        _exclude("exclude_other_net_assets", is_(LIQUIDITY, 2), LIQUIDITY),
+        _exclude("exclude_class_positions", is_("is_class_position", True), "is_class_position"),
+        _exclude("exclude_non_class_positions", is_("is_class_position", False), "is_class_position"),
+        _exclude("exclude_future_in_kind_delivery", is_(TRADE, 1), TRADE),
         _exclude(
-            "future_trades",
+            "exclude_future_trades",
             {"and": [is_(TRADE, 4), is_("upcoming_trade_date", True)]},
             TRADE,
             "upcoming_trade_date",
         ),
         _exclude(
-            "future_flows",
+            "exclude_future_flows",
             {"and": [is_(LIQUIDITY, 3), is_("upcoming_trade_date", True)]},
             LIQUIDITY,
             "upcoming_trade_date",
         ),
-        _exclude("pending_stop_trades", is_(TRADE, 2), TRADE),
-        _exclude("pending_limit_trades", is_(TRADE, 3), TRADE),
-        _exclude("potential_red_flags", known("red_flag_exclusion_type_id"), "red_flag_exclusion_type_id"),
+        _exclude("exclude_pending_stop_trades", is_(TRADE, 2), TRADE),
+        _exclude("exclude_pending_limit_trades", is_(TRADE, 3), TRADE),
+        _exclude("exclude_potential_red_flags", known("red_flag_exclusion_type_id"), "red_flag_exclusion_type_id"),
         _exclude(
-            "simulated_trades",
+            "exclude_simulated_trades",
             {
                 "or": [
                     {
@@ -92,24 +91,24 @@ MODIFIERS: dict[str, Modifier] = {
             overrides=("include_all_trade_cash", "include_trade_cash_within_perspective"),
         ),
         _exclude(
-            "simulated_cash",
+            "exclude_simulated_cash",
             SIMULATED_CASH,
             SOURCE,
             LIQUIDITY,
-            overrides=(_LEVEL_CASH, "include_simulated_cash"),
+            overrides=("exclude_perspective_level_simulated_cash", "include_simulated_cash"),
         ),
-        _exclude("pending_trades", is_(SOURCE, 9), SOURCE),
+        _exclude("exclude_pending_trades", is_(SOURCE, 9), SOURCE),
         _exclude(
-            "current_flow",
+            "exclude_current_flow",
             {"and": [is_(LIQUIDITY, 3), is_("upcoming_trade_date", False)]},
             LIQUIDITY,
             "upcoming_trade_date",
         ),
-        _exclude("manual_corrections", is_(SOURCE, 8), SOURCE),
-        _exclude("initial_positions", one_of(SOURCE, INITIAL_SOURCES), SOURCE),
-        _exclude("blocked_positions", known("position_blocking_type_id"), "position_blocking_type_id"),
+        _exclude("exclude_manual_corrections", is_(SOURCE, 8), SOURCE),
+        _exclude("exclude_initial_positions", one_of(SOURCE, INITIAL_SOURCES), SOURCE),
+        _exclude("exclude_blocked_positions", known("position_blocking_type_id"), "position_blocking_type_id"),
         _exclude(
-            "other_net_assets_excl_investment_grade_accrual",
+            "exclude_other_net_assets_excl_investment_grade_accrual",
             {
                 "and": [
                     is_(LIQUIDITY, 2),
@@ -120,14 +119,14 @@ MODIFIERS: dict[str, Modifier] = {
             "parent_instrument_id",
             parent_instrument=["instrument_subtype_id"],
         ),
-        _save("include_all_trade_cash", TRADE_CASH, SOURCE, LIQUIDITY, overrides=(_LEVEL_CASH,)),
+        _save("include_all_trade_cash", TRADE_CASH, SOURCE, LIQUIDITY, overrides=("exclude_perspective_level_simulated_cash",)),
         _save(
             "include_trade_cash_within_perspective",
             {"or": [TRADE_CASH, SAME_SIMULATED_TRADE]},
             SOURCE,
             LIQUIDITY,
             "simulated_trade_id",
-            overrides=(_LEVEL_CASH,),
+            overrides=("exclude_perspective_level_simulated_cash",),
         ),
         _save(
             "exclude_trade_cash",
@@ -135,11 +134,17 @@ MODIFIERS: dict[str, Modifier] = {
             SOURCE,
             LIQUIDITY,
             operator="and",
-            overrides=(_LEVEL_CASH,),
+            overrides=("exclude_perspective_level_simulated_cash",),
         ),
         _save(
-            _LEVEL_CASH,
-            {"and": [*SIMULATED_CASH["and"], one_of("perspective_id", f"({INT_NULL},perspective_id)")]},
+            "exclude_perspective_level_simulated_cash",
+            {
+                "and": [
+                    is_(SOURCE, SIMULATED_SOURCE),
+                    is_(LIQUIDITY, 5),
+                    one_of("perspective_id", f"({INT_NULL},perspective_id)"),
+                ]
+            },
             SOURCE,
             LIQUIDITY,
             "perspective_id",
@@ -155,4 +160,4 @@ MODIFIERS: dict[str, Modifier] = {
     ]
 }
 
-DEFAULT_MODIFIERS = [_LEVEL_CASH]
+DEFAULT_MODIFIERS = ["exclude_perspective_level_simulated_cash"]

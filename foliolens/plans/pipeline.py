@@ -41,18 +41,14 @@ class ViewResult:
         lookthroughs: DataFrame | None,
         views: ViewSet,
         carry: list[str],
-        max_requests: int | None,
         reuse: str,
-        split: bool | None,
     ):
         self.raw_positions = positions
         self.raw_lookthroughs = lookthroughs
         self.views = views
-        self.max_requests = max_requests
         self.position_labels = present(positions, views.position_labels)
         self.lookthrough_labels = [] if lookthroughs is None else present(lookthroughs, views.lookthrough_labels)
         self._keep = [*views.all_labels, *carry]
-        self._split = split
         if reuse not in REUSE:
             raise ValueError(f"reuse must be one of {REUSE}, not {reuse!r}")
         self._reuse = reuse
@@ -87,7 +83,7 @@ class ViewResult:
         if self.raw_lookthroughs is not None and present(self.raw_lookthroughs, self.position_labels):
             children = self.evaluated_lookthroughs.where(F.col("record_type") == ESSENTIAL)
             essential = sync_lookthroughs(
-                children, self.evaluated_positions, self.views, self._split, keep_removed=True
+                children, self.evaluated_positions, self.views, keep_removed=True
             )
         packed = container_masses(self.evaluated_positions, essential, self.views, self.position_labels)
         return packed if self._reuse == "plan" else materialize_if_possible(packed)
@@ -103,7 +99,6 @@ class ViewResult:
             self.position_labels,
             self.masses,
             self._columns(self.raw_positions, self.position_labels),
-            self.max_requests,
         )
 
     @cached_property
@@ -124,9 +119,9 @@ class ViewResult:
         children, parents = self.evaluated_lookthroughs, self.evaluated_positions
         if self.rescales_lookthroughs:
             return sync_and_rescale_lookthroughs(
-                children, parents, self.raw_positions, self.views, self.lookthrough_labels, self._split, keep_removed
+                children, parents, self.raw_positions, self.views, self.lookthrough_labels, keep_removed
             )
-        return sync_lookthroughs(children, parents, self.views, self._split, keep_removed), None
+        return sync_lookthroughs(children, parents, self.views, keep_removed), None
 
     @cached_property
     def _specs(self) -> DataFrame | None:
@@ -152,22 +147,16 @@ def run_views(
     lookthroughs: DataFrame | None,
     views: ViewSet,
     carry: list[str] | None = None,
-    max_requests: int | None = None,
     reuse: str = "masses",
-    split: bool | None = None,
 ) -> ViewResult:
     """Evaluates all views over normalised frames.
 
-    ``carry`` keeps more columns in the results. ``max_requests`` is a known
-    bound on the number of requests; without one, joins with per-container
-    totals are shuffled and salted instead of broadcast. ``reuse`` says what is
-    stored in the shared folder of the session instead of being computed for
-    each output: nothing (``plan``), the container masses, which are few rows
+    ``carry`` keeps more columns in the results. ``reuse`` says what is stored in
+    the shared folder of the session instead of being computed for each output: nothing (``plan``), the container masses, which are few rows
     from a pass over all of them (``masses``, if there is such a folder), or the
     evaluated frames as well (``all``).
-    ``split`` forces or forbids salting of measured hot parents.
     """
-    return ViewResult(positions, lookthroughs, views, carry or [], max_requests, reuse, split)
+    return ViewResult(positions, lookthroughs, views, carry or [], reuse)
 
 
 def process_tables(
@@ -176,17 +165,13 @@ def process_tables(
     views: ViewSet,
     reference: ReferenceTables | None = None,
     carry: list[str] | None = None,
-    max_requests: int | None = None,
     reuse: str = "masses",
-    split: bool | None = None,
 ) -> ViewResult:
     """Normalises the tables, attaches reference columns and evaluates the views."""
-    if REQUEST not in [c.lower() for c in positions.columns]:
-        max_requests = 1
     labels = views.all_labels
     positions = normalize(positions, labels, POSITIONS)
     if lookthroughs is not None:
         lookthroughs = normalize(lookthroughs, labels, LOOKTHROUGHS)
     if reference is not None:
         positions, lookthroughs = attach_reference(positions, lookthroughs, reference)
-    return run_views(positions, lookthroughs, views, carry, max_requests, reuse, split)
+    return run_views(positions, lookthroughs, views, carry, reuse)

@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import functools
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 from pyspark.sql import DataFrame, functions as F
 
 from foliolens.model import Modifier, RuleBook, ViewSet, container_labels, custom_rules
+from foliolens.operators.factors import keep_sql, scale_sql
 from foliolens.operators.normalize import normalize
 from foliolens.operators.output import documents
 from foliolens.operators.reference import ReferenceTables, attach_reference
 from foliolens.plans.pipeline import ViewResult, run_views
-from foliolens.plans.reuse import materialize_if_possible, shared_folder
-from foliolens.schema import CONTAINERS, LOOKTHROUGHS, POSITIONS, REQUEST, SPEC
-from foliolens.sources.requests import inflate_requests, with_request_ids
+from foliolens.plans.reuse import materialize_if_possible
+from foliolens.schema import CONTAINERS, LOOKTHROUGHS, POSITIONS, RECORD_TYPES, REQUEST, SPEC
+from foliolens.sources.requests import inflate_requests, request_sections, with_request_ids
 
-MAX_SPECS = 500
-"""Distinct specifications of one plan; larger batches are run in groups."""
+SPECS = 200
+"""Specifications of one plan; a batch with more has several plans."""
 
 SPEC_PARTS = ["perspective_configurations", "custom_perspective_rules", "position_weight_labels", "lookthrough_weight_labels"]
 
@@ -33,7 +37,7 @@ def with_specs(requests: DataFrame) -> DataFrame:
         for mode in ("position_weight_labels", "lookthrough_weight_labels"):
             paths.append(part(f"{container}.{mode}", f"{container}.{mode}"))
     return (
-        requests.withColumn("_v", F.expr("parse_json(request)"))
+        requests.withColumn("_v", F.expr("try_parse_json(request)"))
         .withColumn("spec", F.expr(f"to_json(map_filter(map({', '.join(paths)}), (k, v) -> v IS NOT NULL))"))
         .withColumn(SPEC, F.sha2("spec", 256))
         .drop("_v")
@@ -51,28 +55,85 @@ def parse_spec(text: str) -> dict:
     return request
 
 
+COPIES = "copies"
+
+
 @dataclass
 class RequestRun:
-    """Parsed requests and their lazy result; no result where no request has views."""
+    """Parsed requests and their lazy results, one for each block of specifications.
+
+    ``errors`` has a row ``(request_id, error)`` for each request that is refused;
+    it doesn't touch the others.
+    """
 
     requests: DataFrame
-    result: ViewResult | None
+    blocks: list[tuple[DataFrame, ViewResult | None]]
+    errors: DataFrame
+
+    @property
+    def result(self) -> ViewResult | None:
+        """The result of the first block that has views."""
+        return next((r for _, r in self.blocks if r is not None), None)
+
+    def documents(self, columnar: bool = False, parts: int = 1) -> DataFrame:
+        """The responses of every accepted request, each in as many parts; copies are answered alike."""
+        made = [self._documents(known, result, columnar, parts) for known, result in self.blocks]
+        if not made:
+            return self.requests.select(REQUEST, F.lit(0).alias("part"), F.lit("").alias("document")).where("false")
+        return functools.reduce(DataFrame.unionByName, made)
+
+    @staticmethod
+    def _documents(known: DataFrame, result: ViewResult | None, columnar: bool, parts: int) -> DataFrame:
+        if result is None:
+            empty = F.lit('{"perspective_configurations":{}}').alias("document")
+            done = known.select(REQUEST, F.lit(0).alias("part"), empty)
+        else:
+            done = documents(result, known, columnar, parts)
+        again = F.explode(F.sequence(F.lit(1), F.col(COPIES).cast("int")))
+        return done.join(known.select(REQUEST, COPIES), REQUEST).withColumn("_copy", again).select(REQUEST, "part", "document")
+
+
+def distinct_requests(requests: DataFrame) -> DataFrame:
+    """Equal requests as one row with the number of its copies."""
+    known = with_request_ids(requests).groupBy(REQUEST, F.sha2("request", 256).alias("_hash"))
+    return known.agg(F.first("request").alias("request"), F.count(F.lit(1)).alias(COPIES)).drop("_hash")
+
+
+def unreadable(known: DataFrame) -> DataFrame:
+    """Requests that can't be told apart or parsed, and those with unknown sections."""
+    twice = known.groupBy(REQUEST).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    clash = twice.select(REQUEST, F.lit("several requests have this id").alias("error"))
+    broken = known.where("NOT coalesce(schema_of_variant(try_parse_json(request)) LIKE 'OBJECT<%', false)")
+    broken = broken.select(REQUEST, F.lit("the request is not a JSON object").alias("error"))
+    names = request_sections(known).groupBy(REQUEST).agg(
+        F.array_sort(F.collect_set("container")).alias("containers"), F.array_sort(F.collect_set("record_type")).alias("sections")
+    )
+    odd = names.select(REQUEST, *[F.array_except(c, F.array(*map(F.lit, domain))).alias(c) for c, domain in (("containers", CONTAINERS), ("sections", RECORD_TYPES))])
+    unknown = odd.where("size(containers) + size(sections) > 0").select(
+        REQUEST,
+        F.when(F.size("containers") > 0, F.concat(F.lit("unknown container: "), F.array_join("containers", ", ")))
+        .otherwise(F.concat(F.lit("unknown record_type: "), F.array_join("sections", ", ")))
+        .alias("error"),
+    )
+    return clash.union(broken).union(unknown)
 
-    def documents(self, columnar: bool = False, part_rows: int = 100_000) -> DataFrame:
-        """One response per request, or several parts for a large one."""
-        if self.result is None:
-            return self.requests.select(
-                REQUEST, F.lit(0).alias("part"), F.lit('{"perspective_configurations":{}}').alias("document")
-            )
-        return documents(self.result, self.requests, columnar, part_rows)
 
+def without_mandatory(positions: DataFrame, lookthroughs: DataFrame) -> DataFrame:
+    """Requests with a frame of rows that nowhere has the mandatory column."""
+    found = []
+    for frame in (positions, lookthroughs):
+        names = [c for c in frame.columns if c.lower() == "sub_portfolio_id"]
+        given = F.col(names[0]).isNotNull() if names else F.lit(False)
+        found.append(frame.groupBy(REQUEST).agg(F.bool_or(given).alias("given")).where("NOT given").select(REQUEST))
+    missing = found[0].union(found[1]).distinct()
+    return missing.select(REQUEST, F.lit("column sub_portfolio_id is missing").alias("error"))
 
-def collect_specs(requests: DataFrame) -> dict[str, dict]:
-    """The distinct specifications: they define the plan, so the driver needs them."""
-    rows = requests.select(SPEC, "spec").distinct().limit(MAX_SPECS + 1).collect()
-    if len(rows) > MAX_SPECS:
-        raise ValueError(f"more than {MAX_SPECS} different specifications: run the batch with spec_groups")
-    return {row[SPEC]: parse_spec(row["spec"]) for row in rows}
+
+def spec_blocks(known: DataFrame) -> Iterator[dict[str, dict]]:
+    """The distinct specifications, ``SPECS`` at a time: they define the plans, so the driver needs them."""
+    rows = known.select(SPEC, "spec").distinct().orderBy(SPEC).toLocalIterator()
+    while block := list(islice(rows, SPECS)):
+        yield {row[SPEC]: parse_spec(row["spec"]) for row in block}
 
 
 def spec_groups(requests: DataFrame, groups: int) -> list[DataFrame]:
@@ -82,6 +143,20 @@ def spec_groups(requests: DataFrame, groups: int) -> list[DataFrame]:
     return [known.where(number == i).select(REQUEST, "request") for i in range(groups)]
 
 
+def _views(spec: str, request: dict, book: RuleBook | None, modifiers, defaults) -> ViewSet:
+    custom = custom_rules(request["custom_perspective_rules"])
+    rules = custom.over(book) if book else custom
+    return ViewSet.build(request["perspective_configurations"] or {}, container_labels(request), rules, modifiers, defaults, spec)
+
+
+def _fits(views: ViewSet, frames: list[DataFrame]) -> None:
+    """Raises where a criterion doesn't fit the columns that it tests."""
+    for frame in frames:
+        for view in views.views:
+            keep_sql(frame.schema, view)
+            scale_sql(frame.schema, view)
+
+
 def process_requests(
     requests: DataFrame,
     book: RuleBook | None = None,
@@ -90,39 +165,51 @@ def process_requests(
     modifiers: dict[str, Modifier] | None = None,
     defaults: list[str] | None = None,
     carry: list[str] | None = None,
-    max_requests: int | None = None,
     reuse: str = "masses",
 ) -> RequestRun:
-    """Evaluates every request alone, all requests in one plan.
+    """Evaluates every request alone; one that can't be evaluated becomes an error row.
 
     ``requests`` has a text column ``request`` and optionally ``request_id``.
     ``types`` gives the attribute types; without it they are inferred.
     """
-    known = materialize_if_possible(with_specs(with_request_ids(requests)))
-    specs = collect_specs(known)
-    sets = []
-    for spec, request in specs.items():
-        custom = custom_rules(request["custom_perspective_rules"])
-        sets.append(
-            ViewSet.build(
-                request["perspective_configurations"] or {},
-                container_labels(request),
-                custom.over(book) if book else custom,
-                modifiers,
-                defaults,
-                spec,
-            )
-        )
-    views = ViewSet.merge(sets)
-    if not views.views:
-        return RequestRun(known, None)
-    if max_requests is None and shared_folder(known.sparkSession):
-        max_requests = known.count()
-    positions, lookthroughs = inflate_requests(known, types, [SPEC])
-    labels = views.all_labels
-    positions = normalize(positions, labels, POSITIONS)
-    lookthroughs = normalize(lookthroughs, labels, LOOKTHROUGHS)
-    if reference is not None:
-        positions, lookthroughs = attach_reference(positions, lookthroughs, reference)
-    keep = [SPEC, *(carry or [])]
-    return RequestRun(known, run_views(positions, lookthroughs, views, keep, max_requests, reuse))
+    known = materialize_if_possible(with_specs(distinct_requests(requests)))
+    errors = materialize_if_possible(unreadable(known))
+    readable = known.join(errors, REQUEST, "left_anti")
+    blocks: list[tuple[DataFrame, ViewResult | None]] = []
+    for specs in spec_blocks(readable):
+        own = readable.where(F.col(SPEC).isin(list(specs)))
+        raw = inflate_requests(own, types, [SPEC])
+        missing = without_mandatory(*raw)
+        errors = errors.union(missing)
+        own = own.join(missing, REQUEST, "left_anti")
+        raw = tuple(frame.join(missing, REQUEST, "left_anti") for frame in raw)
+        sets, refused = [], []
+        for spec, request in specs.items():
+            try:
+                sets.append(_views(spec, request, book, modifiers, defaults))
+            except (ValueError, TypeError, AttributeError) as error:
+                refused.append((spec, str(error)))
+        frames = _prepared(raw, ViewSet.merge(sets).all_labels, reference)
+        fitting = []
+        for views in sets:
+            try:
+                _fits(views, [f for f in frames if f is not None])
+                fitting.append(views)
+            except ValueError as error:
+                refused.append((next(iter(views.labels)), str(error)))
+        if refused:
+            table = known.sparkSession.createDataFrame(refused, f"{SPEC} string, error string")
+            errors = errors.union(own.join(table, SPEC).select(REQUEST, "error"))
+            bad = [spec for spec, _ in refused]
+            own = own.where(~F.col(SPEC).isin(bad))
+            frames = _prepared(tuple(f.where(~F.col(SPEC).isin(bad)) for f in raw), ViewSet.merge(fitting).all_labels, reference)
+        views = ViewSet.merge(fitting)
+        result = run_views(*frames, views, [SPEC, *(carry or [])], reuse) if views.views else None
+        blocks.append((own, result))
+    return RequestRun(known, blocks, errors)
+
+
+def _prepared(raw: tuple[DataFrame, DataFrame], labels: list[str], reference: ReferenceTables | None):
+    raw = tuple(f if "sub_portfolio_id" in map(str.lower, f.columns) else f.withColumn("sub_portfolio_id", F.lit(None).cast("long")) for f in raw)
+    positions, lookthroughs = normalize(raw[0], labels, POSITIONS), normalize(raw[1], labels, LOOKTHROUGHS)
+    return (positions, lookthroughs) if reference is None else attach_reference(positions, lookthroughs, reference)

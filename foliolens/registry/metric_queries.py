@@ -30,7 +30,7 @@ CARRY = ["initial_shares", "resulting_shares", "trade_type_id"]
 
 def result(spark, folder, *modifiers: str):
     return run_views(
-        positions(spark, folder), lookthroughs(spark, folder), views(*modifiers), carry=CARRY, max_requests=1
+        positions(spark, folder), lookthroughs(spark, folder), views(*modifiers), carry=CARRY
     )
 
 
@@ -189,7 +189,7 @@ def _asset_totals(spark, folder):
 def _values_scaled(spark, folder):
     r = result(spark, folder, HOLD)
     rows = value_columns(
-        grouped_exposures(r.positions, r.lookthroughs, "no"), _asset_totals(spark, folder), r.all_scale_factors, 3
+        grouped_exposures(r.positions, r.lookthroughs, "no"), _asset_totals(spark, folder), r.all_scale_factors
     )
     return rows.groupBy(*VIEW_KEYS).agg(*[F.round(F.sum(f"{m}V"), 3).alias(f"{m}V") for m in METRICS])
 
@@ -234,7 +234,7 @@ FROM mass m JOIN tot USING (container) GROUP BY pid""",
 
 def _normalized(spark, folder):
     r = result(spark, folder)
-    rows = normalize_columns(value_columns(grouped_exposures(r.positions, r.lookthroughs, "essential")), 3)
+    rows = normalize_columns(value_columns(grouped_exposures(r.positions, r.lookthroughs, "essential")))
     return _rounded(
         rows.select(*VIEW_KEYS, "instrument_id", "parent_instrument_id", "sub_portfolio_id", *METRIC_COLUMNS)
     )
@@ -323,7 +323,7 @@ QUERIES["M-07_active_weights"] = (
 def _all_levels(spark, folder):
     """All metrics of all levels and views, with rescaled holdings."""
     r = result(spark, folder)
-    rows = all_levels(r.positions, r.lookthroughs, scale_holdings=True, factors=r.all_scale_factors, max_views=3)
+    rows = all_levels(r.positions, r.lookthroughs, scale_holdings=True, factors=r.all_scale_factors)
     columns = [*METRIC_COLUMNS, *ACTIVE, *[f"{a}V" for a in ACTIVE]]
     return _rounded(
         rows.select("level", *VIEW_KEYS, "instrument_id", "parent_instrument_id", "sub_portfolio_id", *columns)

@@ -89,8 +89,8 @@ def _nested(spark, folder):
     """Nested maps, unfolded to rows; children are reduced to unique identifiers."""
     lt = lookthroughs(spark, folder)
     unique = lt.groupBy("identifier").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("identifier")
-    result = run_views(positions(spark, folder), lt.join(unique, "identifier"), views(), max_requests=1)
-    rows = nested_result(result, part_rows=2000)
+    result = run_views(positions(spark, folder), lt.join(unique, "identifier"), views())
+    rows = nested_result(result, parts=25)
     return (
         rows.select("perspective_id", "container", "section", F.explode("rows").alias("identifier", "weights"))
         .select("perspective_id", "container", "section", "identifier", F.explode("weights").alias("label", "weight"))
@@ -117,8 +117,8 @@ QUERIES["R-03_nested_result"] = (_nested, _nested_sql())
 
 def _flat(spark, folder):
     """Columnar arrays, unfolded to rows."""
-    result = run_views(positions(spark, folder), None, views(), max_requests=1)
-    rows = flat_result(result, part_rows=2000)
+    result = run_views(positions(spark, folder), None, views())
+    rows = flat_result(result, parts=25)
     return rows.select(
         "perspective_id",
         "container",
@@ -214,8 +214,8 @@ FROM x GROUP BY request_id""",
 
 def _round_trip(spark, folder):
     """Columnar responses read as columnar requests again."""
-    result = run_views(positions(spark, folder), None, views(), max_requests=1)
-    flat = flat_result(result, part_rows=2000).where("container = 'holding'")
+    result = run_views(positions(spark, folder), None, views())
+    flat = flat_result(result, parts=25).where("container = 'holding'")
     arrays = "'\"identifier\":', to_json(identifiers), ',\"initial_weight\":', to_json(initial_weight)"
     text = f"concat('{{\"holding\":{{\"positions\":{{', {arrays}, '}}}}}}')"
     requests = flat.selectExpr(

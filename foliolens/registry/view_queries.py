@@ -11,6 +11,7 @@ from foliolens.operators.reference import ReferenceTables, attach_reference
 from foliolens.operators.rescale import group_masses, matching_parents, raw_totals
 from foliolens.operators.scale_factors import scale_factors_from_result
 from foliolens.model import Modifier
+from foliolens.operators.skew import join_groups
 from foliolens.plans.modifiers import DEFAULT_MODIFIERS
 from foliolens.plans.pipeline import run_views
 from foliolens.registry.inputs import (
@@ -97,7 +98,7 @@ SHORT = {
 
 
 def main(spark, folder, *modifiers: str):
-    return run_views(positions(spark, folder), lookthroughs(spark, folder), views(*modifiers), max_requests=1)
+    return run_views(positions(spark, folder), lookthroughs(spark, folder), views(*modifiers))
 
 
 def kept_summary(rows: DataFrame) -> DataFrame:
@@ -127,7 +128,7 @@ def _rules(rules: list[dict], names: list[str] | None = None, modifiers: dict[st
 
     def run(spark, folder):
         vs = view_set({"main": {"-1": names or []}}, {"-1": {"rules": rules}}, modifiers=modifiers)
-        return kept_summary(both(run_views(positions(spark, folder), lookthroughs(spark, folder), vs, max_requests=1)))
+        return kept_summary(both(run_views(positions(spark, folder), lookthroughs(spark, folder), vs)))
 
     return run
 
@@ -348,7 +349,7 @@ def references(spark, folder) -> ReferenceTables:
 def _accrual(spark, folder):
     pos, lt = attach_reference(positions(spark, folder), lookthroughs(spark, folder), references(spark, folder))
     vs = view_set({"main": {"-1": ["exclude_other_net_assets_excl_investment_grade_accrual"]}})
-    return kept_summary(both(run_views(pos, lt, vs, max_requests=1)))
+    return kept_summary(both(run_views(pos, lt, vs)))
 
 
 QUERIES["MD-17_exclude_other_net_assets_excl_investment_grade_accrual"] = (
@@ -403,7 +404,7 @@ QUERIES["MD-21_default_and_overrides"] = (
 # --- lookthroughs and rescaling ---------------------------------------------
 
 
-def _sync(split):
+def _sync(keep_removed):
     def run(spark, folder):
         vs = views()
         carry = ["initial_weight"]
@@ -411,7 +412,7 @@ def _sync(split):
         lt_eval = evaluate(lookthroughs(spark, folder), vs, carry)
         from foliolens.operators.factors import explode_views
 
-        rows = sync_lookthroughs(lt_eval, pos_eval, vs, split)
+        rows = sync_lookthroughs(lt_eval, pos_eval, vs, keep_removed)
         columns = ["container", "record_type", "sub_portfolio_id", "instrument_id", "initial_weight"]
         return kept_summary(explode_views(rows, vs, columns))
 
@@ -425,7 +426,7 @@ def _sync_rows(spark, folder):
 
 
 SYNC_SQL = with_tables(kept_sql("SELECT * FROM kl"), KEPT)
-QUERIES["L-01_sync_lookthroughs"] = (_sync(None), SYNC_SQL)
+QUERIES["L-01_sync_lookthroughs"] = (_sync(False), SYNC_SQL)
 QUERIES["L-01_sync_hot_parents_salted"] = (_sync(True), SYNC_SQL)
 QUERIES["L-01_sync_factor_rows"] = (_sync_rows, SYNC_SQL)
 
@@ -580,7 +581,7 @@ QUERIES["A-08_scale_factors_from_result"] = (_scale_factors_again, _sf_sql())
 
 def _default_factors(spark, folder):
     vs = view_set({"main": {"-1": [HOLD], "-2": [], "-3": []}}, CRITERIA_RULES)
-    result = run_views(positions(spark, folder), lookthroughs(spark, folder), vs, max_requests=1)
+    result = run_views(positions(spark, folder), lookthroughs(spark, folder), vs)
     rows = result.all_scale_factors
     return rows.select(*SF_COLUMNS, F.round("scale_factor", 9).alias("scale_factor"))
 
@@ -599,7 +600,7 @@ def _with_subtypes(spark, folder):
 
 def _rescale_lookthroughs(spark, folder):
     pos, lt = _with_subtypes(spark, folder)
-    rows = run_views(pos, lt, views(LOOK), max_requests=1).lookthroughs
+    rows = run_views(pos, lt, views(LOOK)).lookthroughs
     return rows.groupBy("config", "perspective_id", "container", "record_type", "sub_portfolio_id").agg(
         F.count(F.lit(1)).alias("kept"), F.round(F.sum(out("weight")), 9).alias("weight")
     )
@@ -609,7 +610,7 @@ def _rescale_all_lookthroughs(spark, folder):
     """Without a criterion all parents match."""
     every = {LOOK: Modifier(LOOK, "Scaling")}
     vs = view_set({"main": {p: [LOOK] for p in CRITERIA_RULES}}, CRITERIA_RULES, modifiers=every)
-    rows = run_views(positions(spark, folder), lookthroughs(spark, folder), vs, max_requests=1).lookthroughs
+    rows = run_views(positions(spark, folder), lookthroughs(spark, folder), vs).lookthroughs
     return rows.groupBy("perspective_id", "container", "record_type", "parent_instrument_id", "sub_portfolio_id").agg(
         F.count(F.lit(1)).alias("kept"), F.round(F.sum(out("weight")), 9).alias("weight")
     )
@@ -679,10 +680,7 @@ def _window(spark, folder):
         rows.groupBy("request_id", "simulated_trade_id")
         .agg(F.bool_or(F.col("trade_type_id").isin(1, 2) & (F.col("weight") > 10)).alias("passes"))
     )
-    from foliolens.operators.skew import join_salted
-    from foliolens.schema import INT_NULL
-
-    flagged = join_salted(rows, passing, ["request_id", "simulated_trade_id"], F.col("simulated_trade_id") == INT_NULL)
+    flagged = join_groups(rows, passing, ["request_id", "simulated_trade_id"])
     return flagged.select("identifier", "simulated_trade_id", F.coalesce("passes", F.lit(False)).alias("passes"))
 
 
@@ -698,7 +696,7 @@ QUERIES["W-01_group_flag"] = (
 def flagship(spark, folder) -> DataFrame:
     """Filter rule, scaling rule and rescale to 100 percent over positions and children."""
     vs = view_set({"main": {"-1": [HOLD]}}, {"-1": CRITERIA_RULES["-1"]})
-    rows = run_views(positions(spark, folder), lookthroughs(spark, folder), vs, max_requests=1).positions
+    rows = run_views(positions(spark, folder), lookthroughs(spark, folder), vs).positions
     return rows.select(
         "config",
         "perspective_id",

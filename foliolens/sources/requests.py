@@ -54,7 +54,7 @@ def request_sections(requests: DataFrame, extra: list[str] | None = None) -> Dat
     are the objects whose name contains ``lookthrough``.
     """
     keep = [REQUEST, *(extra or [])]
-    parsed = requests.select(*keep, F.expr("parse_json(request)").alias("_request"))
+    parsed = requests.select(*keep, F.expr("try_parse_json(request)").alias("_request"))
     containers = _unfold(parsed, "_request", keep, "container", "_container").where(
         "schema_of_variant(_container) LIKE 'OBJECT%' "
         "AND (variant_get(_container, '$.positions', 'variant') IS NOT NULL)"

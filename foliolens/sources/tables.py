@@ -8,28 +8,10 @@ from foliolens.model import Labels
 from foliolens.schema import LOOKTHROUGHS, POSITIONS
 
 
-WORTH_SPREADING = 1 << 20
-
-
-def stored_bytes(spark: SparkSession, path: str) -> int:
-    """Size of a stored table, as its file system reports it."""
-    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return files.getContentSummary(location).getLength()
-
-
 def read_table(spark: SparkSession, path: str, kind: str = "parquet", schema: str | None = None) -> DataFrame:
-    """A stored table, spread over the cores when it has too few pieces to use them.
-
-    A table of one small file would be evaluated by one task; large tables have
-    more pieces than cores and are read as they are, tiny ones are not worth it.
-    """
+    """A stored table. How its files become tasks is up to ``spark.sql.files.*``."""
     reader = spark.read.format(kind)
-    df = (reader.schema(schema) if schema else reader).load(path)
-    if stored_bytes(spark, path) < WORTH_SPREADING:
-        return df
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return (reader.schema(schema) if schema else reader).load(path)
 
 
 def read_database_table(

@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from foliolens.plans.requests import process_requests
+from foliolens.schema import REQUEST
 
 
 def write_responses(requests: DataFrame, path: str, **options) -> None:
-    """Response documents of a batch; running it again replaces its files."""
+    """Response documents of a batch; running it again replaces its files.
+
+    Refused requests have a row with an ``error`` in place of a document.
+    """
     run = process_requests(requests, **options)
-    run.documents().write.mode("overwrite").parquet(path)
+    refused = run.errors.select(REQUEST, F.lit(0).alias("part"), F.lit(None).cast("string").alias("document"), "error")
+    answered = run.documents().withColumn("error", F.lit(None).cast("string"))
+    answered.unionByName(refused).write.mode("overwrite").parquet(path)
 
 
 def process_stream(

@@ -1,161 +1,137 @@
-"""Scenario tables with known results, each table evaluated as views of one run."""
+"""Views over generated tables, for every combination of settings, against a plain model."""
 
 from __future__ import annotations
 
+import itertools
+import random
+
 import pytest
 
 from foliolens import Modifier, ViewSet, custom_rules, process_tables
 from foliolens.registry.inputs import rule, test as crit  # noqa: F401
 from tests.conftest import table
 
-FLAGS = "exclude_me boolean, save_me boolean, filter_a boolean, filter_b boolean, scale_a boolean, scale_b boolean"
-POSITION = f"container string, record_type string, identifier string, instrument_id bigint, sub_portfolio_id bigint, initial_weight double, {FLAGS}"
-CHILD = POSITION + ", parent_instrument_id bigint, weight double"
 HOLD = "scale_holdings_to_100_percent"
 LOOK = "scale_lookthroughs_to_100_percent"
+SECTIONS = ("essential_lookthroughs", "complete_lookthroughs")
+COLUMNS = "container string, record_type string, identifier string, instrument_id bigint, sub_portfolio_id bigint, mass double, barred boolean, spared boolean, grade bigint, tier bigint"
+CHILD_COLUMNS = COLUMNS + ", parent_instrument_id bigint, part double"
 
 
 def is_true(name):
     return crit(name, "==", True)
 
 
-def row(i, initial, flags, **more):
-    names = ["exclude_me", "save_me", "filter_a", "filter_b", "scale_a", "scale_b"]
-    base = {"container": "holding", "record_type": "positions", "identifier": f"pos_{i}", "instrument_id": i,
-            "sub_portfolio_id": 100, "initial_weight": initial, **dict(zip(names, [f == "T" for f in flags]))}
-    return base | more
-
-
-POSITIONS = [row(1, 0.30, "TFTFTF"), row(2, 0.25, "FTFTFT"), row(3, 0.25, "FFTTTT"), row(4, 0.20, "FFFFFF")]
-CHILDREN = [
-    row(10 + p, 0.0, "FFTTFF", identifier=f"elt_{p}", record_type="essential_lookthroughs", parent_instrument_id=p, weight=0.5)
-    for p in (2, 3)
-]
-A, B = rule(is_true("filter_a")), rule(is_true("filter_b"))
-A_OR = rule(is_true("filter_a"), link="or")
-SA, SB = rule(is_true("scale_a"), percent=70), rule(is_true("scale_b"), percent=80)
-MODIFIERS = {
-    "pre": Modifier("pre", "PreProcessing", is_true("exclude_me")),
-    "post_or": Modifier("post_or", "PostProcessing", is_true("save_me"), "both", "or"),
-    "post_and": Modifier("post_and", "PostProcessing", is_true("save_me"), "both", "and"),
-    HOLD: Modifier(HOLD, "Scaling"),
-}
-# scenario: (rules, modifiers, kept output weights, scale factor)
-SCENARIOS = {
-    "baseline": ([], [], {1: 0.3, 2: 0.25, 3: 0.25, 4: 0.2}, 1),
-    "preprocess_only": ([], ["pre"], {2: 0.25, 3: 0.25, 4: 0.2}, 1),
-    "filter_a_only": ([A], [], {1: 0.3, 3: 0.25}, 1),
-    "filter_b_only": ([B], [], {2: 0.25, 3: 0.25}, 1),
-    "filters_and": ([A, B], [], {3: 0.25}, 1),
-    "filters_or": ([A_OR, B], [], {1: 0.3, 2: 0.25, 3: 0.25}, 1),
-    "preprocess_filter_a": ([A], ["pre"], {3: 0.25}, 1),
-    "postprocess_or_with_filter": ([A], ["post_or"], {1: 0.3, 2: 0.25, 3: 0.25}, 1),
-    "postprocess_and_with_filter": ([A], ["post_and"], {}, 1),
-    "pre_filter_post_or": ([A], ["pre", "post_or"], {2: 0.25, 3: 0.25}, 1),
-    "pre_filter_post_and": ([A], ["pre", "post_and"], {}, 1),
-    "scale_a_only": ([SA], [], {1: 0.21, 2: 0.25, 3: 0.175, 4: 0.2}, 1),
-    "scale_b_only": ([SB], [], {1: 0.3, 2: 0.2, 3: 0.2, 4: 0.2}, 1),
-    "scale_a_and_b": ([SA, SB], [], {1: 0.21, 2: 0.2, 3: 0.14, 4: 0.2}, 1),
-    "filter_a_scale_a": ([A, SA], [], {1: 0.21, 3: 0.175}, 1),
-    "filter_rescale": ([A], [HOLD], {1: 0.545455, 3: 0.454545}, 0.55),
-    "full_pipeline": ([A, SA], ["pre", "post_or", HOLD], {2: 0.588235, 3: 0.411765}, 0.425),
-    "complex_filters_or_scales": ([A_OR, B, SA, SB], [HOLD], {1: 0.381818, 2: 0.363636, 3: 0.254545}, 0.55),
-    "complex_restrictive": ([A, B, SA, SB], ["pre", "post_and", HOLD], {}, 1),
-}
-
-
-@pytest.fixture(scope="module")
-def modifier_run(spark):
-    numbers = {name: str(-i) for i, name in enumerate(SCENARIOS, 1)}
-    views = ViewSet.build(
-        {name: {numbers[name]: mods} for name, (_, mods, _, _) in SCENARIOS.items()},
-        {"holding": (["initial_weight"], ["weight"])},
-        custom_rules({numbers[n]: {"rules": rules} for n, (rules, _, _, _) in SCENARIOS.items()}),
-        MODIFIERS,
-        [],
-    )
-    result = process_tables(table(spark, POSITIONS, POSITION), table(spark, CHILDREN, CHILD), views)
-    kept, factors = {}, {}
-    for r in result.positions.collect():
-        kept.setdefault(r["config"], {})[r["instrument_id"]] = r["out_initial_weight"]
-    for r in result.all_scale_factors.collect():
-        factors[r["config"]] = r["scale_factor"]
-    children = {(r["config"], r["identifier"]) for r in result.lookthroughs.collect()}
-    return kept, factors, children
-
-
-@pytest.mark.parametrize("name", SCENARIOS)
-def test_modifier_scenarios(modifier_run, name):
-    kept, factors, children = modifier_run
-    _, _, expected, scale = SCENARIOS[name]
-    assert kept.get(name, {}) == pytest.approx(expected, abs=1e-6)
-    assert factors[name] == pytest.approx(scale, abs=1e-6)
-    assert {c for n, c in children if n == name} <= {f"elt_{p}" for p in expected}
-
-
-R_POSITION = "container string, record_type string, identifier string, instrument_id bigint, sub_portfolio_id bigint, initial_exposure_weight double, filter_out boolean, apply_scale boolean"
-R_CHILD = R_POSITION + ", parent_instrument_id bigint, weight double"
-
-
-def r_row(identifier, instrument, expo, out=False, scale=False, record_type="positions", **more):
-    return {"container": "holding", "record_type": record_type, "identifier": identifier, "instrument_id": instrument,
-            "sub_portfolio_id": 100, "initial_exposure_weight": expo, "filter_out": out, "apply_scale": scale} | more
-
-
-R_POSITIONS = [r_row("pos_1", 1, 0.4, out=True), r_row("pos_2", 2, 0.2, scale=True), r_row("pos_3", 3, 0.2)]
-R_CHILDREN = [
-    r_row("elt_1", 101, 0.10, record_type="essential_lookthroughs", parent_instrument_id=2, weight=0.5),
-    r_row("elt_2", 102, 0.05, record_type="essential_lookthroughs", parent_instrument_id=2, weight=0.25),
-    r_row("elt_3", 103, 0.05, record_type="essential_lookthroughs", parent_instrument_id=3, weight=0.25),
-    r_row("clt_1", 201, 0.02, record_type="complete_lookthroughs", parent_instrument_id=2, weight=0.10),
-]
-RESCALING = {
-    "----": ({1: 0.4, 2: 0.2, 3: 0.2}, 1), "F---": ({2: 0.2, 3: 0.2}, 1), "-S--": ({1: 0.4, 2: 0.1, 3: 0.2}, 1),
-    "--H-": ({1: 0.4, 2: 0.2, 3: 0.2}, 1), "---L": ({1: 0.4, 2: 0.2, 3: 0.2}, 1), "FS--": ({2: 0.1, 3: 0.2}, 1),
-    "F-H-": ({2: 1 / 3, 3: 1 / 3}, 0.6), "F--L": ({2: 0.2, 3: 0.2}, 1), "-SH-": ({1: 4 / 9, 2: 1 / 9, 3: 2 / 9}, 0.9),
-    "-S-L": ({1: 0.4, 2: 0.1, 3: 0.2}, 1), "--HL": ({1: 0.4, 2: 0.2, 3: 0.2}, 1), "FSH-": ({2: 0.2, 3: 0.4}, 0.5),
-    "FS-L": ({2: 0.1, 3: 0.2}, 1), "F-HL": ({2: 1 / 3, 3: 1 / 3}, 0.6), "-SHL": ({1: 4 / 9, 2: 1 / 9, 3: 2 / 9}, 0.9),
-    "FSHL": ({2: 0.2, 3: 0.4}, 0.5),
-}
-
-
-@pytest.fixture(scope="module")
-def rescaling_run(spark):
-    numbers = {name: str(-i) for i, name in enumerate(RESCALING, 1)}
-    rules = {
-        numbers[n]: {
-            "rules": [rule(crit("filter_out", "==", False))] * ("F" in n) + [rule(is_true("apply_scale"), percent=50)] * ("S" in n)
-        }
-        for n in RESCALING
-    }
-    every = {HOLD: Modifier(HOLD, "Scaling"), LOOK: Modifier(LOOK, "Scaling")}
+def made_tables(seed):
+    """Positions of two sub portfolios and children of some of them, with random attributes."""
+    rng = random.Random(seed)
+
+    def attributes(name, instrument, sub):
+        return {"container": "holding", "identifier": name, "instrument_id": instrument, "sub_portfolio_id": sub,
+                "mass": rng.randint(1, 64) / 128, "barred": rng.random() < 0.3, "spared": rng.random() < 0.4,
+                "grade": rng.randint(1, 4), "tier": rng.randint(1, 4)}
+
+    positions = [attributes(f"p{i}", i, i % 2) | {"record_type": "positions"} for i in range(9)]
+    children = []
+    for i in range(14):
+        parent = rng.randrange(11)  # some have no parent row
+        extra = {"record_type": SECTIONS[i % 3 == 0], "parent_instrument_id": parent, "part": rng.randint(1, 32) / 32}
+        children.append(attributes(f"c{i}", 100 + i, parent % 2) | extra)
+    return positions, children
+
+
+# Each axis: what a view may have, by name.
+RULES = {
+    "none": [], "grade": ["grade"], "grade and tier": ["grade", "tier"], "grade or tier": ["grade/or", "tier"],
+}
+SCALES = {"plain": [], "halved": ["half"], "twice scaled": ["half", "fifth"]}
+MODIFIERS = [(), ("bar",), ("spare",), ("insist",), ("bar", "spare")]
+FLAGS = [(), (HOLD,), (LOOK,), (HOLD, LOOK)]
+VIEWS = list(itertools.product(RULES, SCALES, MODIFIERS, FLAGS))
+TESTS = {"grade": lambda r: r["grade"] > 2, "tier": lambda r: r["tier"] <= 2, "half": lambda r: r["grade"] % 2 == 1, "fifth": lambda r: r["tier"] == 3}
+WRITTEN = {
+    "grade": rule(crit("grade", ">", 2)), "grade/or": rule(crit("grade", ">", 2), link="or"), "tier": rule(crit("tier", "<=", 2)),
+    "half": rule(crit("grade", "In", [1, 3]), percent=50), "fifth": rule(crit("tier", "==", 3), percent=20),
+}
+
+
+def passes(row, rules, modifiers):
+    outcomes = [TESTS[r.split("/")[0]](row) for r in RULES[rules]]
+    kept = (any if "or" in rules else all)(outcomes) if outcomes else True
+    if "spare" in modifiers:
+        kept = kept or row["spared"]
+    if "insist" in modifiers:
+        kept = kept and row["spared"]
+    return kept and not ("bar" in modifiers and row["barred"])
+
+
+def factor(row, scales):
+    found = 1.0
+    for name, size in (("half", 0.5), ("fifth", 0.2)):
+        if name in SCALES[scales] and TESTS[name](row):
+            found *= size
+    return found
+
+
+def model(positions, children, view):
+    """Output masses, output parts and the scale factor of one view."""
+    rules, scales, modifiers, flags = view
+    left = {p["identifier"]: (p, factor(p, scales)) for p in positions if passes(p, rules, modifiers)}
+    parents = {(p["instrument_id"], p["sub_portfolio_id"]) for p, _ in left.values()}
+    kids = {c["identifier"]: (c, factor(c, scales)) for c in children if passes(c, rules, modifiers) and (c["parent_instrument_id"], c["sub_portfolio_id"]) in parents}
+    share = 1.0
+    out = {i: p["mass"] * f for i, (p, f) in left.items()}
+    if HOLD in flags:
+        essential = [(c, f) for c, f in kids.values() if c["record_type"] == SECTIONS[0]]
+        mass = sum(out.values()) + sum(c["mass"] * f for c, f in essential)
+        raw = sum(p["mass"] for p in positions) + sum(c["mass"] for c in children if c["record_type"] == SECTIONS[0])
+        if mass:
+            out, share = {i: m / mass for i, m in out.items()}, mass / raw
+    parts = {i: c["part"] * f for i, (c, f) in kids.items()}
+    if LOOK in flags:
+        group = lambda c: (c["parent_instrument_id"], c["sub_portfolio_id"], c["record_type"])
+        sums = {}
+        for c, f in kids.values():
+            sums[group(c)] = sums.get(group(c), 0.0) + c["part"] * f
+        parts = {i: c["part"] * f / sums[group(c)] for i, (c, f) in kids.items()}
+    return out, parts, share
+
+
+@pytest.fixture(scope="module", params=[11, 12])
+def lattice(request, spark):
+    positions, children = made_tables(request.param)
+    catalogue = {
+        "bar": Modifier("bar", "PreProcessing", is_true("barred")),
+        "spare": Modifier("spare", "PostProcessing", is_true("spared"), "both", "or"),
+        "insist": Modifier("insist", "PostProcessing", is_true("spared"), "both", "and"),
+        HOLD: Modifier(HOLD, "Scaling"), LOOK: Modifier(LOOK, "Scaling"),
+    }
+    numbers = [str(-n) for n in range(1, len(VIEWS) + 1)]
+    written = [[WRITTEN[x] for x in [*RULES[r], *SCALES[s]]] for r, s, _, _ in VIEWS]
     views = ViewSet.build(
-        {n: {numbers[n]: [HOLD] * ("H" in n) + [LOOK] * ("L" in n)} for n in RESCALING},
-        {"holding": (["initial_exposure_weight"], ["weight"])},
-        custom_rules(rules),
-        every,
+        {"c": {n: [*mods, *flags] for n, (_, _, mods, flags) in zip(numbers, VIEWS, strict=True)}},
+        {"holding": (["mass"], ["part"])},
+        custom_rules({n: {"rules": rules} for n, rules in zip(numbers, written, strict=True)}),
+        catalogue,
         [],
     )
-    result = process_tables(table(spark, R_POSITIONS, R_POSITION), table(spark, R_CHILDREN, R_CHILD), views)
-    positions, children, factors = {}, {}, {}
-    for r in result.positions.collect():
-        positions.setdefault(r["config"], {})[r["instrument_id"]] = r["out_initial_exposure_weight"]
-    for r in result.lookthroughs.collect():
-        children.setdefault(r["config"], {})[r["identifier"]] = r["out_weight"]
+    result = process_tables(table(spark, positions, COLUMNS), table(spark, children, CHILD_COLUMNS), views)
+    found = {i: ({}, {}, {}) for i in range(len(VIEWS))}
+    for frame, slot, column in ((result.positions, 0, "out_mass"), (result.lookthroughs, 1, "out_part")):
+        for r in frame.collect():
+            found[-r["perspective_id"] - 1][slot][r["identifier"]] = r[column]
     for r in result.all_scale_factors.collect():
-        factors[r["config"]] = r["scale_factor"]
-    return positions, children, factors
+        found[-r["perspective_id"] - 1][2][r["weight_label"]] = r["scale_factor"]
+    return positions, children, found
 
 
-@pytest.mark.parametrize("name", RESCALING)
-def test_rescaling_scenarios(rescaling_run, name):
-    positions, children, factors = rescaling_run
-    expected, scale = RESCALING[name]
-    assert positions[name] == pytest.approx(expected, abs=1e-6)
-    assert factors[name] == pytest.approx(scale, abs=1e-6)
-    raw = {"elt_1": 0.5, "elt_2": 0.25, "elt_3": 0.25, "clt_1": 0.1}
-    rescaled = {"elt_1": 2 / 3, "elt_2": 1 / 3, "elt_3": 1.0, "clt_1": 1.0}
-    assert children[name] == pytest.approx(rescaled if "L" in name else raw, abs=1e-6)
+def test_every_combination(lattice):
+    positions, children, found = lattice
+    for i, view in enumerate(VIEWS):
+        masses, parts, share = model(positions, children, view)
+        assert found[i][0] == pytest.approx(masses), view
+        assert found[i][1] == pytest.approx(parts), view
+        assert found[i][2] == pytest.approx({"mass": share}), view
 
 
 S_POSITION = "container string, identifier string, instrument_id bigint, sub_portfolio_id bigint, simulated_trade_id bigint, initial_weight double, gone boolean, passes boolean"
@@ -215,7 +191,6 @@ def test_sync_per_sub_portfolio_and_orphans(spark):
     )
     positions = [p("pos_1", 1, 100, False), p("pos_2", 1, 200, True), p("pos_3", 2, 100, True), p("dup", 1, 200, False)]
     children = [c("elt_1", 1, 100), c("elt_2", 1, 200), c("orphan", 7, 100)]
-    for split in (None, True):
-        result = process_tables(table(spark, positions, S_POSITION), table(spark, children, S_CHILD), views, split=split)
-        assert {r["identifier"] for r in result.positions.collect()} == {"pos_2", "pos_3"}
-        assert {r["identifier"] for r in result.lookthroughs.collect()} == {"elt_2"}
+    result = process_tables(table(spark, positions, S_POSITION), table(spark, children, S_CHILD), views)
+    assert {r["identifier"] for r in result.positions.collect()} == {"pos_2", "pos_3"}
+    assert {r["identifier"] for r in result.lookthroughs.collect()} == {"elt_2"}

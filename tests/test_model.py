@@ -70,14 +70,59 @@ def test_container_labels_fall_back():
     assert container_labels(request) == {"holding": (["w"], ["l"]), "reference": (["a", "b"], ["l"])}
 
 
-def test_values():
-    assert membership_values("('USD','EUR')") == ["USD", "EUR"]
-    assert membership_values("[4,-8, 9]") == [4, -8, 9]
-    assert membership_values(3) == [3]
-    assert range_bounds("fncriteria:1:2.5") == [1.0, 2.5]
-    assert range_bounds([1]) == [0, 0]
+@pytest.mark.parametrize(
+    "sent, items",
+    [
+        ("( 'north' , \"south\",east )", ["north", "south", "east"]),
+        ("[-17,  230,5.5]", [-17, 230, "5.5"]),
+        ("'012'", [12]),
+        ("north by west, 7", ["north by west", 7]),
+        ("", [""]),
+        (["as", "is"], ["as", "is"]),
+        (False, [False]),
+        (None, [None]),
+    ],
+)
+def test_listed_items(sent, items):
+    assert membership_values(sent) == items
+
+
+@pytest.mark.parametrize(
+    "sent, bounds",
+    [
+        ("fncriteria:-3:12.75", [-3.0, 12.75]),
+        ("fncriteria:2031-01-01:2031-06-30", ["2031-01-01", "2031-06-30"]),
+        ([5, 9], [5, 9]),
+        ([5, 9, 11], [0, 0]),
+        ("five to nine", [0, 0]),
+        (None, [0, 0]),
+    ],
+)
+def test_ranges(sent, bounds):
+    assert range_bounds(sent) == bounds
+
+
+def test_range_without_second_bound():
     with pytest.raises(ValueError):
-        range_bounds("fncriteria:1")
+        range_bounds("fncriteria:8")
+
+
+@pytest.mark.parametrize(
+    "pattern, hits",
+    [
+        ("%ell%", ["Hello", "ell"]),
+        ("hel%", ["Hello", "help"]),
+        ("%LO", ["Hello"]),
+        ("'help'", ["help"]),
+        ("h_l%", []),
+        ("%", ["Hello", "ell", "help", ""]),
+    ],
+)
+def test_patterns(spark, pattern, hits):
+    df = spark.createDataFrame([("Hello",), ("ell",), ("help",), ("",), (None,)], "s string")
+    assert [r["s"] for r in where_criteria(df, crit("s", "Like", pattern)).collect()] == hits
+    missed = [r["s"] for r in where_criteria(df, crit("s", "NotLike", pattern)).collect()]
+    assert len(missed) == 5 - len(hits)
 
 
 SCHEMA = T.StructType(

@@ -12,7 +12,6 @@ from foliolens.operators.factors import evaluate, factors
 from foliolens.operators.lookthrough import parent_masks, sync_lookthroughs
 from foliolens.operators.metrics import exposure_metrics, group_exposures, grouped_exposures
 from foliolens.operators.output import write_colocated
-from foliolens.operators.skew import hot_keys, join_salted
 from foliolens.plans.pipeline import run_views
 from foliolens.registry.audit_queries import _attributed
 from foliolens.registry.inputs import lookthroughs, positions, rule, test as crit, view_set
@@ -47,7 +46,7 @@ def test_number_of_scans_does_not_grow_with_views(spark):
     def scans(n):
         rules = {str(-i): {"rules": [rule(crit("trade_type_id", "<=", i % 5 + 1))]} for i in range(1, n + 1)}
         vs = view_set({"main": {p: [HOLD] for p in rules}}, rules)
-        result = run_views(positions(spark, SF), lookthroughs(spark, SF), vs, max_requests=1, reuse="plan")
+        result = run_views(positions(spark, SF), lookthroughs(spark, SF), vs, reuse="plan")
         return plan(result.positions).split("== Physical Plan ==")[-1].count("FileScan parquet")
 
     assert scans(2) == scans(70)
@@ -56,7 +55,7 @@ def test_number_of_scans_does_not_grow_with_views(spark):
 def test_more_views_than_one_mask_word(spark):
     rules = {str(-i): {"rules": [rule(crit("liquidity_type_id", "==", i % 9))]} for i in range(1, 131)}
     vs = view_set({"main": {p: [HOLD] for p in rules}}, rules)
-    result = run_views(positions(spark, SF), lookthroughs(spark, SF), vs, max_requests=1)
+    result = run_views(positions(spark, SF), lookthroughs(spark, SF), vs)
     found = {r["perspective_id"]: r["n"] for r in result.positions.groupBy("perspective_id").agg(F.count("*").alias("n")).collect()}
     raw = {r["liquidity_type_id"]: r["n"] for r in positions(spark, SF).groupBy("liquidity_type_id").agg(F.count("*").alias("n")).collect()}
     assert found == {-i: raw[i % 9] for i in range(1, 131) if i % 9}
@@ -69,15 +68,14 @@ def test_rank_limit_runs_before_the_shuffle(spark):
     assert "WindowGroupLimit" in text
 
 
-def test_unknown_number_of_requests_is_not_broadcast(spark):
+def test_plans_without_any_broadcast_give_the_same(spark):
+    columns = ["perspective_id", "identifier", "out_initial_weight"]
+    usual = rows(run_views(positions(spark, SF), None, views(HOLD), reuse="plan").positions, *columns)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         result = run_views(positions(spark, SF), None, views(HOLD), reuse="plan")
-        bounded = run_views(positions(spark, SF), None, views(HOLD), max_requests=1, reuse="plan")
-        assert "BroadcastHashJoin" not in plan(result.positions) and "_salt" in plan(result.positions)
-        assert "BroadcastHashJoin" in plan(bounded.positions)
-        columns = ["perspective_id", "identifier", "out_initial_weight"]
-        assert rows(result.positions, *columns) == rows(bounded.positions, *columns)
+        assert "BroadcastHashJoin" not in plan(result.positions)
+        assert rows(result.positions, *columns) == usual
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
@@ -96,31 +94,19 @@ def skewed(spark):
     return pos.unionByName(again).unionByName(again), lt
 
 
-def test_hot_parents_are_found_and_salted(spark):
+def test_both_ways_to_keep_children_in_step(spark):
     pos, lt = skewed(spark)
-    keys = ["request_id", "container", "parent_instrument_id", "sub_portfolio_id"]
-    assert hot_keys(lt, keys).count() == 1
     vs = views()
     pos_eval, lt_eval = evaluate(pos, vs, ["weight"]), evaluate(lt, vs, ["weight"])
     columns = ["identifier", "instrument_id", "_m0"]
-    assert rows(sync_lookthroughs(lt_eval, pos_eval, vs, True), *columns) == rows(
-        sync_lookthroughs(lt_eval, pos_eval, vs, False), *columns
-    )
-    text = plan(sync_lookthroughs(lt_eval, pos_eval, vs, True))
-    assert "_salt" in text and "CartesianProduct" not in text
-
-
-def test_salted_rows_spread(spark):
-    pos, lt = skewed(spark)
-    parents = parent_masks(evaluate(pos, views(), []), views())
-    keys = ["request_id", "container", "parent_instrument_id", "sub_portfolio_id"]
-    joined = join_salted(lt, parents, keys, F.lit(True))
-    assert joined.count() == lt.count()
+    kept = sync_lookthroughs(lt_eval, pos_eval, vs, keep_removed=True).where("_m0 <> 0")
+    assert rows(sync_lookthroughs(lt_eval, pos_eval, vs), *columns) == rows(kept, *columns)
+    assert "CartesianProduct" not in plan(sync_lookthroughs(lt_eval, pos_eval, vs))
 
 
 def test_presummed_metrics_equal_row_level_metrics_with_duplicates(spark):
     pos, lt = skewed(spark)
-    r = run_views(pos, lt, views(), carry=["initial_shares"], max_requests=1)
+    r = run_views(pos, lt, views(), carry=["initial_shares"])
     for level in ("no", "essential", "complete"):
         direct = group_exposures(exposure_metrics(r.positions, r.lookthroughs, level))
         columns = sorted(direct.columns)
@@ -144,14 +130,14 @@ def test_group_saviour_with_a_huge_group_of_missing_keys(spark):
     expected = sorted(r["identifier"] for r in data if r["simulated_trade_id"] in passing)
     assert sorted(r["identifier"] for r in factors(pos, vs).select("identifier").collect()) == expected
     text = plan(factors(pos, vs))
-    assert "_salt" in text
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
 def test_stored_and_recomputed_frames_agree(spark):
     columns = ["perspective_id", "identifier", "instrument_id", "factor", "out_weight"]
     pos, lt = positions(spark, SF), lookthroughs(spark, SF)
-    one = run_views(pos, lt, views(HOLD), max_requests=1, reuse="plan")
-    two = run_views(pos, lt, views(HOLD), max_requests=1, reuse="all")
+    one = run_views(pos, lt, views(HOLD), reuse="plan")
+    two = run_views(pos, lt, views(HOLD), reuse="all")
     assert rows(one.positions, *columns) == rows(two.positions, *columns)
     assert rows(one.lookthroughs, *columns) == rows(two.lookthroughs, *columns)
     with pytest.raises(ValueError, match="reuse"):

@@ -9,8 +9,6 @@ from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
-# Built from JSON texts or by a stream: these run beside their SQL in the larger check only.
-SLOW = {"R-03_json_documents", "R-05_columnar_documents", "A-11_factors_in_documents"}
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +16,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     df = QUERIES[name](spark, SF)
     if name in SQL:
