@@ -56,6 +56,7 @@ CASES: dict[str, tuple[dict, str, bool]] = {
     "P-15_like_prefix": (test(P, "Like", "4-not%"), "COALESCE(starts_with(lower(priority), '4-not'), FALSE)", False),
     "P-15_like_suffix": (test(P, "Like", "%um"), "COALESCE(ends_with(lower(priority), 'um'), FALSE)", False),
     "P-15_like_exact": (test(P, "Like", "5_low"), "COALESCE(lower(priority) = '5_low', FALSE)", False),
+    "P-15_like_exact_hit": (test(P, "Like", "'5-LOW'"), "COALESCE(lower(priority) = '5-low', FALSE)", False),
     "P-16_not_like": (test(P, "NotLike", "%GEN%"), "COALESCE(NOT contains(lower(priority), 'gen'), TRUE)", False),
     "P-20_nested_default": (
         test("asset_allocation_id", "In", {"table_name": "t", "column": "c", "operator_type": "==", "value": 1}),

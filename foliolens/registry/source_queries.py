@@ -31,6 +31,7 @@ from foliolens.registry.inputs import (
     positions,
     with_tables,
 )
+from foliolens.schema import CONTAINERS
 from foliolens.sources.requests import columnar_types, read_columnar_requests, read_requests, request_sections
 from foliolens.sources.rules import read_perspectives
 from foliolens.sources.tables import from_tables, union_containers
@@ -136,8 +137,9 @@ def _read_requests(spark, folder):
 
 def _read_requests_inferred(spark, folder):
     """Attribute types found by a pass over the requests."""
-    pos, _ = read_requests(json_requests(spark, folder))
-    return pos.select("request_id", "container", "identifier", *PLAIN)
+    pos, lt = read_requests(json_requests(spark, folder))
+    columns = ["request_id", "container", "record_type", "identifier", *PLAIN]
+    return pos.select(*columns).unionByName(lt.select(*columns))
 
 
 def _read_columnar(spark, folder):
@@ -158,7 +160,10 @@ QUERIES = {
     ),
     "S-01_read_requests_inferred": (
         _read_requests_inferred,
-        f"WITH {RAW} SELECT {BLOCK} AS request_id, container, identifier, {', '.join(PLAIN)} FROM raw_pos",
+        f"WITH {RAW}, {CHILDREN} SELECT {BLOCK} AS request_id, container, record_type, identifier, "
+        f"{', '.join(PLAIN)} FROM raw_pos UNION ALL "
+        "SELECT 'r' || (parent_instrument_id // 50) AS request_id, container, record_type, identifier, "
+        f"{', '.join(PLAIN)} FROM child",
     ),
     "S-02_read_columnar_requests": (
         _read_columnar,
@@ -212,17 +217,21 @@ QUERIES["S-03_from_tables"] = (
 
 
 def _union_containers(spark, folder):
-    rows = datasets.positions(spark, folder).drop("container", "record_type")
-    holding = rows.where("trade_type_id = 1").select("identifier", "instrument_id", "initial_weight")
-    reference = rows.where("trade_type_id = 2").select("identifier", "instrument_id", "weight")
-    return union_containers([("holding", "positions", holding), ("selected_reference", "positions", reference)])
+    """The containers as tables of their own, with different columns, put together again."""
+    rows = datasets.positions(spark, folder)
+
+    def part(container: str) -> DataFrame:
+        weight = "initial_weight" if container == "holding" else "weight"
+        return rows.where(F.col("container") == container).select("identifier", "instrument_id", weight)
+
+    return union_containers([(c, "positions", part(c)) for c in CONTAINERS])
 
 
 QUERIES["S-04_union_containers"] = (
     _union_containers,
-    f"""WITH {RAW} SELECT 'holding' AS container, 'positions' AS record_type, identifier, instrument_id, initial_weight,
-  NULL::DOUBLE AS weight FROM raw_pos WHERE trade_type_id = 1 UNION ALL
-SELECT 'selected_reference', 'positions', identifier, instrument_id, NULL, weight FROM raw_pos WHERE trade_type_id = 2""",
+    f"""WITH {RAW} SELECT container, 'positions' AS record_type, identifier, instrument_id,
+  CASE WHEN container = 'holding' THEN initial_weight END AS initial_weight,
+  CASE WHEN container <> 'holding' THEN weight END AS weight FROM raw_pos""",
 )
 QUERIES["U-02_union_missing_columns"] = (
     lambda spark, folder: datasets.positions(spark, folder)
@@ -244,7 +253,7 @@ QUERIES["U-01_union_same_schema"] = (
 
 
 def _reference(spark, folder):
-    ids = instrument_ids(lookthroughs(spark, folder).where("record_type = 'essential_lookthroughs'"), None)
+    ids = instrument_ids(lookthroughs(spark, folder), None)
     return read_reference(datasets.instruments(spark, folder), ids, ["instrument_subtype_id"])
 
 
@@ -252,7 +261,7 @@ QUERIES["S-05_read_reference"] = (
     _reference,
     with_tables(
         "SELECT instrument_id, instrument_subtype_id FROM instruments WHERE instrument_id IN "
-        "(SELECT instrument_id FROM lt WHERE record_type = 'essential_lookthroughs')",
+        "(SELECT instrument_id FROM lt)",
         INSTRUMENTS,
     ),
 )
@@ -269,12 +278,12 @@ QUERIES["S-06_read_parent_reference"] = (
 QUERIES["S-07_read_asset_allocation"] = (
     lambda spark, folder: read_asset_allocation(
         datasets.allocation_categories(spark, folder),
-        positions(spark, folder).where("trade_type_id = 1 AND liquidity_type_id = 2"),
+        positions(spark, folder),
         ["category_name"],
     ),
     with_tables(
         "SELECT analytics_category_id, category_name FROM allocations WHERE analytics_category_id IN "
-        "(SELECT asset_allocation_id FROM pos WHERE trade_type_id = 1 AND liquidity_type_id = 2)",
+        "(SELECT asset_allocation_id FROM pos)",
         ALLOCATIONS,
     ),
 )

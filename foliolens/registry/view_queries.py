@@ -606,11 +606,10 @@ def _rescale_lookthroughs(spark, folder):
     )
 
 
-def _rescale_all_lookthroughs(spark, folder):
-    """Without a criterion all parents match."""
-    every = {LOOK: Modifier(LOOK, "Scaling")}
-    vs = view_set({"main": {p: [LOOK] for p in CRITERIA_RULES}}, CRITERIA_RULES, modifiers=every)
-    rows = run_views(positions(spark, folder), lookthroughs(spark, folder), vs).lookthroughs
+def _rescaled_parents(spark, folder):
+    """The built-in flag, for parents of the subtypes it names and for others; per parent."""
+    pos, lt = _with_subtypes(spark, folder)
+    rows = run_views(pos, lt, views(LOOK)).lookthroughs
     return rows.groupBy("perspective_id", "container", "record_type", "parent_instrument_id", "sub_portfolio_id").agg(
         F.count(F.lit(1)).alias("kept"), F.round(F.sum(out("weight")), 9).alias("weight")
     )
@@ -634,11 +633,15 @@ GROUP BY pid, container, record_type, sub_portfolio_id""",
     ),
 )
 QUERIES["MD-24_scale_lookthroughs_to_100_percent"] = (
-    _rescale_all_lookthroughs,
+    _rescaled_parents,
     with_tables(
         """SELECT pid AS perspective_id, container, record_type, parent_instrument_id, sub_portfolio_id, COUNT(*) AS kept,
-  1.0::DOUBLE AS weight FROM kl GROUP BY ALL""",
+  ROUND(CASE WHEN m AND SUM(weight * factor) <> 0 THEN 1.0 ELSE SUM(weight * factor) END, 9) AS weight
+FROM (SELECT kl.*, COALESCE(m, FALSE) AS m FROM kl LEFT JOIN match ON match.id = kl.parent_instrument_id)
+GROUP BY pid, container, record_type, parent_instrument_id, sub_portfolio_id, m""",
+        INSTRUMENTS,
         KEPT,
+        MATCHES,
     ),
 )
 
