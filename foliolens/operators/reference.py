@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from foliolens.operators.skew import join_groups
 from foliolens.schema import INT_NULL, has
 
+MOMENT = "_moment"
+"""Column with the date of a row's request."""
 PARENT_PREFIX = "parent_"
 
 
@@ -71,22 +73,53 @@ def read_as_of(
     )
 
 
+def join_as_of(
+    rows: DataFrame,
+    table: DataFrame,
+    columns: list[str],
+    moment: str = MOMENT,
+    key: str = "instrument_id",
+    valid_from: str = "valid_from",
+    valid_to: str = "valid_to",
+) -> DataFrame:
+    """Columns of the version of a table that is valid at each row's own moment.
+
+    Rows without a moment get the version whose end is open.
+    """
+    taken = sorted(set(columns) & set(rows.columns))
+    if taken:
+        raise ValueError(f"columns {taken} are there already")
+    versions = _needed(table, key, [*columns, valid_from, valid_to]).withColumnsRenamed(
+        {key: "_key", valid_from: "_from", valid_to: "_to"}
+    )
+    at = F.col(moment).cast(table.schema[valid_from].dataType)
+    valid = F.when(at.isNull(), F.col("_to").isNull()).otherwise((F.col("_from") <= at) & (F.col("_to").isNull() | (at < F.col("_to"))))
+    return rows.join(versions, (F.col(key) == F.col("_key")) & valid, "left").drop("_key", "_from", "_to")
+
+
+def _joined(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    taken = sorted(set(table.columns) & set(rows.columns) - {key})
+    if taken:
+        raise ValueError(f"columns {taken} are there already: take them under other names or leave them out")
+    return join_groups(rows, table, [key])
+
+
 def join_instrument(rows: DataFrame, table: DataFrame) -> DataFrame:
     """Columns by instrument; whether the table is broadcast is left to its size."""
-    return join_groups(rows, table, ["instrument_id"])
+    return _joined(rows, table, "instrument_id")
 
 
 def join_parent_instrument(rows: DataFrame, parents: DataFrame) -> DataFrame:
     if "parent_instrument_id" not in rows.columns:
         return rows
-    return join_groups(rows, parents, ["parent_instrument_id"])
+    return _joined(rows, parents, "parent_instrument_id")
 
 
 def join_asset_allocation(rows: DataFrame, view: DataFrame) -> DataFrame:
     if "asset_allocation_id" not in rows.columns:
         return rows
     renamed = view.withColumnRenamed("analytics_category_id", "asset_allocation_id")
-    return join_groups(rows, renamed, ["asset_allocation_id"])
+    return _joined(rows, renamed, "asset_allocation_id")
 
 
 @dataclass
@@ -97,6 +130,8 @@ class ReferenceTables:
     """Tables keyed by ``instrument_id``, by name."""
     parent_instrument: tuple[DataFrame, list[str] | None] | None = None
     asset_allocation: tuple[DataFrame, list[str] | None] | None = None
+    versioned: dict[str, tuple[DataFrame, list[str]]] = field(default_factory=dict)
+    """Tables with ``valid_from`` and ``valid_to``, by name: each request gets the version of its own date."""
 
 
 def attach_reference(
@@ -125,4 +160,10 @@ def attach_reference(
         positions = join_asset_allocation(positions, rows)
         if has(children, "asset_allocation_id"):
             lookthroughs = join_asset_allocation(lookthroughs, rows)
+    for table, columns in reference.versioned.values():
+        if not has(original, MOMENT):
+            raise ValueError("versioned tables need the date of each row's request")
+        positions = join_as_of(positions, table, columns)
+        if lookthroughs is not None:
+            lookthroughs = join_as_of(lookthroughs, table, columns)
     return positions, lookthroughs

@@ -14,7 +14,7 @@ from foliolens.model import Modifier, RuleBook, ViewSet, container_labels, custo
 from foliolens.operators.factors import keep_sql, scale_sql
 from foliolens.operators.normalize import normalize
 from foliolens.operators.output import documents
-from foliolens.operators.reference import ReferenceTables, attach_reference
+from foliolens.operators.reference import MOMENT, ReferenceTables, attach_reference
 from foliolens.plans.pipeline import ViewResult, run_views
 from foliolens.plans.reuse import materialize_if_possible
 from foliolens.schema import CONTAINERS, LOOKTHROUGHS, POSITIONS, RECORD_TYPES, REQUEST, SPEC
@@ -27,7 +27,7 @@ SPEC_PARTS = ["perspective_configurations", "custom_perspective_rules", "positio
 
 
 def with_specs(requests: DataFrame) -> DataFrame:
-    """Adds the specification of each request, everything but its rows, and its hash."""
+    """Adds the specification of each request, everything but its rows, its hash, and its date."""
 
     def part(path: str, name: str) -> str:
         return f"'{name}', to_json(variant_get(_v, '$.{path}', 'variant'))"
@@ -36,10 +36,12 @@ def with_specs(requests: DataFrame) -> DataFrame:
     for container in CONTAINERS:
         for mode in ("position_weight_labels", "lookthrough_weight_labels"):
             paths.append(part(f"{container}.{mode}", f"{container}.{mode}"))
+    moments = [f"try_variant_get(_v, '$.{name}', 'string')" for name in ("system_version_timestamp", "ed")]
     return (
         requests.withColumn("_v", F.expr("try_parse_json(request)"))
         .withColumn("spec", F.expr(f"to_json(map_filter(map({', '.join(paths)}), (k, v) -> v IS NOT NULL))"))
         .withColumn(SPEC, F.sha2("spec", 256))
+        .withColumn(MOMENT, F.expr(f"coalesce({', '.join(moments)})"))
         .drop("_v")
     )
 
@@ -178,7 +180,7 @@ def process_requests(
     blocks: list[tuple[DataFrame, ViewResult | None]] = []
     for specs in spec_blocks(readable):
         own = readable.where(F.col(SPEC).isin(list(specs)))
-        raw = inflate_requests(own, types, [SPEC])
+        raw = inflate_requests(own, types, [SPEC, MOMENT])
         missing = without_mandatory(*raw)
         errors = errors.union(missing)
         own = own.join(missing, REQUEST, "left_anti")

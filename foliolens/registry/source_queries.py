@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from foliolens import datasets
 from foliolens.operators.normalize import fill_sentinels, lowercase_columns, standardize_ids, validate_domains
 from foliolens.operators.reference import (
+    ReferenceTables,
     allocation_ids,
     instrument_ids,
     join_asset_allocation,
@@ -292,6 +293,28 @@ QUERIES["S-08_read_as_of"] = (
     f"WITH {CATEGORIES} SELECT instrument_id, category_id, segment FROM categories "
     "WHERE valid_from <= '1998-06-30' AND (valid_to IS NULL OR '1998-06-30' < valid_to)",
 )
+
+
+def _versions(spark, folder):
+    """Requests of two dates in one batch: each gets the version of its own."""
+    date = F.when(F.length("request_id") % 2 == 0, F.lit("1994-03-31")).otherwise(F.lit("1998-06-30"))
+    dated = json_requests(spark, folder).withColumn(
+        "request", F.concat(F.lit('{"ed":"'), date, F.lit('",'), F.expr("substring(request, 2)"))
+    )
+    tables = ReferenceTables(versioned={"categorization": (datasets.categorization(spark, folder), ["category_id", "segment"])})
+    run = process_requests(dated, types=TYPES, defaults=[], reference=tables, carry=["category_id", "segment"])
+    rows = run.result.positions.where("perspective_id = -2")
+    return rows.select("request_id", "container", "identifier", "category_id", "segment")
+
+
+QUERIES["S-08_versions_by_request_date"] = (
+    _versions,
+    f"""WITH {RAW}, {CATEGORIES},
+dated AS (SELECT {BLOCK} AS request_id, container, identifier, instrument_id,
+  CASE WHEN length({BLOCK}) % 2 = 0 THEN '1994-03-31' ELSE '1998-06-30' END AS ed FROM raw_pos)
+SELECT request_id, container, identifier, category_id, segment FROM dated LEFT JOIN categories c
+ON c.instrument_id = dated.instrument_id AND valid_from <= ed AND (valid_to IS NULL OR ed < valid_to)""",
+)
 QUERIES["J-01_join_instrument"] = (
     lambda spark, folder: join_instrument(
         lookthroughs(spark, folder),
