@@ -15,9 +15,25 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Spark's setting by which a finished write gives up the shuffle files that it made.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """The frame as a table in the shared folder, so that lost executors cost no recomputation."""
-    return materialize(df)
+    """The frame as a table in the shared folder, so that lost executors cost no recomputation.
+
+    The shuffle files of the write go when it is done: nothing else reads them.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(FREED, None)
+    conf.set(FREED, "true")
+    try:
+        return materialize(df)
+    finally:
+        if before is None:
+            conf.unset(FREED)
+        else:
+            conf.set(FREED, before)
 
 
 def small_batches(df: DataFrame) -> DataFrame:

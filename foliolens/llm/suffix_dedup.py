@@ -33,7 +33,6 @@ Matches don't cross documents. Extra columns are no input.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -245,21 +244,12 @@ def _windows(snippets: DataFrame, length: int) -> DataFrame:
     return snippets.mapInArrow(run, f"k {snippets.schema['k'].dataType.simpleString()}, t long, s long, a long, w long")
 
 
-def _released(spark) -> None:
-    """Lets the driver drop the shuffle files of steps whose result is stored."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeated_spans(docs: DataFrame, key="doc_id", text="text", length: int = LENGTH, gram: int = SEED_BYTES) -> DataFrame:
     """``k``, ``t`` and ``spans``: begin and end of repeated strings, unmerged, of each document that has some."""
-    spark = docs.sparkSession
     rows = small_batches(docs).select(column(key).alias("k"), F.xxhash64(utf8(text)).alias("t"), utf8(text).alias("x"))
     names = _sampled(rows, length, gram, False).groupBy("a").agg(F.count("*").alias("m")).filter("m > 1").select("a")
     names = stored(names)
-    _released(spark)
     met = stored(_sampled(rows, length, gram, True).join(names, "a", "left_semi"))
-    _released(spark)
     where = F.struct(F.col("k").isNotNull().alias("o"), "k", "s")
     classes = met.groupBy("a", "c").agg(F.min(F.struct(*["k", "s", "t", "n"])).alias("f"), F.max(where).alias("z"), F.min(where).alias("y"))
     classes = stored(classes.select("a", "c", "f", "y", (F.col("y") < F.col("z")).alias("more")))
@@ -272,7 +262,6 @@ def repeated_spans(docs: DataFrame, key="doc_id", text="text", length: int = LEN
     texts = rows.join(firsts, F.col("k").eqNullSafe(F.col("rk")) & (F.col("t") == F.col("rt"))).select("k", "t", "runs", "x")
     # Repeated rows have the same windows at the same places, which changes nothing.
     snippets = stored(_snippets(texts, length))
-    _released(spark)
     parts = _compared(snippets.filter("NOT hot"), length)
     windows = stored(_windows(snippets.filter("hot"), length))
     begun = windows.groupBy("a", "w").agg(F.min(where).alias("y"), F.max(where).alias("z")).filter("y < z").select("a", "w", "y")
@@ -280,7 +269,6 @@ def repeated_spans(docs: DataFrame, key="doc_id", text="text", length: int = LEN
     parts = parts.union(many)
     spans = whole.union(parts).groupBy("k", "t").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     spans = stored(spans)
-    _released(spark)
     return spans
 
 
