@@ -136,6 +136,9 @@ def fit_languages(docs: DataFrame, text="text", lang="lang", key="doc_id", sampl
     """The filter of at most ``sample`` texts of each language; the caller chooses which rows may teach."""
     known = docs.filter(column(lang).isNotNull() & column(text).isNotNull())
     keys = known.select(column(key).alias("k"), column(lang).cast("string").alias("l"))
+    # Rows far above the wanted hashes go before anything is sorted, however many a language has.
+    sizes = keys.groupBy("l").agg(F.count("*").alias("n")).select("l", (F.lit(2.0) * sample / F.col("n")).alias("part"))
+    keys = keys.join(sizes, "l").filter(F.xxhash64("k") / F.lit(2.0**64) + 0.5 <= F.col("part") + 0.001)
     nth = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("k"), "k"))
     chosen = keys.withColumn("nth", nth).filter(F.col("nth") <= sample).select("k", "l").distinct()
     texts = known.select(column(key).alias("k"), column(lang).cast("string").alias("l"), _lowered(text).alias("x"))
