@@ -120,8 +120,13 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", *
 
     Of rows that share this key, the one whose text has the least hash stays, once.
     """
+    return keep_least(docs, simhash_groups(docs, key, text, **how), key, text)
+
+
+def keep_least(docs: DataFrame, groups: DataFrame, key: str, text: str) -> DataFrame:
+    """The document with the least key of each component of ``groups`` (``k``, ``t``, ``root``, ``component``)."""
     k, t = fresh(docs, "group_k", "group_t")
-    least = simhash_groups(docs, key, text, **how).filter(F.col("k").eqNullSafe(F.col("component")))
+    least = groups.filter(F.col("k").eqNullSafe(F.col("component")))
     kept = least.groupBy("root").agg(F.min(F.struct("k", "t")).alias("r")).select(F.col("r.k").alias(k), F.col("r.t").alias(t))
     body = F.xxhash64(column(text))
     met = docs.join(kept, column(key).eqNullSafe(column(k)) & (body == column(t)))
