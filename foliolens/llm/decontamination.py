@@ -11,7 +11,8 @@ and the word, so that few edits leave the embeddings near in Hamming distance.
 tables; a window and an item that agree in a table are a candidate pair. Only
 windows that can be within the number of edits are embedded: each edit costs
 one word and two pairs of neighbours, so such a window has at least so many words
-and pairs of the items of its length. Candidates are verified by exact semi-global
+and pairs of the items of its length. Unknown words stand before and behind each text,
+as many as there may be edits, so that its ends have all windows too. Candidates are verified by exact semi-global
 edit distance around the window.
 
 Items go out in blocks of ``ITEM_BLOCK`` (a bounded model for each pass over the
@@ -166,15 +167,19 @@ class LeakFinder:
         for x in texts:
             words = words_of(x)
             parts.append(np.fromiter(map(get, words, repeat(-1)), np.int64, len(words)))
-        ids = np.concatenate([np.zeros(0, np.int64), *parts])
-        if not len(ids):
+        if not any(map(len, parts)):
             return [[] for _ in texts]
-        text = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        begins = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+        # Unknown words around each text: an item that lost words has all its windows at its ends too.
+        around = np.full(max((c[1] for c in self.classes), default=0), -1, np.int64)
+        ids = np.concatenate([x for p in parts for x in (around, p, around)])
+        sizes = np.array([len(p) + 2 * len(around) for p in parts])
+        text = np.repeat(np.arange(len(parts)), sizes)
+        begins = np.cumsum(sizes) - sizes + len(around)
+        ends = begins + sizes - 2 * len(around)
         spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for start, item in self.candidates(ids, text).tolist():
             n, d, t = len(self.items[item]), self.edits[item], int(text[start])
-            low, high = max(int(begins[t]), start - d), min(int(begins[t + 1]), start + n + 2 * d)
+            low, high = max(int(begins[t]), start - d), min(int(ends[t]), start + n + 2 * d)
             own = spans.setdefault((t, item), [])
             if own and low <= own[-1][1]:
                 own[-1] = (own[-1][0], high)

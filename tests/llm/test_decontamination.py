@@ -63,6 +63,25 @@ def test_recall_and_precision_against_alignment(share):
         assert all(e >= least_edits(items[i], t) and n == len(items[i]) for i, e, n in own)
 
 
+@pytest.mark.parametrize("share", [0.01, 0.1, 0.2])
+@pytest.mark.parametrize("place", ["alone", "start", "end"])
+def test_shortened_items(share, place):
+    """Items that lost words, where a text has few or no words beside them."""
+    rng = random.Random(f"{share} {place}")
+    vocabulary = [f"v{i}" for i in range(300)]
+    draw = lambda n: rng.choices(vocabulary, weights=[1 / (i + 1) for i in range(300)], k=n)
+    items = [draw(rng.randint(5, 60)) for _ in range(100)]
+    texts = []
+    for item in items:
+        words = list(item)
+        for _ in range(min(dec.edits_allowed(len(item)), max(1, round(len(item) * share)))):
+            del words[rng.randrange(len(words))]
+        texts.append(draw(40 * (place == "end")) + words + draw(40 * (place == "start")))
+    found = dec.LeakFinder([" ".join(x) for x in items]).find([" ".join(t) for t in texts])
+    assert sum(i in {f[0] for f in own} for i, own in enumerate(found)) >= 0.97 * len(items)
+    assert all(e >= least_edits(items[i], t) for own, t in zip(found, texts, strict=True) for i, e, _ in own)
+
+
 def test_given_benchmark(spark, monkeypatch):
     docs, items = (table(spark, "/root/testdata/sf0.01", n) for n in ("documents", "benchmark"))
     plain = [(r["item_id"], " ".join(dec.words_of(r["text"]))) for r in items.collect()]
