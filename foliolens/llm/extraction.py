@@ -49,7 +49,9 @@ TAG = re.compile(
     re.S,
 )
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDES = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+HIDES = re.compile(r"hidden|display", re.I)
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none(?![\w-])", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 WORD = re.compile(r"\w+")
 # Element names of HTML by how they are parsed.
@@ -83,6 +85,8 @@ WITHIN = [
 ARTICLE = ["article", "main", "main article", "div.content article", "main div.content", "article div.body", "article section", "div#main article"]
 PLAIN = ["div.content", "div#content", "div.post", "div.entry-content", "div.article-body", "section.story", "div.post-content"]
 TEXTS = ["p", "p", "p", "p", "h2", "h3", "ul li", "ol li", "blockquote p", "pre", "table tbody tr td", "div p", "section p", "figure figcaption", ""]
+# Elements whose end tag also ends them from within a block.
+FORMATS = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 NOT_MAIN = frozenset("nav aside footer form header".split())
 
 
@@ -101,6 +105,16 @@ def _names(name: str, rest: str) -> list[str]:
     return found
 
 
+def _hides(rest: str) -> bool:
+    """Whether a tag's attributes hide the element; of attributes of one name the first counts."""
+    if not HIDES.search(rest):
+        return False
+    own: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(rest):
+        own.setdefault(name.lower(), entities.unescape("".join(values)))
+    return "hidden" in own or own.get("aria-hidden", "").strip().lower() == "true" or bool(NO_DISPLAY.search(own.get("style", "")))
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """Leaf blocks in page order."""
     found: list[Block] = []
@@ -142,16 +156,16 @@ def blocks_of(page: str | None) -> list[Block]:
                 if any(s[0] == name for s in stack):
                     while stack.pop()[0] != name:
                         pass
+            else:
+                _end_inline(stack, name)
             continue
         rest = m["rest"] or m["rest2"] or ""
         if name in RAW:
             end = re.compile(f"</{name}", re.I).search(text, at)
             at = end.start() if end else len(text)
-        elif name == "a":
-            in_link = True
         elif name == "br":
             put(" ")
-        elif name in BLOCKS or name in NEVER or (rest and name not in VOID and HIDES.search(rest)):
+        elif name in BLOCKS or name in NEVER:
             flush()
             in_link = in_link and name not in BLOCKS
             if name == "body":
@@ -163,12 +177,31 @@ def blocks_of(page: str | None) -> list[Block]:
             if name in CLOSES:
                 _close(stack, CLOSES[name])
             if name not in VOID and not rest.endswith("/"):
-                stack.append((name, _names(name, rest), name in NEVER or bool(HIDES.search(rest))))
+                stack.append((name, _names(name, rest), name in NEVER or _hides(rest)))
+        elif name not in VOID:
+            in_link = in_link or name == "a"
+            hides = not rest.endswith("/") and _hides(rest)
+            # Elements of its name inside a hidden one stand there so that each end tag meets its own.
+            if hides or not rest.endswith("/") and any(s[0] == name for s in stack):
+                stack.append((name, [], hides))
     put(text[at:])
     flush()
     return found
 
 
+def _end_inline(stack: list, name: str) -> None:
+    """Ends the innermost inline element of this name; only formatting ends across a block's begin."""
+    for i in range(len(stack) - 1, -1, -1):
+        if stack[i][0] == name:
+            if any(s[0] in BLOCKS or s[0] in NEVER for s in stack[i:]):
+                del stack[i]
+            else:
+                del stack[i:]
+            return
+        if name not in FORMATS and (stack[i][0] in BLOCKS or stack[i][0] in NEVER):
+            return
+
+
 def _close(stack: list, names: set[str]) -> None:
     """Ends the innermost of these elements unless a list, table or container of its own stands between."""
     for i in range(len(stack) - 1, -1, -1):

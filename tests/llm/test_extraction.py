@@ -34,6 +34,25 @@ def test_parsing():
     assert {"t:div", "c:cookie", "c:notice", "c:top", "c:x", "c:1"} <= set(b.path) and 0 < b.linked < 1
 
 
+def test_hidden_inline_elements_end_at_their_own_tag():
+    texts = lambda page: [b.text for b in blocks_of(page)]
+    assert texts('<p><i class="icon" aria-hidden="true"></i> Text</p>') == ["Text"]
+    assert texts("<body><span hidden>no</span><p>one</p>two</body>") == ["one", "two"]
+    assert texts("<p>a <span hidden>no <span>no</span> no</span>b</p>") == ["a b"]
+    assert texts("<p>a <a href=x aria-hidden=true>#</a>b <b style='color:red; display : none'>no</b>c") == ["a b c"]
+    assert texts("<div><i hidden>no<p>no</i>b</p>c</div>") == ["b", "c"]
+    assert texts("<div><span hidden>no<p>no</p></span>b<em hidden>no</div>c") == ["b", "c"]
+    (b,) = blocks_of("<div class=top><i hidden>x</i>text</div>")
+    assert b.path == ["t:div", "c:top"] and b.linked == 0
+
+
+def test_only_attributes_hide():
+    for seen in ('title="the hidden cost"', 'data-x="a hidden gem"', "title='display:none'", "aria-hidden=false", "class=hidden-x data-hidden", "style='x-display:none'"):
+        assert [b.text for b in blocks_of(f"<p {seen}>text <i {seen}>too</i></p>")] == ["text too"], seen
+    for gone in ("hidden", 'hidden=""', "HIDDEN='until-found'", "aria-hidden = 'TRUE'", 'style="display:none!important"', "title='x' hidden"):
+        assert [b.text for b in blocks_of(f"<p {gone}>no</p><p>text<i {gone}>no</i></p>")] == ["text"], gone
+
+
 def test_given_pages(pages, net):
     """The article's blocks of the given layout, cut out by plain patterns."""
     for page, found in zip(pages, main_texts(pages, net), strict=True):
