@@ -2,12 +2,12 @@
 benchmark go, sources are mixed to their weights, and the rest is sharded.
 
 Every stage takes the documents its predecessor kept, as stored in between, and
-all but the last return their columns. Mixed documents appear once for each time
-they are taken, the last time with as many leading words as are taken; the last
-stage adds ``shard`` and ``curve`` and orders rows along the curve.
+all but the last return their columns. Mixed documents appear whole, once for each
+time they are taken; the last stage adds ``shard`` and ``curve`` and orders rows
+along the curve.
 
 The toxicity labels that may teach are those of documents still present. Near
-copies have a Jaccard similarity of at least 0.8 in their five-word shingles.
+copies are linked by their SimHash fingerprints: three-word shingles, two bits.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolens.llm import decontamination, mixing, near_copies, sharding, toxicity
+from foliolens.llm import decontamination, mixing, sharding, simhash, toxicity
 from foliolens.llm.common import stored, table
 from foliolens.llm.queries import toxicity_model
 
@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.drop_near_copies(docs)
+    return simhash.drop_near_copies(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
