@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliolens.llm import decontamination, extraction, language, line_dedup, mixing, nearest, sharding, simhash, suffix_dedup, toxicity
+from foliolens.llm import decontamination, extraction, language, line_dedup, mixing, nearest, sharding, simhash, suffix_dedup, token_files, toxicity
 from foliolens.llm.common import remainder, small_batches, table
+from foliolens.plans.reuse import new_folder
 
 
 def op1_line_dedup(spark, folder):
@@ -101,6 +102,18 @@ def op10_sharding(spark, folder):
     )
 
 
+#: Vocabulary of the installed tokenizer files.
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def op12_token_files(spark, folder):
+    import public_tokenizers
+
+    path = new_folder(spark)
+    token_files.write_tokens(table(spark, folder, "documents"), path, public_tokenizers.path(VOCABULARY))
+    return token_files.token_digests(spark, path)
+
+
 QUERIES = {
     "op1_line_dedup": (op1_line_dedup, OP1_SQL),
     "op2_toxicity": (op2_toxicity, None),
@@ -112,4 +125,5 @@ QUERIES = {
     "op8_decontamination": (op8_decontamination, None),
     "op9_simhash": (op9_simhash, None),
     "op10_sharding": (op10_sharding, None),
+    "op12_token_files": (op12_token_files, None),
 }
