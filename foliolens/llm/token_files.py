@@ -19,7 +19,11 @@ Empty tables write empty files and read as empty. Extra columns are not written.
 
 from __future__ import annotations
 
+import json
 import re
+import struct
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -36,8 +40,8 @@ from pyspark.sql.window import Window
 from foliolens.llm.common import column, small_batches
 
 END = 2
-#: Units whose ids a task keeps, and the characters of the longest of them.
-CACHED, LONGEST = 1 << 18, 64
+#: Units whose ids a Python worker keeps, and the characters of the longest of them.
+CACHED, LONGEST = 1 << 19, 64
 #: Rows of a row group, which has its own statistics and Bloom filter; bytes of a stripe.
 GROUP_ROWS, STRIPE = 1000, 32 << 20
 
@@ -50,27 +54,65 @@ UNIT = re.compile(
 )
 
 
+#: Letters by which a byte-level vocabulary writes the bytes: Latin ones stand for themselves, the others follow from 256 on.
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+LETTERS = {b: 256 + n for n, b in enumerate(sorted({*range(256)} - {*SHOWN}))}
+
+
 class Encoder(dict):
-    """Ids of units as little-endian bytes; a unit that isn't kept is encoded."""
+    """Ids of units as little-endian bytes; a unit that isn't kept is encoded.
+
+    Units are those of byte-level vocabularies that change no text before they split it;
+    other tokenizers get whole texts.
+    """
 
     def __init__(self, tokenizer: str, cached: int = CACHED):
         from tokenizers import Tokenizer
 
         super().__init__()
         self._tokenizer, self._cached = Tokenizer.from_str(tokenizer), cached
+        self._model = self._tokenizer.model
+        about = json.loads(tokenizer)
+        split = about["pre_tokenizer"] or {}
+        plain = split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
+        self._by_unit = plain and about["normalizer"] is None
+        self._added = [t["content"] for t in about["added_tokens"]]
+
+    def _encoded(self, text: str) -> bytes:
+        ids = self._tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, unit: str) -> bytes:
-        ids = np.array(self._tokenizer.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(unit) <= LONGEST:
-            if len(self) >= self._cached:
-                self.clear()
-            self[unit] = ids
+        if len(unit) > LONGEST:
+            return self._encoded(unit)
+        if unit.isalpha() or unit[0] == " " and unit[1:].isalpha():  # one word for the model
+            tokens = self._model.tokenize(unit.encode().decode("latin-1").translate(LETTERS))
+            ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        else:
+            ids = self._encoded(unit)
+        if len(self) >= self._cached:
+            self.clear()
+        self[unit] = ids
         return ids
 
     def ids(self, text: str) -> bytes:
+        if not self._by_unit or any(t in text for t in self._added):  # texts are cut at added tokens before all else
+            return self._encoded(text)
         return b"".join(map(self.__getitem__, UNIT.findall(text)))
 
 
+def worker_encoder(tokenizer: str) -> Encoder:
+    """The encoder of this Python worker, which keeps its units from task to task.
+
+    Functions travel by value, so a module of the worker itself holds it.
+    """
+    name = f"_encoder_{zlib.crc32(tokenizer.encode())}"
+    held = sys.modules.setdefault("foliolens_worker", types.ModuleType("foliolens_worker"))
+    if not hasattr(held, name):
+        setattr(held, name, Encoder(tokenizer))
+    return getattr(held, name)
+
+
 def write_tokens(
     docs: DataFrame, path: str, tokenizer_file: str, key: str = "doc_id", text: str = "text", end: int = END,
     group_rows: int = GROUP_ROWS, stripe: int = STRIPE,
@@ -88,7 +130,7 @@ def write_tokens(
     arrow_key = to_arrow_type(kind)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, offset, part = Encoder(model), 0, TaskContext.get().partitionId()
+        encoder, offset, part = worker_encoder(model), 0, TaskContext.get().partitionId()
         for batch in batches:
             data = [encoder.ids(x) + last if x else last for x in batch.column(1).to_pylist()]
             ends = np.cumsum([0, *(len(x) // 4 for x in data)])

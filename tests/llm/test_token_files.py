@@ -41,6 +41,13 @@ def test_units_are_encoded_like_the_whole(encoder, text):
     assert encoder.ids(text) + np.uint32(2).tobytes() == encoded(text)
 
 
+def test_other_tokenizers_get_whole_texts():
+    other = public_tokenizers.path("word_bpe_49k.json")
+    text = "Some Words, and\nothers"
+    want = Tokenizer.from_file(other).encode(text, add_special_tokens=False).ids
+    assert token_files.Encoder(Path(other).read_text(encoding="utf-8")).ids(text) == np.array(want, "<u4").tobytes()
+
+
 def check(rows, found):
     """``rows`` of (key, text) against digests, in the order of keys."""
     assert len(rows) == len(found)
