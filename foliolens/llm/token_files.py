@@ -41,7 +41,7 @@ from foliolens.llm.common import column, small_batches
 
 END = 2
 #: Units whose ids a Python worker keeps, and the characters of the longest of them.
-CACHED, LONGEST = 1 << 19, 64
+CACHED, LONGEST = 1 << 20, 64
 #: Rows of a row group, which has its own statistics and Bloom filter; bytes of a stripe.
 GROUP_ROWS, STRIPE = 1000, 32 << 20
 
