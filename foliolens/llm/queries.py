@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliolens.llm import decontamination, extraction, language, line_dedup, mixing, nearest, sharding, simhash, suffix_dedup, token_files, toxicity
+from foliolens.llm import collocations, decontamination, extraction, language, line_dedup, mixing, nearest, sharding, simhash, suffix_dedup, token_files, toxicity
 from foliolens.llm.common import remainder, small_batches, table
 from foliolens.plans.reuse import new_folder
 
@@ -114,6 +114,42 @@ def op12_token_files(spark, folder):
     return token_files.token_digests(spark, path)
 
 
+def op13_collocations(spark, folder):
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+OP13_SQL = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(p) AS piece, unnest(range(len(p))) AS nr
+  FROM (SELECT lang, doc_id, regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS p FROM documents)),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM piece),
+placed AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded),
+grams AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, m AS k, count(*) AS f
+  FROM placed, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE i + m - 1 <= len(w) GROUP BY ALL),
+size AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang),
+candidate AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE k > 1 AND f >= 100),
+cuts AS (
+  SELECT lang, phrase, k, a, c, array_to_string(w[1:c], ' ') AS p, array_to_string(w[c + 1:k], ' ') AS q
+  FROM candidate, (SELECT unnest([1, 2, 3, 4]) AS c) WHERE c < k),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.k, a, c, lp.f AS l, rp.f AS r, n,
+    ((1000::HUGEINT * a * n) // (lp.f::HUGEINT * rp.f))::BIGINT AS score
+  FROM cuts JOIN grams lp ON lp.lang = cuts.lang AND lp.phrase = p JOIN grams rp ON rp.lang = cuts.lang AND rp.phrase = q
+  JOIN size ON size.lang = cuts.lang),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM candidate, (SELECT unnest([2, 3, 4]) AS m), (SELECT unnest([1, 2, 3, 4]) AS i) WHERE m < k AND i + m - 1 <= k GROUP BY ALL),
+kept AS (
+  SELECT worst.* FROM worst LEFT JOIN inside ON inside.lang = worst.lang AND inside.phrase = worst.phrase
+  WHERE longer IS NULL OR 100 * longer < 100 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
+"""
+
+
 QUERIES = {
     "op1_line_dedup": (op1_line_dedup, OP1_SQL),
     "op2_toxicity": (op2_toxicity, None),
@@ -126,4 +162,5 @@ QUERIES = {
     "op9_simhash": (op9_simhash, None),
     "op10_sharding": (op10_sharding, None),
     "op12_token_files": (op12_token_files, None),
+    "op13_collocations": (op13_collocations, OP13_SQL),
 }
