@@ -38,7 +38,9 @@ LEAST, WORDS, TOP, SAME = 100, 5, 2000, 100
 #: Entries of a container that bursts, and of a trie that spills; rows of a batch of a run.
 BURST, ENTRIES, ROWS = 4096, 1 << 20, 1 << 14
 BITS, PREFIX, SEED = 1 << 23, 3, 42
-UNKNOWN = "und"
+#: Bytes of a text whose words become ids at once; ids that wait until equal phrases are put together.
+PART, WAITING = 1 << 20, 1 << 20
+UNKNOWN, END = "und", b"\n"
 
 # What separates pieces (all become line feeds) and words; only A-Z are lower-cased.
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
@@ -129,64 +131,96 @@ def bitmap(phrases: DataFrame, bits: int) -> Bitmap:
     return Bitmap({r["i"]: r["w"] for r in longs.collect()}, bits)
 
 
-class PhraseCounter:
-    """Counts the phrases of one language's texts that have ``low`` to ``high`` words, all parts of which may be frequent."""
-
-    def __init__(self, lang: bytes, low: int, high: int, frequent: Bitmap | None, burst: int):
-        self.trie, self.words = HatTrie(burst), [b""]
-        self._low, self._high, self._lang, self._frequent = low, high, lang, frequent
-        self._ids: dict[bytes, int] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
-
-    def _id(self, word: bytes) -> int:
-        """The word's id in this task; 0 if no phrase with it can be frequent."""
-        if self._low == 2 and self._lang + b" " + word not in self._frequent:
-            return 0
-        self.words.append(word)
-        return len(self.words) - 1
-
-    def _joined(self, pair: tuple[int, int]) -> bool:
-        text = b" ".join((self._lang, *(self.words[i] for i in pair)))
-        found = self._pairs[pair] = text in self._frequent
+class WordIds(dict):
+    """A task's ids of words, from 1 on; 0 for what ends a phrase: a piece's end or a word that can't be frequent."""
+
+    def __init__(self, lang: bytes, frequent: Bitmap | None):
+        super().__init__({END: 0})
+        self.words, self._lang, self._frequent = [END], lang, frequent
+
+    def __missing__(self, word: bytes) -> int:
+        found = 0
+        if self._frequent is None or self._lang + b" " + word in self._frequent:
+            found = len(self.words)
+            self.words.append(word)
+        self[word] = found
         return found
 
+    def of(self, data: bytes) -> np.ndarray:
+        """The ids of a text, and 0 behind each piece; the text's words become ids a part at a time."""
+        text, parts, begin = data.translate(BYTES).replace(b"\n", b" \n ") + b" \n", [], 0
+        while begin < len(text):
+            end = text.find(b" ", begin + PART)
+            end = len(text) if end < 0 else end
+            parts.append(np.array([self[w] for w in text[begin:end].split(b" ") if w], np.int64))
+            begin = end
+        return np.concatenate(parts)
+
+
+class PhraseCounter:
+    """Counts the phrases of one language's texts that have ``low`` to ``high`` words, all words and pairs of which may be frequent."""
+
+    def __init__(self, lang: bytes, low: int, high: int, words: Bitmap | None, pairs: Bitmap | None, burst: int):
+        self.trie, self.ids = HatTrie(burst), WordIds(lang, words)
+        self._low, self._high, self._lang, self._frequent, self._pairs = low, high, lang, words, pairs
+        self._waiting: list[np.ndarray] = []
+        self._joined: dict[int, bool] = {}
+
     def add(self, data: bytes) -> None:
-        known, trie = self._ids, self.trie
-        text = data.translate(BYTES)
-        counts = Counter(text.split())
-        for word in counts.keys() - known.keys():
-            known[word] = self._id(word)
+        self._waiting.append(self.ids.of(data))
+        if sum(map(len, self._waiting)) >= WAITING:
+            self.flush()
+
+    def _may(self, pair: int) -> bool:
+        if pair not in self._joined:
+            words = self.ids.words
+            self._joined[pair] = b" ".join((self._lang, words[pair >> 32], words[pair & 0xFFFFFFFF])) in self._pairs
+        return self._joined[pair]
+
+    def flush(self) -> None:
+        """Adds the texts that wait to the trie, equal phrases together."""
+        if not self._waiting:
+            return
+        ids, self._waiting = np.concatenate(self._waiting), []
         if self._low == 1:
-            for word, n in counts.items():
-                trie.add((known[word],), n)
+            self._add(ids[ids > 0][:, None])
+            return
+        ends = (ids[:-1] > 0) & (ids[1:] > 0)
+        pairs = ids[:-1] << 32 | ids[1:]
+        if self._low > 2:
+            kinds, kind = np.unique(pairs[ends], return_inverse=True)
+            ends[ends] = np.array([self._may(p) for p in kinds.tolist()], bool)[kind]
+        whole = ends  # whole[i]: the words from i on, one more each time, may be a frequent phrase
+        for k in range(2, self._high + 1):
+            if k > 2:
+                whole = whole[:-1] & ends[k - 2 :]
+            if k >= self._low:
+                begins = np.flatnonzero(whole)
+                self._add(ids[begins[:, None] + np.arange(k)])
+
+    def _add(self, phrases: np.ndarray) -> None:
+        """Rows of ids; equal ones next to each other in order."""
+        if not len(phrases):
             return
-        for words in map(bytes.split, text.split(b"\n")):
-            ids = [known[w] for w in words]
-            if self._low > 2:
-                self._add_runs(ids)
-                continue
-            for pair in zip(ids, ids[1:], strict=False):
-                if pair[0] and pair[1]:
-                    trie.add(pair)
-
-    def _add_runs(self, ids: list[int]) -> None:
-        """Phrases within runs of words of which every pair of neighbours may be frequent."""
-        pairs = list(zip(ids, ids[1:], strict=False))
-        known = self._pairs
-        joined = [known[p] if p in known else self._joined(p) for p in pairs]
-        begin = 0
-        for end in [i for i, j in enumerate(joined) if not j] + [len(joined)]:
-            for i in range(begin, end):
-                for j in range(i + self._low, min(i + self._high, end + 1) + 1):
-                    self.trie.add(tuple(ids[i:j]))
-            begin = end + 1
+        phrases = phrases[np.lexsort(phrases.T[::-1])]
+        new = np.flatnonzero(np.r_[True, (phrases[1:] != phrases[:-1]).any(1)])
+        for row, n in zip(phrases[new].tolist(), np.diff(np.r_[new, len(phrases)]).tolist(), strict=True):
+            self.trie.add(tuple(row), n)
+
+    @property
+    def waits(self) -> bool:
+        return bool(self._waiting)
+
+    def held(self) -> int:
+        """Words and pairs that are known by now."""
+        return len(self.ids) + len(self._joined)
 
     def forget(self) -> None:
         """Words and pairs of an empty trie need no ids any more."""
-        self.words, self._ids, self._pairs = [b""], {}, {}
+        self.ids, self._joined = WordIds(self._lang, self._frequent), {}
 
 
-def counted(docs: DataFrame, low: int, high: int, frequent: Bitmap | None, entries: int = ENTRIES, burst: int = BURST) -> DataFrame:
+def counted(docs: DataFrame, low: int, high: int, frequent: Bitmap | None, pairs: Bitmap | None = None, entries: int = ENTRIES, burst: int = BURST) -> DataFrame:
     """Counts ``n`` of the phrases of ``docs`` (``lang``, ``x`` bytes): ``lang, phrase, n``."""
 
     def runs(counters: dict[bytes, PhraseCounter], keep: int) -> Iterator[pa.RecordBatch]:
@@ -197,7 +231,7 @@ def counted(docs: DataFrame, low: int, high: int, frequent: Bitmap | None, entri
             if left <= keep:
                 break
             left -= n
-            words = counters[lang].words
+            words = counters[lang].ids.words
             texts = [(lang, b" ".join([words[i] for i in ids]), m) for ids, m in counters[lang].trie.spill(first)]
             rows += sorted(texts)
             while len(rows) >= ROWS:
@@ -206,7 +240,7 @@ def counted(docs: DataFrame, low: int, high: int, frequent: Bitmap | None, entri
         if rows:
             yield batch(rows)
         for c in counters.values():
-            if not c.trie.entries:
+            if not c.trie.entries and not c.waits:
                 c.forget()
 
     def batch(rows: list[tuple[bytes, bytes, int]]) -> pa.RecordBatch:
@@ -220,12 +254,16 @@ def counted(docs: DataFrame, low: int, high: int, frequent: Bitmap | None, entri
             for lang, data in zip(given.column(0).to_pylist(), given.column(1).to_pylist(), strict=True):
                 own = lang.encode()
                 if own not in counters:
-                    counters[own] = PhraseCounter(own, low, high, frequent, burst)
+                    counters[own] = PhraseCounter(own, low, high, frequent, pairs, burst)
                 counters[own].add(data)
                 if sum(c.trie.entries for c in counters.values()) > entries:
                     yield from runs(counters, entries // 2)
-                if sum(len(c.words) + len(c._pairs) for c in counters.values()) > 2 * entries:
+                if sum(c.held() for c in counters.values()) > 2 * entries:
+                    for c in counters.values():
+                        c.flush()
                     yield from runs(counters, 0)
+        for c in counters.values():
+            c.flush()
         yield from runs(counters, 0)
 
     rows = docs.mapInArrow(count, "lang string, phrase string, n long")
@@ -241,12 +279,12 @@ def phrase_counts(
     """All phrases of 1 to ``words`` words that occur ``least`` times or more (``lang, phrase, n``, exact),
     and the words of each language (``lang, n``)."""
     body = small_batches(docs).select(F.coalesce(column(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), utf8(text).alias("x"))
-    all_words = stored(counted(body, 1, 1, None, entries, burst))
+    all_words = stored(counted(body, 1, 1, None, None, entries, burst))
     sizes = stored(all_words.groupBy("lang").agg(F.sum("n").alias("n")))
-    found, frequent = [all_words.filter(F.col("n") >= least)], None
-    for low, high in ((2, 2), (3, words)):
-        frequent = bitmap(found[-1], bits)
-        here = counted(body, low, high, frequent, entries, burst)
+    found, bitmaps = [all_words.filter(F.col("n") >= least)], [None, None]
+    for i, (low, high) in enumerate(((2, 2), (3, words))):
+        bitmaps[i] = bitmap(found[-1], bits)
+        here = counted(body, low, high, *bitmaps, entries, burst)
         found.append(stored(here.filter(F.col("n") >= least)))
     return found[0].unionByName(found[1]).unionByName(found[2]), sizes
 
