@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliolens.llm import collocations, decontamination, extraction, language, line_dedup, mixing, nearest, sharding, simhash, suffix_dedup, token_files, toxicity
+from foliolens.llm import collocations, decontamination, extraction, language, lexical, line_dedup, mixing, nearest, sharding, simhash, suffix_dedup, token_files, toxicity
 from foliolens.llm.common import remainder, small_batches, table
 from foliolens.plans.reuse import new_folder
 
@@ -102,6 +102,32 @@ def op10_sharding(spark, folder):
     )
 
 
+def op11_lexical(spark, folder):
+    return lexical.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH words AS (
+  SELECT doc_id, rowid_ AS d, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM (SELECT doc_id, text, row_number() OVER () AS rowid_ FROM documents)),
+tfs AS (SELECT d, doc_id, t, count(*) AS tf FROM words GROUP BY ALL),
+lengths AS (SELECT d, sum(tf)::BIGINT AS n FROM tfs GROUP BY d),
+corpus AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM lengths),
+terms AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM benchmark),
+weights AS (
+  SELECT t, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tfs, corpus GROUP BY t, docs),
+scores AS (
+  SELECT item_id, d, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total))))::BIGINT AS score
+  FROM terms JOIN tfs USING (t) JOIN weights USING (t) JOIN lengths USING (d), corpus GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
 #: Vocabulary of the installed tokenizer files.
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -161,6 +187,7 @@ QUERIES = {
     "op8_decontamination": (op8_decontamination, None),
     "op9_simhash": (op9_simhash, None),
     "op10_sharding": (op10_sharding, None),
+    "op11_lexical": (op11_lexical, OP11_SQL),
     "op12_token_files": (op12_token_files, None),
     "op13_collocations": (op13_collocations, OP13_SQL),
 }
