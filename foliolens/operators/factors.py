@@ -1,7 +1,8 @@
 """Evaluation of all views over a frame in one pass.
 
-Each row first gets a bit mask, one bit per view that keeps it, packed in a few
-long columns, and one column per distinct scaling rule set. Masks travel through
+Each distinct criterion is tested once per row, into bits. From these a row gets a
+bit mask, one bit per view that keeps it, packed in a few long columns, and one
+column per distinct scaling rule set. Masks travel through
 joins and group-bys in place of one row per view; rows are multiplied by views
 only at the end, in ``explode_views``.
 """
@@ -22,14 +23,92 @@ BITS = 62
 
 def pack(flags: dict[int, str], word: int) -> Column:
     """Flags of the views of one word as bits of a long."""
-    bits = [
-        f"CASE WHEN {flag} THEN {1 << (index % BITS)}L ELSE 0L END"
-        for index, flag in sorted(flags.items())
-        if index // BITS == word
-    ]
+    bits = [f"if({flag}, {1 << (i % BITS)}L, 0L)" for i, flag in sorted(flags.items()) if i // BITS == word]
     return F.expr(" | ".join(bits) or "0L")
 
 
+class Planes:
+    """The distinct criteria of many views, each tested once per row: bit columns ``_p<n>``."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+
+    def test(self, criterion: str) -> str:
+        """TRUE where the row has the criterion's bit."""
+        if criterion in ("true", "false"):
+            return criterion
+        n = self.number.setdefault(criterion, len(self.number))
+        return f"(_p{n // BITS} & {1 << (n % BITS)}L) <> 0"
+
+    def columns(self) -> list[Column]:
+        tests = list(self.number)
+        words = [tests[i : i + BITS] for i in range(0, len(tests), BITS)]
+        return [
+            F.expr(" | ".join(f"if({t}, {1 << i}L, 0L)" for i, t in enumerate(word))).alias(f"_p{n}")
+            for n, word in enumerate(words)
+        ]
+
+
+def _mask(views: list[View]) -> int:
+    return sum(1 << (v.index % BITS) for v in views)
+
+
+def _any_of(planes: Planes, wanted: dict[str, list[View]]) -> str:
+    """Bits of the views one of whose criteria the row meets; a view has one criterion here."""
+    return " | ".join(f"if({planes.test(c)}, {_mask(of)}L, 0L)" for c, of in wanted.items()) or "0L"
+
+
+def _by_criterion(pairs: list[tuple[View, str]]) -> dict[str, list[View]]:
+    found: dict[str, list[View]] = {}
+    for view, criterion in pairs:
+        found.setdefault(criterion, []).append(view)
+    return found
+
+
+def mask_sql(schema: T.StructType, views: list[View], planes: Planes, stop: int | None = None) -> str:
+    """Bits of the views of one word that keep the row.
+
+    All views take a step of their rules at once: a step is one bit operation per
+    distinct criterion, whatever the number of views that share it, and what a view
+    asks for is a bit of a constant. ``stop`` is that of ``rule_states``.
+    """
+    ones = _mask(views)
+    removed: list[tuple[View, str]] = []
+    programs: list[tuple[View, list[tuple[str, str]]]] = []
+    for view in views:
+        removed += [(view, sql) for _, sql in preprocess_steps(schema, view)]
+        programs.append((view, [(link, sql) for _, link, sql in rule_steps(schema, view)] + postprocess_steps(schema, view, stop)))
+    state = f"{ones}L"
+    for step in range(max((len(p) for _, p in programs), default=0)):
+        here = [(v, *p[step]) for v, p in programs if len(p) > step]
+        narrowed = [(v, sql) for v, link, sql in here if link == "and"]
+        widened = _by_criterion([(v, sql) for v, link, sql in here if link == "or"])
+        if narrowed:
+            others = ones & ~_mask([v for v, _ in narrowed])
+            state = f"({state} & ({_any_of(planes, _by_criterion(narrowed))} | {others}L))"
+        if widened:
+            state = f"({state} | {_any_of(planes, widened)})"
+    if removed:
+        state = f"({state} & ~({_any_of(planes, _by_criterion(removed))}))"
+    specs: dict[str, list[View]] = {}
+    for view in views:
+        if view.spec is not None:
+            specs.setdefault(view.spec, []).append(view)
+    if specs:
+        free = ones & ~_mask([v for of in specs.values() for v in of])
+        whens = " ".join(f"WHEN {literal(spec)} THEN {_mask(of)}L" for spec, of in specs.items())
+        state = f"({state} & (CASE {SPEC} {whens} ELSE 0L END | {free}L))"
+    return state
+
+
+def mask_words(schema: T.StructType, views: list[View], planes: Planes, stop: int | None = None) -> dict[int, str]:
+    """``mask_sql`` of each word that has views."""
+    words: dict[int, list[View]] = {}
+    for view in views:
+        words.setdefault(view.index // BITS, []).append(view)
+    return {word: mask_sql(schema, of, planes, stop) for word, of in sorted(words.items())}
+
+
 def bit(view: View, prefix: str = "_m") -> str:
     """TRUE where the mask has the bit of a view."""
     return f"({prefix}{view.index // BITS} & {1 << (view.index % BITS)}L) <> 0"
@@ -133,11 +212,14 @@ def rule_chain_sql(schema: T.StructType, view: View) -> str:
     return chain or "true"
 
 
-def apply_postprocessing(compiler: CriteriaCompiler, rule: str, modifier: Modifier) -> str:
+def _post_criterion(compiler: CriteriaCompiler, modifier: Modifier) -> str:
     """``or`` adds in-scope matches, ``and`` drops in-scope rows that do not match."""
-    if modifier.operator == "or":
-        return f"({rule} OR {_in_scope(compiler, modifier.apply_to, modifier.criteria)})"
-    return f"({rule} AND {_out_of_scope_or(compiler, modifier.apply_to, modifier.criteria)})"
+    shape = _in_scope if modifier.operator == "or" else _out_of_scope_or
+    return shape(compiler, modifier.apply_to, modifier.criteria)
+
+
+def apply_postprocessing(compiler: CriteriaCompiler, rule: str, modifier: Modifier) -> str:
+    return f"({rule} {'OR' if modifier.operator == 'or' else 'AND'} {_post_criterion(compiler, modifier)})"
 
 
 def group_modifiers(view: View) -> list[Modifier]:
@@ -145,12 +227,9 @@ def group_modifiers(view: View) -> list[Modifier]:
     return [m for m in view.postprocessing if rule_result_columns(m.criteria)]
 
 
-def rule_states(schema: T.StructType, view: View, stop: int | None = None) -> list[tuple[Modifier | None, str]]:
-    """Rule outcome after the chain and after each postprocessing modifier.
-
-    ``stop`` ends before the group modifier of that number.
-    """
-    states: list[tuple[Modifier | None, str]] = [(None, rule_chain_sql(schema, view))]
+def _post_compilers(schema: T.StructType, view: View, stop: int | None) -> list[tuple[Modifier, CriteriaCompiler]]:
+    """The postprocessing modifiers, before the group modifier number ``stop``; one finds its own group flags."""
+    found = []
     stage = 0
     for modifier in view.postprocessing:
         grouped = bool(rule_result_columns(modifier.criteria))
@@ -160,9 +239,27 @@ def rule_states(schema: T.StructType, view: View, stop: int | None = None) -> li
         def flag(column: str, number: int = stage) -> str:
             return f"coalesce({bit(view, f'_g{number}_{column}_')}, false)"
 
-        compiler = CriteriaCompiler(schema, view.perspective_id, rule_result=flag if grouped else None)
-        states.append((modifier, apply_postprocessing(compiler, states[-1][1], modifier)))
+        found.append((modifier, CriteriaCompiler(schema, view.perspective_id, rule_result=flag if grouped else None)))
         stage += grouped
+    return found
+
+
+def postprocess_steps(schema: T.StructType, view: View, stop: int | None = None) -> list[tuple[str, str]]:
+    """Link (``and`` or ``or``) and criterion of each postprocessing modifier."""
+    return [
+        ("or" if modifier.operator == "or" else "and", _post_criterion(compiler, modifier))
+        for modifier, compiler in _post_compilers(schema, view, stop)
+    ]
+
+
+def rule_states(schema: T.StructType, view: View, stop: int | None = None) -> list[tuple[Modifier | None, str]]:
+    """Rule outcome after the chain and after each postprocessing modifier.
+
+    ``stop`` ends before the group modifier of that number.
+    """
+    states: list[tuple[Modifier | None, str]] = [(None, rule_chain_sql(schema, view))]
+    for modifier, compiler in _post_compilers(schema, view, stop):
+        states.append((modifier, apply_postprocessing(compiler, states[-1][1], modifier)))
     return states
 
 
@@ -191,22 +288,24 @@ def with_group_flags(rows: DataFrame, views: ViewSet) -> DataFrame:
     stages = max((len(group_modifiers(v)) for v in views.views), default=0)
     types = {f.name: f.dataType for f in rows.schema.fields}
     for stage in range(stages):
-        wanted: dict[str, dict[int, str]] = {}
+        wanted: dict[str, list[View]] = {}
         for view in views.views:
             modifiers = group_modifiers(view)
             if len(modifiers) > stage:
                 for column in rule_result_columns(modifiers[stage].criteria):
                     if column not in types:
                         raise ValueError(f"criteria column {column!r} is not in the data")
-                    wanted.setdefault(column, {})[view.index] = keep_sql(rows.schema, view, stage)
-        for column, passes in wanted.items():
-            words = sorted({index // BITS for index in passes})
-            names = [f"_g{stage}_{column}_{w}" for w in words]
+                    wanted.setdefault(column, []).append(view)
+        for column, asking in wanted.items():
+            planes = Planes()
+            passes = {f"_g{stage}_{column}_{w}": sql for w, sql in mask_words(rows.schema, asking, planes, stage).items()}
+            specs = [SPEC] if SPEC in types else []
             groups = (
-                rows.select(REQUEST, column, *[pack(passes, w).alias(n) for w, n in zip(words, names)])
-                .where(f"`{column}` IS NOT NULL AND ({' OR '.join(f'{n} <> 0' for n in names)})")
+                rows.select(REQUEST, column, *specs, *planes.columns())
+                .select(REQUEST, column, *[F.expr(sql).alias(n) for n, sql in passes.items()])
+                .where(f"`{column}` IS NOT NULL AND ({' OR '.join(f'{n} <> 0' for n in passes)})")
                 .groupBy(REQUEST, column)
-                .agg(*[F.bit_or(n).alias(n) for n in names])
+                .agg(*[F.bit_or(n).alias(n) for n in passes])
             )
             rows = join_groups(rows, groups, [REQUEST, column])
     return rows
@@ -217,16 +316,21 @@ def evaluate(rows: DataFrame, views: ViewSet, carry: list[str] | None = None) ->
 
     ``carry`` names columns to keep beside the row keys (default: all).
     """
-    layout = Layout(views)
+    layout, planes = Layout(views), Planes()
     flagged = with_group_flags(rows, views)
     schema = flagged.schema
-    keeps = {v.index: keep_sql(schema, v) for v in views.views}
+    masks = mask_words(schema, list(views.views), planes)
     kept = list(rows.columns) if carry is None else present(rows, list(dict.fromkeys([*ROW_KEYS, *carry])))
-    return flagged.select(
+    specs = [SPEC] if SPEC in flagged.columns and SPEC not in kept else []
+    tested = flagged.select(
         *kept,
-        *[pack(keeps, w).alias(name) for w, name in enumerate(layout.masks)],
+        *specs,
+        *planes.columns(),
         *[F.expr(scale_sql(schema, view)).alias(name) for name, view in layout.scale_views.items()],
     )
+    return tested.select(
+        *kept, *[F.expr(masks.get(w, "0L")).alias(name) for w, name in enumerate(layout.masks)], *layout.scales
+    )
 
 
 def explode_views(evaluated: DataFrame, views: ViewSet, columns: list[str], extra: dict[str, str] | None = None) -> DataFrame:
