@@ -33,17 +33,17 @@ COLUMNS = {
 }
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return read_table(spark, f"{folder}/{name}.parquet", schema=COLUMNS[name])
+def table(spark: SparkSession, folder: str, name: str, spread: int | None = None) -> DataFrame:
+    return read_table(spark, f"{folder}/{name}.parquet", schema=COLUMNS[name], spread=spread)
 
 
 CONTAINER = f"""CASE o_orderstatus WHEN 'F' THEN '{HOLDING}' WHEN 'O' THEN '{SELECTED}' ELSE '{CONTRACTUAL}' END"""
 
 
-def positions(spark: SparkSession, folder: str) -> DataFrame:
+def positions(spark: SparkSession, folder: str, spread: int | None = None) -> DataFrame:
     """One position per order."""
     cents = "round(o_totalprice * 100)"
-    return table(spark, folder, "orders").selectExpr(
+    return table(spark, folder, "orders", spread).selectExpr(
         f"{CONTAINER} AS container",
         "'positions' AS record_type",
         "string(o_orderkey) AS identifier",
@@ -71,12 +71,12 @@ def positions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def lookthroughs(spark: SparkSession, folder: str) -> DataFrame:
+def lookthroughs(spark: SparkSession, folder: str, spread: int | None = None) -> DataFrame:
     """One child row per order line, with the container of its order."""
     cents = "round(l_extendedprice * 100)"
     orders = table(spark, folder, "orders").selectExpr("o_orderkey AS l_orderkey", "o_orderstatus", "o_custkey")
     return (
-        table(spark, folder, "lineitem")
+        table(spark, folder, "lineitem", spread)
         .join(orders, "l_orderkey")
         .selectExpr(
             f"{CONTAINER} AS container",

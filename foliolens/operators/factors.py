@@ -41,12 +41,13 @@ class Planes:
         return f"(_p{n // BITS} & {1 << (n % BITS)}L) <> 0"
 
     def columns(self) -> list[Column]:
+        """The bit columns, from a generator of one row: filters on masks would
+        otherwise be moved below them, with a copy of every criterion for each use."""
         tests = list(self.number)
         words = [tests[i : i + BITS] for i in range(0, len(tests), BITS)]
-        return [
-            F.expr(" | ".join(f"if({t}, {1 << i}L, 0L)" for i, t in enumerate(word))).alias(f"_p{n}")
-            for n, word in enumerate(words)
-        ]
+        bits = [" | ".join(f"if({t}, {1 << i}L, 0L)" for i, t in enumerate(word)) for word in words]
+        named = ", ".join(f"'_p{n}', {sql}" for n, sql in enumerate(bits))
+        return [F.expr(f"inline(array(named_struct({named})))")] if bits else []
 
 
 def _mask(views: list[View]) -> int:
@@ -336,8 +337,9 @@ def evaluate(rows: DataFrame, views: ViewSet, carry: list[str] | None = None) ->
 def explode_views(evaluated: DataFrame, views: ViewSet, columns: list[str], extra: dict[str, str] | None = None) -> DataFrame:
     """One row per kept (row, view), with its factor.
 
-    The view number runs over a constant list inside the scan stage; names and
-    factors are looked up for the surviving pairs only. ``extra`` adds columns
+    Inside the scan stage, rows are multiplied by the words of their mask that have
+    views and by the bits of a word, whatever the number of views; names and factors
+    are looked up for the surviving pairs only. ``extra`` adds columns
     computed from the view number ``_view``.
     """
     layout = Layout(views)
@@ -349,10 +351,15 @@ def explode_views(evaluated: DataFrame, views: ViewSet, columns: list[str], extr
             "1.0D AS factor",
             *[f"double(NULL) AS {name}" for name in extra or {}],
         ).where("false")
+    if layout.words == 1:
+        rows = evaluated.where(layout.any_kept()).withColumn("_word", F.lit(0))
+    else:  # only words with kept views, then their bits
+        words = ", ".join(f"if({m} <> 0, {w}, NULL)" for w, m in enumerate(layout.masks))
+        rows = evaluated.withColumn("_word", F.expr(f"explode(array_compact(array({words})))"))
     return (
-        evaluated.where(layout.any_kept())
-        .withColumn("_view", F.expr(f"explode(sequence(0, {len(views.views) - 1}))"))
-        .where(layout.has_bit())
+        rows.withColumn("_bit", F.expr(f"explode(sequence(0, {min(BITS, len(views.views)) - 1}))"))
+        .where(f"(shiftright(array({', '.join(layout.masks)})[_word], _bit) & 1L) = 1L")
+        .withColumn("_view", F.expr(f"_word * {BITS} + _bit"))
         .selectExpr(
             *[f"`{c}`" for c in columns],
             f"{layout.lookup([v.config for v in views.views])} AS config",

@@ -27,8 +27,8 @@ def _wide(rows: DataFrame, views: ViewSet, labels: list[str], totals: Totals | N
         columns.append(f"{factor} AS `{wide_name(view)}`")
         for j, w in enumerate(labels):
             share = factor
-            if totals is not None and view.index in totals.offsets:
-                total = f"{totals.array}[{totals.offsets[view.index] + j}]"
+            total = totals.place(view.index, j) if totals is not None else None
+            if total is not None:
                 if totals.match:
                     total = f"CASE WHEN {bit(view, totals.match)} THEN {total} END"
                 share = f"CASE WHEN coalesce({total}, 0.0D) <> 0.0D THEN {factor} / {total} ELSE {factor} END"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from foliolens.operators.skew import join_groups
 from foliolens.schema import INT_NULL, has
@@ -73,6 +74,24 @@ def read_as_of(
     )
 
 
+def disjoint_versions(versions: DataFrame, columns: list[str]) -> DataFrame:
+    """``_key, _from, _to`` and the columns, with one version at any moment of a key.
+
+    Where versions overlap the one that began last holds, among those that began
+    together the one that ends last, then the one with the greatest values. The
+    starts and ends of a key's versions cut its time into pieces, each of which
+    takes the best of the versions that cover it. Versions without a start never hold.
+    """
+    points = versions.select("_key", F.col("_from").alias("_p")).union(versions.where("_to IS NOT NULL").select("_key", "_to")).distinct()
+    following = Window.partitionBy("_key").orderBy("_p")
+    pieces = points.withColumn("_end", F.lead("_p").over(following)).withColumnRenamed("_key", "_piece_key")
+    covers = (F.col("_from") <= F.col("_p")) & (F.col("_to").isNull() | (F.col("_p") < F.col("_to")))
+    met = versions.join(pieces, (F.col("_key") == F.col("_piece_key")) & covers)
+    later = F.struct("_from", F.col("_to").isNull().alias("_open"), F.col("_to").alias("_until"), F.to_json(F.struct(*columns)).alias("_values"))
+    best = met.groupBy("_key", "_p", "_end").agg(F.max_by(F.struct(*columns), later).alias("_best"))
+    return best.select("_key", F.col("_p").alias("_from"), F.col("_end").alias("_to"), *[F.col("_best")[c].alias(c) for c in columns])
+
+
 def join_as_of(
     rows: DataFrame,
     table: DataFrame,
@@ -84,7 +103,8 @@ def join_as_of(
 ) -> DataFrame:
     """Columns of the version of a table that is valid at each row's own moment.
 
-    Rows without a moment get the version whose end is open.
+    Rows without a moment get the version whose end is open. Where versions
+    overlap a row still gets one of them (see ``disjoint_versions``).
     """
     taken = sorted(set(columns) & set(rows.columns))
     if taken:
@@ -92,6 +112,7 @@ def join_as_of(
     versions = _needed(table, key, [*columns, valid_from, valid_to]).withColumnsRenamed(
         {key: "_key", valid_from: "_from", valid_to: "_to"}
     )
+    versions = disjoint_versions(versions.where("_key IS NOT NULL AND _from IS NOT NULL"), columns)
     at = F.col(moment).cast(table.schema[valid_from].dataType)
     valid = F.when(at.isNull(), F.col("_to").isNull()).otherwise((F.col("_from") <= at) & (F.col("_to").isNull() | (at < F.col("_to"))))
     return rows.join(versions, (F.col(key) == F.col("_key")) & valid, "left").drop("_key", "_from", "_to")

@@ -27,21 +27,26 @@ TOTAL = -1
 """View number under which raw totals are kept."""
 
 
+def _wanted_bits(layout: Layout, wanted: list[View]) -> list[str]:
+    """Mask and scale columns with what the wanted views need of them."""
+    used = {v.index // BITS: 0 for v in wanted}
+    for v in wanted:
+        used[v.index // BITS] |= 1 << (v.index % BITS)
+    scales = {layout.scale_name[v.index] for v in wanted if v.index in layout.scale_name}
+    masks = [f"{f'{m} & {used[w]}L' if w in used else '0L'} AS {m}" for w, m in enumerate(layout.masks)]
+    return masks + [f"{s if s in scales else '1.0D'} AS {s}" for s in layout.scales]
+
+
 def _sums(frame: DataFrame, labels: list[str], layout: Layout, wanted: list[View], positions: bool) -> DataFrame:
     """Weights of a frame in the common shape of the mass aggregation.
 
     Only the mask bits and scale columns of the wanted views are left, to keep
     the number of distinct masks low.
     """
-    used = {v.index // BITS: 0 for v in wanted}
-    for v in wanted:
-        used[v.index // BITS] |= 1 << (v.index % BITS)
-    scales = {layout.scale_name[v.index] for v in wanted if v.index in layout.scale_name}
     return frame.selectExpr(
         *GROUP_KEYS,
         f"{literal(positions)} AS _positions",
-        *[f"{f'{m} & {used[w]}L' if w in used else '0L'} AS {m}" for w, m in enumerate(layout.masks)],
-        *[f"{s if s in scales else '1.0D'} AS {s}" for s in layout.scales],
+        *_wanted_bits(layout, wanted),
         *[f"double({f'`{w}`' if w in frame.columns else 'NULL'}) AS `{w}`" for w in labels],
     )
 
@@ -139,10 +144,17 @@ class Totals:
     """Where the divisors of a (view, label) stand in an array column."""
 
     array: str
-    offsets: dict[int, int]
+    offsets: dict[int, int] | None
+    """Places in an array of all views' divisors; without them the column is a map of views to their divisors."""
     match: str | None = None
     """Prefix of the mask of views for which a row is rescaled."""
 
+    def place(self, view: int, label: int) -> str | None:
+        """The divisor of a view and label; None where there is none."""
+        if self.offsets is None:
+            return f"{self.array}[{view}][{label}]"
+        return f"{self.array}[{self.offsets[view] + label}]" if view in self.offsets else None
+
 
 def weigh(evaluated: DataFrame, views: ViewSet, labels: list[str], totals: Totals | None, carry: list[str]) -> DataFrame:
     """Kept rows per view with output weights: weight times factor.
@@ -153,10 +165,14 @@ def weigh(evaluated: DataFrame, views: ViewSet, labels: list[str], totals: Total
     extra = {}
     if totals is not None:
         layout = Layout(views)
-        offset = layout.lookup([totals.offsets.get(v.index, -1) for v in views.views])
-        applies = f"{offset} >= 0L" + (f" AND {layout.has_bit(prefix=totals.match)}" if totals.match else "")
+        matched = f" AND {layout.has_bit(prefix=totals.match)}" if totals.match else ""
+        if totals.offsets is None:
+            applies, place = f"true{matched}", f"{totals.array}[_view][{{}}]"
+        else:
+            offset = layout.lookup([totals.offsets.get(v.index, -1) for v in views.views])
+            applies, place = f"{offset} >= 0L{matched}", f"{totals.array}[int({offset}) + {{}}]"
         for j, w in enumerate(labels):
-            extra[f"_t_{w}"] = f"CASE WHEN {applies} THEN {totals.array}[int({offset}) + {j}] END"
+            extra[f"_t_{w}"] = f"CASE WHEN {applies} THEN {place.format(j)} END"
     long = explode_views(evaluated, views, carry, extra)
     divided = "CASE WHEN coalesce(_t_{w}, 0.0D) <> 0.0D THEN factor / _t_{w} ELSE factor END"
     return long.selectExpr(
@@ -220,19 +236,27 @@ def matching_parents(positions: DataFrame, views: ViewSet) -> DataFrame | None:
 
 
 def child_totals(lookthroughs: DataFrame, views: ViewSet, labels: list[str]) -> DataFrame:
-    """Kept mass per (parent, record type) as an array over (view, label).
+    """Kept mass per (parent, record type) as a map of views to the sums of all labels.
 
     All rows of such a group share their parent, so the sums can be taken before
-    the parents are known: the group later stays or goes as a whole.
+    the parents are known: the group later stays or goes as a whole. Rows are
+    summed per distinct mask first, then the few sums are spread over the views
+    that have them; the aggregates are one per label, whatever the number of views.
     """
     layout = Layout(views)
     wanted = [v for v in views.views if v.rescales_lookthroughs]
-    sums = [F.expr(f"coalesce(sum(`{w}` * {layout.factor(v)}), 0.0D)") for v in wanted for w in labels]
-    return (
-        lookthroughs.where(layout.any_kept())
-        .groupBy(*LOOKTHROUGH_KEYS)
-        .agg(F.array(*sums).alias("_children"))
+    kept = lookthroughs.where(layout.any_kept()).selectExpr(*LOOKTHROUGH_KEYS, *_wanted_bits(layout, wanted), *[f"`{w}`" for w in labels])
+    by_mask = kept.groupBy(*LOOKTHROUGH_KEYS, *layout.masks, *layout.scales).agg(*[F.sum(w).alias(w) for w in labels])
+    factor = f"CASE WHEN view = {TOTAL} THEN 0.0D ELSE {layout.scale_of('greatest(view, 0)')} END"
+    by_view = (
+        by_mask.repartition(*LOOKTHROUGH_KEYS)  # both sums below need no other shuffle
+        .withColumn("view", F.expr(f"explode(array({', '.join(str(n) for n in [TOTAL, *[v.index for v in wanted]])}))"))
+        .where(f"view = {TOTAL} OR {layout.has_bit('greatest(view, 0)')}")
+        .withColumn("_factor", F.expr(factor))
+        .groupBy(*LOOKTHROUGH_KEYS, "view")
+        .agg(F.array(*[F.coalesce(F.sum(F.col(w) * F.col("_factor")), F.lit(0.0)) for w in labels]).alias("sums"))
     )
+    return by_view.groupBy(*LOOKTHROUGH_KEYS).agg(F.map_from_entries(F.collect_list(F.struct("view", "sums"))).alias("_children"))
 
 
 def sync_and_rescale_lookthroughs(
@@ -255,12 +279,10 @@ def sync_and_rescale_lookthroughs(
     matches = matching_parents(raw_positions, views)
     if matches is not None:
         groups = join_groups(groups, matches, [REQUEST, "parent_instrument_id"])
-    wanted = [v.index for v in views.views if v.rescales_lookthroughs]
-    offsets = {index: i * len(labels) for i, index in enumerate(wanted)}
     if keep_removed:
         rows = intersect_masks(join_groups(lookthroughs, groups, LOOKTHROUGH_KEYS), views)
     else:
         alive = lookthroughs.where(layout.any_kept())
         joined = join_groups(alive, groups, LOOKTHROUGH_KEYS, "inner")
         rows = intersect_masks(joined, views).where(layout.any_kept())
-    return rows, Totals("_children", offsets, None if matches is None else "_q")
+    return rows, Totals("_children", None, None if matches is None else "_q")

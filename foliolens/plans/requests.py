@@ -6,6 +6,7 @@ import functools
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import islice
 
 from pyspark.sql import DataFrame, functions as F
@@ -20,7 +21,7 @@ from foliolens.plans.reuse import materialize_if_possible
 from foliolens.schema import CONTAINERS, LOOKTHROUGHS, POSITIONS, RECORD_TYPES, REQUEST, SPEC
 from foliolens.sources.requests import inflate_requests, request_sections, with_request_ids
 
-SPECS = 200
+SPECS = 1000
 """Specifications of one plan; a batch with more has several plans."""
 
 SPEC_PARTS = ["perspective_configurations", "custom_perspective_rules", "position_weight_labels", "lookthrough_weight_labels"]
@@ -60,6 +61,47 @@ def parse_spec(text: str) -> dict:
 COPIES = "copies"
 
 
+class BatchResult:
+    """The frames of a batch: those of all its plans together, a copy of a request with rows of its own."""
+
+    def __init__(self, blocks: list[tuple[DataFrame, ViewResult]]):
+        self._blocks = blocks
+
+    def _all(self, name: str) -> DataFrame | None:
+        """The rows of the plans whose results have this frame."""
+        found = []
+        for known, result in self._blocks:
+            frame = getattr(result, name)
+            if frame is not None:
+                again = F.explode(F.sequence(F.lit(1), F.col(COPIES).cast("int")))
+                copies = known.select(REQUEST, COPIES).where(f"{COPIES} > 1")
+                found.append(
+                    frame.join(copies, REQUEST, "left")
+                    .withColumn(COPIES, F.coalesce(COPIES, F.lit(1)))
+                    .withColumn("_copy", again)
+                    .select(*frame.columns)
+                )
+        if not found:
+            return None
+        return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
+
+    @cached_property
+    def positions(self) -> DataFrame:
+        return self._all("positions")
+
+    @cached_property
+    def lookthroughs(self) -> DataFrame | None:
+        return self._all("lookthroughs")
+
+    @cached_property
+    def scale_factors(self) -> DataFrame | None:
+        return self._all("scale_factors")
+
+    @cached_property
+    def all_scale_factors(self) -> DataFrame:
+        return self._all("all_scale_factors")
+
+
 @dataclass
 class RequestRun:
     """Parsed requests and their lazy results, one for each block of specifications.
@@ -73,9 +115,10 @@ class RequestRun:
     errors: DataFrame
 
     @property
-    def result(self) -> ViewResult | None:
-        """The result of the first block that has views."""
-        return next((r for _, r in self.blocks if r is not None), None)
+    def result(self) -> BatchResult | None:
+        """The results of all blocks that have views, with copies of equal requests restored."""
+        found = [(known, result) for known, result in self.blocks if result is not None]
+        return BatchResult(found) if found else None
 
     def documents(self, columnar: bool = False, parts: int = 1) -> DataFrame:
         """The responses of every accepted request, each in as many parts; copies are answered alike."""

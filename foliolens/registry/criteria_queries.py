@@ -37,6 +37,16 @@ CASES: dict[str, tuple[dict, str, bool]] = {
         "COALESCE(priority IN ('1-URGENT', '2-HIGH'), FALSE)",
         False,
     ),
+    "P-09_in_listed_text": (
+        test(P, "In", """('1-URGENT', "5-LOW",,'a,b',3-MEDIUM (x), 4-NOT SPECIFIED)"""),
+        "COALESCE(priority IN ('1-URGENT', '5-LOW', '', 'a', 'b', '3-MEDIUM (x)', '4-NOT SPECIFIED'), FALSE)",
+        False,
+    ),
+    "P-10_not_in_listed_text": (
+        test(P, "NotIn", "['1-URGENT',,'x,5-LOW']"),
+        "COALESCE(priority NOT IN ('1-URGENT', '', 'x', '5-LOW'), TRUE)",
+        False,
+    ),
     "P-10_not_in": (test(L, "NotIn", [4, 8]), "COALESCE(liquidity_type_id NOT IN (4, 8), TRUE)", False),
     "P-11_is_null": (test(L, "IsNull"), "liquidity_type_id = -2147483648", True),
     "P-11_is_null_text": (test(P, "IsNull"), "priority IS NULL", True),

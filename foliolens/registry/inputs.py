@@ -12,12 +12,12 @@ from foliolens.schema import LOOKTHROUGHS, POSITIONS
 ALL_LABELS = [*datasets.POSITION_LABELS, "weight"]
 
 
-def positions(spark: SparkSession, folder: str) -> DataFrame:
-    return normalize(datasets.positions(spark, folder), ALL_LABELS, POSITIONS)
+def positions(spark: SparkSession, folder: str, spread: int | None = None) -> DataFrame:
+    return normalize(datasets.positions(spark, folder, spread), ALL_LABELS, POSITIONS)
 
 
-def lookthroughs(spark: SparkSession, folder: str) -> DataFrame:
-    return normalize(datasets.lookthroughs(spark, folder), ALL_LABELS, LOOKTHROUGHS)
+def lookthroughs(spark: SparkSession, folder: str, spread: int | None = None) -> DataFrame:
+    return normalize(datasets.lookthroughs(spark, folder, spread), ALL_LABELS, LOOKTHROUGHS)
 
 
 def view_set(

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from foliolens import datasets
 from foliolens.operators.normalize import fill_sentinels, lowercase_columns, standardize_ids, validate_domains
 from foliolens.operators.reference import (
+    join_as_of,
     ReferenceTables,
     allocation_ids,
     instrument_ids,
@@ -315,6 +316,73 @@ dated AS (SELECT {BLOCK} AS request_id, container, identifier, instrument_id,
 SELECT request_id, container, identifier, category_id, segment FROM dated LEFT JOIN categories c
 ON c.instrument_id = dated.instrument_id AND valid_from <= ed AND (valid_to IS NULL OR ed < valid_to)""",
 )
+
+
+def _overlapping(spark, folder):
+    """Versions that overlap others, some within them: every position gets one, by its own date or the open one."""
+    table = datasets.categorization(spark, folder)
+    kind = table.schema["valid_from"].dataType
+    more = table.where("instrument_id % 3 = 0 AND valid_to IS NOT NULL").select(
+        *[
+            F.lit(at).cast(kind).alias(c)
+            if (at := {"valid_from": "1992-01-01", "valid_to": "1999-01-01"}.get(c))
+            else (F.col(c) + 100).alias(c) if c == "category_id" else F.col(c)
+            for c in table.columns
+        ]
+    )
+    within = table.where("valid_to IS NULL").withColumns(
+        {"valid_from": F.lit("1993-01-01").cast(kind), "valid_to": F.lit("1993-06-01").cast(kind), "category_id": F.col("category_id") + 200}
+    )
+    date = F.element_at(F.array(*map(F.lit, ["1992-06-30", "1993-03-31", "1994-03-31", "1998-06-30", None])), (F.col("instrument_id") % 5 + 1).cast("int"))
+    rows = datasets.positions(spark, folder).select("container", "identifier", "instrument_id", date.alias("moment"))
+    return join_as_of(rows, table.unionByName(more).unionByName(within), ["category_id"], "moment").drop("instrument_id", "moment")
+
+
+QUERIES["S-08_overlapping_versions"] = (
+    _overlapping,
+    f"""WITH {RAW}, {CATEGORIES},
+versions AS (
+  SELECT instrument_id, category_id, valid_from, valid_to FROM categories
+  UNION ALL SELECT instrument_id, category_id + 100, '1992-01-01', '1999-01-01' FROM categories WHERE instrument_id % 3 = 0 AND valid_to IS NOT NULL
+  UNION ALL SELECT instrument_id, category_id + 200, '1993-01-01', '1993-06-01' FROM categories WHERE valid_to IS NULL),
+dated AS (SELECT container, identifier, instrument_id, nth, CASE nth % 5 WHEN 0 THEN '1992-06-30' WHEN 1 THEN '1993-03-31'
+  WHEN 2 THEN '1994-03-31' WHEN 3 THEN '1998-06-30' END AS ed
+  FROM (SELECT *, instrument_id AS nth FROM raw_pos)),
+best AS (
+  SELECT container, identifier, d.instrument_id, v.category_id FROM dated d LEFT JOIN versions v ON v.instrument_id = d.instrument_id
+    AND CASE WHEN ed IS NULL THEN valid_to IS NULL ELSE valid_from <= ed AND (valid_to IS NULL OR ed < valid_to) END
+  QUALIFY row_number() OVER (PARTITION BY d.instrument_id, container, identifier ORDER BY valid_from DESC, '{{"category_id":' || v.category_id || '}}' DESC) = 1)
+SELECT container, identifier, category_id FROM best""",
+)
+
+
+def _many_specifications(spark, folder):
+    """Every request has rules of its own, and some requests come twice."""
+    number = F.expr("substring(request_id, 2)")
+    own = json_requests(spark, folder).withColumn(
+        "request",
+        F.replace(
+            F.replace("request", F.lit('"operator_type":"<=","value":3'), F.concat(F.lit('"operator_type":"<=","value":'), (number.cast("int") % 5 + 1).cast("string"))),
+            F.lit('"column":"liquidity_type_id","operator_type":">","value":4'),
+            F.concat(F.lit('"column":"instrument_id","operator_type":">","value":'), number, F.lit("*50+25")),
+        ),
+    )
+    own = own.withColumn("request", F.replace("request", F.concat(number, F.lit("*50+25")), (number.cast("bigint") * 50 + 25).cast("string")))
+    twice = own.where(number.cast("int") % 7 == 0)
+    rows = process_requests(own.unionByName(twice), types=TYPES, defaults=[]).result.positions
+    return rows.select("request_id", "perspective_id", "container", "identifier", "factor")
+
+
+QUERIES["S-01_many_specifications"] = (
+    _many_specifications,
+    f"""WITH {RAW},
+numbered AS (SELECT {BLOCK} AS request_id, instrument_id // 50 AS nr, * FROM raw_pos),
+copied AS (SELECT * FROM numbered UNION ALL SELECT * FROM numbered WHERE nr % 7 = 0)
+SELECT request_id, CAST(-1 AS BIGINT) AS perspective_id, container, identifier, 1.0::DOUBLE AS factor
+FROM copied WHERE trade_type_id <= nr % 5 + 1
+UNION ALL
+SELECT request_id, -2, container, identifier, CASE WHEN instrument_id > nr * 50 + 25 THEN 0.5 ELSE 1.0 END FROM copied""",
+)
 QUERIES["J-01_join_instrument"] = (
     lambda spark, folder: join_instrument(
         lookthroughs(spark, folder),

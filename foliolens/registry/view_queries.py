@@ -267,6 +267,34 @@ FROM pos JOIN generate_series(1, 50) AS s(n) ON trade_type_id <= n % 5 + 1 GROUP
     ),
 )
 
+def _thousand(spark, folder):
+    """A thousand views with criteria of their own, more than one mask word can hold."""
+    rules = {
+        str(-n): {
+            "rules": [
+                rule(test("trade_type_id", "<=", n % 5 + 1)),
+                {**rule(test("instrument_id", ">", 40 * n)), "condition_for_next_rule": "or"},
+                rule(test("sub_portfolio_id", "==", n % 10)),
+            ]
+        }
+        for n in range(1, 1001)
+    }
+    rows = factors(positions(spark, folder), view_set({"many": {pid: [] for pid in rules}}, rules), ["initial_weight"])
+    return rows.groupBy("perspective_id", "container").agg(
+        F.count(F.lit(1)).alias("kept"), F.sum(F.col("initial_weight") * F.col("factor")).alias("mass")
+    )
+
+
+QUERIES["F-13_thousand_perspectives"] = (
+    _thousand,
+    with_tables(
+        """SELECT -CAST(n AS BIGINT) AS perspective_id, container, COUNT(*) AS kept, SUM(initial_weight) AS mass
+FROM pos JOIN generate_series(1, 1000) AS s(n) ON (trade_type_id <= n % 5 + 1 AND instrument_id > 40 * n) OR sub_portfolio_id = n % 10
+GROUP BY n, container"""
+    ),
+)
+
+
 def _rule_result(spark, folder):
     """Positions kept because another one of their simulated trade passes."""
     vs = view_set({"main": {"-1": ["m"]}}, {"-1": {"rules": [KEEP_TRADE]}}, modifiers=GROUP_MODIFIERS)
@@ -632,6 +660,40 @@ GROUP BY pid, container, record_type, sub_portfolio_id""",
         MATCHES,
     ),
 )
+def _rescale_sixty(spark, folder):
+    """Sixty rescaling views, with scaling rules of their own."""
+    pos, lt = _with_subtypes(spark, folder)
+    rules = {
+        str(-n): {"rules": [rule(test("trade_type_id", "<=", n % 5 + 1)), rule(test("liquidity_type_id", ">", n % 9), percent=50)]}
+        for n in range(1, 61)
+    }
+    rows = run_views(pos, lt, view_set({"many": {pid: [LOOK] for pid in rules}}, rules)).lookthroughs
+    return rows.groupBy("perspective_id", "container", "record_type").agg(
+        F.count(F.lit(1)).alias("kept"), F.round(F.sum(out("weight")), 6).alias("weight")
+    )
+
+
+QUERIES["A-04_sixty_views"] = (
+    _rescale_sixty,
+    with_tables(
+        """, view AS (SELECT n FROM generate_series(1, 60) AS s(n)),
+parent AS (SELECT DISTINCT n, container, instrument_id, sub_portfolio_id FROM pos JOIN view ON trade_type_id <= n % 5 + 1),
+child AS (
+  SELECT n, lt.*, CASE WHEN liquidity_type_id > n % 9 THEN 0.5 ELSE 1.0 END AS factor
+  FROM lt JOIN view ON trade_type_id <= n % 5 + 1
+  SEMI JOIN parent ON parent.n = view.n AND parent.container = lt.container
+    AND parent.instrument_id = lt.parent_instrument_id AND parent.sub_portfolio_id = lt.sub_portfolio_id),
+divided AS (
+  SELECT child.*, COALESCE(m, FALSE) AS m,
+    SUM(weight * factor) OVER (PARTITION BY n, container, parent_instrument_id, record_type, sub_portfolio_id) AS den
+  FROM child LEFT JOIN match ON match.id = child.parent_instrument_id)
+SELECT -CAST(n AS BIGINT) AS perspective_id, container, record_type, COUNT(*) AS kept,
+  ROUND(SUM(weight * CASE WHEN m AND den <> 0 THEN factor / den ELSE factor END), 6) AS weight
+FROM divided GROUP BY n, container, record_type""",
+        INSTRUMENTS,
+        MATCHES,
+    ),
+)
 QUERIES["MD-24_scale_lookthroughs_to_100_percent"] = (
     _rescaled_parents,
     with_tables(

@@ -8,10 +8,17 @@ from foliolens.model import Labels
 from foliolens.schema import LOOKTHROUGHS, POSITIONS
 
 
-def read_table(spark: SparkSession, path: str, kind: str = "parquet", schema: str | None = None) -> DataFrame:
-    """A stored table. How its files become tasks is up to ``spark.sql.files.*``."""
+def read_table(
+    spark: SparkSession, path: str, kind: str = "parquet", schema: str | None = None, spread: int | None = None
+) -> DataFrame:
+    """A stored table. How its files become tasks is up to ``spark.sql.files.*``.
+
+    ``spread`` deals its rows to that many tasks: for a table in a few row groups,
+    which can't be split, when each row is to cause much work.
+    """
     reader = spark.read.format(kind)
-    return (reader.schema(schema) if schema else reader).load(path)
+    rows = (reader.schema(schema) if schema else reader).load(path)
+    return rows.repartition(spread) if spread else rows
 
 
 def read_database_table(
