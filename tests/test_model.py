@@ -78,6 +78,10 @@ def test_container_labels_fall_back():
         ("'012'", [12]),
         ("north by west, 7", ["north by west", 7]),
         ("", [""]),
+        ("1,,2", [1, "", 2]),
+        ("('a,b','c')", ["a", "b", "c"]),
+        ("A (new), B", ["A (new)", "B"]),
+        ("A(1)B,C", ["A(1)B", "C"]),
         (["as", "is"], ["as", "is"]),
         (False, [False]),
         (None, [None]),
