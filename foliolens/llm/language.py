@@ -11,7 +11,8 @@ name; the score is its part of all corrected shares.
 An n-gram is a run of ``GRAM`` UTF-8 bytes of the lower-cased text in which every
 run of white space, digits and ASCII signs is one byte; n-grams with such a byte
 inside are left out, at their ends it marks where a word begins or ends. Counting
-runs over numpy arrays of at most ``BLOCK`` bytes, however long a text is.
+runs over the n-grams that begin in ``BLOCK`` codes at a time, however long a text is;
+blocks overlap, so a text's counts are those of the whole text.
 
 The fit takes at most ``SAMPLE`` texts of each language (least hash of the key) and
 an n-gram if it is in at least ``SHARE`` of them and in two.
@@ -51,15 +52,19 @@ def _letters() -> np.ndarray:
 _LETTERS = _letters()
 
 
-def grams(data: bytes) -> np.ndarray:
-    """The n-grams of a lower-cased UTF-8 text as packed numbers, repeats included."""
+def _codes(data: bytes) -> np.ndarray:
+    """The bytes of a lower-cased UTF-8 text with one separator for each run, one at both ends."""
     codes = _LETTERS[np.frombuffer(data, np.uint8)]
+    codes = np.concatenate(([np.uint8(_APART)], codes, [np.uint8(_APART)]))
     apart = codes == _APART
-    codes = codes[~(apart & np.concatenate(([False], apart[:-1])))]  # one separator for a run
-    codes = np.concatenate(([_APART], codes, [_APART])).astype(np.uint32)
+    return codes[~(apart & np.concatenate(([False], apart[:-1])))]
+
+
+def _packed(codes: np.ndarray) -> np.ndarray:
+    """The n-grams within these codes as packed numbers."""
     if len(codes) < GRAM:
         return np.zeros(0, np.uint32)
-    n = len(codes) - GRAM + 1
+    codes, n = codes.astype(np.uint32), len(codes) - GRAM + 1
     packed, inside = np.zeros(n, np.uint32), np.zeros(n, bool)
     for j in range(GRAM):
         part = codes[j : j + n]
@@ -69,6 +74,11 @@ def grams(data: bytes) -> np.ndarray:
     return packed[~inside]
 
 
+def grams(data: bytes) -> np.ndarray:
+    """The n-grams of a lower-cased UTF-8 text as packed numbers, repeats included."""
+    return _packed(_codes(data))
+
+
 @dataclass
 class LanguageFilter:
     languages: list[str] = field(default_factory=list)
@@ -109,8 +119,9 @@ class LanguageFilter:
     def counts(self, data: bytes) -> tuple[int, np.ndarray]:
         """Number of n-grams, and of those that each language contains."""
         total, hits = 0, np.zeros(len(self.languages), np.int64)
-        for begin in range(0, max(1, len(data)), BLOCK):
-            packed = grams(data[begin : begin + BLOCK])
+        codes = _codes(data)
+        for begin in range(0, len(codes), BLOCK):
+            packed = _packed(codes[begin : begin + BLOCK + GRAM - 1])  # those that begin in the block
             total += len(packed)
             masks = self.masks(packed)
             for i in range(len(self.languages)):

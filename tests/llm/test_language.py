@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 
+from foliolens.llm import language
 from foliolens.llm.common import remainder, table
 from foliolens.llm.language import BLOCK, LanguageFilter, fit_languages, grams, languages
 from tests.llm.rows import no_documents, odd_documents, odd_rows
@@ -39,6 +40,18 @@ def test_counts_are_those_of_plain_sets():
     assert model.predict(long)[0] == "a" and model.predict(None) == ("und", 0.0)
 
 
+def test_long_texts_count_like_whole_ones(monkeypatch):
+    """Wherever a block ends: no n-gram is lost at its edge, none is made up."""
+    text = "über den  wolken 12 ab, muß die freiheit".encode() * 3
+    model = LanguageFilter.build({"a": np.unique(grams(text[:40])), "b": np.unique(grams(text[20:]))})
+    total, hits = model.counts(text)
+    assert total == len(grams(text))
+    for block in range(1, 30):
+        monkeypatch.setattr(language, "BLOCK", block)
+        again = model.counts(text)
+        assert again[0] == total and (again[1] == hits).all()
+
+
 def test_held_out_accuracy(spark):
     docs = table(spark, "/root/testdata/sf0.1", "documents")
     model = fit_languages(docs.filter(remainder("doc_id", 4) != 2))
