@@ -38,8 +38,8 @@ from foliolens.llm.common import column, fresh, stored
 WEIGHTS, SHARE, CAP, SEED = (5, 2, 1), (3, 2), 2, 17
 LEAF_ROWS, LEVELS = 4096, 10
 WORD = r"[^\x20\x09-\x0D]+"
-#: numpy draws exactly below this many words; beyond, the normal law rounds the same.
-EXACT = 10**9
+#: numpy draws from populations below this; above, ``_large_draw`` does, by the same law.
+NUMPY_LIMIT = 10**9
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, share=SHARE, cap: int = CAP) -> DataFrame:
@@ -79,16 +79,44 @@ def targets(sources: DataFrame, weights=WEIGHTS, share=SHARE, cap: int = CAP) ->
     )
 
 
+def _log_factorials(x: int, y: int) -> float:
+    """ln(x! / y!), by the difference of Stirling's series, so that large numbers don't cancel."""
+    if min(x, y) < 1000:
+        return math.lgamma(x + 1) - math.lgamma(y + 1)
+    step = x - y
+    series = [1 / (12 * z) - 1 / (360 * z**3) for z in (float(x), float(y))]
+    return (y + 0.5) * math.log1p(step / y) - step + step * math.log(x) + series[0] - series[1]
+
+
+def _large_draw(rng: np.random.Generator, good: int, bad: int, taken: int) -> int:
+    """A hypergeometric draw by the ratio of uniforms, for populations of any size.
+
+    A proposal is accepted by its probability relative to the mode's, so that the
+    law is the hypergeometric one and not a limit of it. The hat's constants are
+    those for laws with a log-concave mass.
+    """
+    all_, low, high = good + bad, max(0, taken - bad), min(good, taken)
+    mean = taken * good / all_
+    spread = mean * (bad / all_) * ((all_ - taken) / (all_ - 1))
+    width = 2 * math.sqrt(2 / math.e) * math.sqrt(spread + 0.5) + 3 - 2 * math.sqrt(3 / math.e)
+    mode = (good + 1) * (taken + 1) // (all_ + 2)
+    while True:
+        u, v = 1 - rng.random(), rng.random()
+        n = math.floor(mean + 0.5 + width * (v - 0.5) / u)
+        if low <= n <= high:
+            parts = ((mode, n), (good - mode, good - n), (taken - mode, taken - n), (bad - taken + mode, bad - taken + n))
+            if 2 * math.log(u) <= sum(_log_factorials(x, y) for x, y in parts):
+                return n
+
+
 def _draw(rng: np.random.Generator, good: int, bad: int, taken: int) -> int:
     """How many of ``taken`` words drawn from ``good + bad`` are good."""
     low, high = max(0, taken - bad), min(good, taken)
     if low == high:
         return low
-    if good + bad < EXACT:
+    if good + bad < NUMPY_LIMIT:
         return int(rng.hypergeometric(good, bad, taken))
-    p = good / (good + bad)
-    spread = math.sqrt(taken * p * (1 - p) * (good + bad - taken) / (good + bad - 1))
-    return min(high, max(low, round(rng.normal(taken * p, spread))))
+    return _large_draw(rng, good, bad, taken)
 
 
 def split_quota(words: list[int], quota: int, label: str, seed: int = SEED) -> list[int]:
@@ -167,20 +195,22 @@ def mix_sizes(
 
 
 def mix(docs: DataFrame, key="doc_id", text="text", source="source", **how) -> DataFrame:
-    """The mixed documents with all their columns: a row for each round, the last one
-    with as many leading words as the mix takes of it (joined by spaces, if not all).
+    """The mixed documents with all their columns: a row for each whole time they are taken.
 
+    What is left of a document's words below a whole time is the chance of one more
+    row, by a draw that its key, its text and the seed fix: texts are never cut, and
+    a source's words are those of its target but for one document of each shard.
     Documents of which nothing is taken are left out. Repeated rows (same key and
     text) share what they take; the columns of one of them stand for all.
     """
-    k, t, size, taken, nth = fresh(docs, "mix_k", "mix_t", "mix_size", "mix_taken", "mix_round")
+    k, t, times, nth = fresh(docs, "mix_k", "mix_t", "mix_times", "mix_round")
     found = mix_sizes(docs, key, text, source, **how).filter("taken > 0")
     shares = found.groupBy("k", "t", "size").agg(F.sum("taken").alias("taken"))
-    shares = shares.withColumnsRenamed({"k": k, "t": t, "size": size, "taken": taken})
+    chance = F.xxhash64("k", "t", F.lit(how.get("seed", SEED) + 1)) / F.lit(2.0**64) + 0.5
+    more = (chance < F.col("taken") % F.col("size") / F.col("size")).cast("int")
+    shares = shares.select(
+        F.col("k").alias(k), F.col("t").alias(t), (F.floor(F.col("taken") / F.col("size")).cast("int") + more).alias(times)
+    ).filter(column(times) > 0)
     met = docs.join(shares, column(key).eqNullSafe(column(k)) & (F.xxhash64(column(text)) == column(t)))
-    rounds = F.sequence(F.lit(0), (F.ceil(column(taken) / column(size)) - 1).cast("int"))
-    met = met.dropDuplicates([k, t]).withColumn(nth, F.explode(rounds))
-    part = F.least(column(size), column(taken) - column(nth) * column(size)).cast("int")
-    head = F.array_join(F.slice(F.regexp_extract_all(column(text), F.lit(WORD), F.lit(0)), 1, part), " ")
-    body = F.when(part == column(size), column(text)).otherwise(head).alias(text)
-    return met.select(*[body if c == text else column(c) for c in docs.columns])
+    met = met.dropDuplicates([k, t]).withColumn(nth, F.explode(F.sequence(F.lit(1), column(times))))
+    return met.select(*[column(c) for c in docs.columns])

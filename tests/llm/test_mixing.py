@@ -1,11 +1,12 @@
 from __future__ import annotations
 
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from fractions import Fraction
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from foliolens.llm import mixing
 from foliolens.llm.common import table
@@ -70,9 +71,16 @@ def test_mixed_texts(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
-    words = F.sum(F.regexp_count("text", F.lit(mixing.WORD))).alias("n")
-    wanted = {r["k"]: r["taken"] for r in mixing.mix_sizes(docs).collect() if r["taken"]}
-    assert {r["doc_id"]: r["n"] for r in mixed.groupBy("doc_id").agg(words).collect()} == wanted
+    wanted = {r["k"]: r for r in mixing.mix_sizes(docs).collect()}
+    whole = {r["doc_id"]: r for r in docs.collect()}
+    rows = mixed.collect()
+    assert all(r == whole[r["doc_id"]] for r in rows)  # no text is cut
+    times = Counter(r["doc_id"] for r in rows)
+    for k, r in wanted.items():
+        least, rest = divmod(r["taken"], r["size"]) if r["size"] else (0, 0)
+        assert least <= times[k] <= least + (rest > 0)
+    again = Counter(r["doc_id"] for r in mixing.mix(docs.repartition(5)).collect())
+    assert again == times
     assert mixing.mix(no_documents(spark)).count() == 0 and mixing.mix_sizes(no_documents(spark)).count() == 0
     odd = mixing.mix(odd_documents(spark))
     assert odd.columns == odd_documents(spark).columns and odd.count() > 0
@@ -84,3 +92,25 @@ def test_draws_add_up():
         shares = mixing.split_quota(words, quota, "x/")
         assert sum(shares) == quota and all(0 <= s <= w for s, w in zip(shares, words, strict=True))
         assert shares == mixing.split_quota(words, quota, "x/")
+
+
+@pytest.mark.parametrize(("good", "bad", "taken"), [(300, 500, 200), (40_000, 9_000, 3_000), (7, 10**6, 500_000)])
+def test_large_draws_follow_the_law(good, bad, taken):
+    """The draws of large populations, tried on small ones: chi squared against the exact masses."""
+    rng, tries = np.random.default_rng(5), 40_000
+    drawn = Counter(mixing._large_draw(rng, good, bad, taken) for _ in range(tries))
+    ln = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    mass = {k: math.exp(ln(good, k) + ln(bad, taken - k) - ln(good + bad, taken)) for k in range(max(0, taken - bad), min(good, taken) + 1)}
+    often = [k for k, m in mass.items() if m * tries >= 10]
+    chi = sum((drawn[k] - mass[k] * tries) ** 2 / (mass[k] * tries) for k in often)
+    assert chi < len(often) + 5 * math.sqrt(2 * len(often))
+    assert set(drawn) <= set(mass)
+
+
+def test_large_draws_of_large_populations():
+    """Mean and spread where numpy has no draw."""
+    good, bad, taken, tries = 4 * 10**13, 6 * 10**13, 10**13, 4000
+    rng = np.random.default_rng(6)
+    found = np.array([mixing._draw(rng, good, bad, taken) - taken * 4 // 10 for _ in range(tries)], float)
+    spread = math.sqrt(taken * 0.24 * 0.9)
+    assert abs(found.mean()) < 5 * spread / math.sqrt(tries) and abs(found.std() / spread - 1) < 0.06
