@@ -2,8 +2,8 @@
 benchmark go, sources are mixed to their weights, and the rest is sharded.
 
 Every stage takes the documents its predecessor kept, as stored in between, and
-all but the last return their columns. Mixed documents appear once for each time
-they are taken, the last time with as many leading words as are taken; the last
+all but the last return their columns. Mixed documents appear, whole, once for each time
+they are taken, what is left below a whole time being the chance of one more; the last
 stage adds ``shard`` and ``curve`` and orders rows along the curve.
 
 The toxicity labels that may teach are those of documents still present. Near
