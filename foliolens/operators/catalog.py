@@ -76,36 +76,32 @@ def required_columns(
     return rows.select(REQUEST, new_table.alias("table"), new_column.alias("column")).distinct()
 
 
+NODES = "array<struct<path:string,node:string>>"
+LISTED = """CASE WHEN get_json_object({0}, '$.and') IS NOT NULL THEN from_json(get_json_object({0}, '$.and'), 'array<string>')
+     WHEN get_json_object({0}, '$.or') IS NOT NULL THEN from_json(get_json_object({0}, '$.or'), 'array<string>')
+     WHEN get_json_object({0}, '$.not') IS NOT NULL THEN array(get_json_object({0}, '$.not')) END"""
+LINK = """CASE WHEN get_json_object({0}, '$.and') IS NOT NULL THEN 'and'
+     WHEN get_json_object({0}, '$.or') IS NOT NULL THEN 'or' ELSE 'not' END"""
+
+
 def criteria_leaves(rules: DataFrame, keys: list[str], criteria: str = "criteria") -> DataFrame:
     """Every simple criterion of each rule, with its path in the rule.
 
-    The nodes are unfolded level by level; the number of levels is bounded by
-    the connectors in the longest criterion.
+    Each row unfolds its own criterion, a level at a time, by an expression: no
+    action, one read, no shuffle. A criterion has no more levels than its text has
+    connectors, so the deepest one costs the others nothing.
     """
-    nodes = rules.select(*keys, F.lit("").alias("path"), F.col(criteria).alias("node")).where(F.col("node").isNotNull())
-    connectors = F.size(F.split("node", '"(and|or|not)"')) - 1
-    depth = nodes.agg(F.max(connectors).alias("n")).first()["n"] or 0
-    child_list = F.expr(
-        """CASE WHEN get_json_object(node, '$.and') IS NOT NULL THEN from_json(get_json_object(node, '$.and'), 'array<string>')
-                WHEN get_json_object(node, '$.or') IS NOT NULL THEN from_json(get_json_object(node, '$.or'), 'array<string>')
-                WHEN get_json_object(node, '$.not') IS NOT NULL THEN array(get_json_object(node, '$.not')) END"""
-    )
-    link = F.expr(
-        """CASE WHEN get_json_object(node, '$.and') IS NOT NULL THEN 'and'
-                WHEN get_json_object(node, '$.or') IS NOT NULL THEN 'or' ELSE 'not' END"""
-    )
-    leaves = []
-    level = nodes
-    for _ in range(depth + 1):
-        split = level.withColumn("_children", child_list)
-        leaves.append(split.where("_children IS NULL").drop("_children"))
-        level = split.where("_children IS NOT NULL").select(
-            *keys, "path", link.alias("_link"), F.posexplode("_children").alias("_i", "node")
-        ).select(*keys, F.concat_ws(".", "path", "_link", F.col("_i").cast("string")).alias("path"), "node")
-    result = leaves[0]
-    for more in leaves[1:]:
-        result = result.unionByName(more)
-    return result.select(
+    text = f"`{criteria}`"
+    levels = f"sequence(0, size(split({text}, '\"(and|or|not)\"')) - 1)"
+    inner = f"transform({LISTED.format('n.node')}, (c, j) -> named_struct('path', concat_ws('.', n.path, {LINK.format('n.node')}, string(j)), 'node', c))"
+    leaves = f"""aggregate({levels},
+        named_struct('open', CAST(array(named_struct('path', '', 'node', {text})) AS {NODES}), 'done', CAST(array() AS {NODES})),
+        (s, level) -> named_struct(
+            'open', CAST(flatten(transform(filter(s.open, n -> {LISTED.format('n.node')} IS NOT NULL), n -> {inner})) AS {NODES}),
+            'done', concat(s.done, filter(s.open, n -> {LISTED.format('n.node')} IS NULL))),
+        s -> s.done)"""
+    found = rules.where(F.col(text).isNotNull()).select(*keys, F.expr(f"inline({leaves})"))
+    return found.select(
         *keys,
         F.regexp_replace("path", r"^\.", "").alias("path"),
         F.get_json_object("node", "$.column").alias("column"),

@@ -3,16 +3,25 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: ContextVar[str | None] = ContextVar("own_folder", default=None)
+
+
 def shared_folder(spark: SparkSession) -> str | None:
     """The shared folder the cluster names for intermediate frames."""
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
 def _run_folder(spark: SparkSession) -> str:
+    own = _OWN.get()
+    if own:
+        return own
     folder = shared_folder(spark)
     if not folder:
         raise ValueError("set spark.checkpoint.dir to a shared folder to store intermediate frames")
@@ -28,7 +37,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """Writes the frame as a table in the shared folder and reads it back.
 
     The files outlive executors, and later stages read only the columns they
-    need. They stay until ``clear_stored``.
+    need. They stay until ``clear_stored`` or the end of ``own_frames``.
     """
     path = new_folder(df.sparkSession)
     df.write.parquet(path)
@@ -40,9 +49,29 @@ def materialize_if_possible(df: DataFrame) -> DataFrame:
     return materialize(df) if shared_folder(df.sparkSession) else df
 
 
-def clear_stored(spark: SparkSession) -> None:
-    """Deletes the frames that this application has stored."""
-    if not shared_folder(spark):
-        return
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_stored(spark: SparkSession) -> None:
+    """Deletes the frames that this application, or the present ``own_frames``, has stored."""
+    if shared_folder(spark):
+        _delete(spark, _run_folder(spark))
+
+
+@contextmanager
+def own_frames(spark: SparkSession) -> Iterator[None]:
+    """Frames stored in this block have a folder of their own, which goes when the block ends, also by an error.
+
+    What reads them has to be written before that. Blocks may run beside each other
+    in several threads, and inside each other.
+    """
+    folder = new_folder(spark) if shared_folder(spark) else None
+    token = _OWN.set(folder or _OWN.get())
+    try:
+        yield
+    finally:
+        _OWN.reset(token)
+        if folder:
+            _delete(spark, folder)

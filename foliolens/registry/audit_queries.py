@@ -11,6 +11,7 @@ from foliolens.operators.catalog import nested_criteria_report, required_columns
 from foliolens.plans.modifiers import DEFAULT_MODIFIERS, MODIFIERS
 from foliolens.plans.reuse import new_folder
 from foliolens.registry.inputs import lookthroughs, positions, rule, test, view_set, with_tables
+from foliolens.registry.output_queries import document_weights, documents_sql
 from foliolens.registry.source_queries import stored_perspectives
 from foliolens.registry.view_queries import KEEP_TRADE
 
@@ -156,12 +157,7 @@ def _stream(spark, folder):
     requests.select(with_id.alias("value")).write.mode("overwrite").text(f"{work}/in")
     stream = read_request_stream(spark, f"{work}/in")
     process_stream(stream, f"{work}/out", f"{work}/state", available_now=True, types=TYPES, defaults=[]).awaitTermination()
-    done = spark.read.parquet(f"{work}/out")
-    path = "$.perspective_configurations.main.-1"
-    return done.select("request_id", F.get_json_object("document", path).isNotNull().alias("answered"))
+    return document_weights(spark.read.parquet(f"{work}/out"))
 
 
-QUERIES["S-10_read_request_stream"] = (
-    _stream,
-    "SELECT DISTINCT 'r' || (o_orderkey // 50) AS request_id, TRUE AS answered FROM orders",
-)
+QUERIES["S-10_read_request_stream"] = (_stream, documents_sql())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from foliolens import datasets
 from foliolens.operators.output import flat_result, nested_result, wide_lookthroughs, wide_positions, write_result
@@ -137,44 +137,49 @@ QUERIES["R-05_flatten_response"] = (
 )
 
 
+def document_weights(done: DataFrame, columnar: bool = False) -> DataFrame:
+    """The positions in JSON responses and their initial weight in each view."""
+    body = "map<string,map<string,map<string,map<string,string>>>>"
+    configs = F.from_json(F.get_json_object("document", "$.perspective_configurations"), body)
+    containers = (
+        done.select("request_id", F.explode(configs).alias("config", "views"))
+        .select("request_id", F.explode("views").alias("perspective_id", "containers"))
+        .select("request_id", "perspective_id", F.explode("containers").alias("container", "sections"))
+    )
+    text = F.col("sections")["positions"]
+    if columnar:
+        rows = F.inline(
+            F.arrays_zip(
+                F.from_json(F.get_json_object(text, "$.identifier"), "array<string>").alias("identifier"),
+                F.from_json(F.get_json_object(text, "$.initial_weight"), "array<double>").alias("weight"),
+            )
+        )
+        unfolded = containers.select("request_id", "perspective_id", "container", rows).toDF(
+            "request_id", "perspective_id", "container", "identifier", "weight"
+        )
+    else:
+        unfolded = containers.select(
+            "request_id",
+            "perspective_id",
+            "container",
+            F.explode(F.from_json(text, "map<string,map<string,double>>")).alias("identifier", "weights"),
+        ).select("*", F.col("weights")["initial_weight"].alias("weight"))
+    return unfolded.select(
+        "request_id", "perspective_id", "container", "identifier", F.round("weight", 9).alias("weight")
+    )
+
+
 def _documents(columnar: bool):
     """JSON responses of the JSON requests, read back."""
 
     def run(spark, folder):
         done = process_requests(json_requests(spark, folder), types=TYPES, defaults=[]).documents(columnar)
-        body = "map<string,map<string,map<string,map<string,string>>>>"
-        configs = F.from_json(F.get_json_object("document", "$.perspective_configurations"), body)
-        containers = (
-            done.select("request_id", F.explode(configs).alias("config", "views"))
-            .select("request_id", F.explode("views").alias("perspective_id", "containers"))
-            .select("request_id", "perspective_id", F.explode("containers").alias("container", "sections"))
-        )
-        text = F.col("sections")["positions"]
-        if columnar:
-            rows = F.inline(
-                F.arrays_zip(
-                    F.from_json(F.get_json_object(text, "$.identifier"), "array<string>").alias("identifier"),
-                    F.from_json(F.get_json_object(text, "$.initial_weight"), "array<double>").alias("weight"),
-                )
-            )
-            unfolded = containers.select("request_id", "perspective_id", "container", rows).toDF(
-                "request_id", "perspective_id", "container", "identifier", "weight"
-            )
-        else:
-            unfolded = containers.select(
-                "request_id",
-                "perspective_id",
-                "container",
-                F.explode(F.from_json(text, "map<string,map<string,double>>")).alias("identifier", "weights"),
-            ).select("*", F.col("weights")["initial_weight"].alias("weight"))
-        return unfolded.select(
-            "request_id", "perspective_id", "container", "identifier", F.round("weight", 9).alias("weight")
-        )
+        return document_weights(done, columnar)
 
     return run
 
 
-def _documents_sql() -> str:
+def documents_sql() -> str:
     from foliolens.registry.source_queries import QUERIES as SOURCES
 
     rows = SOURCES["S-01_process_requests"][1]
@@ -184,8 +189,8 @@ def _documents_sql() -> str:
     )
 
 
-QUERIES["R-03_json_documents"] = (_documents(False), _documents_sql())
-QUERIES["R-05_columnar_documents"] = (_documents(True), _documents_sql())
+QUERIES["R-03_json_documents"] = (_documents(False), documents_sql())
+QUERIES["R-05_columnar_documents"] = (_documents(True), documents_sql())
 
 
 def _document_factors(spark, folder):

@@ -44,9 +44,11 @@ def rule_book(perspectives: DataFrame, wanted: list[int]) -> RuleBook:
     """The rules of the wanted perspectives, as settings of a run.
 
     Only the perspectives a run asks for come to the driver, which needs their
-    criteria to write the plan.
+    criteria to write the plan; they are found by a semi-join, so the plan doesn't
+    grow with their number.
     """
-    rows = perspectives.where(F.col("perspective_id").isin(wanted)).collect()
+    ids = perspectives.sparkSession.createDataFrame([(int(i),) for i in sorted(set(wanted))], "perspective_id long")
+    rows = perspectives.join(ids, "perspective_id", "left_semi").collect()
     definitions: dict[int, dict] = {}
     for row in sorted(rows, key=lambda r: (r["ordinal"], -1 if r["place"] is None else r["place"])):
         definition = definitions.setdefault(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 
 from foliolens import Modifier, ViewSet, custom_rules, process_tables
@@ -134,6 +136,21 @@ def test_stored_perspectives(spark):
     assert sorted(r["column"] for r in leaves) == ["a", "b", "x"]
 
 
+def test_deep_and_odd_criteria_unfold(spark):
+    """Whatever the depth, without an action; what is no connector is a leaf."""
+    deep, places = {"column": "d"}, []
+    for level in range(140):
+        deep = [{"not": deep}, {"and": [{"column": f"s{level}"}, deep]}][level % 2]
+        places.insert(0, ["not.0", "and.1"][level % 2])
+    texts = [(1, json.dumps(deep)), (2, '{"and": []}'), (3, "{}"), (4, None), (5, '{"or": [null, {"column": "and"}]}'), (6, "no json")]
+    rules = spark.createDataFrame(texts, "k int, criteria string")
+    found = criteria_leaves(rules, ["k"]).collect()
+    assert {(r["path"], r["column"]) for r in found if r["k"] == 1 and r["column"] == "d"} == {(".".join(places), "d")}
+    assert sum(r["k"] == 1 for r in found) == 71
+    rest = sorted((r["k"], r["path"], r["column"] or "") for r in found if r["k"] > 1)
+    assert rest == [(3, "", ""), (5, "or.0", ""), (5, "or.1", "and"), (6, "", "")]
+
+
 def test_waterfall_adds_up(spark):
     views = ViewSet.build(
         {"c": {"-1": ["pre"]}}, {"holding": (["initial_weight"], [])},

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 import pytest
 
-from foliolens.plans import requests as plan
+from foliolens.plans import requests as plan, reuse
 from foliolens.plans.requests import process_requests, spec_groups
 from foliolens.sources.requests import attribute_types, parse_object_schema, request_sections, section_rows
-from foliolens.sources.requests import with_request_ids
+from foliolens.sources.requests import read_request_stream, with_request_ids
+from foliolens.streaming.requests import process_stream
 
 SCHEMA = "request_id string, request string"
 
@@ -189,3 +191,34 @@ def test_spec_groups_are_whole(spark, groups):
     rows = [(f"r{i}", json.dumps(ask(custom_perspective_rules=wanted("instrument_id", "<", i), holding=BONDS))) for i in range(9)]
     parts = [[r["request_id"] for r in g.collect()] for g in spec_groups(spark.createDataFrame(rows, SCHEMA), groups)]
     assert sorted(x for p in parts for x in p) == sorted(i for i, _ in rows)
+
+
+def stored_files(spark) -> list[str]:
+    """What lies in the folders that stored frames may use."""
+    folder = Path(reuse.shared_folder(spark).removeprefix("file:"))
+    return sorted(str(p) for p in folder.rglob("*.parquet"))
+
+
+def test_a_stream_keeps_no_stored_frames(spark, tmp_path):
+    """Every batch deletes its own frames, also one that fails; others' frames stay."""
+    own = reuse.materialize(spark.range(3))
+    before = stored_files(spark)
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        text = json.dumps(ask(request_id=f"r{i}", holding=BONDS))
+        (tmp_path / "in" / f"{i}.txt").write_text(text + "\nbroken\n")
+    stream = read_request_stream(spark, str(tmp_path / "in"), max_files=1)
+    during = []
+    batches = process_stream(
+        stream, str(tmp_path / "out"), str(tmp_path / "state"), available_now=True, defaults=[],
+        on_batch=lambda batch, number: during.append(stored_files(spark)),
+    )
+    batches.awaitTermination()
+    done = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(during) == 3 and sum(r["document"] is not None for r in done) == 3 and sum(r["error"] is not None for r in done) >= 1
+    assert all(d == before for d in during) and stored_files(spark) == before and before
+    with pytest.raises(ZeroDivisionError), reuse.own_frames(spark):
+        reuse.materialize(spark.range(5))
+        assert len(stored_files(spark)) > len(before)
+        1 / 0
+    assert stored_files(spark) == before and own.count() == 3
