@@ -11,7 +11,6 @@ from foliolens.llm.common import stored, table
 from foliolens.llm.decontamination import LeakFinder
 from foliolens.llm.mixing import mix_sizes
 from foliolens.llm.simhash import fingerprint
-from tests.llm.test_mixing import size_of
 from tests.llm.test_simhash import classes
 
 SF = "/root/testdata/sf0.001"
@@ -53,14 +52,20 @@ def test_leaks(spark, steps):
 
 
 def test_mix(steps):
-    taken = {r["k"]: r["taken"] for r in mix_sizes(steps[3]).collect() if r["taken"]}
-    words = Counter()
+    """Documents stay whole; each appears its whole number of times or once more, and
+    where nothing is left over exactly that often. One of each shard and source has such a rest."""
+    sizes = mix_sizes(steps[3]).collect()
     texts = {r["doc_id"]: r["text"] for r in steps[3].collect()}
+    times = Counter()
     for r in steps[4].collect():
-        words[r["doc_id"]] += size_of(r["text"])
-        assert r["n_chars"] == len(r["text"])
-        assert r["text"] == texts[r["doc_id"]] or texts[r["doc_id"]].split()[: size_of(r["text"])] == r["text"].split()
-    assert words == taken
+        assert r["text"] == texts[r["doc_id"]] and r["n_chars"] == len(r["text"])
+        times[r["doc_id"]] += 1
+    rests = Counter()
+    for r in sizes:
+        whole, rest = divmod(r["taken"], r["size"]) if r["size"] else (0, 0)
+        assert whole <= times[r["k"]] <= whole + (rest > 0)
+        rests[r["source"], r["shard"]] += rest > 0
+    assert max(rests.values()) <= 1 and set(times) <= {r["k"] for r in sizes if r["taken"]}
 
 
 def test_shards(steps):
