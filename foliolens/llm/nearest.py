@@ -11,9 +11,12 @@ the key): the share is the least that finds ``RECALL`` of the true neighbours of
 ``TRIALS`` sampled queries among the sample. Every vector is indexed. Larger
 tables have nearer neighbours, for which the same share finds more.
 
-Cells of one first centroid are a block; blocks of more than ``BLOCK`` entries are
-split by the hash of their keys, as are queries, and each pair of blocks is one
-bounded group of work. Scores of the best are summed in one fixed order in double
+Cells of one first centroid are a block; blocks of more than ``BLOCK_BYTES`` of
+vectors are split by the hash of their keys. An entry goes to its block alone. A query
+goes to the blocks that hold cells which it visits, and a task reads its blocks in
+order, entries before queries: it holds one block and a batch of queries, however
+many queries there are. Tables of more than a million vectors have more centroids (the
+fourth root of their number). Scores of the best are summed in one fixed order in double
 precision, so equal vectors have equal scores in whatever block they are.
 
 Edge cases: vectors that are null, zero, hold null or non-finite components or
@@ -25,9 +28,12 @@ are returned. Empty tables give empty results.
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,12 +42,14 @@ from foliolens.llm.common import column, small_batches, stored
 
 K, CENTROIDS, ROUNDS, SEED = 20, 32, 12, 3
 SAMPLE, TRIALS, RECALL = 10_000, 200, 0.97
-BLOCK, QUERIES = 4096, 2048
+BLOCK_BYTES, SCORES = 32 << 20, 1 << 22  # of a block's vectors; scores that are held at once
 #: Relative to the largest product: what sums in another order may differ by.
 SLACK = 1e-9
 
 
 def k_means(points: np.ndarray, k: int, seed: int = SEED) -> np.ndarray:
+    if not points.shape[1]:  # the first half of one component
+        return np.zeros((min(1, len(points)), 0))
     rng = np.random.default_rng(seed)
     points = points[np.lexsort(points.T)]
     centroids = np.unique(points, axis=0)
@@ -134,20 +142,76 @@ def _valid(vector: str) -> Column:
     return v.isNotNull() & ~odd & F.exists(v, lambda x: x != 0)
 
 
-def _best(index_ids, vectors, query_ids, queries, allowed, k) -> pd.DataFrame:
-    """The k best allowed candidates of each query of a group, ties to smaller keys."""
+def _best(entry_ids, vectors, query_ids, queries, allowed, k) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best allowed candidates of each query, ties to smaller keys: queries, entries, scores."""
     scores = queries @ vectors.T
-    scores[~allowed | (query_ids[:, None] == index_ids[None, :])] = -np.inf
+    scores[~allowed | (query_ids[:, None] == entry_ids[None, :])] = -np.inf
     slack = SLACK * max(1.0, float(np.abs(queries).max() * np.abs(vectors).max()) * vectors.shape[1])
-    found = []
-    for q in range(len(queries)):
-        own = scores[q]
+    asked, found, products = [], [], []
+    for q, own in enumerate(scores):
         least = np.partition(own, len(own) - k)[len(own) - k] if len(own) > k else -np.inf
         near = np.flatnonzero((own >= least - slack) & (own > -np.inf))
         exact = fixed_order_products(np.broadcast_to(queries[q], (len(near), queries.shape[1])), vectors[near])
-        order = np.lexsort((index_ids[near], -exact))[:k]
-        found.append(pd.DataFrame({"q": query_ids[q], "v": index_ids[near][order], "score": exact[order]}))
-    return pd.concat(found) if found else pd.DataFrame({"q": [], "v": [], "score": []})
+        order = np.lexsort((entry_ids[near], -exact))[:k]
+        asked.append(np.full(len(order), query_ids[q]))
+        found.append(entry_ids[near][order])
+        products.append(exact[order])
+    return np.concatenate(asked), np.concatenate(found), np.concatenate(products)
+
+
+class _Block:
+    """The entries of one block, and the queries that come after them."""
+
+    def __init__(self, seconds: int, k: int):
+        self.seconds, self.k = seconds, k
+        self.ids, self.vectors, self.cells = [], [], []
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray, cells: np.ndarray) -> None:
+        self.ids.append(ids)
+        self.vectors.append(vectors)
+        self.cells.append(cells)
+
+    def answers(self, ids: np.ndarray, vectors: np.ndarray, many: np.ndarray, cells: np.ndarray) -> Iterator[tuple]:
+        """Best entries of each query; it visits ``many`` of the ``cells``."""
+        if len(self.ids) > 1:
+            self.ids, self.vectors, self.cells = ([np.concatenate(x)] for x in (self.ids, self.vectors, self.cells))
+        if not self.ids:
+            return
+        visited = np.zeros((len(ids), self.seconds), bool)
+        visited[np.repeat(np.arange(len(ids)), many), cells] = True
+        step = max(1, SCORES // len(self.ids[0]))
+        for at in range(0, len(ids), step):
+            part = slice(at, at + step)
+            yield _best(self.ids[0], self.vectors[0], ids[part], vectors[part], visited[part][:, self.cells[0]], self.k)
+
+
+def _answered(seconds: int, k: int):
+    """Reads rows that are sorted by block, entries first, and gives the best entries of each query of a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, block = None, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            numbers = batch.column(0).to_numpy()
+            asks = batch.column(1).to_numpy(zero_copy_only=False)
+            ids = batch.column(2).to_numpy()
+            vectors = batch.column(3).flatten().to_numpy().reshape(n, -1)
+            many = batch.column(4).value_lengths().to_numpy()
+            cells, ends = batch.column(4).flatten().to_numpy(), np.concatenate(([0], np.cumsum(many)))
+            turns = np.flatnonzero((numbers[1:] != numbers[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for a, b in zip([0, *turns], [*turns, n], strict=True):
+                if numbers[a] != number:
+                    number, block = numbers[a], _Block(seconds, k)
+                own = cells[ends[a] : ends[b]]
+                if not asks[a]:
+                    block.add(ids[a:b], vectors[a:b], own)
+                    continue
+                for found in block.answers(ids[a:b], vectors[a:b], many[a:b], own):
+                    yield pa.record_batch([pa.array(x) for x in found], names=["q", "v", "score"])
+
+    return run
 
 
 def nearest(vectors: DataFrame, is_query: Column, key="vec_id", vector="embedding", k: int = K) -> DataFrame:
@@ -156,13 +220,13 @@ def nearest(vectors: DataFrame, is_query: Column, key="vec_id", vector="embeddin
     rows = vectors.select(column(key).cast("long").alias("v"), column(vector).cast("array<double>").alias("x"), is_query.alias("isq"))
     rows = rows.filter(_valid("x") & F.col("v").isNotNull())
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    rows = stored(rows.dropDuplicates(["v", "x"]))
     length = rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if length is None:
         return empty
     rows = rows.filter(F.size("x") == length["d"])
-    rows = stored(rows.dropDuplicates(["v", "x"]))
     sample = rows.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).select("x").collect()  # of bounded size
-    index = fit_index(np.array([r["x"] for r in sample]), k)
+    index = fit_index(np.array([r["x"] for r in sample]), k, max(CENTROIDS, math.ceil(length["count"] ** 0.25)))
 
     @F.pandas_udf("c1 int, c2 int")
     def cell(xs: pd.Series) -> pd.DataFrame:
@@ -174,31 +238,24 @@ def nearest(vectors: DataFrame, is_query: Column, key="vec_id", vector="embeddin
     for r in entries.groupBy("c1", "c2").count().collect():  # one row for each cell
         counts[r["c1"], r["c2"]] = r["count"]
     index.counts = counts
-    wanted = entries.filter("isq").select(F.col("v").alias("q"), F.col("x").alias("y"))
-    parts = max(1, -(-wanted.count() // QUERIES))
-    splits = F.array(*[F.lit(max(1, -(-int(n) // BLOCK))) for n in counts.sum(1)])
-    split_of = lambda c: F.element_at(splits, F.col(c) + 1)
+    most = max(1, BLOCK_BYTES // (8 * length["d"]))
+    splits = [max(1, -(-int(n) // most)) for n in counts.sum(1)]
+    begins = np.concatenate(([0], np.cumsum(splits))).tolist()
+    of = lambda numbers: F.element_at(F.array(*map(F.lit, numbers)), F.col("c1") + 1)
 
     def probe(batches):
         for pdf in batches:
             found = [(q, y, i, js) for q, y in zip(pdf["q"], pdf["y"], strict=True) for i, js in index.probed(np.asarray(y), k).items()]
             yield pd.DataFrame(found, columns=["q", "y", "c1", "js"])
 
+    wanted = entries.filter("isq").select(F.col("v").alias("q"), F.col("x").alias("y"))
     probes = wanted.mapInPandas(probe, "q long, y array<double>, c1 int, js array<int>")
-    probes = probes.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(parts)).cast("int"))
-    probes = probes.withColumn("split", F.explode(F.sequence(F.lit(0), split_of("c1") - 1)))
-    entries = entries.withColumn("split", F.pmod(F.xxhash64("v"), split_of("c1")).cast("int"))
-    entries = entries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-
-    def ranked(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(asked):
-            return pd.DataFrame({"q": [], "v": [], "score": []})
-        js = np.zeros((len(asked), len(index.second)), bool)
-        for n, js_of in enumerate(asked["js"]):
-            js[n, js_of] = True
-        return _best(own["v"].to_numpy(), np.stack(own["x"].tolist()), asked["q"].to_numpy(), np.stack(asked["y"].tolist()), js[:, own["c2"].to_numpy()], k)
-
-    group = ["c1", "split", "part"]
-    best = entries.select("v", "x", "c2", *group).groupBy(*group).cogroup(probes.groupBy(*group)).applyInPandas(ranked, "q long, v long, score double")
+    probes = probes.select(
+        F.explode(F.sequence(of(begins), of(begins[1:]) - 1)).alias("block"), F.lit(True).alias("asks"), F.col("q").alias("v"), F.col("y").alias("x"), F.col("js").alias("cells")
+    )
+    own = of(begins) + F.pmod(F.xxhash64("v"), of(splits)).cast("int")
+    held = entries.select(own.alias("block"), F.lit(False).alias("asks"), "v", "x", F.array("c2").alias("cells"))
+    dealt = held.unionByName(probes).repartition(begins[-1], "block").sortWithinPartitions("block", "asks")
+    best = small_batches(dealt).mapInArrow(_answered(len(index.second), k), "q long, v long, score double")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "v")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(F.col("q").alias("query_id"), "rank", F.col("v").alias("vec_id"), "score")

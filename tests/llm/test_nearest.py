@@ -44,10 +44,10 @@ def test_pairs_are_visited_in_order():
     assert len(set(visited)) == 35 and sums == sorted(sums, reverse=True)
 
 
-@pytest.mark.parametrize("block,queries", [(4096, 2048), (4, 3)])
-def test_ties_split_blocks_and_odd_vectors(spark, monkeypatch, block, queries):
-    monkeypatch.setattr(ann, "BLOCK", block)
-    monkeypatch.setattr(ann, "QUERIES", queries)
+@pytest.mark.parametrize("block,scores", [(1 << 20, 1 << 22), (4 * 8 * 4, 8)])
+def test_ties_split_blocks_and_odd_vectors(spark, monkeypatch, block, scores):
+    monkeypatch.setattr(ann, "BLOCK_BYTES", block)
+    monkeypatch.setattr(ann, "SCORES", scores)
     same = [(i, [1.0, 0.5, 0.25, 0.0]) for i in range(60)]
     odd = [(100, None), (101, [0.0] * 4), (102, [1.0, None, 0.0, 0.0]), (103, [float("nan"), 0.0, 0.0, 0.0]), (104, [float("inf"), 0.0, 0.0, 1.0]), (105, [1.0]), (None, [1.0, 0.0, 0.0, 0.0]), (5, [1.0, 0.5, 0.25, 0.0])]
     df = spark.createDataFrame([(*r, "x", "y") for r in [*same, *odd]], SCHEMA)
@@ -63,3 +63,26 @@ def test_few_and_none(spark):
     assert (r["query_id"], r["rank"], r["vec_id"], r["score"]) == (0, 1, 1, 4.0)
     assert ann.nearest(df.filter("false"), F.col("vec_id") % 20 == 0).count() == 0
     assert ann.nearest(df.filter("vec_id = 0"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_one_component(spark):
+    df = spark.createDataFrame([(i, [float(i % 7 - 3)], "", "") for i in range(50)], SCHEMA)
+    ids = np.arange(50)
+    want = brute(ids, (ids % 7 - 3.0)[:, None], [20, 40], 20)
+    got: dict = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    none = {i for i in range(50) if i % 7 == 3}  # zero vectors
+    assert set(got) == {0, 20, 40}
+    for q, found in want.items():
+        assert got[q][0] == next(f for f in found if f[0] not in none)
+        assert all(s == (q % 7 - 3.0) * (v % 7 - 3.0) for v, s in got[q])
+
+
+def test_splits_answer_like_one_block(spark, monkeypatch):
+    df = table(spark, "/root/testdata/sf0.01", "embeddings")
+    ask = lambda: ann.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()
+    whole = ask()
+    monkeypatch.setattr(ann, "BLOCK_BYTES", 4096)
+    monkeypatch.setattr(ann, "SCORES", 50)
+    assert ask() == whole
