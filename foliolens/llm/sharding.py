@@ -1,8 +1,9 @@
 """Sharding along a Hilbert curve over several metadata dimensions.
 
-Each dimension is quantised at its approximate quantiles (``2^bits`` steps, a
-bounded list), the quantised point becomes its index on the Hilbert curve, rows
-are put in this order and the order is cut into runs. Rows near on the curve are
+Each dimension is quantised at its quantiles (``2^bits`` steps, a bounded list):
+approximate ones of numbers, exact ones of strings, which are counted and compared
+by their whole values. The quantised point becomes its index on the Hilbert curve,
+rows are put in this order and the order is cut into runs. Rows near on the curve are
 near in all dimensions, so the ranges of each run are narrow in all of them and
 readers can skip files by any of them.
 
@@ -75,12 +76,37 @@ def hilbert_index(codes: list[Column], bits: int = BITS) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step, lambda at: at["h"])
 
 
-def _number(df: DataFrame, name: str) -> Column:
-    """The value as a number in the same order; of strings, their first seven bytes."""
-    if isinstance(df.schema[name].dataType, NumericType):
-        return column(name).cast("double")
-    data = F.hex(F.substring(F.encode(column(name).cast("string"), "UTF-8"), 1, 7))
-    return F.conv(F.rpad(data, 14, "0"), 16, 10).cast("double")
+def _ordered(df: DataFrame, name: str) -> Column:
+    """The value as a number or a string, which is in the same order."""
+    return column(name).cast("double" if _is_number(df, name) else "string")
+
+
+def _is_number(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, NumericType)
+
+
+def _string_edges(rows: DataFrame, names: list[str], cuts: list[float]) -> dict[str, list[str]]:
+    """Of each string column: the whole values at which these shares of its rows are reached.
+
+    Equal values are counted before the range shuffle; at most one value for each cut is collected.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), column(d).alias("x")) for i, d in enumerate(names)]))
+    values = rows.select(pairs.alias("p")).select("p.i", "p.x").filter("x IS NOT NULL").groupBy("i", "x").agg(F.count("*").alias("n"))
+    ranged = stored(values.repartitionByRange("i", "x").withColumn("part", F.spark_partition_id()))
+    totals = {r["i"]: r["n"] for r in ranged.groupBy("i").agg(F.sum("n").alias("n")).collect()}
+    sums = ranged.groupBy("part").agg(F.sum("n").alias("w"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("part", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("w0"))
+    inside = Window.partitionBy("part").orderBy("i", "x").rowsBetween(Window.unboundedPreceding, 0)
+    upto = ranged.withColumn("upto", F.sum("n").over(inside)).join(sums, "part").withColumn("upto", F.col("w0") + F.col("upto"))
+    reached, start = F.lit(False), 0
+    for i in range(len(names)):
+        for c in cuts:
+            at = F.lit(start + c * totals.get(i, 0))
+            reached |= (F.col("i") == i) & (F.col("upto") - F.col("n") < at) & (at <= F.col("upto"))
+        start += totals.get(i, 0)
+    found = upto.filter(reached).select("i", "x").collect()
+    return {d: [r["x"] for r in found if r["i"] == i] for i, d in enumerate(names)}
 
 
 def curve_rows(docs: DataFrame, key="doc_id", text="text", dimensions=DIMENSIONS, bits: int = BITS) -> DataFrame:
@@ -92,12 +118,16 @@ def curve_rows(docs: DataFrame, key="doc_id", text="text", dimensions=DIMENSIONS
         F.xxhash64(body).alias("t"),
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
-        *[_number(docs, d).alias(f"d{i}") for i, d in enumerate(dimensions)],
+        *[_ordered(docs, d).alias(f"d{i}") for i, d in enumerate(dimensions)],
     )
     rows = stored(rows)
     point = [f"d{i}" for i in range(len(dimensions))]
     cuts = [i / (1 << bits) for i in range(1, 1 << bits)]
-    edges = rows.agg(*[F.percentile_approx(d, cuts, 10_000).alias(d) for d in point]).first()
+    numbers = [p for p, d in zip(point, dimensions, strict=True) if _is_number(docs, d)]
+    strings = [p for p in point if p not in numbers]
+    edges = rows.agg(*[F.percentile_approx(d, cuts, 10_000).alias(d) for d in numbers]).first().asDict() if numbers else {}
+    if strings:
+        edges |= _string_edges(rows, strings, cuts)
     texts = rows.groupBy("t", "size", "text_crc32").agg(
         F.count("*").alias("copies"), F.min(F.struct(F.col("k").isNotNull(), "k", *point)).alias("p")
     )

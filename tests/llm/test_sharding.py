@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import zlib
 from collections import defaultdict
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliolens.llm.common import table
-from foliolens.llm.sharding import hilbert_index, shard_rows, sharded
+from foliolens.llm.sharding import _string_edges, hilbert_index, shard_rows, sharded
 from tests.llm.rows import no_documents, odd_documents, odd_rows
 
 
@@ -69,3 +70,22 @@ def test_group_too_large_for_a_shard_is_parted(spark):
     for r in found:
         sizes[r["shard"]] += r["size"]
     assert max(sizes.values()) - min(sizes.values()) <= 25
+
+
+def test_strings_of_one_beginning_are_told_apart(spark):
+    rows = [(i, f"text {i}", "en", f"https://site{i % 8}.example", 9) for i in range(800)]
+    found = shard_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    by_curve = defaultdict(set)
+    for r in found:
+        by_curve[r["curve"]].add(r["k"] % 8)
+    assert len(by_curve) == 8 and all(len(s) == 1 for s in by_curve.values())
+
+
+def test_string_edges_are_quantiles(spark):
+    values = [w for w, n in {"a": 5, "ab": 40, "b": 3, "é": 12, "z" * 50: 40}.items() for _ in range(n)]
+    df = spark.createDataFrame([(v, None if v == "b" else v) for v in values], "x string, y string")
+    cuts = [0.25, 0.5, 0.75]
+    found = _string_edges(df, ["x", "y"], cuts)
+    for name, own in (("x", values), ("y", [v for v in values if v != "b"])):
+        own = sorted(own, key=str.encode)
+        assert sorted(found[name], key=str.encode) == sorted({own[math.ceil(c * len(own)) - 1] for c in cuts}, key=str.encode)
