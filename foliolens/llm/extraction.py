@@ -6,8 +6,8 @@ vector of hashed path names, hashed words and a few measures; a bidirectional LS
 (numpy) reads the whole sequence, so each block is judged in the context of the
 document, and labels it main text or not. Kept blocks are joined in page order.
 
-The labeller is trained on at most ``SAMPLE`` pages (least hash of the key, up to
-``SAMPLE_CHARS`` characters each). Pages bear no labels, so they are made: blocks
+The labeller is trained on at most ``SAMPLE`` whole pages: those of the least hashes of key
+and html among the pages of at most ``SAMPLE_CHARS`` characters. Pages bear no labels, so they are made: blocks
 below an article or main element are main text unless something that isn't
 stands between; from these texts further pages are laid out with the
 surroundings that pages have (menus, sidebars, notices, forms, comments, ...),
@@ -41,6 +41,7 @@ SAMPLE, SAMPLE_CHARS, SEED = 300, 200_000, 9
 PATHS, WORDS, HIDDEN = 256, 32, 16
 MADE, EPOCHS, BATCH, RATE = 2500, 6, 24, 0.02
 PADDED = 1 << 16  # blocks that go through the network at once
+PIECE = 400  # blocks that a training sequence has at most; longer pages are several
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -405,7 +406,10 @@ def fit_labeller(pages: list[str], seed: int = SEED) -> BlockLabeller | None:
         return None
     made = [(page, [int(weak_label(b.path)) for b in page]) for page in parsed]
     made += [laid_out(texts, rng) for _ in range(MADE)]
-    data = [(features(blocks[:400]), np.array(y[:400], np.float32)) for blocks, y in made]
+    data = []
+    for blocks, labels in made:
+        x, y = features(blocks), np.array(labels, np.float32)
+        data += [(x[at : at + PIECE], y[at : at + PIECE]) for at in range(0, len(y), PIECE)]
     net = BlockLabeller.fresh(PATHS + WORDS + 6)
     sums = {k: np.zeros_like(v) for k, v in net.weights.items()}
     steps = {k: np.zeros_like(v) for k, v in net.weights.items()}
