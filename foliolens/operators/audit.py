@@ -17,6 +17,7 @@ from foliolens.operators.factors import (
 )
 from foliolens.operators.lookthrough import parent_masks
 from foliolens.operators.skew import join_groups
+from foliolens.plans.reuse import materialize_if_possible
 from foliolens.schema import PARENT_KEYS, REQUEST, ROW_KEYS, SPEC, VIEW_KEYS, present
 
 PARENT_STEP = "parent_removed"
@@ -24,28 +25,30 @@ OUTPUT_STEP = "output"
 STEP_KEYS = [REQUEST, *VIEW_KEYS, "step", "container", "record_type"]
 
 
-def _states(schema: T.StructType, view: View) -> list[tuple[str, str]]:
-    """Name and running outcome of every rule and postprocessing step."""
+def _states(schema: T.StructType, view: View) -> list[tuple[str, str, str]]:
+    """Name, link and running outcome of every rule and postprocessing step."""
     states, chain = [], ""
     for position, link, criterion in rule_steps(schema, view):
         chain = f"({chain} {link.upper()} {criterion})" if chain else criterion
-        states.append((f"rule_{position}", chain))
-    states += [(modifier.name, outcome) for modifier, outcome in rule_states(schema, view) if modifier is not None]
+        states.append((f"rule_{position}", link, chain))
+    states += [(m.name, m.operator or "and", outcome) for m, outcome in rule_states(schema, view) if m is not None]
     return states
 
 
 def _steps(schema: T.StructType, view: View, with_parents: bool) -> tuple[list[str], str]:
-    """Step names of a view and the number of the step that removed the row, -1 if none.
+    """Step names of a view and the number of the step that removed the row, else
+    -1, or -2 less the number of the step that saved it.
 
     A preprocessing modifier is named by itself. Among rules it is the step at
     which the outcome turned false for good: in a chain of ANDs the first that
-    fails.
+    fails. A kept row was saved by the step at which its outcome turned true for
+    good, if it had been false; only steps linked by OR can do that.
     """
     before = preprocess_steps(schema, view)
     states = _states(schema, view)
-    names = [m.name for m, _ in before] + [name for name, _ in states]
+    names = [m.name for m, _ in before] + [name for name, _, _ in states]
     whens = [f"WHEN {removed} THEN {i}" for i, (_, removed) in enumerate(before)]
-    outcomes = ["true", *[outcome for _, outcome in states]]
+    outcomes = ["true", *[outcome for _, _, outcome in states]]
     final = outcomes[-1]
     turns = [
         f"WHEN {outcomes[i]} AND NOT {outcomes[i + 1]} THEN {len(before) + i}" for i in reversed(range(len(states)))
@@ -55,6 +58,11 @@ def _steps(schema: T.StructType, view: View, with_parents: bool) -> tuple[list[s
     if with_parents:
         names.append(PARENT_STEP)
         whens.append(f"WHEN NOT coalesce({bit(view, '_p')}, false) THEN {len(names) - 1}")
+    whens += [
+        f"WHEN NOT {outcomes[i]} AND {outcomes[i + 1]} THEN {-2 - len(before) - i}"
+        for i in reversed(range(len(states)))
+        if i and states[i][1] == "or"
+    ]
     return names, f"CASE {' '.join(whens)} ELSE -1 END" if whens else "-1"
 
 
@@ -76,13 +84,15 @@ def _attributed(rows: DataFrame, views: ViewSet, carry: list[str], with_parents:
         f"{layout.lookup([v.config for v in views.views])} AS config",
         f"{layout.lookup([v.perspective_id for v in views.views])} AS perspective_id",
         f"array({names})[_view][int(CASE WHEN _code < 0 THEN {sizes} ELSE _code END)] AS step",
+        f"CASE WHEN _code < -1 THEN array({names})[_view][int(-2 - _code)] END AS saved_by",
     )
 
 
 def attributed_rows(
     positions: DataFrame, lookthroughs: DataFrame | None, views: ViewSet, carry: list[str] | None = None
 ) -> DataFrame:
-    """Every (row, view) with the step that removed it, ``output`` where it was kept."""
+    """Every (row, view) with the step that removed it, ``output`` where it was kept,
+    and the step that saved a kept row (``saved_by``)."""
     carry = carry or []
     rows = _attributed(positions, views, carry, with_parents=False)
     if lookthroughs is None:
@@ -97,7 +107,7 @@ def step_attribution(
     positions: DataFrame, lookthroughs: DataFrame | None, views: ViewSet, carry: list[str] | None = None
 ) -> DataFrame:
     """Removed rows of every view with the step that removed them."""
-    return attributed_rows(positions, lookthroughs, views, carry).where(F.col("step") != OUTPUT_STEP)
+    return attributed_rows(positions, lookthroughs, views, carry).where(F.col("step") != OUTPUT_STEP).drop("saved_by")
 
 
 def waterfall(attributed: DataFrame, weights: list[str]) -> DataFrame:
@@ -108,13 +118,47 @@ def waterfall(attributed: DataFrame, weights: list[str]) -> DataFrame:
     )
 
 
+def balance(attributed: DataFrame, weights: list[str], factors: DataFrame | None = None) -> DataFrame:
+    """Rows and weight per container that came in, that each step removed or saved, and that are left.
+
+    ``kind`` is ``input``, ``removed``, ``saved`` or ``output``; ``step`` names the steps of the middle
+    ones. Input is what was removed and what is left; saved rows are among those left. Lines of
+    ``output`` carry the container's scale factors by weight label. The rows are read once: all
+    lines come from their sums per step.
+    """
+    keys = [REQUEST, *VIEW_KEYS, "container"]
+    sums = [F.sum(w).alias(w) for w in weights]
+    counts = attributed.groupBy(*STEP_KEYS, "saved_by").agg(F.count(F.lit(1)).alias("rows"), *sums)
+    line = lambda kind, step: F.struct(F.lit(kind).alias("kind"), step.cast("string").alias("step"))
+    left, none = F.col("step") == OUTPUT_STEP, F.lit(None)
+    lines = F.array_compact(
+        F.array(
+            line("input", none),
+            F.when(left, line("output", none)).otherwise(line("removed", F.col("step"))),
+            F.when(F.col("saved_by").isNotNull(), line("saved", F.col("saved_by"))),
+        )
+    )
+    unfolded = counts.select(*keys, "record_type", "rows", *weights, F.explode(lines).alias("line"))
+    report = unfolded.groupBy(*keys, "record_type", "line.kind", "line.step").agg(
+        F.sum("rows").alias("rows"), *[F.coalesce(F.sum(w), F.lit(0.0)).alias(w) for w in weights]
+    )
+    if factors is None:
+        return report
+    entry = F.struct("weight_label", "scale_factor")
+    scales = factors.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("scale_factors"))
+    joined = join_groups(report, scales, keys)
+    return joined.withColumn("scale_factors", F.when(F.col("kind") == "output", F.col("scale_factors")))
+
+
 def removed_samples(attributed: DataFrame, first: int, weight: str) -> DataFrame:
     """The heaviest removed rows of each step, and how many more there are.
 
     The rank limit is applied before the shuffle as well, so a step that removed
-    most rows sends only its first few from each task.
+    most rows sends only its first few from each task. Removed rows are stored, with
+    the few columns that samples show, so that they are attributed once.
     """
-    removed = attributed.where(F.col("step") != OUTPUT_STEP)
+    removed = attributed.where(F.col("step") != OUTPUT_STEP).select(*STEP_KEYS, "identifier", "instrument_id", weight)
+    removed = materialize_if_possible(removed)
     order = Window.partitionBy(*STEP_KEYS).orderBy(F.col(weight).desc_nulls_last(), "identifier", "instrument_id")
     top = removed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first)
     counts = removed.groupBy(*STEP_KEYS).agg(F.count(F.lit(1)).alias("_rows"))

@@ -30,6 +30,21 @@ def rule_columns(rules: DataFrame) -> DataFrame:
     )
 
 
+def custom_rule_columns(requests: DataFrame, text: str = "request") -> DataFrame:
+    """Distinct (request, perspective, table, column) that rules sent along with JSON requests need."""
+    sent = F.from_json(F.get_json_object(text, "$.custom_perspective_rules"), "map<string,string>")
+    rules = F.from_json(F.get_json_object("body", "$.rules"), "array<string>")
+    criteria = F.get_json_object("rule", "$.criteria")
+    needed = F.from_json(F.get_json_object(criteria, "$.required_columns"), "map<string,array<string>>")
+    return (
+        requests.select(REQUEST, F.explode(sent).alias("perspective_id", "body"))
+        .select(REQUEST, F.col("perspective_id").cast("long"), F.explode(rules).alias("rule"))
+        .select(REQUEST, "perspective_id", F.explode(needed).alias("table", "columns"))
+        .select(REQUEST, "perspective_id", "table", F.explode("columns").alias("column"))
+        .distinct()
+    )
+
+
 def modifier_columns(rows: DataFrame, modifiers: dict[str, Modifier]) -> DataFrame:
     """The (table, column) pairs of the modifiers named in ``rows``.
 
@@ -48,16 +63,20 @@ def required_columns(
     rules: DataFrame,
     modifiers: dict[str, Modifier],
     defaults: list[str],
+    custom: DataFrame | None = None,
 ) -> DataFrame:
     """Distinct (request, table, column) that requests need, in lower case.
 
     ``requests`` has one row per (request, config, perspective, modifier); the
-    modifier may be NULL. ``rules`` comes from ``rule_columns``. Overridden
+    modifier may be NULL. ``rules`` comes from ``rule_columns``; ``custom``, from
+    ``custom_rule_columns``, takes the place of stored rules with the same id. Overridden
     modifiers count as well.
     """
-    by_rule = (
-        requests.select(REQUEST, "perspective_id").distinct().join(rules, "perspective_id").select(REQUEST, "table", "column")
-    )
+    asked = requests.select(REQUEST, "perspective_id").distinct()
+    stored = asked if custom is None else asked.join(custom, [REQUEST, "perspective_id"], "left_anti")
+    by_rule = stored.join(rules, "perspective_id").select(REQUEST, "table", "column")
+    if custom is not None:
+        by_rule = by_rule.unionByName(asked.join(custom, [REQUEST, "perspective_id"]).select(REQUEST, "table", "column"))
     named = requests.select(REQUEST, "modifier").where(F.col("modifier").isNotNull())
     if defaults:
         names = F.array(*[F.lit(d) for d in defaults])

@@ -77,7 +77,7 @@ def output_rows(result: ViewResult) -> DataFrame:
     ):
         if frame is None or not labels:
             continue
-        order = ", ".join(["instrument_id", "sub_portfolio_id", *[f"`{out(w)}`" for w in labels]])
+        order = ", ".join(["instrument_id", "sub_portfolio_id", f"array({', '.join(f'`{out(w)}`' for w in labels)})"])
         parts.append(
             frame.selectExpr(
                 REQUEST,
@@ -86,7 +86,7 @@ def output_rows(result: ViewResult) -> DataFrame:
                 f"{literal(POSITIONS)} AS section" if mode == 0 else "record_type AS section",
                 "identifier",
                 f"{_weights(result.views, mode, labels)} AS weights",
-                f"hash({order}) AS _order",
+                f"struct({order}) AS _order",
             )
         )
     if not parts:
@@ -99,7 +99,8 @@ def output_parts(result: ViewResult, parts: int = 1) -> DataFrame:
 
     Documents are split over ``parts`` by identifier, as many for every request:
     their shape doesn't depend on how many rows there are. Of rows with one
-    identifier one is taken.
+    identifier the one with the largest instrument, sub-portfolio and weights, in this
+    order, is taken; missing values are the least.
     """
     keys = [REQUEST, *VIEW_KEYS, "container", "section", "identifier"]
     rows = output_rows(result).groupBy(*keys).agg(F.max_by("weights", "_order").alias("weights"))

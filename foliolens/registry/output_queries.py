@@ -16,6 +16,7 @@ from foliolens.registry.view_queries import (
     HOLD,
     KEPT,
     MASSES,
+    TOTALS,
     VIEWS_SQL,
     both,
     kept_sql,
@@ -25,7 +26,10 @@ from foliolens.registry.view_queries import (
 )
 from foliolens.sources.requests import read_columnar_requests
 
-UNIQUE_LT = "identifier IN (SELECT identifier FROM lt GROUP BY identifier HAVING COUNT(*) = 1)"
+# Of child rows with one identifier a document shows one.
+SHOWN_LT = """
+sl AS (SELECT * FROM kl QUALIFY ROW_NUMBER() OVER (PARTITION BY pid, container, record_type, identifier
+  ORDER BY instrument_id DESC NULLS LAST, sub_portfolio_id DESC NULLS LAST, weight * factor DESC NULLS LAST) = 1)"""
 
 
 def _wide_positions(spark, folder):
@@ -86,11 +90,8 @@ QUERIES = {
 
 
 def _nested(spark, folder):
-    """Nested maps, unfolded to rows; children are reduced to unique identifiers."""
-    lt = lookthroughs(spark, folder)
-    unique = lt.groupBy("identifier").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("identifier")
-    result = run_views(positions(spark, folder), lt.join(unique, "identifier"), views())
-    rows = nested_result(result, parts=25)
+    """Nested maps, unfolded to rows."""
+    rows = nested_result(main(spark, folder), parts=25)
     return (
         rows.select("perspective_id", "container", "section", F.explode("rows").alias("identifier", "weights"))
         .select("perspective_id", "container", "section", "identifier", F.explode("weights").alias("label", "weight"))
@@ -100,16 +101,16 @@ def _nested(spark, folder):
 
 def _nested_sql() -> str:
     parts = []
-    for section, frame, extra in (("'positions'", "kp", ""), ("record_type", "kl", f" AND {UNIQUE_LT}")):
+    for section, frame in (("'positions'", "kp"), ("record_type", "sl")):
         labels = {"holding": datasets.POSITION_LABELS, "x": ["weight"]} if frame == "kp" else {"holding": ["weight"], "x": ["weight"]}
         for container, names in labels.items():
             where = "container = 'holding'" if container == "holding" else "container <> 'holding'"
             parts += [
                 f"SELECT pid AS perspective_id, container, {section} AS section, identifier, '{w}' AS label, "
-                f"{w} * factor AS weight FROM {frame} WHERE {where} AND {w} IS NOT NULL{extra}"
+                f"{w} * factor AS weight FROM {frame} WHERE {where} AND {w} IS NOT NULL"
                 for w in names
             ]
-    return with_tables(" UNION ALL ".join(parts), KEPT)
+    return with_tables(" UNION ALL ".join(parts), KEPT, SHOWN_LT)
 
 
 QUERIES["R-03_nested_result"] = (_nested, _nested_sql())
@@ -137,6 +138,28 @@ QUERIES["R-05_flatten_response"] = (
 )
 
 
+def _flat_sections(spark, folder):
+    """Columnar arrays of all sections and labels, unfolded to rows."""
+    rows = flat_result(main(spark, folder), parts=25)
+    unfolded = F.inline(F.arrays_zip("identifiers", *ALL_LABELS))
+    return rows.select("perspective_id", "container", "section", unfolded).withColumnRenamed("identifiers", "identifier")
+
+
+def _flat_sections_sql() -> str:
+    own = ", ".join(f"CASE WHEN container = 'holding' THEN {w} * factor END AS {w}" for w in datasets.POSITION_LABELS)
+    none = ", ".join(f"CAST(NULL AS DOUBLE) AS {w}" for w in datasets.POSITION_LABELS)
+    return with_tables(
+        f"""SELECT pid AS perspective_id, container, 'positions' AS section, identifier, {own},
+  CASE WHEN container <> 'holding' THEN weight * factor END AS weight FROM kp
+UNION ALL SELECT pid, container, record_type, identifier, {none}, weight * factor FROM sl""",
+        KEPT,
+        SHOWN_LT,
+    )
+
+
+QUERIES["R-05_flatten_all_sections"] = (_flat_sections, _flat_sections_sql())
+
+
 def document_weights(done: DataFrame, columnar: bool = False) -> DataFrame:
     """The positions in JSON responses and their initial weight in each view."""
     body = "map<string,map<string,map<string,map<string,string>>>>"
@@ -258,6 +281,30 @@ QUERIES["R-04_partition_output"] = (
 )
 
 
+def _folders(spark, folder):
+    """Rows of the result files by the folder that they are in."""
+    path = new_folder(spark)
+    write_result(main(spark, folder), path)
+    by = ["perspective_id", "container", "record_type"]
+    found = [
+        spark.read.parquet(f"{path}/{name}").select(
+            *[F.regexp_extract(F.col("_metadata.file_path"), f"/{k}=([^/]+)/", 1).alias(k) for k in by]
+        )
+        for name in ("positions", "lookthroughs")
+    ]
+    return found[0].unionByName(found[1]).groupBy(*by).agg(F.count(F.lit(1)).alias("rows"))
+
+
+QUERIES["R-04_partition_folders"] = (
+    _folders,
+    with_tables(
+        """SELECT CAST(pid AS VARCHAR) AS perspective_id, container, record_type, COUNT(*) AS rows
+FROM (SELECT pid, container, record_type FROM kp UNION ALL SELECT pid, container, record_type FROM kl) GROUP BY ALL""",
+        KEPT,
+    ),
+)
+
+
 def _unpivot(spark, folder):
     """Wide scale columns to long rows."""
     pos = positions(spark, folder)
@@ -282,16 +329,31 @@ QUERIES["R-01_unpivot_scale_factors"] = (
 
 
 def _sink(spark, folder):
-    """Result files, read back: positions of one view."""
+    """Result files, read back: all rows of both frames, beside the scale factors of their containers."""
     path = new_folder(spark)
-    write_result(main(spark, folder), path)
-    stored = spark.read.parquet(f"{path}/positions").where("config = 'main' AND perspective_id = -2")
-    return stored.select("container", "identifier", F.col("out_initial_weight").alias("initial_weight"))
+    write_result(main(spark, folder, HOLD), path)
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    keys = ["config", "perspective_id", "container"]
+    factors = read("scale_factors").where("weight_label IN ('initial_weight', 'weight')").groupBy(*keys).agg(F.max("scale_factor").alias("scale_factor"))
+    rows = read("positions").unionByName(read("lookthroughs"), allowMissingColumns=True).join(factors, keys)
+    return rows.select(
+        F.col("perspective_id").cast("long"), "container", "record_type", "identifier", "factor", "initial_weight", "weight",
+        F.round("scale_factor", 9).alias("scale_factor"),
+    )
 
 
 QUERIES["R-06_sinks"] = (
     _sink,
-    with_tables("SELECT container, identifier, initial_weight * factor AS initial_weight FROM kp WHERE pid = -2", KEPT),
+    with_tables(
+        """SELECT pid AS perspective_id, container, record_type, identifier, factor, initial_weight, weight,
+  ROUND(CASE WHEN container = 'holding' THEN m.iw / t.iw ELSE CASE WHEN t.w = 0 THEN 1.0 ELSE m.w / t.w END END, 9) AS scale_factor
+FROM (SELECT pid, container, record_type, identifier, factor, initial_weight, weight FROM kp
+      UNION ALL SELECT pid, container, record_type, identifier, factor, initial_weight, weight FROM kl)
+JOIN mass m USING (pid, container) JOIN tot t USING (container)""",
+        KEPT,
+        MASSES,
+        TOTALS,
+    ),
 )
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from foliolens import datasets
-from foliolens.operators.factors import evaluate, factors
+from foliolens.operators.factors import bit, evaluate, factors, with_group_flags
 from foliolens.operators.lookthrough import expand_lookthroughs, parent_masks, sync_factor_rows, sync_lookthroughs
 from foliolens.operators.reference import ReferenceTables, attach_reference
-from foliolens.operators.rescale import group_masses, matching_parents, raw_totals
+from foliolens.operators.rescale import group_masses, matching_parents, raw_totals, with_container_totals
 from foliolens.operators.scale_factors import scale_factors_from_result
 from foliolens.model import Modifier
 from foliolens.operators.skew import join_groups
@@ -758,6 +758,46 @@ QUERIES["W-01_group_flag"] = (
 )
 
 
+def _view_group_flags(spark, folder):
+    """The flags that views with a group modifier get: does a row of my simulated trade pass the rules?"""
+    siblings = Modifier("siblings", "PostProcessing", GROUP_IN, "both", "or")
+    vs = view_set({"main": {pid: ["siblings"] for pid in CRITERIA_RULES}}, CRITERIA_RULES, modifiers={"siblings": siblings})
+    flagged = with_group_flags(positions(spark, folder), vs)
+    flags = [F.expr(f"coalesce({bit(v, '_g0_simulated_trade_id_')}, false)").alias(f"passes{-v.perspective_id}") for v in vs.views]
+    return flagged.select("container", "identifier", "simulated_trade_id", *flags)
+
+
+QUERIES["W-01_flags_of_views"] = (
+    _view_group_flags,
+    with_tables(
+        "SELECT container, identifier, simulated_trade_id, "
+        + ", ".join(f"bool_or({keep}) OVER (PARTITION BY simulated_trade_id) AS passes{-pid}" for pid, keep, _ in VIEWS_SQL)
+        + " FROM pos"
+    ),
+)
+
+
+def _container_totals(spark, folder):
+    """All positions beside the kept mass of their container in each view."""
+    result = main(spark, folder, HOLD)
+    rows, totals = with_container_totals(result.evaluated_positions, result.views, result.position_labels, result.masses)
+    label = result.position_labels.index("initial_weight")
+    places = [F.expr(totals.place(v.index, label)).alias(f"total{-v.perspective_id}") for v in result.views.views]
+    return rows.select("container", "identifier", *places)
+
+
+QUERIES["J-05_container_totals"] = (
+    _container_totals,
+    with_tables(
+        "SELECT container, identifier, "
+        + ", ".join(f"(SELECT iw FROM mass m WHERE m.pid = {pid} AND m.container = pos.container) AS total{-pid}" for pid, _, _ in VIEWS_SQL)
+        + " FROM pos",
+        KEPT,
+        MASSES,
+    ),
+)
+
+
 def flagship(spark, folder) -> DataFrame:
     """Filter rule, scaling rule and rescale to 100 percent over positions and children."""
     vs = view_set({"main": {"-1": [HOLD]}}, {"-1": CRITERIA_RULES["-1"]})
