@@ -65,6 +65,27 @@ def op4_suffix_dedup(spark, folder):
     return kept.select(F.col("k").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP4_SQL = """
+WITH data AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+starts AS (SELECT doc_id, b, unnest(range(1, octet_length(b) - 98)) AS s FROM data),
+windows AS (SELECT doc_id, s, md5(b[s:s + 99]) AS w FROM starts),
+again AS (SELECT doc_id, s FROM windows QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, s) > 1),
+begun AS (SELECT doc_id, s, coalesce(s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) > 100, TRUE)::INT AS new FROM again),
+numbered AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM begun),
+spans AS (SELECT doc_id, span, min(s) AS a, max(s) + 99 AS z FROM numbered GROUP BY doc_id, span),
+before AS (
+  SELECT doc_id, span, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY span), 0) AS kept_after FROM spans),
+cut AS (
+  SELECT doc_id, count(*) AS n_spans, sum(z - a + 1) AS n_removed, max(z) AS last,
+    string_agg(CASE WHEN a - kept_after > 1 THEN hex(b[kept_after + 1:a - 1]) ELSE '' END, '' ORDER BY span) AS kept
+  FROM before JOIN data USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN n_spans IS NULL THEN b WHEN last >= octet_length(b) THEN unhex(kept)
+              ELSE unhex(kept || hex(b[last + 1:octet_length(b)])) END) AS kept_sha256
+FROM data LEFT JOIN cut USING (doc_id)
+"""
+
+
 def op5_extraction(spark, folder):
     pages = table(spark, folder, "pages")
     found = small_batches(pages).select("page_id", "url", extraction.extracted(extraction.fit(pages)).alias("text"))
@@ -180,7 +201,7 @@ QUERIES = {
     "op1_line_dedup": (op1_line_dedup, OP1_SQL),
     "op2_toxicity": (op2_toxicity, None),
     "op3_language": (op3_language, None),
-    "op4_suffix_dedup": (op4_suffix_dedup, None),
+    "op4_suffix_dedup": (op4_suffix_dedup, OP4_SQL),
     "op5_extraction": (op5_extraction, None),
     "op6_mixing": (op6_mixing, None),
     "op7_nearest": (op7_nearest, None),
