@@ -47,6 +47,11 @@ def _path(name: str) -> str:
     return literal(f"$[{quote}{name}{quote}]")
 
 
+def is_object(variant: str) -> str:
+    """TRUE for a JSON object, as SQL; unlike its schema this doesn't look into the values."""
+    return f"(try_variant_get({variant}, '$', 'struct<identifier: variant>') IS NOT NULL)"
+
+
 def request_sections(requests: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """One row per section: positions or lookthroughs of a container.
 
@@ -56,21 +61,35 @@ def request_sections(requests: DataFrame, extra: list[str] | None = None) -> Dat
     keep = [REQUEST, *(extra or [])]
     parsed = requests.select(*keep, F.expr("try_parse_json(request)").alias("_request"))
     containers = _unfold(parsed, "_request", keep, "container", "_container").where(
-        "schema_of_variant(_container) LIKE 'OBJECT%' "
-        "AND (variant_get(_container, '$.positions', 'variant') IS NOT NULL)"
+        "variant_get(_container, '$.positions', 'variant') IS NOT NULL"  # so it is an object
     )
     sections = _unfold(containers, "_container", [*keep, "container"], "record_type", "_section")
     return sections.where(
-        f"(record_type = '{POSITIONS}' OR contains(record_type, 'lookthrough')) "
-        "AND schema_of_variant(_section) LIKE 'OBJECT<%'"
+        f"(record_type = '{POSITIONS}' OR contains(record_type, 'lookthrough')) AND {is_object('_section')}"
+    )
+
+
+def section_names(request: str) -> str:
+    """The same sections of a request as a map of containers to section names, as SQL; NULL for other than an object."""
+    entries = f"map_entries(try_variant_get({request}, '$', 'map<string, map<string, struct<identifier: boolean>>>'))"
+    named = (
+        f"e -> (e.key, transform(filter(map_entries(e.value), s -> s.value IS NOT NULL AND "
+        f"(s.key = '{POSITIONS}' OR contains(s.key, 'lookthrough'))), s -> s.key))"
     )
+    containers = f"transform(filter({entries}, e -> map_contains_key(e.value, '{POSITIONS}')), {named})"
+    return f"map_from_entries(filter({containers}, c -> size(c.col2) > 0))"
 
 
-def section_rows(sections: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """One row per identifier of the row-wise sections, attributes as a variant."""
+def section_rows(sections: DataFrame, extra: list[str] | None = None, attributes: str = "variant") -> DataFrame:
+    """One row per identifier of the row-wise sections, attributes as a variant or another type.
+
+    A section becomes a map by one cast: entries of an unfolded variant would
+    each carry the names of the whole request.
+    """
     keep = [REQUEST, *(extra or []), "container", "record_type"]
     rowwise = sections.where("variant_get(_section, '$.identifier', 'variant') IS NULL")
-    return _unfold(rowwise, "_section", keep, "identifier", "_attributes")
+    entries = F.expr(f"explode(try_variant_get(_section, '$', {literal(f'map<string, {attributes}>')}))")
+    return rowwise.select(*keep, entries.alias("identifier", "_attributes"))
 
 
 def attribute_types(rows: DataFrame) -> dict[str, str]:
@@ -99,16 +118,6 @@ def parse_object_schema(text: str | None) -> dict[str, str]:
     return types
 
 
-def _typed(rows: DataFrame, types: dict[str, str], extra: list[str]) -> DataFrame:
-    """Attributes as columns; the injected names win over attributes of the same name."""
-    columns = [
-        F.expr(f"try_variant_get(_attributes, {_path(name)}, '{kind}')").alias(name)
-        for name, kind in types.items()
-        if name not in INJECTED
-    ]
-    return rows.select(REQUEST, *extra, "container", "record_type", "identifier", *columns)
-
-
 def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where(f"record_type = '{POSITIONS}'"), rows.where(f"record_type <> '{POSITIONS}'")
 
@@ -116,8 +125,11 @@ def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def rowwise_rows(sections: DataFrame, types: dict[str, str] | None = None, extra: list[str] | None = None) -> DataFrame:
     """Rows of the row-wise sections with typed attributes."""
     extra = extra or []
-    rows = section_rows(sections, extra)
-    return _typed(rows, attribute_types(rows) if types is None else types, extra)
+    types = attribute_types(section_rows(sections, extra)) if types is None else types
+    names = {name: kind for name, kind in types.items() if name not in INJECTED}  # these win over attributes
+    fields = ", ".join(f"`{name.replace('`', '``')}`: {kind}" for name, kind in names.items())
+    rows = section_rows(sections, extra, f"struct<{fields}>")
+    return rows.select(REQUEST, *extra, "container", "record_type", "identifier", *(["_attributes.*"] if names else []))
 
 
 def read_requests(
@@ -126,9 +138,11 @@ def read_requests(
     """Position rows and lookthrough rows of requests with row-wise sections.
 
     ``types`` maps attribute names to SQL types; without it they are inferred
-    from all attributes that occur.
+    from all attributes that occur. Rows of a batch are stored once where the
+    session has a checkpoint folder, so that the text is not parsed for each frame.
     """
-    return _split(rowwise_rows(request_sections(requests, extra), types, extra))
+    rows = rowwise_rows(request_sections(requests, extra), types, extra)
+    return _split(rows if requests.isStreaming else materialize_if_possible(rows))
 
 
 def columnar_types(sections: DataFrame) -> dict[str, str]:
@@ -165,9 +179,10 @@ def inflate_requests(
     The parsed rows are stored once where the session has a checkpoint folder,
     so that the text is not parsed again for every output.
     """
-    sections = request_sections(requests, extra)
-    rows = rowwise_rows(sections, types, extra).unionByName(
-        columnar_rows(sections, types, extra), allowMissingColumns=True
+    # only these texts can name an identifier column; the others are parsed once
+    named = requests.where(F.contains("request", F.lit('"identifier"')) | F.contains("request", F.lit("\\u")))
+    rows = rowwise_rows(request_sections(requests, extra), types, extra).unionByName(
+        columnar_rows(request_sections(named, extra), types, extra), allowMissingColumns=True
     )
     return _split(materialize_if_possible(rows))
 
