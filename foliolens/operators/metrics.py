@@ -258,10 +258,14 @@ def value_columns(
 
 
 def normalize_columns(rows: DataFrame) -> DataFrame:
-    """Divides each metric by its total in the view, its amount by the same number."""
+    """Divides each metric by its total in the view, its amount by the same number.
+
+    The totals are stored first where the session has a folder for that: their size is
+    then known, and rows of few views don't meet in as few tasks.
+    """
     keys = [*present(rows, ["level"]), REQUEST, *VIEW_KEYS]
     totals = rows.groupBy(*keys).agg(*[_total(F.col(m)).alias(f"_total_{m}") for m in METRICS])
-    joined = join_groups(rows, totals, keys)
+    joined = join_groups(rows, materialize_if_possible(totals), keys)
     columns = {}
     for m in METRICS:
         share = F.expr(f"CASE WHEN _total_{m} <> 0.0D THEN 1.0D / _total_{m} ELSE 1.0D END")
@@ -313,6 +317,8 @@ def portfolio_metrics(
 
     """
     rows = grouped_exposures(positions, lookthroughs, level, attributes, child_weight)
+    if scale_holdings:
+        rows = materialize_if_possible(rows)
     return _finish(rows, assets, factors, scale_holdings)
 
 

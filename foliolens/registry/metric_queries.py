@@ -21,6 +21,7 @@ from foliolens.operators.metrics import (
     value_columns,
 )
 from foliolens.plans.pipeline import run_views
+from foliolens.plans.reuse import materialize_if_possible
 from foliolens.registry.inputs import lookthroughs, positions, with_tables
 from foliolens.registry.view_queries import HOLD, KEPT, MASSES, TOTALS, views
 from foliolens.schema import VIEW_KEYS
@@ -234,7 +235,8 @@ FROM mass m JOIN tot USING (container) GROUP BY pid""",
 
 def _normalized(spark, folder):
     r = result(spark, folder)
-    rows = normalize_columns(value_columns(grouped_exposures(r.positions, r.lookthroughs, "essential")))
+    sums = materialize_if_possible(grouped_exposures(r.positions, r.lookthroughs, "essential"))
+    rows = normalize_columns(value_columns(sums))
     return _rounded(
         rows.select(*VIEW_KEYS, "instrument_id", "parent_instrument_id", "sub_portfolio_id", *METRIC_COLUMNS)
     )
