@@ -8,12 +8,13 @@ subtrees, the largest first: each is a run of phrases in order, sent as rows to
 partition of its prefix (the first ``PREFIX`` words of a phrase), where the counts
 of all runs are merged. The rest of the trie is spilled at the end of the task.
 
-Three passes count words, pairs, and phrases of three to five words. A phrase can
-only be frequent if all its parts are, so a pass leaves out phrases with an
-infrequent word or pair. What is frequent goes to the tasks as one bitmap of
-``BITS`` bits over hashes, whatever the size of the corpus: a false positive costs
-a counted row, a false negative doesn't exist, so all counts that pass the
-threshold are exact.
+Words are counted first. A phrase can only be frequent if all its parts are, so the
+next two passes hash the pairs of frequent words, and the phrases of three to five
+words whose pairs may be frequent, into 2**32 cells; tasks send their cells as sorted
+arrays, by ranges of cells. Only phrases of cells with enough occurrences go to the
+trie in the last pass. What is frequent goes to the tasks as one bitmap of ``BITS``
+bits over hashes, whatever the size of the corpus: a false positive costs a counted
+row, a false negative doesn't exist, so all counts that pass the threshold are exact.
 
 Edge cases: null and empty texts, and pieces without words, count nothing. A null
 language is ``und``. Repeated rows count each. Empty tables have no phrases. Ties
@@ -37,9 +38,13 @@ from foliolens.llm.common import column, small_batches, stored, utf8
 LEAST, WORDS, TOP, SAME = 100, 5, 2000, 100
 #: Entries of a container that bursts, and of a trie that spills; rows of a batch of a run.
 BURST, ENTRIES, ROWS = 4096, 1 << 20, 1 << 14
-BITS, PREFIX, SEED = 1 << 23, 3, 42
-#: Bytes of a text whose words become ids at once; ids that wait until equal phrases are put together.
-PART, WAITING = 1 << 20, 1 << 20
+BITS, PREFIX, SEED = 1 << 24, 3, 42
+#: Bytes of texts whose words become ids at once; ids that wait until equal phrases are put together.
+PART, WAITING = 1 << 21, 1 << 20
+#: Cells that a task holds before it sends them; bits of a cell below its range.
+CELLS, RANGE = 1 << 22, 22
+#: Fixed value: an odd factor that mixes hashes.
+STEP = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN, END = "und", b"\n"
 
 # What separates pieces (all become line feeds) and words; only A-Z are lower-cased.
@@ -118,14 +123,26 @@ class Bitmap:
         self._words, self._bits = self._words.view(np.uint64), bits
 
     def __contains__(self, phrase: bytes) -> bool:
-        at = xxhash.xxh64_intdigest(phrase, SEED) & (self._bits - 1)
+        return self.has(xxhash.xxh64_intdigest(phrase, SEED))
+
+    def has(self, value: int) -> bool:
+        at = value & (self._bits - 1)
         return bool(int(self._words[at >> 6]) >> (at & 63) & 1)
 
+    def marked(self, values: np.ndarray) -> np.ndarray:
+        """``has`` for many."""
+        at = values & np.uint64(self._bits - 1)
+        return (self._words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
 
 def bitmap(phrases: DataFrame, bits: int) -> Bitmap:
-    """Of ``lang, phrase``; the driver gets ``bits / 64`` numbers at most."""
-    at = F.xxhash64(F.concat("lang", F.lit(" "), "phrase")).bitwiseAND(F.lit(bits - 1))
-    longs = phrases.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("i")).agg(
+    """Of ``lang, phrase``."""
+    return _bitmap(phrases, F.xxhash64(F.concat("lang", F.lit(" "), "phrase")), bits)
+
+
+def _bitmap(rows: DataFrame, value: Column, bits: int) -> Bitmap:
+    """Of the numbers of some rows; the driver gets ``bits / 64`` numbers at most."""
+    longs = rows.select(value.bitwiseAND(F.lit(bits - 1)).alias("at")).groupBy(F.shiftright("at", 6).alias("i")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("w")
     )
     return Bitmap({r["i"]: r["w"] for r in longs.collect()}, bits)
@@ -136,92 +153,211 @@ class WordIds(dict):
 
     def __init__(self, lang: bytes, frequent: Bitmap | None):
         super().__init__({END: 0})
-        self.words, self._lang, self._frequent = [END], lang, frequent
+        self.words, self.hashes, self._lang, self._frequent = [END], [0], lang, frequent
 
     def __missing__(self, word: bytes) -> int:
-        found = 0
-        if self._frequent is None or self._lang + b" " + word in self._frequent:
+        found, value = 0, xxhash.xxh64_intdigest(self._lang + b" " + word, SEED)
+        if self._frequent is None or self._frequent.has(value):
             found = len(self.words)
             self.words.append(word)
+            self.hashes.append(value)
         self[word] = found
         return found
 
     def of(self, data: bytes) -> np.ndarray:
         """The ids of a text, and 0 behind each piece; the text's words become ids a part at a time."""
-        text, parts, begin = data.translate(BYTES).replace(b"\n", b" \n ") + b" \n", [], 0
+        text, parts, begin = data.translate(BYTES).replace(b"\n", b" \n ") + b" \n ", [], 0
         while begin < len(text):
-            end = text.find(b" ", begin + PART)
-            end = len(text) if end < 0 else end
-            parts.append(np.array([self[w] for w in text[begin:end].split(b" ") if w], np.int64))
+            end = text.find(b" ", begin + PART) + 1 or len(text)
+            parts.append(self._part(text[begin:end]))
             begin = end
         return np.concatenate(parts)
 
+    def _part(self, text: bytes) -> np.ndarray:
+        """Equal words of up to seven bytes are looked up once: with the length they are a number."""
+        blank = np.ones(len(text) + 2, np.int8)
+        blank[1:-1] = np.frombuffer(text, np.uint8) == 32
+        edges = np.flatnonzero(np.diff(blank))
+        begins, ends = edges[::2], edges[1::2]
+        length = (ends - begins).astype(np.uint64)
+        few = length < 8
+        ids, size = np.empty(len(begins), np.int64), length[few]
+        key = np.ndarray(len(text), "<u8", text + bytes(8), 0, (1,))[begins[few]]
+        key = key & ((np.uint64(1) << (np.uint64(8) * size)) - np.uint64(1)) | size << np.uint64(56)
+        _, first, kind = np.unique(key, return_index=True, return_inverse=True)
+        ids[few] = self._look_up(text, begins[few][first], ends[few][first])[kind]
+        ids[~few] = self._look_up(text, begins[~few], ends[~few])
+        return ids
+
+    def _look_up(self, text: bytes, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return np.array([self[text[b:e]] for b, e in zip(begins.tolist(), ends.tolist(), strict=True)], np.int64)
+
+
+class PhraseReader:
+    """Reads one language's texts for phrases of ``low`` to ``high`` words.
+
+    ``marks`` are the bitmaps of what may be frequent: words, pairs, longer phrases, as
+    far as they are known. All parts of a phrase that is read are in them.
+    """
 
-class PhraseCounter:
-    """Counts the phrases of one language's texts that have ``low`` to ``high`` words, all words and pairs of which may be frequent."""
-
-    def __init__(self, lang: bytes, low: int, high: int, words: Bitmap | None, pairs: Bitmap | None, burst: int):
-        self.trie, self.ids = HatTrie(burst), WordIds(lang, words)
-        self._low, self._high, self._lang, self._frequent, self._pairs = low, high, lang, words, pairs
+    def __init__(self, lang: bytes, low: int, high: int, marks: tuple[Bitmap | None, ...]):
+        self.ids = WordIds(lang, marks[0])
+        self._low, self._high, self._lang, self._marks = low, high, lang, marks
+        self._texts: list[bytes] = []
         self._waiting: list[np.ndarray] = []
-        self._joined: dict[int, bool] = {}
+        self._bytes = self._count = 0
 
     def add(self, data: bytes) -> None:
-        self._waiting.append(self.ids.of(data))
-        if sum(map(len, self._waiting)) >= WAITING:
-            self.flush()
-
-    def _may(self, pair: int) -> bool:
-        if pair not in self._joined:
-            words = self.ids.words
-            self._joined[pair] = b" ".join((self._lang, words[pair >> 32], words[pair & 0xFFFFFFFF])) in self._pairs
-        return self._joined[pair]
+        self._texts.append(data)
+        self._bytes += len(data)
+        if self._bytes >= PART:
+            self._read()
+            if self._count >= WAITING:
+                self.flush()
+
+    def _read(self) -> None:
+        self._waiting.append(self.ids.of(b"\n".join(self._texts)))
+        self._count += len(self._waiting[-1])
+        self._texts, self._bytes = [], 0
 
     def flush(self) -> None:
-        """Adds the texts that wait to the trie, equal phrases together."""
-        if not self._waiting:
-            return
-        ids, self._waiting = np.concatenate(self._waiting), []
-        if self._low == 1:
-            self._add(ids[ids > 0][:, None])
-            return
-        ends = (ids[:-1] > 0) & (ids[1:] > 0)
-        pairs = ids[:-1] << 32 | ids[1:]
-        if self._low > 2:
-            kinds, kind = np.unique(pairs[ends], return_inverse=True)
-            ends[ends] = np.array([self._may(p) for p in kinds.tolist()], bool)[kind]
-        whole = ends  # whole[i]: the words from i on, one more each time, may be a frequent phrase
+        """Takes the phrases of the texts that wait."""
+        if self._texts:
+            self._read()
+        if self._waiting:
+            ids, self._waiting, self._count = np.concatenate(self._waiting), [], 0
+            self._take(ids)
+
+    def _take(self, ids: np.ndarray) -> None:
+        raise NotImplementedError
+
+    def _phrases(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each number of words from two on: where phrases begin, and the hashes of all places."""
+        words = np.array(self.ids.hashes, np.uint64)[ids]
+        whole, hashes = ids > 0, words
         for k in range(2, self._high + 1):
-            if k > 2:
-                whole = whole[:-1] & ends[k - 2 :]
-            if k >= self._low:
+            whole = whole[:-1] & whole[1:]
+            hashes = (hashes[:-1] ^ hashes[:-1] >> np.uint64(32)) * STEP + words[k - 1 :]
+            if min(k, 3) <= len(self._marks):
                 begins = np.flatnonzero(whole)
-                self._add(ids[begins[:, None] + np.arange(k)])
-
-    def _add(self, phrases: np.ndarray) -> None:
-        """Rows of ids; equal ones next to each other in order."""
-        if not len(phrases):
-            return
-        phrases = phrases[np.lexsort(phrases.T[::-1])]
-        new = np.flatnonzero(np.r_[True, (phrases[1:] != phrases[:-1]).any(1)])
-        for row, n in zip(phrases[new].tolist(), np.diff(np.r_[new, len(phrases)]).tolist(), strict=True):
-            self.trie.add(tuple(row), n)
+                whole[begins] = self._marks[min(k, 3) - 1].marked(hashes[begins] >> np.uint64(32))
+            yield k, np.flatnonzero(whole), hashes
 
     @property
     def waits(self) -> bool:
-        return bool(self._waiting)
-
-    def held(self) -> int:
-        """Words and pairs that are known by now."""
-        return len(self.ids) + len(self._joined)
+        return bool(self._waiting or self._texts)
 
     def forget(self) -> None:
-        """Words and pairs of an empty trie need no ids any more."""
-        self.ids, self._joined = WordIds(self._lang, self._frequent), {}
+        """Words that nothing refers to need no ids any more."""
+        self.ids = WordIds(self._lang, self._marks[0])
+
+
+class PhraseCounter(PhraseReader):
+    """Counts phrases in a trie."""
+
+    def __init__(self, lang: bytes, low: int, high: int, marks: tuple[Bitmap | None, ...], burst: int):
+        super().__init__(lang, low, high, marks)
+        self.trie, self.words = HatTrie(burst), 0
+
+    def _take(self, ids: np.ndarray) -> None:
+        """Adds phrases to the trie, equal ones together."""
+        if self._low == 1:
+            counts = np.bincount(ids)
+            counts[0] = 0
+            self.words += int(counts.sum())
+            found = np.flatnonzero(counts)
+            self._add(found[:, None], counts[found])
+        same = ids  # number of the phrase of one word less that begins here
+        for k, begins, _ in self._phrases(ids) if self._high > 1 else ():
+            _, first, kind, counts = np.unique(same[begins] << 32 | ids[begins + k - 1], return_index=True, return_inverse=True, return_counts=True)
+            same = np.zeros(len(ids), np.int64)
+            same[begins] = kind
+            if k >= self._low:
+                self._add(ids[begins[first][:, None] + np.arange(k)], counts)
+
+    def _add(self, phrases: np.ndarray, counts: np.ndarray) -> None:
+        for row, n in zip(phrases.tolist(), counts.tolist(), strict=True):
+            self.trie.add(tuple(row), n)
+
+
+class PhraseHasher(PhraseReader):
+    """Keeps the cells of phrases."""
+
+    def __init__(self, lang: bytes, low: int, high: int, marks: tuple[Bitmap | None, ...]):
+        super().__init__(lang, low, high, marks)
+        self.cells: list[np.ndarray] = []
+
+    def _take(self, ids: np.ndarray) -> None:
+        for k, begins, hashes in self._phrases(ids):
+            if k >= self._low:
+                self.cells.append((hashes[begins] >> np.uint64(32)).astype("<u4"))
+
+
+def hashed(docs: DataFrame, low: int, high: int, *marks: Bitmap | None, least: int, entries: int = ENTRIES) -> DataFrame:
+    """The cells (``cell``) with ``least`` or more of the phrases of ``docs`` (``lang``, ``x`` bytes)."""
+    few = np.min_scalar_type(least)  # no more than least is added up of a task: that is enough
+
+    def rows(readers: dict[bytes, PhraseHasher]) -> Iterator[pa.RecordBatch]:
+        """Sorted cells below their range, the bytes of each place together, and their counts."""
+        for r in readers.values():
+            r.flush()
+        cells, n = np.unique(np.concatenate([c for r in readers.values() for c in r.cells] or [np.empty(0, "<u4")]), return_counts=True)
+        for r in readers.values():
+            r.cells = []
+        n = np.minimum(n, least).astype(few)
+        spans = cells >> RANGE
+        edges = np.flatnonzero(np.r_[True, spans[1:] != spans[:-1], True]).tolist() if len(cells) else [0]
+        low_bits = cells & np.uint32((1 << RANGE) - 1)
+        data = [
+            (int(spans[b]), low_bits[b:e].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), n[b:e].tobytes())
+            for b, e in zip(edges[:-1], edges[1:], strict=True)
+        ]
+        if data:
+            columns = zip(*data, strict=True)
+            types = (pa.int32(), pa.binary(), pa.binary())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["span", "cells", "n"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        readers: dict[bytes, PhraseHasher] = {}
+        for given in batches:
+            for lang, data in zip(given.column(0).to_pylist(), given.column(1).to_pylist(), strict=True):
+                own = lang.encode()
+                if own not in readers:
+                    readers[own] = PhraseHasher(own, low, high, marks)
+                readers[own].add(data)
+            if sum(len(c) for r in readers.values() for c in r.cells) > CELLS:
+                yield from rows(readers)
+            if sum(len(r.ids) for r in readers.values()) > 2 * entries:
+                for r in readers.values():
+                    r.flush()
+                    r.forget()
+        yield from rows(readers)
+
+    def merged(span: int, cells: list[np.ndarray], n: list[np.ndarray]) -> pa.RecordBatch:
+        together, kind = np.unique(np.concatenate(cells), return_inverse=True)
+        found = together[np.bincount(kind, np.concatenate(n)) >= least].astype(np.int64)
+        return pa.record_batch([pa.array(found | span << RANGE)], names=["cell"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, cells, n = None, [], []
+        for given in batches:
+            for span, some, counts in zip(*(c.to_pylist() for c in given.columns), strict=True):
+                if span != at and cells:
+                    yield merged(at, cells, n)
+                    cells, n = [], []
+                at = span
+                cells.append(np.ascontiguousarray(np.frombuffer(some, np.uint8).reshape(4, -1).T).view("<u4").ravel())
+                n.append(np.frombuffer(counts, few))
+        if cells:
+            yield merged(at, cells, n)
+
+    sent = docs.mapInArrow(read, "span int, cells binary, n binary")
+    return sent.repartition("span").sortWithinPartitions("span").mapInArrow(merge, "cell long")
 
 
-def counted(docs: DataFrame, low: int, high: int, frequent: Bitmap | None, pairs: Bitmap | None = None, entries: int = ENTRIES, burst: int = BURST) -> DataFrame:
-    """Counts ``n`` of the phrases of ``docs`` (``lang``, ``x`` bytes): ``lang, phrase, n``."""
+def counted(docs: DataFrame, low: int, high: int, *marks: Bitmap | None, entries: int = ENTRIES, burst: int = BURST) -> DataFrame:
+    """Counts ``n`` of the phrases of ``docs`` (``lang``, ``x`` bytes): ``lang, phrase, n``. With words the empty
+    phrase counts them all."""
 
     def runs(counters: dict[bytes, PhraseCounter], keep: int) -> Iterator[pa.RecordBatch]:
         """Spills the largest subtrees until at most ``keep`` entries are left."""
@@ -254,21 +390,24 @@ def counted(docs: DataFrame, low: int, high: int, frequent: Bitmap | None, pairs
             for lang, data in zip(given.column(0).to_pylist(), given.column(1).to_pylist(), strict=True):
                 own = lang.encode()
                 if own not in counters:
-                    counters[own] = PhraseCounter(own, low, high, frequent, pairs, burst)
+                    counters[own] = PhraseCounter(own, low, high, marks, burst)
                 counters[own].add(data)
                 if sum(c.trie.entries for c in counters.values()) > entries:
                     yield from runs(counters, entries // 2)
-                if sum(c.held() for c in counters.values()) > 2 * entries:
+                if sum(len(c.ids) for c in counters.values()) > 2 * entries:
                     for c in counters.values():
                         c.flush()
                     yield from runs(counters, 0)
         for c in counters.values():
             c.flush()
         yield from runs(counters, 0)
+        if totals := [(lang, b"", c.words) for lang, c in counters.items() if c.words]:
+            yield batch(totals)
 
     rows = docs.mapInArrow(count, "lang string, phrase string, n long")
-    prefix = F.substring_index("phrase", " ", PREFIX) if high > PREFIX else F.col("phrase")
-    placed = rows.withColumn("prefix", prefix).repartition("lang", "prefix")
+    if high <= PREFIX:
+        return rows.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    placed = rows.withColumn("prefix", F.substring_index("phrase", " ", PREFIX)).repartition("lang", "prefix")
     return placed.groupBy("lang", "prefix", "phrase").agg(F.sum("n").alias("n")).drop("prefix")
 
 
@@ -279,14 +418,16 @@ def phrase_counts(
     """All phrases of 1 to ``words`` words that occur ``least`` times or more (``lang, phrase, n``, exact),
     and the words of each language (``lang, n``)."""
     body = small_batches(docs).select(F.coalesce(column(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), utf8(text).alias("x"))
-    all_words = stored(counted(body, 1, 1, None, None, entries, burst))
-    sizes = stored(all_words.groupBy("lang").agg(F.sum("n").alias("n")))
-    found, bitmaps = [all_words.filter(F.col("n") >= least)], [None, None]
-    for i, (low, high) in enumerate(((2, 2), (3, words))):
-        bitmaps[i] = bitmap(found[-1], bits)
-        here = counted(body, low, high, *bitmaps, entries, burst)
-        found.append(stored(here.filter(F.col("n") >= least)))
-    return found[0].unionByName(found[1]).unionByName(found[2]), sizes
+    single = stored(counted(body, 1, 1, None, entries=entries, burst=burst).filter((F.col("n") >= least) | (F.col("phrase") == "")))
+    frequent, sizes = single.filter("phrase <> ''"), single.filter("phrase = ''").select("lang", "n")
+    marks = [bitmap(frequent, bits)]
+    for low, high in ((2, 2), (3, words)):
+        if low <= high <= words:
+            marks.append(_bitmap(hashed(body, low, high, *marks, least=least, entries=entries), F.col("cell"), bits))
+    if words < 2:
+        return frequent, sizes
+    longer = stored(counted(body, 2, words, *marks, entries=entries, burst=burst).filter(F.col("n") >= least))
+    return frequent.unionByName(longer), sizes
 
 
 def _part(phrase: str, first: Column, words: Column) -> Column:
