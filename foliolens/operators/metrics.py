@@ -190,16 +190,20 @@ def grouped_levels(
             .groupBy("record_type", *keys, F.col("instrument_id").alias("_child"))
             .agg(F.sum(column).alias("_child_weight"), F.count(F.lit(1)).alias("_children"))
         )
-        # exposures are the same at every drilled level
+        # exposures are the same at every drilled level; what has no child there is a leaf
         parents = _parents(positions, drilled[0], keys, attributes)
-        level_of = F.expr("CASE record_type " + " ".join(f"WHEN '{LEVELS[v]}' THEN '{v}'" for v in drilled) + " END")
-        matched = children.join(parents, keys, "inner").withColumn("level", level_of).drop("record_type")
-        tagged = parents.withColumn("level", F.explode(F.array(*[F.lit(v) for v in drilled])))
-        found = children.withColumn("level", level_of).select("level", *keys).distinct()
-        leaves = tagged.join(found, ["level", *keys], "left_anti").selectExpr(
-            "*", *[f"{v} AS {n}" for n, v in alone.items()]
+        if len(drilled) == 1:
+            children, by = children.drop("record_type"), keys
+            tagged = parents.withColumn("level", F.lit(drilled[0]))
+        else:
+            level_of = F.expr("CASE record_type " + " ".join(f"WHEN '{LEVELS[v]}' THEN '{v}'" for v in drilled) + " END")
+            children, by = children.withColumn("level", level_of).drop("record_type"), ["level", *keys]
+            tagged = parents.withColumn("level", F.explode(F.array(*[F.lit(v) for v in drilled])))
+        weight = F.when(F.col("_children").isNull(), 1.0).otherwise(F.col("_child_weight"))
+        met = tagged.join(children, by, "left").withColumns(
+            {"_child_weight": weight, "_children": F.coalesce("_children", F.lit(1))}
         )
-        parts += [matched, leaves]
+        parts.append(met)
     rows = functools.reduce(DataFrame.unionByName, parts)
     factor = {n: "_child_weight" if n in ("PI", "PR") else "_children" for n in names}
     return (
