@@ -16,6 +16,8 @@ from foliolens.functions.criteria import literal
 from foliolens.plans.reuse import materialize_if_possible
 from foliolens.schema import POSITIONS, REQUEST
 
+PARSED = "_parsed"
+"""Variant column of requests that are parsed already."""
 INJECTED = ("container", "record_type", "identifier", REQUEST)
 SQL_TYPES = {"BIGINT": "bigint", "BOOLEAN": "boolean", "STRING": "string", "DOUBLE": "double", "VOID": "string"}
 
@@ -59,7 +61,7 @@ def request_sections(requests: DataFrame, extra: list[str] | None = None) -> Dat
     are the objects whose name contains ``lookthrough``.
     """
     keep = [REQUEST, *(extra or [])]
-    parsed = requests.select(*keep, F.expr("try_parse_json(request)").alias("_request"))
+    parsed = requests.select(*keep, F.expr(PARSED if PARSED in requests.columns else "try_parse_json(request)").alias("_request"))
     containers = _unfold(parsed, "_request", keep, "container", "_container").where(
         "variant_get(_container, '$.positions', 'variant') IS NOT NULL"  # so it is an object
     )
@@ -179,10 +181,10 @@ def inflate_requests(
     The parsed rows are stored once where the session has a checkpoint folder,
     so that the text is not parsed again for every output.
     """
-    # only these texts can name an identifier column; the others are parsed once
+    # only these texts can name an identifier column; they are parsed again, the others once
     named = requests.where(F.contains("request", F.lit('"identifier"')) | F.contains("request", F.lit("\\u")))
     rows = rowwise_rows(request_sections(requests, extra), types, extra).unionByName(
-        columnar_rows(request_sections(named, extra), types, extra), allowMissingColumns=True
+        columnar_rows(request_sections(named.drop(PARSED), extra), types, extra), allowMissingColumns=True
     )
     return _split(materialize_if_possible(rows))
 
