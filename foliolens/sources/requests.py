@@ -10,14 +10,18 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from foliolens.functions.criteria import literal
-from foliolens.plans.reuse import materialize_if_possible
+from foliolens.plans.reuse import DEALT, FREED, materialize_if_possible, settings
 from foliolens.schema import POSITIONS, REQUEST
 
 PARSED = "_parsed"
 """Variant column of requests that are parsed already."""
+NAMED = "_named"
+"""Whether the text of such a request may name an identifier column."""
+READING = FREED | DEALT
+"""Settings under which requests are read; their rows may be dealt by request already."""
 INJECTED = ("container", "record_type", "identifier", REQUEST)
 SQL_TYPES = {"BIGINT": "bigint", "BOOLEAN": "boolean", "STRING": "string", "DOUBLE": "double", "VOID": "string"}
 
@@ -35,6 +39,11 @@ def with_request_ids(requests: DataFrame) -> DataFrame:
     return requests.select(F.coalesce(own, F.sha2("request", 256)).alias(REQUEST), "request")
 
 
+def may_name() -> Column:
+    """Texts that may name an identifier column; no other has a columnar section."""
+    return F.contains("request", F.lit('"identifier"')) | F.contains("request", F.lit("\\u"))
+
+
 def _unfold(df: DataFrame, column: str, keep: list[str], key: str, value: str) -> DataFrame:
     """One row per entry of an object."""
     entries = df.sparkSession.tvf.variant_explode(F.col(column).outer())
@@ -96,7 +105,8 @@ def section_rows(sections: DataFrame, extra: list[str] | None = None, attributes
 
 def attribute_types(rows: DataFrame) -> dict[str, str]:
     """Names and types of the attributes that occur, from one distributed pass."""
-    found = rows.selectExpr("schema_of_variant_agg(_attributes) AS s").first()
+    with settings(rows.sparkSession, READING):
+        found = rows.selectExpr("schema_of_variant_agg(_attributes) AS s").first()
     return parse_object_schema(found["s"] if found else "")
 
 
@@ -144,7 +154,10 @@ def read_requests(
     session has a checkpoint folder, so that the text is not parsed for each frame.
     """
     rows = rowwise_rows(request_sections(requests, extra), types, extra)
-    return _split(rows if requests.isStreaming else materialize_if_possible(rows))
+    if requests.isStreaming:
+        return _split(rows)
+    with settings(requests.sparkSession, READING):
+        return _split(materialize_if_possible(rows))
 
 
 def columnar_types(sections: DataFrame) -> dict[str, str]:
@@ -181,10 +194,10 @@ def inflate_requests(
     The parsed rows are stored once where the session has a checkpoint folder,
     so that the text is not parsed again for every output.
     """
-    # only these texts can name an identifier column; they are parsed again, the others once
-    named = requests.where(F.contains("request", F.lit('"identifier"')) | F.contains("request", F.lit("\\u")))
+    # of texts that are not parsed yet only these are parsed a second time
+    named = requests.where(F.col(NAMED) if NAMED in requests.columns else may_name())
     rows = rowwise_rows(request_sections(requests, extra), types, extra).unionByName(
-        columnar_rows(request_sections(named.drop(PARSED), extra), types, extra), allowMissingColumns=True
+        columnar_rows(request_sections(named, extra), types, extra), allowMissingColumns=True
     )
     return _split(materialize_if_possible(rows))
 
