@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from foliolens.plans.requests import process_requests
-from foliolens.plans.reuse import own_frames
+from foliolens.plans.reuse import FREED, own_frames, settings
 from foliolens.schema import REQUEST
 
 
@@ -16,13 +16,15 @@ def write_responses(requests: DataFrame, path: str, **options) -> None:
     """Response documents of a batch; running it again replaces its files.
 
     Refused requests have a row with an ``error`` in place of a document. What the
-    batch stored on its way goes when its files are written, or when it fails.
+    batch stored on its way goes when its files are written, or when it fails, and its
+    shuffle files go with it.
     """
     with own_frames(requests.sparkSession):
         run = process_requests(requests, **options)
         refused = run.errors.select(REQUEST, F.lit(0).alias("part"), F.lit(None).cast("string").alias("document"), "error")
         answered = run.documents().withColumn("error", F.lit(None).cast("string"))
-        answered.unionByName(refused).write.mode("overwrite").parquet(path)
+        with settings(requests.sparkSession, FREED):
+            answered.unionByName(refused).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def process_stream(

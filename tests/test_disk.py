@@ -10,6 +10,7 @@ import pytest
 
 from foliolens.plans.requests import process_requests
 from foliolens.plans.reuse import materialize, own_frames, settings, shared_folder
+from foliolens.registry.audit_queries import QUERIES as AUDITS
 from foliolens.registry.source_queries import TYPES, json_requests
 from foliolens.sources.requests import READING, attribute_types, request_sections, section_rows
 
@@ -83,3 +84,12 @@ def test_sections_and_documents_do_not_move(spark, folder):
     with own_frames(spark), settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
         found = exchanges(process_requests(json_requests(spark, folder), types=TYPES, defaults=[]).documents())
         assert found and not any("part#" in e or "section" in e for e in found), found
+
+
+def test_streamed_requests_are_compressed(spark, folder):
+    with own_frames(spark):
+        before = set(Path(shared_folder(spark).removeprefix("file:")).rglob("in/part-*"))
+        rows = AUDITS["S-10_read_request_stream"][0](spark, folder)
+        texts = set(Path(shared_folder(spark).removeprefix("file:")).rglob("in/part-*")) - before
+        assert texts and all(p.name.endswith(".gz") for p in texts)
+        assert {r["request_id"] for r in rows.collect()} == {"r0", "r1"}
