@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import functools
+from contextlib import ExitStack
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foliolens.functions.expressions import zero_if_missing, zero_if_tiny
 from foliolens.operators.lookthrough import expand_lookthroughs
 from foliolens.operators.skew import join_groups
-from foliolens.plans.reuse import materialize_if_possible
+from foliolens.plans.reuse import DEALT, materialize, materialize_if_possible, settings, shared_folder, stored_while
 from foliolens.schema import (
     COMPLETE,
     CONTRACTUAL,
@@ -130,20 +131,21 @@ def group_exposures(rows: DataFrame, attributes: list[str] | None = None) -> Dat
     )
 
 
-def _position_metrics(positions: DataFrame, level: str) -> dict[str, Column]:
-    return {**_exposures(positions, level), **_benchmarks(positions), **_shares(positions)}
-
-
-def _parents(positions: DataFrame, level: str, keys: list[str], attributes: list[str]) -> DataFrame:
-    """Positions summed per parent key, for one level."""
-    metrics = _position_metrics(positions, level)
-    return (
-        positions.select(
-            "*", F.col("instrument_id").alias("_instrument"), *[c.alias(f"_{n}") for n, c in metrics.items()]
-        )
+def _parents(positions: DataFrame, levels: list[str], keys: list[str], attributes: list[str]) -> DataFrame:
+    """Positions summed per parent key, by one pass, as a row for each level."""
+    kinds = {level: "no" if level == "no" else "drilled" for level in levels}
+    exposures = {f"{kind}_{n}": c for level, kind in kinds.items() for n, c in _exposures(positions, level).items()}
+    common = {**_benchmarks(positions), **_shares(positions)}
+    sums = {**exposures, **common}
+    grouped = (
+        positions.select("*", F.col("instrument_id").alias("_instrument"), *[c.alias(f"_{n}") for n, c in sums.items()])
         .groupBy(*keys, *attributes)
-        .agg(*[F.sum(f"_{n}").alias(n) for n in metrics])
+        .agg(*[F.sum(f"_{n}").alias(n) for n in sums])
     )
+    own = [[f"'{level}' AS level", f"{kind}_PI AS PI", f"{kind}_PR AS PR"] for level, kind in kinds.items()]
+    structs = ", ".join("struct(" + ", ".join(columns) + ")" for columns in own)
+    tagged = own[0] if len(own) == 1 else [f"inline(array({structs}))"]
+    return grouped.selectExpr(*keys, *attributes, *common, *tagged)
 
 
 def grouped_exposures(
@@ -174,14 +176,7 @@ def grouped_levels(
     keys = [REQUEST, *VIEW_KEYS, "container", "_instrument", "sub_portfolio_id"]
     names = [*METRICS, *present(positions, SHARES)]
     drilled = [level for level in levels if LEVELS[level] is not None and lookthroughs is not None]
-    alone = {"_child": "bigint(NULL)", "_child_weight": "1.0D", "_children": "1L"}
-    parts = [
-        _parents(positions, level, keys, attributes).selectExpr(
-            f"'{level}' AS level", "*", *[f"{v} AS {n}" for n, v in alone.items()]
-        )
-        for level in levels
-        if level not in drilled
-    ]
+    parents = _parents(positions, levels, keys, attributes)
     if drilled:
         column = "weight" if child_weight == "raw" else out("weight")
         children = (
@@ -190,21 +185,18 @@ def grouped_levels(
             .groupBy("record_type", *keys, F.col("instrument_id").alias("_child"))
             .agg(F.sum(column).alias("_child_weight"), F.count(F.lit(1)).alias("_children"))
         )
-        # exposures are the same at every drilled level; what has no child there is a leaf
-        parents = _parents(positions, drilled[0], keys, attributes)
-        if len(drilled) == 1:
+        # what has no child at its level is a leaf there, and so is every position at a level without children
+        if len(levels) == 1:
             children, by = children.drop("record_type"), keys
-            tagged = parents.withColumn("level", F.lit(drilled[0]))
         else:
             level_of = F.expr("CASE record_type " + " ".join(f"WHEN '{LEVELS[v]}' THEN '{v}'" for v in drilled) + " END")
             children, by = children.withColumn("level", level_of).drop("record_type"), ["level", *keys]
-            tagged = parents.withColumn("level", F.explode(F.array(*[F.lit(v) for v in drilled])))
         weight = F.when(F.col("_children").isNull(), 1.0).otherwise(F.col("_child_weight"))
-        met = tagged.join(children, by, "left").withColumns(
+        rows = parents.join(children, by, "left").withColumns(
             {"_child_weight": weight, "_children": F.coalesce("_children", F.lit(1))}
         )
-        parts.append(met)
-    rows = functools.reduce(DataFrame.unionByName, parts)
+    else:
+        rows = parents.selectExpr("*", "bigint(NULL) AS _child", "1.0D AS _child_weight", "1L AS _children")
     factor = {n: "_child_weight" if n in ("PI", "PR") else "_children" for n in names}
     return (
         rows.selectExpr(
@@ -338,23 +330,35 @@ def all_levels(
     """The metrics of every level, tagged with it.
 
     The kept rows feed several sums, and the sums their own totals, so both are
-    stored once where the session has a folder for that.
+    stored once where the session has a folder for that. Stored sums need the kept rows
+    no more, and all steps up to them group by the instrument of the position: rows are
+    dealt by it once.
     """
     levels = ["no"] if lookthroughs is None else list(LEVELS)
     labels = [out(w) for w in (*WEIGHTS, "weight")]
     own = present(positions, [REQUEST, *VIEW_KEYS, "container", "instrument_id", "sub_portfolio_id", *(attributes or [])])
-    positions = materialize_if_possible(positions.select(*own, *present(positions, [*labels, *SHARES])))
+    positions = positions.select(*own, *present(positions, [*labels, *SHARES]))
     if lookthroughs is not None:
         column = "weight" if child_weight == "raw" else out("weight")
-        lookthroughs = materialize_if_possible(
-            lookthroughs.select(
-                REQUEST, *VIEW_KEYS, "container", "record_type", "instrument_id", "parent_instrument_id",
-                "sub_portfolio_id", column,
-            )
+        lookthroughs = lookthroughs.select(
+            REQUEST, *VIEW_KEYS, "container", "record_type", "instrument_id", "parent_instrument_id",
+            "sub_portfolio_id", column,
         )
-    rows = grouped_levels(positions, lookthroughs, levels, attributes, child_weight)
-    if scale_holdings:
-        rows = materialize_if_possible(rows)
+    spark = positions.sparkSession
+    if not scale_holdings or not shared_folder(spark):
+        positions = materialize_if_possible(positions)
+        lookthroughs = None if lookthroughs is None else materialize_if_possible(lookthroughs)
+        return _finish(grouped_levels(positions, lookthroughs, levels, attributes, child_weight), assets, factors, scale_holdings)
+    with ExitStack() as stored:
+        kept = [None if f is None else stored.enter_context(stored_while(f)) for f in (positions, lookthroughs)]
+        dealt = [
+            None if f is None else f.repartition(REQUEST, *VIEW_KEYS, instrument, "sub_portfolio_id")
+            for f, instrument in zip(kept, ("instrument_id", "parent_instrument_id"), strict=True)
+        ]
+        with settings(spark, DEALT):
+            rows = materialize(grouped_levels(*dealt, levels, attributes, child_weight))
+    # few, and small as a stored frame: the sums don't move to meet them
+    factors = None if factors is None else materialize(factors)
     return _finish(rows, assets, factors, scale_holdings)
 
 
